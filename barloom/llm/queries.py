@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from barloom.llm.attention_lm import op7_language_scores
 from barloom.llm.decontamination import OP8_SQL, op8_decontamination
 from barloom.llm.licenses import op9_license_scan
 from barloom.llm.mixing import op3_mixing
 from barloom.llm.near_dedup import op5_near_duplicates
 from barloom.llm.quality import OP4_SQL, op4_quality_rules
+from barloom.llm.suffix_dedup import op2_suffix_dedup
 from barloom.llm.token_output import op6_token_output
 from barloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_output": op6_token_output,
+    "op7_language_scores": op7_language_scores,
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
