@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from barloom.llm.attention_lm import op7_language_scores
 from barloom.llm.decontamination import OP8_SQL, op8_decontamination
+from barloom.llm.html_text import op1_html_text
 from barloom.llm.licenses import op9_license_scan
 from barloom.llm.mixing import op3_mixing
 from barloom.llm.near_dedup import op5_near_duplicates
@@ -13,6 +16,7 @@ from barloom.llm.token_output import op6_token_output
 from barloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
@@ -24,3 +28,12 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
