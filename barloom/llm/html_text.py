@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.storage import small_batches
 from barloom.llm.text import LOWER, spans, word_hashes
 
 SAMPLE_PAGES, SAMPLE_CHARS, MADE_PAGES = 192, 60_000, 640
@@ -364,6 +365,7 @@ def _extract(model: Labeller):
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
+    small_batches(pages.sparkSession)
     rows = pages.selectExpr("cast(page_id AS bigint) AS page_id", "url", "html")
     return rows.mapInArrow(_extract(fitted(rows)), "page_id long, url string, text string, n_chars long")
 

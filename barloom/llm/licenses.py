@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm.storage import small_batches
 from barloom.llm.text import LOWER, chunks, spans, word_hashes
 
 #: Phrases that name a licence, and its label.
@@ -202,6 +203,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(scan, schema)
 

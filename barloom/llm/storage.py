@@ -17,6 +17,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a size that leaves room for what the workers derive from them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def rewritten(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as a Parquet table and read back; later jobs start from the files."""
     path = f"{shared_folder(df.sparkSession)}/{name}"

@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.storage import small_batches
 from barloom.llm.text import chunks, prefix, slice_hashes
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
 #: Anchors and segment bytes that a task packs at a time; buckets to a shuffle partition.
-FLUSH_ANCHORS, FLUSH_BYTES, BUCKETS = 2_000_000, 24 << 20, 4
+FLUSH_ANCHORS, FLUSH_BYTES, BUCKETS = 600_000, 6 << 20, 8
 LAST = (1 << 63) - 1  #: stands for a null doc_id
 _48 = np.uint64(48)
 
@@ -346,6 +347,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     """id (LAST for null), start, stop: byte ranges to remove; they may overlap."""
     spark = docs.sparkSession
     n = BUCKETS * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    small_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
     listed = rows.mapInArrow(_list_anchors(n), "bucket int, anchors binary, ids binary")
     repeated = listed.groupBy("bucket").applyInArrow(_repeated, "id long, anchor long")

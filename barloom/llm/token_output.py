@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.storage import rewritten
+from barloom.llm.storage import rewritten, small_batches
 
 END, SHARD_IDS, ROUNDS, LEAST_SHARE = 1, 1 << 20, 8, 2e-4
 NEW = 1 << 17  #: nonterminals begin here, above all ids of the vocabularies
@@ -159,6 +159,7 @@ def _writer(path: str):
 
 def token_shards(docs: DataFrame, path: str) -> DataFrame:
     """The shard table of ``docs``; part and shard ascend with doc_id."""
+    small_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
     sorted_rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return sorted_rows.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_writer(path), SHARD_SCHEMA)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.storage import rewritten
+from barloom.llm.storage import rewritten, small_batches
 
 CHUNK = 1 << 20
 SCHEMA = "archive string, record long, chunk_no int, last boolean, bytes binary, running_sha1 binary"
@@ -109,6 +109,7 @@ def _id(urn: str) -> int | None:
 
 def archive_table(pages: DataFrame, least: int = 0) -> DataFrame:
     """The chunk rows of ``pages`` (page_id, url, html); payloads under ``least`` bytes are never revisits."""
+    small_batches(pages.sparkSession)
     html = F.encode("html", "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
     light = rows.filter(F.coalesce(F.length("html"), F.lit(0)) >= least).select(
