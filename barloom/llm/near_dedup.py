@@ -1,15 +1,15 @@
 """Near-duplicate classes by ProbMinHash.
 
-A text is the weighted set of its five-word shingles, weight = occurrences. Each
-element is a Poisson process of that rate whose arrivals fall into random slots
+A text is the weighted set of its five-word shingles; n occurrences weigh
+1 + ln n. Each element is a Poisson process of that rate whose arrivals fall into random slots
 of the signature; a slot keeps the element of its first arrival, and an element
 stops once its next arrival comes after the latest first arrival of all slots.
 Two signatures agree in a slot with the probability Jaccard similarity of the
 sets. Signatures are banded; the texts of a band bucket are verified by the
 plain Jaccard similarity of their shingle sets, at least ``LEAST``.
 
-A bucket is not paired within itself. Round by round its smallest text is the
-leader and all others are compared with it. Those nearer than 1 - LEAST are
+A bucket of more than ``SMALL`` texts is not paired within itself. Round by round
+its smallest text is the leader and all others are compared with it. Those nearer than 1 - LEAST are
 linked. Jaccard distance is a metric, so among the others only texts whose
 distances to the leader differ by at most 1 - LEAST can be linked to a linked
 one: only these are compared across, and the unlinked go to the next round.
@@ -32,11 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.storage import rewritten
+from barloom.llm.storage import rewritten, small_batches
 from barloom.llm.text import LOWER, chunks, mix, slice_hashes, prefix, spans, windows
 
 WIDTH, LEAST = 5, 0.8
-BANDS, ROWS = 28, 5
+#: A pair of similarity LEAST shares no band with probability (1 - 0.8 ** 7) ** 44 = 3e-5.
+BANDS, ROWS = 44, 7
+#: Texts in a bucket up to which all are compared with each other.
+SMALL = 8
 SLOTS = BANDS * ROWS
 
 
@@ -64,7 +67,7 @@ def signatures(shingles: np.ndarray, counts: np.ndarray, begin: np.ndarray, slot
     best = np.full(texts * slots, np.inf)
     owner = np.zeros(texts * slots, np.uint64)
     active = np.arange(len(shingles))
-    rate, time, seed = counts.astype(float), np.zeros(len(shingles)), shingles
+    rate, time, seed = 1 + np.log(counts), np.zeros(len(shingles)), shingles
     latest = np.full(texts, np.inf)
     step = 0
     while len(active):
@@ -129,29 +132,38 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(buckets: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """a, b (a < b): links that leave no two texts of similarity >= least in a common bucket unconnected."""
-    found, apart = None, 1 - least + 1e-9
+    found, apart = [], 1 - least + 1e-9
     while True:
         sizes = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        starred = buckets.join(sizes, "bucket").filter("id > a").select("bucket", "a", F.col("id").alias("b"))
-        pairs = starred.select("a", "b").distinct()
-        star = rewritten(_compared(pairs, sets), "star")
-        near = star.filter(F.col("sim") >= least).select("a", "b")
-        found = near if found is None else found.unionByName(near)
-        if star.filter(F.col("sim") < least).isEmpty():
-            return found.distinct()
+        small = sizes.filter(F.col("n") <= SMALL).select("bucket")
+        few = buckets.join(small, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        firsts = few.select(F.posexplode("ids").alias("i", "a"), "ids")
+        within = firsts.select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
+        starred = buckets.join(sizes.filter(F.col("n") > SMALL).select("bucket", "a"), "bucket").filter("id > a").select("bucket", "a", F.col("id").alias("b"))
+        pairs = starred.select("a", "b", F.lit(True).alias("star")).unionByName(within.withColumn("star", F.lit(False)))
+        compared = rewritten(_compared(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), sets), "compared")
+        found.append(compared.filter(F.col("sim") >= least).select("a", "b"))
+        apart_pairs = compared.filter(F.col("star") & (F.col("sim") < least))
+        if apart_pairs.isEmpty():
+            break
+        star = compared.filter("star")
         placed = rewritten(starred.join(star, ["a", "b"]).select("bucket", "b", (1 - F.col("sim")).alias("d")), "placed")
         outer = placed.filter(F.col("d") > apart)
         edge = outer.filter(F.col("d") <= 2 * apart).select("bucket", F.col("b").alias("y"), F.col("d").alias("dy"))
         inner = placed.filter(F.col("d") <= apart).select("bucket", F.col("b").alias("x"), F.col("d").alias("dx"))
         crossed = inner.join(edge, "bucket").filter(F.col("dy") - F.col("dx") <= apart)
         cross = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        across = rewritten(_compared(cross, sets), "cross").filter(F.col("sim") >= least).select("a", "b")
-        found = found.unionByName(across)
+        found.append(_compared(cross, sets).filter(F.col("sim") >= least).select("a", "b"))
         buckets = outer.select("bucket", F.col("b").alias("id"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the class's smallest doc_id), text_id (the smallest doc_id with the same text)."""
+    small_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").filter("doc_id IS NOT NULL")
     signed = rewritten(rows.mapInArrow(_sign, "doc_id long, same binary, bands array<long>"), "signed")
     texts = signed.groupBy("same").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
