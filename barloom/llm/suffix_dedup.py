@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.storage import small_batches
-from barloom.llm.text import chunks, prefix, slice_hashes
+from barloom.llm.text import chunks, mix, prefix, slice_hashes
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
 #: Anchors and segment bytes that a task packs at a time; buckets to a shuffle partition.
-FLUSH_ANCHORS, FLUSH_BYTES, BUCKETS = 600_000, 6 << 20, 8
+FLUSH_ANCHORS, FLUSH_BYTES, BUCKETS = 400_000, 4 << 20, 8
 LAST = (1 << 63) - 1  #: stands for a null doc_id
 _48 = np.uint64(48)
 
@@ -87,8 +87,8 @@ def unpack(blob: bytes, dtype: str) -> np.ndarray:
 
 
 def _bucket(anchor: np.ndarray, n: int) -> np.ndarray:
-    """Buckets ascend with anchors; the low 32 of the upper bits are enough to be even."""
-    return ((anchor >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+    """Anchors are minima and crowd at low values, so they are hashed anew."""
+    return ((mix(anchor) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
 def _order_ids(rows: pa.RecordBatch) -> np.ndarray:
@@ -106,10 +106,13 @@ def _list_anchors(n_buckets: int):
             fresh = np.ones(len(anchor), bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1])
             anchor, ids = anchor[fresh], ids[fresh]
-            edge = np.flatnonzero(np.diff(_bucket(anchor, n_buckets))) + 1
+            bucket = _bucket(anchor, n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, anchor, ids = bucket[order], anchor[order], ids[order]
+            edge = np.flatnonzero(np.diff(bucket)) + 1
             buckets, packed = [], []
             for a, b in zip(np.append(0, edge), np.append(edge, len(anchor)), strict=True):
-                buckets.append(int(_bucket(anchor[a : a + 1], n_buckets)[0]))
+                buckets.append(int(bucket[a]))
                 packed.append((pack(np.diff(anchor[a:b], prepend=np.uint64(0))), pack(ids[a:b])))
             return pa.RecordBatch.from_arrays(
                 [pa.array(buckets, pa.int32()), *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1))], ["bucket", "anchors", "ids"]

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes and number of texts handled at once; a longer text is a chunk of its own.
-CHUNK, TEXTS = 1 << 20, 4096
+CHUNK, TEXTS = 1 << 18, 1024
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_B), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
@@ -78,7 +78,7 @@ def spans(data: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACE) -> tuple[
 
 def prefix(data: np.ndarray) -> np.ndarray:
     """Sums of byte * B ** place before each place."""
-    up, _ = _powers(1 << max(21, int(len(data)).bit_length()))
+    up, _ = _powers(1 << max(19, int(len(data)).bit_length()))
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
     return out
@@ -86,7 +86,7 @@ def prefix(data: np.ndarray) -> np.ndarray:
 
 def slice_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of slices, alike for equal bytes."""
-    _, down = _powers(1 << max(21, int(len(sums) - 1).bit_length()))
+    _, down = _powers(1 << max(19, int(len(sums) - 1).bit_length()))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
