@@ -8,11 +8,12 @@ Two signatures agree in a slot with the probability Jaccard similarity of the
 sets. Signatures are banded; the texts of a band bucket are verified by the
 plain Jaccard similarity of their shingle sets, at least ``LEAST``.
 
-A bucket of more than ``SMALL`` texts is not paired within itself. Round by round
-its smallest text is the leader and all others are compared with it. Those nearer than 1 - LEAST are
-linked. Jaccard distance is a metric, so among the others only texts whose
-distances to the leader differ by at most 1 - LEAST can be linked to a linked
-one: only these are compared across, and the unlinked go to the next round.
+A bucket is not paired within itself. Round by round its smallest texts are
+leaders (one, then ``LEADERS``) and all others are compared with them. Those
+nearer than 1 - LEAST to a leader are linked to it. Jaccard distance is a metric,
+so among the others only texts whose distances to the leader differ by at most
+1 - LEAST can be linked to a linked one: only these are compared across, and
+texts linked to no leader go to the next round.
 
 Equal texts collapse before all this and come back at the end. Classes are the
 connected components of the links.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
@@ -38,8 +39,8 @@ from barloom.llm.text import LOWER, chunks, mix, slice_hashes, prefix, spans, wi
 WIDTH, LEAST = 5, 0.8
 #: A pair of similarity LEAST shares no band with probability (1 - 0.8 ** 7) ** 44 = 3e-5.
 BANDS, ROWS = 44, 7
-#: Texts in a bucket up to which all are compared with each other.
-SMALL = 8
+#: Leaders of a bucket in the first, second and all later rounds.
+LEADERS = (1, 16, 256)
 SLOTS = BANDS * ROWS
 
 
@@ -68,7 +69,7 @@ def signatures(shingles: np.ndarray, counts: np.ndarray, begin: np.ndarray, slot
     owner = np.zeros(texts * slots, np.uint64)
     active = np.arange(len(shingles))
     rate, time, seed = 1 + np.log(counts), np.zeros(len(shingles)), shingles
-    latest = np.full(texts, np.inf)
+    latest, last = np.full(texts, np.inf), np.empty(texts * slots, np.int64)
     step = 0
     while len(active):
         step += 1
@@ -77,17 +78,16 @@ def signatures(shingles: np.ndarray, counts: np.ndarray, begin: np.ndarray, slot
         alive = time[active] < latest[doc[active]]
         active, draw = active[alive], draw[alive]
         slot = doc[active] * slots + (mix(draw) % np.uint64(slots)).astype(np.int64)
-        # of several arrivals in a slot the first counts
-        order = np.lexsort((time[active], slot))
-        sorted_slot = slot[order]
-        head = np.ones(len(order), bool)
-        head[1:] = sorted_slot[1:] != sorted_slot[:-1]
-        chosen = order[head]
+        # of several arrivals in a slot the first counts: it is written last
+        late_first = np.argsort(-time[active])
+        last[slot[late_first]] = late_first
+        chosen = np.flatnonzero(last[slot] == np.arange(len(slot)))
         s, t = slot[chosen], time[active[chosen]]
         better = t < best[s]
         best[s[better]] = t[better]
         owner[s[better]] = shingles[active[chosen[better]]]
-        latest = best.reshape(texts, slots).max(axis=1)
+        some = np.unique(doc[active])
+        latest[some] = best.reshape(texts, slots)[some].max(axis=1)
         active = active[time[active] < latest[doc[active]]]
     return owner.reshape(texts, slots)
 
@@ -132,29 +132,25 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(buckets: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """a, b (a < b): links that leave no two texts of similarity >= least in a common bucket unconnected."""
-    found, apart = [], 1 - least + 1e-9
+    found, apart, step = [], 1 - least + 1e-9, 0
     while True:
-        sizes = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        small = sizes.filter(F.col("n") <= SMALL).select("bucket")
-        few = buckets.join(small, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        firsts = few.select(F.posexplode("ids").alias("i", "a"), "ids")
-        within = firsts.select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-        starred = buckets.join(sizes.filter(F.col("n") > SMALL).select("bucket", "a"), "bucket").filter("id > a").select("bucket", "a", F.col("id").alias("b"))
-        pairs = starred.select("a", "b", F.lit(True).alias("star")).unionByName(within.withColumn("star", F.lit(False)))
-        compared = rewritten(_compared(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), sets), "compared")
+        first = Window.partitionBy("bucket").orderBy("id")
+        leaders = buckets.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= LEADERS[min(step, len(LEADERS) - 1)])
+        leaders = rewritten(leaders.select("bucket", F.col("id").alias("a")), "leaders")
+        starred = buckets.join(leaders, "bucket").filter("id > a").select("bucket", "a", F.col("id").alias("b"))
+        compared = rewritten(_compared(starred.select("a", "b").distinct(), sets), "compared")
         found.append(compared.filter(F.col("sim") >= least).select("a", "b"))
-        apart_pairs = compared.filter(F.col("star") & (F.col("sim") < least))
-        if apart_pairs.isEmpty():
+        if compared.filter(F.col("sim") < least).isEmpty():
             break
-        star = compared.filter("star")
-        placed = rewritten(starred.join(star, ["a", "b"]).select("bucket", "b", (1 - F.col("sim")).alias("d")), "placed")
-        outer = placed.filter(F.col("d") > apart)
-        edge = outer.filter(F.col("d") <= 2 * apart).select("bucket", F.col("b").alias("y"), F.col("d").alias("dy"))
-        inner = placed.filter(F.col("d") <= apart).select("bucket", F.col("b").alias("x"), F.col("d").alias("dx"))
-        crossed = inner.join(edge, "bucket").filter(F.col("dy") - F.col("dx") <= apart)
+        placed = rewritten(starred.join(compared, ["a", "b"]).select("bucket", "a", "b", (1 - F.col("sim")).alias("d")), "placed")
+        edge = placed.filter((F.col("d") > apart) & (F.col("d") <= 2 * apart)).select("bucket", "a", F.col("b").alias("y"), F.col("d").alias("dy"))
+        inner = placed.filter(F.col("d") <= apart).select("bucket", "a", F.col("b").alias("x"), F.col("d").alias("dx"))
+        crossed = inner.join(edge, ["bucket", "a"]).filter(F.col("dy") - F.col("dx") <= apart)
         cross = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found.append(_compared(cross, sets).filter(F.col("sim") >= least).select("a", "b"))
-        buckets = outer.select("bucket", F.col("b").alias("id"))
+        found.append(rewritten(_compared(cross, sets), "cross").filter(F.col("sim") >= least).select("a", "b"))
+        lone = placed.groupBy("bucket", F.col("b").alias("id")).agg(F.min("d").alias("d")).filter(F.col("d") > apart)
+        buckets = rewritten(lone.join(leaders, (lone["bucket"] == leaders["bucket"]) & (lone["id"] == leaders["a"]), "left_anti").select("bucket", "id"), "lone")
+        step += 1
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
