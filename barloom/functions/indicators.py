@@ -10,13 +10,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from barloom.sources.bars import BY_BAR
-
-O, H, L, C = (F.col(x) for x in ("open", "high", "low", "close"))  # noqa: E741
+from barloom.sources.bars import by_bar
 
 
 def back(n: int):
-    return BY_BAR.rowsBetween(-(n - 1), 0)
+    return by_bar().rowsBetween(-(n - 1), 0)
 
 
 def full(value: Column, of: Column, n: int) -> Column:
@@ -29,12 +27,12 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def lag(x: Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(BY_BAR)
+    return F.lag(x, n).over(by_bar())
 
 
 def true_range() -> Column:
-    before = lag(C)
-    return F.greatest(H - L, F.abs(H - before), F.abs(L - before))
+    before = lag(F.col("close"))
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def sma(x: Column, n: int) -> Column:
@@ -42,29 +40,29 @@ def sma(x: Column, n: int) -> Column:
 
 
 def donchian(n: int) -> tuple[Column, Column, Column]:
-    high, low = full(F.max(H).over(back(n)), H, n), full(F.min(L).over(back(n)), L, n)
+    high, low = full(F.max(F.col("high")).over(back(n)), F.col("high"), n), full(F.min(F.col("low")).over(back(n)), F.col("low"), n)
     return high, low, (high + low) / 2
 
 
 def bollinger(n: int, k: float) -> tuple[Column, Column, Column]:
-    middle, width = sma(C, n), k * F.stddev_pop(C).over(back(n))
+    middle, width = sma(F.col("close"), n), k * F.stddev_pop(F.col("close")).over(back(n))
     return middle + width, middle - width, middle
 
 
 def efficiency_ratio(n: int, change: Column) -> Column:
     """Net over gross movement; ``change`` is a column close - previous close."""
     gross = full(F.sum(F.abs(change)).over(back(n)), change, n)
-    return clip(F.try_divide(F.abs(C - lag(C, n)), F.nullif(gross, F.lit(0.0))), 0, 1)
+    return clip(F.try_divide(F.abs(F.col("close") - lag(F.col("close"), n)), F.nullif(gross, F.lit(0.0))), 0, 1)
 
 
 def trend_correlation(n: int) -> Column:
     """Correlation of close and time; 0 for a flat window."""
-    r = F.corr(C, F.col("bar_idx").cast("double")).over(back(n))
-    return full(clip(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), -1, 1), C, n)
+    r = F.corr(F.col("close"), F.col("bar_idx").cast("double")).over(back(n))
+    return full(clip(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), -1, 1), F.col("close"), n)
 
 
 def choppiness(n: int, tr: Column) -> Column:
-    span = F.max(H).over(back(n)) - F.min(L).over(back(n))
+    span = F.max(F.col("high")).over(back(n)) - F.min(F.col("low")).over(back(n))
     ratio = F.try_divide(F.sum(tr).over(back(n)), F.nullif(span, F.lit(0.0)))
     return full(clip(100 * F.log10(ratio) / F.log10(F.lit(float(n))), 0, 100), tr, n)
 
@@ -96,7 +94,7 @@ def percentile_rank(x: Column, n: int) -> Column:
 
 def market_meanness(n: int) -> Column:
     """Percent of steps that move back towards the window's median."""
-    held = F.collect_list(C).over(back(n))
+    held = F.collect_list(F.col("close")).over(back(n))
     ordered = F.array_sort(held)
     middle = (F.get(ordered, F.lit((n - 1) // 2)) + F.get(ordered, F.lit(n // 2))) / 2
     near = lambda m: F.aggregate(
@@ -108,12 +106,12 @@ def market_meanness(n: int) -> Column:
         ).otherwise(0),
     )
     count = F.get(F.transform(F.array(middle), near), F.lit(0))
-    return full(100 * count / F.lit(n - 1), C, n)
+    return full(100 * count / F.lit(n - 1), F.col("close"), n)
 
 
 def break_signal(high: Column, low: Column) -> Column:
     """1 or -1 where the close leaves the last bar's channel on one side; else null."""
-    up, down = C > lag(high), C < lag(low)
+    up, down = F.col("close") > lag(high), F.col("close") < lag(low)
     return F.when(up & ~down, F.lit(1)).when(down & ~up, F.lit(-1))
 
 

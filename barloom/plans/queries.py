@@ -254,7 +254,7 @@ SELECT asset, ts, {r("equity", "equity")}, {r("equity / greatest(max(equity) OVE
 )
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rets = metrics.returns(src.order_bars(spark, sf_dir)).withColumn("ret", F.col("ret") / 1000)
-    added = 1 + F.sum("ret").over(src.BY_BAR.rowsBetween(Window.unboundedPreceding, 0))
+    added = 1 + F.sum("ret").over(src.by_bar().rowsBetween(Window.unboundedPreceding, 0))
     return metrics.curve(rets.withColumn("added", added)).select("asset", "ts", "equity", "drawdown", "added")
 
 

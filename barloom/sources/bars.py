@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BY_BAR = Window.partitionBy("asset").orderBy("ts")
+def by_bar():
+    """Window of an asset's bars in order."""
+    return Window.partitionBy("asset").orderBy("ts")
 
 
 def numbered(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("bar_idx", F.row_number().over(BY_BAR).cast("long") - 1)
+    return bars.withColumn("bar_idx", F.row_number().over(by_bar()).cast("long") - 1)
 
 
 def grouped_bars(rows: DataFrame, asset: Column, ts: Column, price: Column, first: Column) -> DataFrame:
