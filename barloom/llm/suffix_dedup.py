@@ -41,7 +41,7 @@ from barloom.llm.text import chunks, mix, prefix, slice_hashes
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
 #: Anchors and segment bytes that a task packs at a time; buckets to a shuffle partition.
-FLUSH_ANCHORS, FLUSH_BYTES, BUCKETS = 400_000, 4 << 20, 8
+FLUSH_ANCHORS, FLUSH_BYTES, BUCKETS = 400_000, 4 << 20, 6
 LAST = (1 << 63) - 1  #: stands for a null doc_id
 _48 = np.uint64(48)
 
