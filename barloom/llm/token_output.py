@@ -17,6 +17,7 @@ text of a special token counts as that token, as the library has it.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,29 +34,63 @@ SHARD_SCHEMA = "part int, shard int, doc_ids array<long>, n_tokens array<long>,
 
 
 class Encoder:
-    """Ids of whole texts, remembered by word: no rule of this vocabulary reaches over white space."""
+    """Ids of whole texts, remembered by word: no rule of this vocabulary reaches over white space.
+
+    A word of Latin letters, with or without marks after it, is one piece or two, and the last id of
+    a piece ends in ``</w>``; such words are encoded many to a text. All others go in one by one.
+    """
 
     #: Words remembered; beyond that the memory starts anew.
     MOST = 400_000
+    #: White space as the tokenizer has it; str.split() takes U+001C to U+001F as well, which here are symbols.
+    SYMBOLS = re.compile("[\x1c-\x1f]")
+    SPACES = re.compile(r"[^\S\x1c-\x1f]+")
+    PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-&(-/:-@\[-`{-~]*)").fullmatch
+    TOGETHER = 256
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    def _split(self, text: str | None) -> list[str]:
+        text = text or ""
+        return text.split() if self.SYMBOLS.search(text) is None else [w for w in self.SPACES.split(text) if w]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        found = [self.PLAIN(w) for w in words]
+        plain = [w for w, m in zip(words, found, strict=True) if m]
+        if plain:
+            joined = self._ids([" ".join(plain[i : i + self.TOGETHER]) for i in range(0, len(plain), self.TOGETHER)])
+            ids = np.concatenate([np.array(x, "<u4") for x in joined])
+            pieces = np.cumsum([1 + (m.end(1) > m.start(1)) for m in found if m])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == pieces[-1]:
+                stops = (ends[pieces - 1] * 4).tolist()
+                blob = ids.tobytes()
+                self.known.update((w, blob[a:b]) for w, a, b in zip(plain, [0, *stops[:-1]], stops, strict=True))
+                words = [w for w, m in zip(words, found, strict=True) if not m]
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            self.known.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(part, self._ids(part), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").split() for t in texts]
+        split = [self._split(t) for t in texts]
         if len(self.known) > self.MOST:
             self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        look = known.__getitem__
+        new = set().union(*split).difference(self.known)
+        if new:
+            self._learn(list(new))
+        look = self.known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
 
@@ -68,8 +103,7 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarra
         if len(seq) < 2:
             break
         key = (seq[:-1] << 32) | seq[1:]
-        kinds, counts = np.unique(key[:: max(1, len(key) >> 18)], return_counts=True)
-        counts = counts * max(1, len(key) >> 18)
+        kinds, counts = np.unique(key, return_counts=True)
         often = kinds[counts >= least]
         if not len(often):
             break

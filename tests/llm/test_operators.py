@@ -172,6 +172,19 @@ def test_token_output(docs, none, spark):
         start += len(ids)
 
 
+def test_encoder_equals_the_library():
+    """Words encoded together, alone, and split at the library's white space only."""
+    from tokenizers import Tokenizer
+
+    path, rng = token_output.default_tokenizer(), np.random.default_rng(3)
+    signs = list("ab'sdtlvrem.,-#|<>é ßİǅक़²٣ \x1c\x1f\x85\xa0\n\t中_^`~Åﬁ😀")
+    texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(5000)]
+    texts += ["<|endoftext|> a<|endoftext|>b", " \x1c ", "it's we'll I'LL don't.x a.'s", "", "x" * 5000]
+    lib = Tokenizer.from_file(path)
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert token_output.Encoder(path).encode(texts) == want
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(5)
     ids = np.concatenate((np.zeros(999, int), rng.zipf(1.5, 30_000) % 500)).astype("<u4")
