@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,25 @@ NEW = 1 << 17  #: nonterminals begin here, above all ids of the vocabularies
 SHARD_SCHEMA = "part int, shard int, doc_ids array<long>, n_tokens array<long>, rules binary, expansions binary, sequence binary"
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of whole texts, remembered by word: no rule of this vocabulary reaches over white space.
 
-    A word of Latin letters, with or without marks after it, is one piece or two, and the last id of
-    a piece ends in ``</w>``; such words are encoded many to a text. All others go in one by one.
+    A word of Latin letters, with or without marks after it, is one piece or two, and only the last id
+    of a piece ends in ``</w>``; such pieces are encoded many to a text. Other words go in one by one.
     """
 
     #: Words remembered; beyond that the memory starts anew.
-    MOST = 400_000
+    MOST = 800_000
     #: White space as the tokenizer has it; str.split() takes U+001C to U+001F as well, which here are symbols.
     SYMBOLS = re.compile("[\x1c-\x1f]")
     SPACES = re.compile(r"[^\S\x1c-\x1f]+")
-    PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-&(-/:-@\[-`{-~]*)").fullmatch
+    PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
     TOGETHER = 256
 
     def __init__(self, path: str):
@@ -57,6 +64,7 @@ class Encoder:
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.pieces = {"": b""}
 
     def _split(self, text: str | None) -> list[str]:
         text = text or ""
@@ -67,19 +75,22 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         found = [self.PLAIN(w) for w in words]
-        plain = [w for w, m in zip(words, found, strict=True) if m]
-        if plain:
-            joined = self._ids([" ".join(plain[i : i + self.TOGETHER]) for i in range(0, len(plain), self.TOGETHER)])
+        parts = [(m[1].lower(), m[2]) for m in found if m]
+        pieces = self.pieces
+        new = list({p for two in parts for p in two}.difference(pieces))
+        if new:
+            joined = self._ids([" ".join(new[i : i + self.TOGETHER]) for i in range(0, len(new), self.TOGETHER)])
             ids = np.concatenate([np.array(x, "<u4") for x in joined])
-            pieces = np.cumsum([1 + (m.end(1) > m.start(1)) for m in found if m])
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == pieces[-1]:
-                stops = (ends[pieces - 1] * 4).tolist()
-                blob = ids.tobytes()
-                self.known.update((w, blob[a:b]) for w, a, b in zip(plain, [0, *stops[:-1]], stops, strict=True))
-                words = [w for w, m in zip(words, found, strict=True) if not m]
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
+            stops = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(stops) != len(new):
+                raise ValueError("a piece of this vocabulary does not end in </w>")
+            blob = ids.tobytes()
+            pieces.update((p, blob[a:b]) for p, a, b in zip(new, [0, *stops[:-1]], stops, strict=True))
+        plain = (w for w, m in zip(words, found, strict=True) if m)
+        self.known.update((w, pieces[a] + pieces[b]) for w, (a, b) in zip(plain, parts, strict=True))
+        rest = [w for w, m in zip(words, found, strict=True) if not m]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
             self.known.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(part, self._ids(part), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -87,6 +98,7 @@ class Encoder:
         split = [self._split(t) for t in texts]
         if len(self.known) > self.MOST:
             self.known.clear()
+            self.pieces = {"": b""}
         new = set().union(*split).difference(self.known)
         if new:
             self._learn(list(new))
@@ -160,7 +172,7 @@ def decode(seq: np.ndarray, rules: np.ndarray, expansions: np.ndarray, start: in
 
 def _writer(path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(path), 0
+        encoder, shard = encoder_of(path), 0
         ids: list[int | None] = []
         parts: list[bytes] = []
         part, held = 0, 0
