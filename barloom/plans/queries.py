@@ -316,6 +316,23 @@ def overfit_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "purged_paths",
+    f"""WITH {RETS}, q AS (SELECT asset, ret, row_number() OVER w - 1 AS i, ((row_number() OVER w - 1) * 8) // count(*) OVER (PARTITION BY asset) AS g
+  FROM rets WINDOW w AS (PARTITION BY asset ORDER BY ts)),
+h AS (SELECT *, i - min(i) OVER (PARTITION BY asset, g) AS place FROM q),
+t AS (SELECT a.x AS lo, b.x AS hi FROM range(0, 8) a(x), range(0, 8) b(x) WHERE a.x < b.x),
+tr AS (SELECT lo, hi, asset, avg(ret) / stddev_samp(ret) AS score FROM h, t
+  WHERE g NOT IN (lo, hi) AND NOT (place < 10 AND g - 1 IN (lo, hi)) GROUP BY 1, 2, 3),
+best AS (SELECT lo, hi, arg_max(asset, score) AS asset FROM tr GROUP BY 1, 2),
+tested AS (SELECT lo, hi, lo AS g FROM t UNION ALL SELECT lo, hi, hi FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY (1 << lo) + (1 << hi)) - 1 AS path FROM tested)
+SELECT CAST(path AS INT) AS path, count(*) AS n, {r("avg(ret) / stddev_samp(ret)", "sharpe")} FROM p JOIN best USING (lo, hi) JOIN h USING (asset, g) GROUP BY 1""",
+)
+def purged_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.purged_paths(metrics.returns(src.order_bars(spark, sf_dir)))
+
+
 @query(
     "session_returns",
     f"""WITH e AS (SELECT event_type AS asset, date_trunc('hour', ts) AS h, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1, 2),
