@@ -8,12 +8,13 @@ Two signatures agree in a slot with the probability Jaccard similarity of the
 sets. Signatures are banded; the texts of a band bucket are verified by the
 plain Jaccard similarity of their shingle sets, at least ``LEAST``.
 
-A bucket is not paired within itself. Round by round its smallest texts are
-leaders (one, then ``LEADERS``) and all others are compared with them. Those
-nearer than 1 - LEAST to a leader are linked to it. Jaccard distance is a metric,
+A bucket is not paired within itself. Round by round its most central texts are
+leaders (one, then ``LEADERS``) and all others of another class so far are compared with
+them. Those nearer than 1 - LEAST to a leader are linked to it. Jaccard distance is a metric,
 so among the others only texts whose distances to the leader differ by at most
-1 - LEAST can be linked to a linked one: only these are compared across, and
-texts linked to no leader go to the next round.
+1 - LEAST can be linked to a linked one: only these are compared across, where the links
+so far leave them in different classes. Texts linked to no leader go to the next round,
+unless the rest of their bucket is one class.
 
 Equal texts collapse before all this and come back at the end. Classes are the
 connected components of the links.
@@ -26,6 +27,7 @@ Rows with a null doc_id are left out; repeated ids share one row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -131,30 +133,40 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(buckets: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b (a < b): links that leave no two texts of similarity >= least in a common bucket unconnected."""
+    """a, b: links that leave no two texts of similarity >= least in a common bucket in different classes.
+
+    A bucket's first leader is the text that meets most others in all its buckets: around a
+    text with many variants that is the text itself. Texts already in one class are not compared.
+    """
     found, apart, step = [], 1 - least + 1e-9, 0
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    weights = buckets.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("weight"))
+    buckets = rewritten(buckets.join(weights, "id").select("bucket", "id", "weight", F.col("id").alias("label")), "weighed")
     while True:
-        first = Window.partitionBy("bucket").orderBy("id")
+        first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "id")
         leaders = buckets.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= LEADERS[min(step, len(LEADERS) - 1)])
-        leaders = rewritten(leaders.select("bucket", F.col("id").alias("a")), "leaders")
-        starred = buckets.join(leaders, "bucket").filter("id > a").select("bucket", "a", F.col("id").alias("b"))
+        leaders = rewritten(leaders.select("bucket", F.col("id").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la")), "leaders")
+        after = (F.col("weight") < F.col("wa")) | ((F.col("weight") == F.col("wa")) & (F.col("id") > F.col("a")))
+        starred = buckets.join(leaders, "bucket").filter(after & (F.col("label") != F.col("la"))).select("bucket", "a", F.col("id").alias("b"))
         compared = rewritten(_compared(starred.select("a", "b").distinct(), sets), "compared")
         found.append(compared.filter(F.col("sim") >= least).select("a", "b"))
         if compared.filter(F.col("sim") < least).isEmpty():
             break
+        labels = rewritten(components(reduce(DataFrame.unionByName, found)), "labels")
         placed = rewritten(starred.join(compared, ["a", "b"]).select("bucket", "a", "b", (1 - F.col("sim")).alias("d")), "placed")
-        edge = placed.filter((F.col("d") > apart) & (F.col("d") <= 2 * apart)).select("bucket", "a", F.col("b").alias("y"), F.col("d").alias("dy"))
-        inner = placed.filter(F.col("d") <= apart).select("bucket", "a", F.col("b").alias("x"), F.col("d").alias("dx"))
-        crossed = inner.join(edge, ["bucket", "a"]).filter(F.col("dy") - F.col("dx") <= apart)
+        labelled = placed.filter(F.col("d") <= 2 * apart).join(labels, F.col("b") == F.col("node"), "left").withColumn("label", F.coalesce("component", "b"))
+        edge = labelled.filter(F.col("d") > apart).select("bucket", "a", F.col("b").alias("y"), F.col("d").alias("dy"), F.col("label").alias("ly"))
+        inner = labelled.filter(F.col("d") <= apart).select("bucket", "a", F.col("b").alias("x"), F.col("d").alias("dx"), F.col("label").alias("lx"))
+        crossed = inner.join(edge, ["bucket", "a"]).filter((F.col("dy") - F.col("dx") <= apart) & (F.col("lx") != F.col("ly")))
         cross = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found.append(rewritten(_compared(cross, sets), "cross").filter(F.col("sim") >= least).select("a", "b"))
-        lone = placed.groupBy("bucket", F.col("b").alias("id")).agg(F.min("d").alias("d")).filter(F.col("d") > apart)
-        buckets = rewritten(lone.join(leaders, (lone["bucket"] == leaders["bucket"]) & (lone["id"] == leaders["a"]), "left_anti").select("bucket", "id"), "lone")
+        done = leaders.select("bucket", F.col("a").alias("id")).unionByName(placed.filter(F.col("d") <= apart).select("bucket", F.col("b").alias("id")))
+        lone = buckets.drop("label").join(done, ["bucket", "id"], "left_anti").join(labels, F.col("id") == F.col("node"), "left")
+        lone = rewritten(lone.select("bucket", "id", "weight", F.coalesce("component", "id").alias("label")), "lone")
+        mixed = lone.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+        buckets = lone.join(mixed, "bucket", "left_semi")
         step += 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
