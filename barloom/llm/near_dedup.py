@@ -153,10 +153,13 @@ def links(buckets: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFram
         if compared.filter(F.col("sim") < least).isEmpty():
             break
         labels = rewritten(components(reduce(DataFrame.unionByName, found)), "labels")
-        placed = rewritten(starred.join(compared, ["a", "b"]).select("bucket", "a", "b", (1 - F.col("sim")).alias("d")), "placed")
-        labelled = placed.filter(F.col("d") <= 2 * apart).join(labels, F.col("b") == F.col("node"), "left").withColumn("label", F.coalesce("component", "b"))
-        edge = labelled.filter(F.col("d") > apart).select("bucket", "a", F.col("b").alias("y"), F.col("d").alias("dy"), F.col("label").alias("ly"))
-        inner = labelled.filter(F.col("d") <= apart).select("bucket", "a", F.col("b").alias("x"), F.col("d").alias("dx"), F.col("label").alias("lx"))
+        near = compared.select("a", "b", (1 - F.col("sim")).alias("d")).filter(F.col("d") <= 2 * apart)
+        la, lb = labels.select(F.col("node").alias("a"), F.col("component").alias("la")), labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
+        near = near.join(la, "a", "left").join(lb, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+        useful = near.filter((F.col("d") <= apart) | (F.col("la") != F.col("lb"))).select("a", "b", "d", "lb")
+        placed = rewritten(starred.join(useful, ["a", "b"]).select("bucket", "a", "b", "d", "lb"), "placed")
+        edge = placed.filter(F.col("d") > apart).select("bucket", "a", F.col("b").alias("y"), F.col("d").alias("dy"), F.col("lb").alias("ly"))
+        inner = placed.filter(F.col("d") <= apart).select("bucket", "a", F.col("b").alias("x"), F.col("d").alias("dx"), F.col("lb").alias("lx"))
         crossed = inner.join(edge, ["bucket", "a"]).filter((F.col("dy") - F.col("dx") <= apart) & (F.col("lx") != F.col("ly")))
         cross = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found.append(rewritten(_compared(cross, sets), "cross").filter(F.col("sim") >= least).select("a", "b"))
