@@ -9,6 +9,7 @@ import pytest
 from conftest import SF
 
 from barloom.operators import backtest, book, recursive, search
+from barloom.plans import learning  # noqa: F401
 from barloom.plans.queries import ORACLE_SQL, QUERIES, trials
 from barloom.sources import bars as src
 
