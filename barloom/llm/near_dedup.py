@@ -41,8 +41,8 @@ from barloom.llm.text import LOWER, chunks, mix, slice_hashes, prefix, spans, wi
 WIDTH, LEAST = 5, 0.8
 #: A pair of similarity LEAST shares no band with probability (1 - 0.8 ** 7) ** 44 = 3e-5.
 BANDS, ROWS = 44, 7
-#: Leaders of a bucket in the first, second and all later rounds.
-LEADERS = (1, 16, 256)
+#: Leaders of a bucket in each round, the last number in all later ones.
+LEADERS = (1, 4, 16, 256)
 SLOTS = BANDS * ROWS
 
 
@@ -148,6 +148,7 @@ def links(buckets: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFram
         leaders = rewritten(leaders.select("bucket", F.col("id").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la")), "leaders")
         after = (F.col("weight") < F.col("wa")) | ((F.col("weight") == F.col("wa")) & (F.col("id") > F.col("a")))
         starred = buckets.join(leaders, "bucket").filter(after & (F.col("label") != F.col("la"))).select("bucket", "a", F.col("id").alias("b"))
+        starred = rewritten(starred, "starred")
         compared = rewritten(_compared(starred.select("a", "b").distinct(), sets), "compared")
         found.append(compared.filter(F.col("sim") >= least).select("a", "b"))
         if compared.filter(F.col("sim") < least).isEmpty():
