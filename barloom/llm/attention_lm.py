@@ -82,7 +82,7 @@ def _encoded(path: str):
         for batch in batches:
             for rows, _, _ in chunks([batch]):
                 blobs = [np.frombuffer(b, "<u4").astype("<u2").tobytes() + end for b in encoder.encode(rows.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(blobs, pa.binary())], ["doc_id", "text", "ids"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(blobs, pa.binary())], ["doc_id", "text", "row", "ids"])
 
     return run
 
@@ -90,7 +90,7 @@ def _encoded(path: str):
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(VOCABULARY, np.int64)
     for batch in batches:
-        for blob, out in zip(batch.column(1).to_pylist(), _held_out(batch.column(0).to_pylist()), strict=True):
+        for blob, out in zip(batch.column("ids").to_pylist(), _held_out(batch.column(0).to_pylist()), strict=True):
             if not out:
                 total += np.bincount(np.frombuffer(blob, "<u2"), minlength=VOCABULARY)
     some = np.flatnonzero(total)
@@ -309,8 +309,8 @@ def _cold(base: Base):
             new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(doc)))
-            ids = rows.column(0).take(pa.array(doc[first]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(hashes[first]), pa.array(n.astype(np.int32))], ["doc_id", "word", "n"])
+            own = rows.column("row").take(pa.array(doc[first]))
+            yield pa.RecordBatch.from_arrays([own, pa.array(hashes[first]), pa.array(n.astype(np.int32))], ["row", "word", "n"])
 
     return run
 
@@ -321,16 +321,16 @@ def _scored(base: Base, model: Model):
             hashes, doc = _tokens(data, at)
             hot, logs = base.find(hashes)
             n = np.bincount(doc, minlength=rows.num_rows)
-            blobs = rows.column(2).to_pylist()
+            blobs = rows.column("ids").to_pylist()
             sizes = np.array([len(b) // 2 for b in blobs])
             ids = np.frombuffer(b"".join(blobs), "<u2").astype(np.int64)
             score = model.score(ids, np.concatenate(([0], np.cumsum(sizes)))) / np.log(10)
             values = [
-                rows.column(0), pa.array(_held_out(rows.column(0).to_pylist())), pa.array(n.astype(np.int64)),
+                rows.column(0), rows.column("row"), pa.array(_held_out(rows.column(0).to_pylist())), pa.array(n.astype(np.int64)),
                 pa.array(np.bincount(doc, weights=hot, minlength=len(n)).astype(np.int64)),
                 pa.array(np.bincount(doc, weights=logs, minlength=len(n)) - n * base.log_all), pa.array(score),
             ]
-            yield pa.RecordBatch.from_arrays(values, ["doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "score"])
+            yield pa.RecordBatch.from_arrays(values, ["doc_id", "row", "held_out", "n_tokens", "hot_known", "hot_score", "score"])
 
     return run
 
@@ -339,18 +339,19 @@ def language_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
-    plain = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
-    rows = rewritten(plain.mapInArrow(_encoded(path), "doc_id long, text string, ids binary"), "encoded")
-    words = rows.select("doc_id", "text")
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    rows = rewritten(plain.mapInArrow(_encoded(path), "doc_id long, text string, row long, ids binary"), "encoded")
+    words = rows.select("doc_id", "text", "row")
     counted = words.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
     counts = rewritten(counted.filter("c > 0"), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     hot = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HOT).collect()]
     base, model = Base(hot, total, kinds), fitted(rows, path)
-    cold = words.mapInArrow(_cold(base), "doc_id long, word long, n int").join(counts, "word")
-    more = cold.groupBy("doc_id").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
-    whole = rows.mapInArrow(_scored(base, model), "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, score double")
-    joined = whole.join(more.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # the written row number tells apart rows of one id
+    cold = words.mapInArrow(_cold(base), "row long, word long, n int").join(counts, "word")
+    more = cold.groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
+    schema = "doc_id long, row long, held_out boolean, n_tokens long, hot_known long, hot_score double, score double"
+    joined = rows.mapInArrow(_scored(base, model), schema).join(more, "row", "left")
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("hot_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",

@@ -207,6 +207,14 @@ def test_language_scores(docs, none, real):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
 
 
+def test_cold_words_of_repeated_rows(docs, monkeypatch):
+    ask = lambda: sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in attention_lm.language_scores(rows).collect())
+    rows = docs.unionByName(docs)
+    want = ask()
+    monkeypatch.setattr(attention_lm, "HOT", 3)
+    assert ask() == want and all(n >= known for _, n, known, _ in want)
+
+
 def test_model_is_a_causal_distribution():
     rng = np.random.default_rng(2)
     texts = [np.tile([5, 6, 7, 8], 30) for _ in range(20)]
