@@ -1,12 +1,17 @@
 """Language-model scores by causal self-attention in numpy on subword ids.
 
 Vocabulary statistics come from all training documents: counts of words (for the
-unigram base score) and of subword ids. Ids with like neighbours share one of
+unigram base score), counts of subword ids, and sums of random projections of what stands
+before, after and around each id. By these sums, ids with like neighbours share one of
 ``CLASSES`` classes; the network predicts the class of the next id, an id within its
 class has its smoothed relative frequency, so the product is a probability over
-the whole vocabulary. The attention weights are fitted on the driver to at most
-``SAMPLE_DOCS`` training documents of at most ``SAMPLE_CHARS`` characters each,
-the ones of smallest hash. Scoring reads every text whole: windows of ``WINDOW``
+the whole vocabulary. The attention weights are fitted to all windows of all training
+documents, the last one of a text padded: in each of ``ROUNDS`` rounds every task trains
+on its next part of the windows from the weights so far, and the results are averaged by
+windows. Small inputs are passed over more than once, at most ``EPOCHS`` times, and by
+fewer tasks (``TASK_WINDOWS`` each at least). The sums are of whole numbers, so the order
+of tasks changes nothing; which windows meet in a task follows from the files.
+Scoring reads every text whole: windows of ``WINDOW``
 ids overlap by ``CONTEXT``, so each id is scored once, with earlier ids to attend
 to, and windows of many texts share batched masked products.
 
@@ -30,15 +35,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.storage import rewritten, small_batches
-from barloom.llm.text import LOWER, chunks, spans, word_hashes
-from barloom.llm.token_output import END, Encoder, default_tokenizer, encoder_of
+from barloom.llm.text import LOWER, chunks, mix, spans, word_hashes
+from barloom.llm.token_output import END, default_tokenizer, encoder_of
 
 HOT = 1 << 16
 VOCABULARY, OWN_ROWS, CLASSES, DIM = 49_408, 4_096, 96, 16
 WINDOW, CONTEXT = 24, 8
 #: Windows to a product: what stands between fits a core's cache.
 BATCH = 384
-SAMPLE_DOCS, SAMPLE_CHARS, EPOCHS, SEED = 512, 4_000, 6, 7
+#: Passes over a small input, and windows that all passes show at least where so many passes allow it; more input is passed once.
+EPOCHS, LEAST_WINDOWS = 6, 1 << 17
+#: Averaged parts of a pass, windows that make a task, and windows ordered and held at once by one.
+ROUNDS, TASK_WINDOWS, BLOCK = 4, 1 << 15, 1 << 14
+SEED, SIDE = 7, 24
+FIXED = float(1 << 24)  #: weights are averaged as whole multiples of 1 / FIXED
 END_TOKEN = 0x454E44  #: stands for the end token among word hashes
 PACK = 1 << 20
 
@@ -87,51 +97,105 @@ def _encoded(path: str):
     return run
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(VOCABULARY, np.int64)
+def _signs() -> np.ndarray:
+    """Projection of each id, of 1 and -1: sums of them are exact."""
+    return np.random.default_rng(SEED).integers(0, 2, (VOCABULARY, SIDE)) * 2 - 1
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their rows of values."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(values, first, axis=0) if len(first) else values
+
+
+def neighbours(ids: np.ndarray, at: np.ndarray, near: np.ndarray, signs: np.ndarray) -> None:
+    """Add to near (ids, 3 * SIDE) the projections of what stands before, after and around each id of the texts."""
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    inside = np.flatnonzero(text[1:] == text[:-1])
+    pair, n = np.unique(ids[inside] * VOCABULARY + ids[inside + 1], return_counts=True)
+    a, b = pair // VOCABULARY, pair % VOCABULARY
+    own, sums = _summed(b, signs[a] * n[:, None])
+    near[own, :SIDE] += sums
+    own, sums = _summed(a, signs[b] * n[:, None])
+    near[own, SIDE : 2 * SIDE] += sums
+    pair, n = np.unique(text * VOCABULARY + ids, return_counts=True)
+    text, own = pair // VOCABULARY, pair % VOCABULARY
+    some, sums = _summed(text, signs[own] * n[:, None])
+    mean = np.rint(sums * (65536 / np.diff(at)[some])[:, None]).astype(np.int64)
+    own, sums = _summed(own, mean[np.searchsorted(some, text)] * n[:, None])
+    near[own, 2 * SIDE :] += sums
+
+
+def _training(batches: Iterator[pa.RecordBatch], size: int = PACK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of about ``size`` or more at once of the training rows of (doc_id, row, ids): ids, offsets, row numbers."""
+    held, rows, total = [], [], 0
     for batch in batches:
-        for blob, out in zip(batch.column("ids").to_pylist(), _held_out(batch.column(0).to_pylist()), strict=True):
-            if not out:
-                total += np.bincount(np.frombuffer(blob, "<u2"), minlength=VOCABULARY)
+        out = _held_out(batch.column("doc_id").to_pylist())
+        for blob, row, hidden in zip(batch.column("ids").to_pylist(), batch.column("row").to_pylist(), out.tolist(), strict=True):
+            if hidden:
+                continue
+            held.append(np.frombuffer(blob, "<u2"))
+            rows.append(row)
+            total += len(held[-1])
+            if total >= size:
+                yield np.concatenate(held).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) for x in held]))), np.array(rows)
+                held, rows, total = [], [], 0
+    if held:
+        yield np.concatenate(held).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) for x in held]))), np.array(rows)
+
+
+NEAR = [f"s{k}" for k in range(3 * SIDE)]
+
+
+def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count and neighbour sums of each id; the id -1 has the number of windows."""
+    total, near, signs, windows = np.zeros(VOCABULARY, np.int64), np.zeros((VOCABULARY, 3 * SIDE), np.int64), _signs(), 0
+    for ids, at, _ in _training(batches):
+        total += np.bincount(ids, minlength=VOCABULARY)
+        neighbours(ids, at, near, signs)
+        windows += int((-(-np.diff(at) // WINDOW)).sum())
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["id", "n"])
+    n = pa.array(np.append(total[some], windows))
+    sums = [pa.array(np.append(near[some, k], 0)) for k in range(3 * SIDE)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), n, *sums], ["id", "n", *NEAR])
 
 
 class Model:
     """One causal attention layer with a residual over embeddings of ids and places."""
 
-    def __init__(self, counts: np.ndarray, texts: list[np.ndarray]):
+    def __init__(self, counts: np.ndarray, texts: list[np.ndarray], near: np.ndarray | None = None):
+        """Counts of all ids and their neighbour sums; where these are not given, those of ``texts``."""
         mass = counts + 1.0
         order = np.argsort(-mass, kind="stable")
-        self.label = self._classes(mass, order, texts)
+        if near is None:
+            near, signs = np.zeros((len(mass), 3 * SIDE), np.int64), _signs()
+            for ids in texts:
+                neighbours(ids, np.array([0, len(ids)]), near, signs)
+        self.label = self._classes(mass, order, near)
         within = np.bincount(self.label, weights=mass, minlength=CLASSES)
         self.log_within = np.log(mass / within[self.label]).astype(np.float32)
         self.row = OWN_ROWS + self.label
         self.row[order[:OWN_ROWS]] = np.arange(min(OWN_ROWS, len(order)))
         self.start = OWN_ROWS + CLASSES
-        empty = within == 0
+        self.empty = within == 0
         rng = np.random.default_rng(SEED)
         draw = lambda *shape, scale=0.1: (rng.standard_normal(shape) * scale).astype(np.float32)
         self.w = {"E": draw(self.start + 1, DIM), "P": draw(WINDOW, DIM), "Q": draw(DIM, DIM, scale=0.25), "K": draw(DIM, DIM, scale=0.25)}
         self.w |= {"V": draw(DIM, DIM, scale=0.25), "O": draw(DIM, DIM, scale=0.25), "U": draw(DIM, CLASSES), "b": np.zeros(CLASSES, np.float32)}
-        self.w["b"][empty] = -1e9
+        self.w["b"][self.empty] = -1e9
 
     @staticmethod
-    def _classes(mass: np.ndarray, order: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
-        """Classes of ids with like neighbours: k-means of random projections of what stands before, after and around an id.
+    def _classes(mass: np.ndarray, order: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Classes of ids with like neighbours: k-means of the projections of what stands before, after and around an id.
 
-        The most frequent ids are classes of their own, ids that the sample lacks share one.
+        The most frequent ids are classes of their own, ids that no training document has share one.
         """
-        rng = np.random.default_rng(SEED)
-        own, size = CLASSES // 4, 24
+        own, size = CLASSES // 4, SIDE
         label = np.full(len(mass), CLASSES - 1)
         label[order[:own]] = np.arange(own)
-        project = rng.standard_normal((len(mass), size)).astype(np.float32)
-        near = np.zeros((len(mass), 3 * size), np.float32)
-        for ids in texts:
-            np.add.at(near[:, :size], ids[1:], project[ids[:-1]])
-            np.add.at(near[:, size : 2 * size], ids[:-1], project[ids[1:]])
-            np.add.at(near[:, 2 * size :], ids, project[ids].mean(axis=0))
+        near = sums.astype(np.float32)
         for k in range(3):
             part = near[:, k * size : (k + 1) * size]
             part /= np.linalg.norm(part, axis=1, keepdims=True) + 1e-9
@@ -149,40 +213,61 @@ class Model:
         label[rest] = own + nearest
         return label
 
-    def inputs(self, ids: np.ndarray) -> np.ndarray:
-        """Embedding row that stands before each id of a text."""
-        return np.concatenate(([self.start], self.row[ids[:-1]]))
+    def windows(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embedding rows that stand before the ids of each window of the texts, and the ids' classes; -1 beyond a text's end."""
+        n = np.diff(at)
+        count = -(-n // WINDOW)
+        text = np.repeat(np.arange(len(n)), count)
+        first = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+        before = np.empty(len(ids), np.int32)
+        before[1:] = self.row[ids[:-1]]
+        before[at[:-1][n > 0]] = self.start
+        place = first[:, None] + np.arange(WINDOW)
+        inside = place < n[text][:, None]
+        where = np.where(inside, at[text][:, None] + place, 0)
+        return np.where(inside, before[where], self.start).astype(np.int32), np.where(inside, self.label[ids[where]], -1).astype(np.int32)
 
     def fit(self, texts: list[np.ndarray]) -> list[float]:
-        """Adam on all windows of the texts; mean loss of each epoch."""
-        x, y = [], []
-        for ids in texts:
-            a, b = self.inputs(ids), self.label[ids]
-            for i in range(0, len(ids) - WINDOW + 1, WINDOW):
-                x.append(a[i : i + WINDOW])
-                y.append(b[i : i + WINDOW])
-        if not x:
+        """EPOCHS passes over all windows of the texts; mean loss of each."""
+        if not (texts := [t for t in texts if len(t)]):
             return []
-        x, y = np.stack(x), np.stack(y)
-        rng = np.random.default_rng(SEED)
-        first = {k: np.zeros_like(v) for k, v in self.w.items()}
-        second = {k: np.zeros_like(v) for k, v in self.w.items()}
-        step, losses = 0, []
-        for _ in range(EPOCHS):
-            order, total = rng.permutation(len(x)), 0.0
-            for i in range(0, len(order), 128):
-                loss, grad = self._gradient(x[order[i : i + 128]], y[order[i : i + 128]])
-                total += loss * len(order[i : i + 128])
-                step += 1
-                for k, g in grad.items():
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.001 * (g * g - second[k])
-                    self.w[k] -= 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-            losses.append(total / len(order))
-        return losses
+        x, y = self.windows(np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+        moments: dict = {}
+        return [self.descend(x, y, epoch, moments) / len(x) for epoch in range(EPOCHS)]
+
+    def descend(self, x: np.ndarray, y: np.ndarray, salt: int, moments: dict) -> float:
+        """Adam on the windows in an order that they and the salt alone give; sum of their losses."""
+        odd = np.random.default_rng(SEED).integers(0, 1 << 63, 2 * WINDOW).astype(np.uint64) | np.uint64(1)
+        key = x.astype(np.uint64) @ odd[:WINDOW] + y.astype(np.uint64) @ odd[WINDOW:]
+        order, total = np.argsort(mix(key + np.uint64(salt)), kind="stable"), 0.0
+        if not moments:
+            moments |= {"step": 0, "first": {k: np.zeros_like(v) for k, v in self.w.items()}, "second": {k: np.zeros_like(v) for k, v in self.w.items()}}
+        first, second = moments["first"], moments["second"]
+        for i in range(0, len(order), 128):
+            loss, grad = self._gradient(x[order[i : i + 128]], y[order[i : i + 128]])
+            total += loss * len(order[i : i + 128])
+            moments["step"] += 1
+            step = moments["step"]
+            for k, g in grad.items():
+                first[k] += 0.1 * (g - first[k])
+                second[k] += 0.001 * (g * g - second[k])
+                self.w[k] -= 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+        return total
+
+    def flat(self) -> np.ndarray:
+        """All weights in one array of whole multiples of 1 / FIXED."""
+        return np.rint(np.clip(np.concatenate([self.w[k].reshape(-1) for k in sorted(self.w)]).astype(float), -64, 64) * FIXED).astype(np.int64)
+
+    def unflat(self, weights: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.w):
+            self.w[k] = weights[at : at + self.w[k].size].astype(np.float32).reshape(self.w[k].shape)
+            at += self.w[k].size
+        self.w["b"][self.empty] = -1e9
 
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        w, n = self.w, x.size
+        w, inside = self.w, y >= 0
+        n, y = inside.sum(), np.maximum(y, 0)
         e = w["E"][x] + w["P"]
         q, k, v = e @ w["Q"], e @ w["K"], e @ w["V"]
         s = q @ k.transpose(0, 2, 1) / np.float32(DIM**0.5) + np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
@@ -197,7 +282,7 @@ class Model:
         right = np.take_along_axis(p, y[..., None], 2)[..., 0]
         dz = p
         np.put_along_axis(dz, y[..., None], (right - 1)[..., None], 2)
-        dz = dz / np.float32(n)
+        dz = dz * (inside / np.float32(n))[..., None].astype(np.float32)
         flat = lambda m: m.reshape(-1, m.shape[-1])
         g = {"U": flat(h).T @ flat(dz), "b": flat(dz).sum(axis=0)}
         dh = dz @ w["U"].T
@@ -212,7 +297,7 @@ class Model:
         g["P"] = de.sum(axis=0)
         g["E"] = np.zeros_like(w["E"])
         np.add.at(g["E"], x.reshape(-1), flat(de))
-        return float(-np.log(np.maximum(right, 1e-30)).mean()), g
+        return float(-np.log(np.maximum(right[inside], 1e-30)).mean()), g
 
     def prepared(self) -> None:
         """Products of the embeddings that scoring looks up."""
@@ -261,19 +346,66 @@ class Model:
         return out
 
 
-def fitted(rows: DataFrame, path: str) -> Model:
-    """A model for ``rows`` (doc_id, text, ids): statistics of all, weights from the sample."""
-    counts = np.zeros(VOCABULARY, np.int64)
-    for r in rows.select("doc_id", "ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r["id"]] = r["n"]
-    train = rows.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2)
-    chosen = [r[0] for r in train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    sample = train.filter(F.col("doc_id").isin(chosen)).select(F.substring("text", 1, SAMPLE_CHARS).alias("t"), "doc_id").limit(2 * SAMPLE_DOCS)
-    texts = [r["t"] for r in sorted(sample.collect(), key=lambda r: (r["doc_id"], r["t"] or ""))]
-    end = np.array([END], "<u4").tobytes()
-    encoded = [np.frombuffer(b + end, "<u4").astype(np.int64) for b in Encoder(path).encode(texts)]
-    model = Model(counts, encoded)
-    model.fit(encoded)
+def _round(model: Model, number: int, rounds: int):
+    """Weights times windows of a task that trains on its windows of a round, and its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, ys, held, windows, moments = [], [], 0, 0, {}
+
+        def train() -> None:
+            nonlocal held, windows
+            if held:
+                model.descend(np.concatenate(xs), np.concatenate(ys), number, moments)
+                windows += held
+                xs.clear()
+                ys.clear()
+                held = 0
+
+        for ids, at, rows in _training(batches):
+            count = -(-np.diff(at) // WINDOW)
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(rows, count)
+            x, y = model.windows(ids, at)
+            own = nth % rounds == number % rounds
+            xs.append(x[own])
+            ys.append(y[own])
+            held += int(own.sum())
+            if held >= BLOCK:
+                train()
+        train()
+        if windows:
+            yield pa.RecordBatch.from_arrays([pa.array([windows]), pa.array([(model.flat() * windows).tobytes()], pa.binary())], ["windows", "sums"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    windows, sums = 0, 0
+    for batch in batches:
+        for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            windows, sums = windows + n, sums + np.frombuffer(blob, np.int64)
+    if windows:
+        yield pa.RecordBatch.from_arrays([pa.array([windows]), pa.array([sums.tobytes()], pa.binary())], ["windows", "sums"])
+
+
+def fitted(rows: DataFrame) -> Model:
+    """A model for ``rows`` (doc_id, row, ids): statistics and windows of all training rows."""
+    texts = rows.select("doc_id", "row", "ids")
+    schema = "id long, n long, " + ", ".join(f"{s} long" for s in NEAR)
+    counted = texts.mapInArrow(_count_ids, schema).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n", *NEAR)]).toArrow()
+    found, n = counted["id"].to_numpy(), counted["n"].to_numpy()
+    some, windows = found >= 0, int(n[found < 0].sum())
+    counts, near = np.zeros(VOCABULARY, np.int64), np.zeros((VOCABULARY, 3 * SIDE), np.int64)
+    counts[found[some]] = n[some]
+    for k, s in enumerate(NEAR):
+        near[found[some], k] = counted[s].to_numpy()[some]
+    model = Model(counts, [], near)
+    tasks = max(1, windows // TASK_WINDOWS)
+    rounds, passes = (ROUNDS if tasks > 1 else 1), min(EPOCHS, max(1, -(-LEAST_WINDOWS // max(1, windows))))
+    few = texts.coalesce(tasks)
+    for number in range(rounds * passes if windows else 0):
+        trained = few.mapInArrow(_round(model, number, rounds), "windows long, sums binary")
+        parts = trained.repartition(min(16, tasks)).mapInArrow(_added, "windows long, sums binary").collect()
+        model.unflat(sum(np.frombuffer(r["sums"], np.int64) for r in parts) / sum(r["windows"] for r in parts) / FIXED)
     model.prepared()
     return model
 
@@ -346,7 +478,7 @@ def language_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     counts = rewritten(counted.filter("c > 0"), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     hot = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HOT).collect()]
-    base, model = Base(hot, total, kinds), fitted(rows, path)
+    base, model = Base(hot, total, kinds), fitted(rows)
     # the written row number tells apart rows of one id
     cold = words.mapInArrow(_cold(base), "row long, word long, n int").join(counts, "word")
     more = cold.groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))

@@ -215,6 +215,34 @@ def test_cold_words_of_repeated_rows(docs, monkeypatch):
     assert ask() == want and all(n >= known for _, n, known, _ in want)
 
 
+def test_model_learns_from_all_training_documents(spark, monkeypatch):
+    """More documents than any sample had; short texts and the last words of long ones are trained on."""
+    docs = spark.createDataFrame([(i, f"start {i} " + ("alpha beta gamma delta " * (250 if i == 0 else 1)) + "end") for i in range(1500)], "doc_id long, text string").repartition(3)
+    encoded = docs.selectExpr("doc_id", "text", "monotonically_increasing_id() AS row").mapInArrow(
+        attention_lm._encoded(attention_lm.default_tokenizer()), "doc_id long, text string, row long, ids binary"
+    ).cache()
+    made = []
+    monkeypatch.setattr(attention_lm, "Model", lambda *a, real=attention_lm.Model: made.append(a) or real(*a))
+    model = attention_lm.fitted(encoded)
+    rows = [np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in encoded.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
+    near = np.zeros((attention_lm.VOCABULARY, 3 * attention_lm.SIDE), np.int64)
+    for ids in rows:
+        attention_lm.neighbours(ids, np.array([0, len(ids)]), near, attention_lm._signs())
+    counts, _, got = made[0]
+    assert (counts == np.bincount(np.concatenate(rows), minlength=attention_lm.VOCABULARY)).all() and (got == near).all()
+    signs = attention_lm._signs()
+    assert all((near[x, : attention_lm.SIDE] == sum(signs[r[i - 1]] for r in rows for i in np.flatnonzero(r == x) if i)).all() for x in rows[1][2:5])
+    x, y = model.windows(np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows]))))
+    assert (y >= 0).sum() == sum(map(len, rows)) and (y[y >= 0] == model.label[np.concatenate(rows)]).all() and (x[:, 0] == model.start).sum() >= len(rows)
+    # every window is met once a pass, whatever the number of tasks and rounds
+    seen = []
+    for number in range(3):
+        seen += [r["windows"] for r in encoded.select("doc_id", "row", "ids").mapInArrow(attention_lm._round(model, number, 3), "windows long, sums binary").collect()]
+    assert sum(seen) == len(x)
+    ends = np.mean([model.score(r, np.array([0, len(r)]))[0] / len(r) for r in rows])
+    assert ends > -3.5
+
+
 def test_model_is_a_causal_distribution():
     rng = np.random.default_rng(2)
     texts = [np.tile([5, 6, 7, 8], 30) for _ in range(20)]
