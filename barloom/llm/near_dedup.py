@@ -1,7 +1,8 @@
 """Near-duplicate classes by ProbMinHash.
 
-A text is the weighted set of its five-word shingles; n occurrences weigh
-1 + ln n. Each element is a Poisson process of that rate whose arrivals fall into random slots
+A text is the set of its five-word shingles, which weigh the same however often they occur:
+the verdict is on the plain similarity, so the candidates must be too. Each element is a
+Poisson process (n occurrences given to ``signatures`` make the rate 1 + ln n) whose arrivals fall into random slots
 of the signature; a slot keeps the element of its first arrival, and an element
 stops once its next arrival comes after the latest first arrival of all slots.
 Two signatures agree in a slot with the probability Jaccard similarity of the
@@ -98,8 +99,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for rows, data, at in chunks(batches):
-        shingles, counts, begin = shingle_sets(data, at)
-        sig = signatures(shingles, counts, begin)
+        shingles, _, begin = shingle_sets(data, at)
+        sig = signatures(shingles, np.ones(len(shingles), np.int64), begin)
         some = np.diff(begin) > 0
         band = np.zeros((len(some), BANDS), np.uint64)
         for k in range(BANDS):

@@ -117,6 +117,16 @@ def test_near_duplicates(docs, none, spark):
     assert {r["class_id"] for r in near_dedup.near_duplicates(chain).collect()} == {0}
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    """A quarter of one text of each pair is repeated: the sets stay alike, the counts do not."""
+    rows = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(204)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:50] * 400 + words + [f"own{k}x{i}" for i in range(20)]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     one = rng.integers(0, 2**63, 500).astype(np.uint64)
