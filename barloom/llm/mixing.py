@@ -11,7 +11,8 @@ most one document.
 
 Defined results: a null source is a source of its own, ranked last; a document
 without words takes nothing; repeated rows are separate documents with one draw
-each; empty input gives no rows. Draws hash the ids and SEED: reruns agree.
+each; empty input gives no rows. Draws hash the ids, texts, SEED and a number that tells
+equal rows apart: reruns agree, and no id, null or repeated, fills a chunk by itself.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.native import let, n_words
+from barloom.llm.storage import rewritten
 
 SHARE, WEIGHTS, MOST, SEED = 1.5, (5, 2, 1), 2.0, 20240229
 #: Documents to a chunk, and levels of the tree: FAN ** LEVELS documents of a source end in one rounding.
@@ -80,16 +82,36 @@ def _pair(acc: Column, x: Column) -> Column:
     return F.when(acc["c"].isNull(), F.struct(x.alias("c"), acc["out"].alias("out"))).otherwise(result)
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """The rows with k, a hash of h and of the number of the row among those of its h, from partition counts and offsets."""
+    sizes = sizes.withColumn("part", F.shiftright("_row", 33))
+    counts = sizes.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("h", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    nth = F.row_number().over(Window.partitionBy("h", "part").orderBy("_row"))
+    numbered = sizes.withColumn("nth", nth).join(offsets, ["h", "part"])
+    return numbered.withColumn("k", F.xxhash64(F.lit(SEED), "h", F.col("nth") + F.col("offset"))).drop("h", "part", "nth", "offset")
+
+
+def _sizes(docs: DataFrame, row: Column, seed_columns: tuple[str, ...]) -> DataFrame:
+    own = F.xxhash64(F.lit(SEED), *seed_columns, F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), own.alias("h"), row.alias("_row"))
+
+
 def copies(docs: DataFrame, seed_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (long) for each row of ``docs``."""
-    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(SEED), *seed_columns).alias("k"))
+    return _drawn(rewritten(_sizes(docs, F.monotonically_increasing_id(), seed_columns), "sizes")).drop("_row")
+
+
+def _drawn(sizes: DataFrame) -> DataFrame:
+    sizes = rewritten(_numbered(sizes), "numbered")
     plan = targets(sizes).withColumnRenamed("source", "_s")
     rows = sizes.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(wanted + _EPS).cast("double")
     part = F.when((F.col("size") > 0) & (wanted - whole > _EPS), wanted - whole).otherwise(F.lit(0.0))
     unit = F.struct(
-        "k", "doc_id", "source", F.col("size").cast("double").alias("size"), part.alias("p"), whole.alias("whole"), "source_size", "target"
+        "k", "doc_id", "source", F.col("size").cast("double").alias("size"), part.alias("p"), whole.alias("whole"), "source_size", "target", "_row"
     )
     chunks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / F.lit(FAN)).cast("long"))
     units = rows.select(unit.alias("u"), F.pmod(F.shiftrightunsigned("k", 3), chunks).alias("chunk"))
@@ -99,7 +121,7 @@ def copies(docs: DataFrame, seed_columns: tuple[str, ...] = ("doc_id",)) -> Data
         gathered = todo.groupBy(F.col("u.source").alias("s"), "chunk").agg(F.array_sort(F.collect_list("u")).alias("us"))
         first = F.get("us", F.lit(0))
         start = F.struct(F.when(F.lit(False), first).alias("c"), F.filter("us", lambda _: F.lit(False)).alias("out"))
-        folded = gathered.select("chunk", F.aggregate("us", start, _pair).alias("f"))
+        folded = rewritten(gathered.select("chunk", F.aggregate("us", start, _pair).alias("f")), "folded")
         done.append(folded.select(F.explode("f.out").alias("u")))
         todo = folded.filter("f.c IS NOT NULL").select(F.col("f.c").alias("u"), F.floor(F.col("chunk") / FAN).cast("long").alias("chunk"))
     last = F.when(_uniform(F.col("u.k"), F.lit(-1)) < F.col("u.p"), F.lit(1.0)).otherwise(F.lit(0.0))
@@ -109,18 +131,16 @@ def copies(docs: DataFrame, seed_columns: tuple[str, ...] = ("doc_id",)) -> Data
         out = out.unionByName(more)
     return out.select(
         "u.doc_id", "u.source", F.col("u.size").cast("long").alias("size"), "u.source_size", "u.target",
-        (F.col("u.whole") + F.col("u.p")).cast("long").alias("copies"),
+        (F.col("u.whole") + F.col("u.p")).cast("long").alias("copies"), "u._row",
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    drawn = copies(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")).withColumnRenamed("doc_id", "_id")
+    rows = rewritten(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    drawn = _drawn(_sizes(rows, F.col("_row"), ("doc_id",))).select("_row", "copies").filter("copies > 0")
     names = [f"`{c}`" for c in docs.columns]
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(n_words(F.col("text"))))
-    rows = docs.withColumn("_nth", nth)
-    joined = rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.get("_copies", F.col("_nth") - 1).cast("int")))).select(*names)
+    return rows.join(drawn, "_row").withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*names)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,25 @@ def test_mixing(docs, none, real):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in mixing.copies(docs).collect())
 
 
+def test_mixing_of_rows_that_share_an_id(spark):
+    """Null ids and one repeated id: chunks stay small, draws do not depend on partitions, rows keep their own draw."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"a b {'c ' * (i % 5)} {i // 20}", "st"[i % 2]) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = mixing._sizes(frame.repartition(5), mixing.F.monotonically_increasing_id(), ("doc_id",))
+    keys = [r["k"] for r in mixing._numbered(sizes).collect()]
+    assert len(set(keys)) == len(rows)
+    chunks = collections.Counter((k % (1 << 64) >> 3) % (6000 // mixing.FAN) for k in keys)
+    assert max(chunks.values()) < 2 * mixing.FAN
+    key = lambda r: tuple((x is not None, x) for x in r)
+    drawn = sorted((r for r in mixing.copies(frame).collect()), key=key)
+    assert drawn == sorted((r for r in mixing.copies(frame.repartition(7)).collect()), key=key) and len(drawn) == len(rows)
+    taken = collections.Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in mixing.mixed(frame).collect())
+    want = collections.Counter()
+    for r in drawn:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert taken == +want
+
+
 def test_decontamination(spark, docs, none):
     long = " ".join(f"w{i}" for i in range(40))
     items = spark.createDataFrame([(1, "jumps over the lazy dog and runs far away"), (2, long), (3, None), (None, long), (4, "two words")], "item_id long, text string")
