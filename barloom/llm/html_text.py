@@ -41,6 +41,8 @@ _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SILENT = frozenset("script style noscript template svg math head iframe object canvas audio video select option textarea button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What an open head may hold; any other start tag, or text, ends it.
+HEAD = frozenset("html head title meta link base basefont bgsound noframes script style noscript template".split())
 ENDS = {"p": "p", "li": "li", "tr": "tr", "td": "td", "th": "th", "dt": "dt", "dd": "dd", "option": "option"}
 CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -67,6 +69,8 @@ def blocks(html: str) -> list[tuple[str, str]]:
     for m in _TAG.finditer(html):
         if m.start() < pos:
             continue
+        if m.start() > pos and stack and stack[-1][0] == "head" and html[pos : m.start()].strip(" \t\n\f\r"):
+            pop(len(stack) - 1)
         if m.start() > pos and not silent:
             if not held:
                 path = "/".join([x[1] for x in stack if x[1]])
@@ -76,6 +80,11 @@ def blocks(html: str) -> list[tuple[str, str]]:
         if not name:
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if not closing and stack and stack[-1][0] == "head":
+            if name in ("html", "head"):
+                continue
+            if name not in HEAD:
+                pop(len(stack) - 1)
         if name not in INLINE:
             flush()
         elif name in ("br", "img", "wbr"):
@@ -109,6 +118,8 @@ def blocks(html: str) -> list[tuple[str, str]]:
             step += "".join(f" {w}" for w in re.split(r"[^a-z]+", (a or b or c).lower()) if w) if key else ""
         stack.append((name, step))
         silent += name in SILENT
+    if stack and stack[-1][0] == "head" and html[pos:].strip(" \t\n\f\r"):
+        pop(len(stack) - 1)
     if not silent and pos < len(html):
         if not held:
             path = "/".join([x[1] for x in stack if x[1]])

@@ -329,6 +329,13 @@ def test_blocks_of_broken_html():
     assert [t for _, t in html_text.blocks(page)] == ["a", "b", "x & y z", "w", "q", "end"]
 
 
+def test_blocks_of_an_open_head():
+    texts = lambda page: [t for _, t in html_text.blocks(page)]
+    assert texts("<html><head><title>x</title><meta charset=utf-8>\n<link href=a><p>one<p>two") == ["one", "two"]
+    assert texts("<head><style>a</style><template><p>no</p></template>one <b>two</b><p>three") == ["one two", "three"]
+    assert texts("<head><title>x</title>only text") == ["only text"] and texts("<head><title>x</title> </head> <body><p>one") == ["one"]
+
+
 def test_html_text(spark):
     page = "<body><nav><a>menu</a></nav><div class='ad'>buy this</div><article><h1>Title here</h1><p>One two three four. Five.</p><p>Six seven, eight.</p></article><footer>foot</footer>"
     pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (3, "v", ""), (None, "w", page)], "page_id long, url string, html string")
