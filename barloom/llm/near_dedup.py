@@ -9,30 +9,29 @@ Two signatures agree in a slot with the probability Jaccard similarity of the
 sets. Signatures are banded; the texts of a band bucket are verified by the
 plain Jaccard similarity of their shingle sets, at least ``LEAST``.
 
-A bucket is not paired within itself. Round by round its most central texts are
-leaders (one, then ``LEADERS``) and all others of another class so far are compared with
-them. Those nearer than 1 - LEAST to a leader are linked to it. Jaccard distance is a metric,
-so among the others only texts whose distances to the leader differ by at most
-1 - LEAST can be linked to a linked one: only these are compared across, where the links
-so far leave them in different classes. Texts linked to no leader go to the next round,
-unless the rest of their bucket is one class.
+A bucket is not paired within itself. Shingles that only one text has bound what it can
+share: a text too far from all others leaves, and a pair that the bound excludes is not
+compared. The bucket's text with the fewest shingles of its own leads: all others are
+compared with it, and those that are linked to it are one class, which needs no more links
+inside. Texts of buckets that still hold several classes then meet by their rarest shingles
+(``rare_pairs``), which finds every link between classes that is left.
 
 Equal texts collapse before all this and come back at the end. Classes are the
 connected components of the links.
 
 Defined results: texts of fewer than five words (null and empty too) have no
 shingle; they are alike only if they are equal, a null equals an empty text.
-Rows with a null doc_id are left out; repeated ids share one row.
+Rows with a null doc_id are left out; repeated ids share one row, and a link of any of
+their texts is theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
@@ -42,8 +41,6 @@ from barloom.llm.text import LOWER, chunks, mix, slice_hashes, prefix, spans, wi
 WIDTH, LEAST = 5, 0.8
 #: A pair of similarity LEAST shares no band with probability (1 - 0.8 ** 7) ** 44 = 3e-5.
 BANDS, ROWS = 44, 7
-#: Leaders of a bucket in each round, the last number in all later ones.
-LEADERS = (1, 4, 16, 256)
 SLOTS = BANDS * ROWS
 
 
@@ -125,6 +122,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def partners(sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """id, n, own, most for each text that may be linked to another one.
+
+    n: its shingles; own: those that no other text here has; most: the largest partner that is still possible.
+    Of the shingles of two texts, n and m, linked ones share (n + m) * least / (1 + least) or more, and n - own at most.
+    """
+    held = sets.select("key", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("key"))
+    own = held.filter("texts = 1").groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+    sized = sets.select("id", "key", F.size("set").cast("long").alias("n")).join(own, "key", "left").drop("key").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    most = (F.col("n") - F.col("own")) * ((1 + least) / least) - F.col("n") + 1e-6
+    return sized.withColumn("most", most).filter(F.col("most") >= least * F.col("n") - 1e-6)
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with their similarity."""
     a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
@@ -133,45 +143,61 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select(*rest, (both / (F.size("sa") + F.size("sb") - both)).alias("sim"))
 
 
-def links(buckets: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """a, b: links that leave no two texts of similarity >= least in a common bucket in different classes.
+def rare_pairs(texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """a, la, b, lb: all pairs of texts (id, key, set, label) of several classes that can have a similarity >= least.
 
-    A bucket's first leader is the text that meets most others in all its buckets: around a
-    text with many variants that is the text itself. Texts already in one class are not compared.
+    Shingles are ranked by the texts that hold them, rarest first. Two texts that are alike share one of the first
+    n - ceil(least * n) + 1 of each, and behind their first common one enough must be left in both. A shingle's texts of
+    its most frequent class are only met by the texts of its other classes.
     """
-    found, apart, step = [], 1 - least + 1e-9, 0
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    weights = buckets.join(sizes, "bucket").groupBy("id").agg(F.sum("n").alias("weight"))
-    buckets = rewritten(buckets.join(weights, "id").select("bucket", "id", "weight", F.col("id").alias("label")), "weighed")
-    while True:
-        first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "id")
-        leaders = buckets.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= LEADERS[min(step, len(LEADERS) - 1)])
-        leaders = rewritten(leaders.select("bucket", F.col("id").alias("a"), F.col("weight").alias("wa"), F.col("label").alias("la")), "leaders")
-        after = (F.col("weight") < F.col("wa")) | ((F.col("weight") == F.col("wa")) & (F.col("id") > F.col("a")))
-        starred = buckets.join(leaders, "bucket").filter(after & (F.col("label") != F.col("la"))).select("bucket", "a", F.col("id").alias("b"))
-        starred = rewritten(starred, "starred")
-        compared = rewritten(_compared(starred.select("a", "b").distinct(), sets), "compared")
-        found.append(compared.filter(F.col("sim") >= least).select("a", "b"))
-        if compared.filter(F.col("sim") < least).isEmpty():
-            break
-        labels = rewritten(components(reduce(DataFrame.unionByName, found)), "labels")
-        near = compared.select("a", "b", (1 - F.col("sim")).alias("d")).filter(F.col("d") <= 2 * apart)
-        la, lb = labels.select(F.col("node").alias("a"), F.col("component").alias("la")), labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
-        near = near.join(la, "a", "left").join(lb, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
-        useful = near.filter((F.col("d") <= apart) | (F.col("la") != F.col("lb"))).select("a", "b", "d", "lb")
-        placed = rewritten(starred.join(useful, ["a", "b"]).select("bucket", "a", "b", "d", "lb"), "placed")
-        edge = placed.filter(F.col("d") > apart).select("bucket", "a", F.col("b").alias("y"), F.col("d").alias("dy"), F.col("lb").alias("ly"))
-        inner = placed.filter(F.col("d") <= apart).select("bucket", "a", F.col("b").alias("x"), F.col("d").alias("dx"), F.col("lb").alias("lx"))
-        crossed = inner.join(edge, ["bucket", "a"]).filter((F.col("dy") - F.col("dx") <= apart) & (F.col("lx") != F.col("ly")))
-        cross = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found.append(rewritten(_compared(cross, sets), "cross").filter(F.col("sim") >= least).select("a", "b"))
-        done = leaders.select("bucket", F.col("a").alias("id")).unionByName(placed.filter(F.col("d") <= apart).select("bucket", F.col("b").alias("id")))
-        lone = buckets.drop("label").join(done, ["bucket", "id"], "left_anti").join(labels, F.col("id") == F.col("node"), "left")
-        lone = rewritten(lone.select("bucket", "id", "weight", F.coalesce("component", "id").alias("label")), "lone")
-        mixed = lone.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        buckets = lone.join(mixed, "bucket", "left_semi")
-        step += 1
-    return reduce(DataFrame.unionByName, found).distinct()
+    held = rewritten(texts.select("id", "label", "key", F.explode("set").alias("shingle")), "held")
+    ranks = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"))
+    ranked = held.join(ranks, "shingle").groupBy("id", "label", "key").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("ranked"))
+    n = F.size("ranked")
+    first = F.slice("ranked", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+    placed = ranked.select("id", "label", "key", n.alias("n"), F.posexplode(first).alias("at", "r")).select("id", "label", "key", "n", "at", "r.shingle")
+    placed = rewritten(placed, "placed")
+    per = placed.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("rows"))
+    most = per.groupBy("shingle").agg(F.max(F.struct("rows", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    most = most.select("shingle", F.col("m.label").alias("most"))
+    open_ = rewritten(placed.join(most, "shingle"), "open")
+    a = open_.filter("label <> most").select("shingle", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    b = open_.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    alike = (F.col("la") != F.col("lb")) & (left >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
+    met = a.join(b, "shingle").filter(alike)
+    swap = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    return met.select(swap("a", "b").alias("a"), swap("la", "lb").alias("la"), swap("b", "a").alias("b"), swap("lb", "la").alias("lb")).distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links a, b between the classes of the pairs (a, la, b, lb) of similarity >= least."""
+    found = _compared(pairs, sets).filter(F.col("sim") >= least)
+    return rewritten(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+
+
+def classes(buckets: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """node, component: no two texts of similarity >= least in a common bucket are in different components.
+
+    Texts without a component are linked to none.
+    """
+    sized = rewritten(partners(sets, least), "sized")
+    live = buckets.join(sized, "id")
+    several = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("own", "id", "n", "most")).alias("m")).filter("texts > 1")
+    leaders = several.select("bucket", F.col("m.id").alias("a"), F.col("m.n").alias("na"), F.col("m.most").alias("ma"))
+    live = rewritten(live.join(leaders, "bucket"), "live")
+    fits = (F.col("n") <= F.col("ma")) & (F.col("na") <= F.col("most")) & (F.col("n") >= least * F.col("na")) & (F.col("na") >= least * F.col("n"))
+    led = live.filter((F.col("id") != F.col("a")) & fits).select("a", F.col("a").alias("la"), F.col("id").alias("b"), F.col("id").alias("lb")).distinct()
+    links = _linked(rewritten(led, "led"), sets, least)
+    found = rewritten(components(links), "components")
+    labelled = live.select("bucket", "id").join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    labelled = rewritten(labelled, "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    rest = labelled.join(mixed, "bucket", "left_semi").select("id", "label").distinct()
+    more = _linked(rewritten(rare_pairs(sets.join(rest, "id"), least), "rare"), sets, least)
+    if more.isEmpty():
+        return found
+    return components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -184,20 +210,18 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     buckets = kept.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     held = rewritten(buckets.join(shared, "bucket"), "buckets")
-    wanted = held.select(F.col("id").alias("_id")).distinct()
-    whole = rows.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    sets = rewritten(whole.select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets, "id long, set array<long>"), "sets")
-    found = rewritten(links(held, sets, least), "links")
-    classes = components(found)
+    wanted = held.select(F.col("id").alias("doc_id")).distinct()
+    whole = rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = whole.select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets, "id long, set array<long>").withColumn("key", F.monotonically_increasing_id())
+    sets = rewritten(sets.filter("size(set) > 0"), "sets")
     text_of = signed.select("doc_id", "same").join(kept.select("same", F.col("id").alias("text_id")), "same")
-    classed = text_of.join(classes, F.col("text_id") == F.col("node"), "left")
+    classed = text_of.join(classes(held, sets, least), F.col("text_id") == F.col("node"), "left")
     return classed.groupBy("doc_id").agg(F.min(F.coalesce("component", "text_id")).alias("class_id"), F.min("text_id").alias("text_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the first of their class; rows without an id stay."""
-    other = near_duplicates(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("_dup"))
-    return docs.join(other, F.col("doc_id") == F.col("_dup"), "left_anti")
+    return docs.join(near_duplicates(docs).filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

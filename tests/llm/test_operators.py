@@ -146,6 +146,73 @@ def test_near_duplicates_with_repeated_passages(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def shingled(text):
+    words = WORD.findall(lower(text))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def brute_classes(rows):
+    """Smallest id of each id's class, from all pairs."""
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [(i, t or "", shingled(t)) for i, t in rows]
+    for k, (i, t, a) in enumerate(sets):
+        for j, u, b in sets[:k]:
+            if t == u or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def test_near_duplicates_equal_all_pairs(real):
+    """The planted near copies of the smallest table; a pair just above 0.8 could be missed once in 30,000."""
+    want = brute_classes([(r["doc_id"], r["text"]) for r in real.collect()])
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(real).collect()} == want
+    assert len(set(want.values())) < len(want)
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """One text edited in many ways: some copies are linked to it, some only to one another, some to none."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    edits = [(int(rng.integers(0, 120)), f"e{k % 9}") for k in range(60)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 240):
+        words = base.copy()
+        for at, w in (edits[x] for x in rng.choice(60, rng.integers(1, 9), replace=False)):
+            words[at] = w
+        rows.append((k, " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and 1 < len(set(want.values())) < 200
+
+
+def test_rare_pairs_hold_all_links(spark):
+    rng = np.random.default_rng(4)
+    families = [rng.choice(60, rng.integers(5, 40), replace=False) for _ in range(12)]
+    rows = [(k, k, k // 3, sorted({*rng.permutation(families[k % 12])[rng.integers(0, 5) :].tolist(), int(rng.integers(0, 60))})) for k in range(150)]
+    found = near_dedup.rare_pairs(spark.createDataFrame(rows, "id long, key long, label long, set array<long>")).collect()
+    pairs = {(r["a"], r["b"]) for r in found}
+    alike = {(i, j) for i, _, x, a in rows for j, _, y, b in rows if i < j and x != y and 5 * len({*a} & {*b}) >= 4 * len({*a} | {*b})}
+    assert alike and alike <= pairs and len(pairs) == len(found) < 5000 and all(r["la"] == r["a"] // 3 and r["lb"] == r["b"] // 3 for r in found)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Null, empty and repeated ids; columns with the names that the operator uses."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, b + " x"), (3, a + " y"), (4, "c " + a[: len(a) // 2]), (None, a), (5, None), (6, "")]
+    docs = spark.createDataFrame([(*r, 0, 0, 0, 0) for r in rows], "doc_id long, text string, _dup int, id int, key int, bucket int")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+    kept = near_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 1, 4, 5]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     one = rng.integers(0, 2**63, 500).astype(np.uint64)
