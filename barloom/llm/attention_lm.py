@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.storage import rewritten, small_batches
 from barloom.llm.text import LOWER, chunks, mix, spans, word_hashes
-from barloom.llm.token_output import END, default_tokenizer, encoder_of
+from barloom.llm.token_output import default_tokenizer, encoder_of, with_ends
 
 HOT = 1 << 16
 VOCABULARY, OWN_ROWS, CLASSES, DIM = 49_408, 4_096, 96, 16
@@ -88,11 +88,11 @@ def _encoded(path: str):
     """The rows with the ids of their text, end id included, as little-endian unsigned 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(path), np.array([END], "<u2").tobytes()
-        for batch in batches:
-            for rows, _, _ in chunks([batch]):
-                blobs = [np.frombuffer(b, "<u4").astype("<u2").tobytes() + end for b in encoder.encode(rows.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(blobs, pa.binary())], ["doc_id", "text", "row", "ids"])
+        encoder = encoder_of(path)
+        for rows, data, at in chunks(batches):
+            ids, begin = with_ends(*encoder.encode(data, at))
+            blobs = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((begin * 2).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([*rows.columns, blobs], ["doc_id", "text", "row", "ids"])
 
     return run
 

@@ -277,15 +277,38 @@ def test_encoder_equals_the_library():
     texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(5000)]
     texts += ["<|endoftext|> a<|endoftext|>b", " \x1c ", "it's we'll I'LL don't.x a.'s", "", "x" * 5000]
     lib = Tokenizer.from_file(path)
-    want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert token_output.Encoder(path).encode(texts) == want
+    texts += ["aé9x,ÉÀß×÷ÿ 12.5a", "É" * 300, "<|startoftext|>", "a|b", "ˈa e\u0301 É'S", "\u2028x\u3000y", "Ŵ ŵ ½²"]
+    encoder = token_output.Encoder(path)
+    for size in (1, 7, len(texts)):
+        for i in range(0, len(texts), size)[:700]:
+            own = [t.encode() for t in texts[i : i + size]]
+            ids, at = encoder.encode(np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in own]))))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [lib.encode(t, add_special_tokens=False).ids for t in texts[i : i + size]]
+
+
+def test_encoder_forgets_and_goes_on(monkeypatch):
+    monkeypatch.setattr(token_output.Encoder, "MOST", 40)
+    monkeypatch.setattr(token_output.Known, "BITS", 10)
+    encoder, fresh = (token_output.Encoder(token_output.default_tokenizer()) for _ in range(2))
+    for k in range(30):
+        own = [f"word{i} x{k}y{i}, {'z' * i}".encode() for i in range(20)]
+        data, at = np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in own])))
+        fresh.known = token_output.Known()
+        assert [x.tolist() for x in encoder.encode(data, at)] == [x.tolist() for x in fresh.encode(data, at)]
 
 
 def test_repair_round_trip():
     rng = np.random.default_rng(5)
     ids = np.concatenate((np.zeros(999, int), rng.zipf(1.5, 30_000) % 500)).astype("<u4")
     rules, lengths, seq = token_output.repair(ids)
-    assert len(seq) < len(ids) and (token_output.expand(seq, rules) == ids).all()
+    assert len(seq) + 3 * len(rules) < len(ids) and (token_output.expand(seq, rules, lengths) == ids).all()
+    pairs = collections.Counter(zip(seq[::2].tolist(), seq[1::2].tolist(), strict=False))
+    assert max(pairs.values()) < 2 * token_output.REPAID and all((rules[k] < token_output.NEW + k).all() for k in range(len(rules)))
+    for odd in ([], [7], [7, 7], [7] * 5, [1, 2] * 9):
+        few = np.array(odd, "<u4")
+        rules, lengths, seq = token_output.repair(few)
+        assert token_output.expand(seq, rules, lengths).tolist() == odd
+    rules, lengths, seq = token_output.repair(ids)
     for a, b in ((0, 5), (990, 1010), (30_000, len(ids))):
         assert (token_output.decode(seq, rules, lengths, a, b) == ids[a:b]).all()
 
