@@ -15,9 +15,8 @@ Scoring reads every text whole: windows of ``WINDOW``
 ids overlap by ``CONTEXT``, so each id is scored once, with earlier ids to attend
 to, and windows of many texts share batched masked products.
 
-The base score needs the corpus count of each token. The ``HOT`` most frequent
-ones travel with the tasks (a bounded table); the rest, none of which can be more
-than 1 / HOT of all tokens, are joined by hash.
+The base score needs the corpus count of each token. The most frequent ones, at most ``HOT``,
+travel with the tasks; the rest are joined by hash.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is
 hashed as the empty text and is scored; repeated ids are scored row by row; if no
@@ -467,6 +466,18 @@ def _scored(base: Base, model: Model):
     return run
 
 
+def _least_hot(counts: DataFrame) -> int:
+    """The smallest count whose words and those of larger counts are at most HOT, by steps of a sixteenth of a power of two."""
+    steps = counts.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("words"))
+    found, held = 1 << 62, 0
+    for r in sorted(steps.collect(), reverse=True):
+        held += r["words"]
+        if held > HOT:
+            break
+        found = r["least"]
+    return found
+
+
 def language_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     small_batches(docs.sparkSession)
@@ -477,7 +488,8 @@ def language_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     counted = words.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
     counts = rewritten(counted.filter("c > 0"), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HOT).collect()]
+    least = _least_hot(counts)
+    hot = [(r["word"], r["c"]) for r in counts.filter(F.col("c") >= least).collect()]
     base, model = Base(hot, total, kinds), fitted(rows)
     # the written row number tells apart rows of one id
     cold = words.mapInArrow(_cold(base), "row long, word long, n int").join(counts, "word")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.native import let, window_hashes, words
+from barloom.llm.native import let, own_columns, window_hashes, words
 
 WIDTH, LEAST, EXACT_BELOW = 5, 0.8, 24
 #: Partitions by the power of two of the number of slots; the last takes all larger documents at full resolution.
@@ -87,8 +87,7 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item; a null doc_id stays."""
-    hit = contained(docs, items).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    return docs.join(contained(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*own_columns(docs))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

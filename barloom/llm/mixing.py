@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.native import let, n_words
+from barloom.llm.native import let, n_words, own_columns, unused
 from barloom.llm.storage import rewritten
 
 SHARE, WEIGHTS, MOST, SEED = 1.5, (5, 2, 1), 2.0, 20240229
@@ -137,10 +137,11 @@ def _drawn(sizes: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    rows = rewritten(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    drawn = _drawn(_sizes(rows, F.col("_row"), ("doc_id",))).select("_row", "copies").filter("copies > 0")
-    names = [f"`{c}`" for c in docs.columns]
-    return rows.join(drawn, "_row").withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    row, again = unused(docs, "row"), unused(docs, "again")
+    rows = rewritten(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    drawn = _drawn(_sizes(rows, F.col(row), ("doc_id",))).filter("copies > 0")
+    drawn = drawn.select(F.col("_row").alias(row), F.array_repeat(F.lit(1), F.col("copies").cast("int")).alias(again))
+    return rows.join(drawn, row).select(*own_columns(docs), F.explode(again).alias(again)).select(*own_columns(docs))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

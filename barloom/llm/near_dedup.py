@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
+from barloom.llm.native import own_columns
 from barloom.llm.storage import rewritten, small_batches
 from barloom.llm.text import LOWER, chunks, mix, slice_hashes, prefix, spans, windows
 
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the first of their class; rows without an id stay."""
-    return docs.join(near_duplicates(docs).filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(near_duplicates(docs).filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*own_columns(docs))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ are revisit records that refer to it and have no payload of their own.
 
 Defined results: a null html is an empty payload, empty payloads are equal; a
 null page_id is a record of its own and never the response of others; repeated
-ids give repeated records. An empty table gives an empty archive.
+ids give repeated records, each by its own payload. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -111,27 +111,24 @@ def archive_table(pages: DataFrame, least: int = 0) -> DataFrame:
     """The chunk rows of ``pages`` (page_id, url, html); payloads under ``least`` bytes are never revisits."""
     small_batches(pages.sparkSession)
     html = F.encode("html", "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
-    light = rows.filter(F.coalesce(F.length("html"), F.lit(0)) >= least).select(
-        F.col("page_id").alias("_id"), F.sha1(F.coalesce("html", F.lit(b""))).alias("_sha1")
-    )
-    first = light.groupBy("_sha1").agg(F.max("_id").alias("response"))
-    revisits = light.join(first, "_sha1").filter("_id < response").select("_id", "response").distinct()
-    ready = rows.join(revisits, F.col("page_id") == F.col("_id"), "left").select(
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(F.coalesce(html, F.lit(b""))).alias("hexed"))
+    light = rows.filter(F.coalesce(F.length("html"), F.lit(0)) >= least).select("page_id", "hexed")
+    first = light.groupBy("hexed").agg(F.max("page_id").alias("response"))
+    revisits = light.join(first, "hexed").filter("page_id < response").distinct()
+    ready = rows.join(revisits, ["page_id", "hexed"], "left").select(
         F.format_string("part-%05d.warc", F.spark_partition_id()).alias("archive"),
         F.monotonically_increasing_id().alias("record"),
         "page_id",
         "url",
         "html",
-        _sha1_base32(F.col("html")).alias("sha1"),
+        _base32(F.col("hexed")).alias("sha1"),
         "response",
     )
     return ready.mapInArrow(_write, SCHEMA)
 
 
-def _sha1_base32(payload):
-    """Base32 of the SHA-1 of a binary column: 5 bits a letter, 32 letters."""
-    hexed = F.sha1(F.coalesce(payload, F.lit(b"")))
+def _base32(hexed):
+    """Base32 of a column of 40 hexadecimal digits: 5 bits a letter, 32 letters."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     groups = [F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)]
     out = [F.substring(F.lit(letters), F.shiftright(g, s).bitwiseAND(31) + 1, F.lit(1)) for g in groups for s in (15, 10, 5, 0)]
