@@ -377,25 +377,50 @@ def test_model_is_a_causal_distribution():
     assert np.exp(first).sum() < 1.001
 
 
-def test_license_scan(docs, none, real):
+def test_license_scan(docs, none, real, spark):
     assert licenses.license_scan(none).count() == 0
-    for frame in (docs, real):
-        texts = [(r["doc_id"], r["text"]) for r in frame.collect()]
-        got = licenses.license_scan(frame).collect()
-        for (i, t), r in zip(texts, got, strict=True):
-            ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
-            hits = sorted((k, lab) for p, lab in licenses.PHRASES.items() for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split())
-            assert (r["doc_id"], r["n_words"], r["n_base"]) == (i, len(ws), len(hits))
-            assert (r["first_word"], r["last_word"]) == ((hits[0][0], hits[-1][0]) if hits else (None, None))
-            assert r["base_labels"] == ",".join(sorted({x for _, x in hits})) and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
-            assert 0 <= r["score"] <= 1
-
-
-def test_automaton_finds_longest_runs(spark):
-    text = "here: " + licenses.TEMPLATES["bsd"] + ". other words follow"
-    rows = spark.createDataFrame([(1, text), (2, text.replace("binary forms", "x y")), (3, "permission is hereby")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(rows).collect()}
-    assert got[1] == ("bsd", 1.0) and got[2][0] == "bsd" and 0.8 < got[2][1] < 1 and got[3] == ("", 0.0)
+    texts = [(r["doc_id"], r["text"]) for r in real.collect()]
+    got = licenses.op9_license_scan(spark, SF).collect()
+    texts += [(i, t) for i, t, _ in TEXTS]
+    got += [r for r in licenses.license_scan(docs).withColumn("base_labels", licenses.F.array_join("base", ",")).collect()]
+    for (i, t), r in zip(texts, got, strict=True):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        hits = sorted((k, lab) for p, lab in licenses.PHRASES.items() for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split())
+        assert (r["doc_id"], r["n_words"], r["n_base"]) == (i, len(ws), len(hits))
+        assert (r["first_word"], r["last_word"]) == ((hits[0][0], hits[-1][0]) if hits else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in hits}))
+        if "labels" in r:
+            assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 and (r["score"] == 1 or not hits)
+
+
+def test_matching_statistics():
+    """Against a search for every run in every template."""
+    rng = np.random.default_rng(6)
+    templates = [rng.integers(0, 3, n).tolist() for n in (1, 5, 9, 14)]
+    auto = licenses.Automaton(templates)
+    for _ in range(40):
+        stream = rng.integers(0, 4, 30).tolist()
+        for i, (length, state) in enumerate(auto.statistics(stream)):
+            held = [[(k, e) for k, t in enumerate(templates) for e in range(n, len(t) + 1) if t[e - n : e] == stream[i + 1 - n : i + 1]] for n in range(1, i + 2)]
+            want = sum(bool(x) for x in held)
+            assert length == want and (not want or sorted(auto.places[state]) == sorted(held[want - 1]))
+
+
+def test_license_spans(spark):
+    words = dict(licenses.TEMPLATES)  # the last text of each label
+    first = {label: next(t for x, t in licenses.TEMPLATES if x == label) for label in words}
+    half = words["bsd"].split()
+    texts = [
+        "here: " + first["bsd"] + ". other words follow", "x " + first["bsd"].replace("binary forms", "x y"), "permission is hereby",
+        f"a b {words['gpl']} c {words['mit']}", " ".join(w + (" odd" if i % 40 == 39 else "") for i, w in enumerate(half)), first["lgpl"],
+        " ".join(half[len(half) // 3 :]), None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["label"], s["first"], s["last"], s["coverage"]) for s in r["spans"] if s["coverage"] >= 0.5] for r in licenses.license_scan(rows).collect()}
+    n, m, g = len(first["bsd"].split()), len(words["mit"].split()), len(words["gpl"].split())
+    assert got[0] == [("bsd", 1, n, 1.0)] and [x[:3] for x in got[1]] == [("bsd", 1, n)] and 0.8 < got[1][0][3] < 1 and got[2] == got[7] == []
+    assert got[3] == [("gpl", 2, g + 1, 1.0), ("mit", g + 3, g + m + 2, 1.0)]
+    assert {x[0] for x in got[4]} == {"bsd"} and got[4][-1][2] > 150 and [x[0] for x in got[5]] == ["lgpl"] and [x[0] for x in got[6]] == ["bsd"]
 
 
 PAGES = [(1, "u", "<p>same</p>"), (2, "v", "<p>same</p>"), (3, None, None), (4, "w", ""), (5, "x\r\ny", "é" * 3_000_000), (None, "z", "<p>same</p>")]
