@@ -7,7 +7,7 @@ numpy reads the blocks of a page in order and labels each as article or not from
 all of them. Scripts, styles, form controls and the head hold no blocks.
 
 There are no labelled pages, so the network learns from at most ``SAMPLE_PAGES``
-pages of the table, labelled where semantic containers decide (article and main
+whole pages of the table, of ``SAMPLE_CHARS`` characters at most, labelled where semantic containers decide (article and main
 against nav, aside, footer, comments and so on), and from generated layouts whose
 labels are known and whose article is marked in other ways or not at all.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,12 @@ from barloom.llm.text import LOWER, spans, word_hashes
 SAMPLE_PAGES, SAMPLE_CHARS, MADE_PAGES = 192, 60_000, 640
 PATH, WORDS, SHAPE, HIDDEN, EPOCHS, SEED = 64, 12, 6, 16, 40, 11
 SIZE = PATH + WORDS + SHAPE
+#: Padded blocks to a batch of several pages, and steps whose inputs are projected at once.
+SLOTS, STRETCH = 1 << 14, 1 << 12
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
+#: The rest of a tag, with quoted values that may hold ">".
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements that do not end a block, that hold no text, that never close, and those that end an open one of their kind.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -43,48 +48,157 @@ SILENT = frozenset("script style noscript template svg math head iframe object c
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an open head may hold; any other start tag, or text, ends it.
 HEAD = frozenset("html head title meta link base basefont bgsound noframes script style noscript template".split())
+_RAW = {x: re.compile(rf"</{x}\b[^>]*>", re.I) for x in ("script", "style", "textarea", "noscript", "iframe", "title")}
 ENDS = {"p": "p", "li": "li", "tr": "tr", "td": "td", "th": "th", "dt": "dt", "dd": "dd", "option": "option"}
 CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-def blocks(html: str) -> list[tuple[str, str]]:
-    """(tag path, text) of each leaf block of a page."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []
-    held: list[str] = []
-    path, silent, pos = "", 0, 0
+#: Words of paths that mark what is no article, and what is.
+NOT_ARTICLE = frozenset(
+    "nav aside footer header form menu sidebar ad ads advert advertisement banner cookie consent notice comment comments reply share social related promo "
+    "breadcrumb breadcrumbs pagination widget newsletter subscribe popup modal copyright login search toolbar dialog".split()
+)
+ARTICLE = frozenset("article main".split())
+
+
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, lower-case name (empty for comments and the like), whether it closes, attributes of each tag, in one pass.
+
+    A tag whose quotes never close ends at the first ">", and so do all tags after it.
+    """
+    at, quoted = html.find("<"), True
+    while at >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(html)
+            yield at, end, "", False, ""
+        elif m := _NAME.match(html, at):
+            rest = _REST.match(html, m.end()) if quoted else None
+            quoted = rest is not None
+            end = rest.end() if rest else html.find(">", m.end()) + 1
+            if not end:
+                return
+            yield at, end, m[1].lower(), html[at + 1] == "/", html[m.end() : end - 1]
+        elif html[at + 1 : at + 2] in ("!", "?"):
+            end = html.find(">", at) + 1
+            if not end:
+                return
+            yield at, end, "", False, ""
+        else:
+            end = at + 1
+        at = html.find("<", end)
+
+
+class Node:
+    """An open element that shapes the path below it; what features and labels need of the path is kept from node to node."""
+
+    __slots__ = ("key", "up", "fresh", "words", "inner", "bad", "header", "aside")
+
+    def __init__(self, up: Node | None, words: tuple[str, ...], fresh: tuple[str, ...]):
+        self.key = hash((up.key if up else 0, words))
+        self.up, self.words, self.fresh = up, words, fresh
+        self.inner, self.bad, self.header, self.aside = (up.inner, up.bad, up.header, up.aside) if up else (False,) * 4
+        if self.inner:
+            self.header |= "header" in words
+            self.bad |= any(w in NOT_ARTICLE and w != "header" for w in words)
+        elif words and words[0] in ARTICLE:
+            self.inner, self.bad = True, self.aside
+        else:
+            self.aside |= bool(words) and words[0] in ("nav", "aside", "footer")
+
+    @property
+    def article(self) -> bool:
+        return self.inner and not self.bad and not (self.header and self.words[0] not in ("h1", "h2"))
+
+
+ROOT = Node(None, (), ())
+
+
+class Open:
+    """The open elements, with where each kind stands."""
+
+    SCOPES = ("ul", "ol", "table", "dl", "select")
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.nodes = [ROOT]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.words: Counter[str] = Counter()
+        self.silent = 0
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.silent += name in SILENT
+        if words:
+            fresh = tuple(w for w in dict.fromkeys(words) if not self.words[w])
+            self.words.update(words)
+            self.nodes.append(Node(self.nodes[-1], words, fresh))
+        else:
+            self.nodes.append(self.nodes[-1])
+
+    def pop(self, to: int) -> None:
+        while len(self.names) > to:
+            name, node = self.names.pop(), self.nodes.pop()
+            self.places[name].pop()
+            self.silent -= name in SILENT
+            if name not in INLINE:
+                self.blocks.pop()
+            if node is not self.nodes[-1]:
+                self.words.subtract(node.words)
+
+    def last(self, name: str) -> int:
+        return self.places[name][-1] if self.places.get(name) else -1
+
+    def end(self, name: str) -> None:
+        """Close an element that ``name`` ends: a paragraph with only inline elements open in it, others within their list or table."""
+        at = self.last(name)
+        if at >= 0 and (at == self.blocks[-1] if name == "p" else at > max(self.last(x) for x in self.SCOPES)):
+            self.pop(at)
+
+    def top(self) -> str:
+        return self.names[-1] if self.names else ""
+
+
+_SPACES = " \t\n\f\r"
+
+
+def blocks(html: str) -> list[tuple[Node, str]]:
+    """(node, text) of each leaf block of a page, in time that grows with its length alone."""
+    out: list[tuple[Node, str]] = []
+    opened, held, node, pos = Open(), [], ROOT, 0
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((path, text))
+                out.append((node, text))
             held.clear()
 
-    def pop(to: int) -> None:
-        nonlocal silent
-        silent -= sum(x[0] in SILENT for x in stack[to:])
-        del stack[to:]
+    def text_until(end: int) -> None:
+        nonlocal node
+        if end > pos and opened.top() == "head" and html[pos:end].strip(_SPACES):
+            opened.pop(len(opened.names) - 1)
+        if end > pos and not opened.silent:
+            if not held:
+                node = opened.nodes[-1]
+            held.append(html[pos:end])
 
-    for m in _TAG.finditer(html):
-        if m.start() < pos:
+    for start, end, name, closing, attributes in tags(html):
+        if start < pos:
             continue
-        if m.start() > pos and stack and stack[-1][0] == "head" and html[pos : m.start()].strip(" \t\n\f\r"):
-            pop(len(stack) - 1)
-        if m.start() > pos and not silent:
-            if not held:
-                path = "/".join([x[1] for x in stack if x[1]])
-            held.append(html[pos : m.start()])
-        pos = m.end()
-        name = m[2] or m[5]
+        text_until(start)
+        pos = end
         if not name:
             continue
-        name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if not closing and stack and stack[-1][0] == "head":
+        if not closing and opened.top() == "head":
             if name in ("html", "head"):
                 continue
             if name not in HEAD:
-                pop(len(stack) - 1)
+                opened.pop(len(opened.names) - 1)
         if name not in INLINE:
             flush()
         elif name in ("br", "img", "wbr"):
@@ -92,58 +206,64 @@ def blocks(html: str) -> list[tuple[str, str]]:
                 held.append(" ")
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if opened.last(name) >= 0:
+                opened.pop(opened.last(name))
             continue
         if name in CLOSE_P or name in ENDS:
-            ended = "p" if name in CLOSE_P else ENDS[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == ended:
-                    pop(i)
-                    break
-                if stack[i][0] not in INLINE and (ended == "p" or stack[i][0] in ("ul", "ol", "table", "dl", "select")):
-                    break
+            opened.end("p" if name in CLOSE_P else ENDS[name])
         if name == "body":
-            pop(0)
+            opened.pop(0)
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
-        if name in ("script", "style", "textarea", "noscript", "iframe", "title"):
-            end = re.compile(rf"</{name}\b[^>]*>|\Z", re.I).search(html, pos)
-            pos = end.end()
+        if name in _RAW:
+            found = _RAW[name].search(html, pos)
+            pos = found.end() if found else len(html)
             continue
-        step = "" if name in INLINE else name
-        for key, a, b, c in _MARK.findall(attributes) if attributes and step else ():
-            step += "".join(f" {w}" for w in re.split(r"[^a-z]+", (a or b or c).lower()) if w) if key else ""
-        stack.append((name, step))
-        silent += name in SILENT
-    if stack and stack[-1][0] == "head" and html[pos:].strip(" \t\n\f\r"):
-        pop(len(stack) - 1)
-    if not silent and pos < len(html):
-        if not held:
-            path = "/".join([x[1] for x in stack if x[1]])
-        held.append(html[pos:])
+        words = () if name in INLINE else (name,)
+        for _, a, b, c in _MARK.findall(attributes) if attributes and words else ():
+            words += tuple(w for w in re.split(r"[^a-z]+", (a or b or c).lower()) if w)
+        opened.push(name, words)
+    text_until(len(html))
     flush()
     return out
 
 
+def path_node(path: str) -> Node:
+    """The node of a path of steps, each an element and words of its class, id and role."""
+    opened = Open()
+    for step in path.split("/"):
+        opened.push(step.split()[0], tuple(step.split()))
+    return opened.nodes[-1]
+
+
 _PLANES = np.random.default_rng(SEED).standard_normal((4096, PATH)).astype(np.float32)
-_VECTORS: dict[str, np.ndarray] = {}
+_SUMS: dict[int, np.ndarray] = {ROOT.key: np.zeros(PATH, np.float32)}
+_VECTORS: dict[int, np.ndarray] = {}
+
 
+def _plane(word: str) -> np.ndarray:
+    return _PLANES[zlib.crc32(word.encode()) % 4096]
 
-def path_vector(path: str) -> np.ndarray:
+
+def path_vector(node: Node) -> np.ndarray:
     """Sum of random vectors of the hashed elements and words of the path, the last element apart."""
-    if (v := _VECTORS.get(path)) is None:
-        if len(_VECTORS) > 50_000:
+    if (v := _VECTORS.get(node.key)) is None:
+        if len(_SUMS) > 50_000:
+            _SUMS.clear()
             _VECTORS.clear()
-        steps = path.split("/")
-        names = {w for s in steps for w in s.split()} | {f"last:{w}" for w in steps[-1].split()}
-        v = _VECTORS[path] = np.tanh(sum((_PLANES[zlib.crc32(w.encode()) % 4096] for w in sorted(names)), np.zeros(PATH, np.float32)))
+            _SUMS[ROOT.key] = np.zeros(PATH, np.float32)
+        chain, at = [], node
+        while at.key not in _SUMS:
+            chain.append(at)
+            at = at.up
+        total = _SUMS[at.key]
+        for at in reversed(chain):
+            total = _SUMS[at.key] = sum((_plane(w) for w in at.fresh), total)
+        v = _VECTORS[node.key] = np.tanh(sum((_plane(f"last:{w}") for w in sorted(set(node.words))), total))
     return v
 
 
-def features(leaves: list[tuple[str, str]]) -> np.ndarray:
+def features(leaves: list[tuple[Node, str]]) -> np.ndarray:
     """Vectors of the blocks of a page: path, hashed words, shape."""
     out = np.zeros((len(leaves), SIZE), np.float32)
     texts = [text.encode() for _, text in leaves]
@@ -156,8 +276,8 @@ def features(leaves: list[tuple[str, str]]) -> np.ndarray:
     slot = (word_hashes(data, starts, ends) % np.uint64(WORDS)).astype(np.int64)
     bag = np.bincount(block * WORDS + slot, minlength=len(leaves) * WORDS).reshape(-1, WORDS)
     out[:, PATH : PATH + WORDS] = bag / (np.linalg.norm(bag, axis=1, keepdims=True) + 1e-6)
-    for i, (path, text) in enumerate(leaves):
-        out[i, :PATH] = path_vector(path)
+    for i, (node, text) in enumerate(leaves):
+        out[i, :PATH] = path_vector(node)
         words = max(1, int(n_words[i]))
         marks = text.count(".") + text.count(",")
         out[i, PATH + WORDS :] = (np.log1p(len(text)) / 8, words / (words + 20), marks / words, text[-1] in ".!?", i / len(leaves), 1.0)
@@ -179,11 +299,12 @@ class Labeller:
     def _run(self, x: np.ndarray, inside: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """States (time, pages, hidden) of one direction; x and inside are in its reading order."""
         steps, pages, _ = x.shape
-        pre = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
         h = c = np.zeros((pages, HIDDEN), np.float32)
         out = np.empty((steps, pages, HIDDEN), np.float32)
         for t in range(steps):
-            z = pre[t] + h @ self.w[f"h{d}"]
+            if t % STRETCH == 0:
+                pre = x[t : t + STRETCH] @ self.w[f"x{d}"] + self.w[f"c{d}"]
+            z = pre[t % STRETCH] + h @ self.w[f"h{d}"]
             gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
             i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
@@ -200,12 +321,13 @@ class Labeller:
     def scores(self, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
         forward = self._run(x, inside, "f")
         backward = self._run(x[::-1], inside[::-1], "b")[::-1]
-        return np.concatenate((forward, backward, x), axis=2) @ self.w["o"] + self.w["ob"]
+        o = self.w["o"]
+        return forward @ o[:HIDDEN] + backward @ o[HIDDEN : 2 * HIDDEN] + x @ o[2 * HIDDEN :] + self.w["ob"]
 
     def fit(self, pages: list[tuple[np.ndarray, np.ndarray]]) -> float:
         """Adam on batches of pages of like length; accuracy of the last epoch."""
         pages = sorted(pages, key=lambda p: len(p[1]))
-        batches = [padded(pages[i : i + 64]) for i in range(0, len(pages), 64)]
+        batches = [padded([pages[k] for k in own]) for own in dealt([len(p[1]) for p in pages], 64)]
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         step, right, total = 0, 0, 1
         for epoch in range(EPOCHS):
@@ -249,6 +371,16 @@ class Labeller:
         return grad, int((((z > 0) == (y > 0.5)) & inside).sum())
 
 
+def dealt(sizes: list[int], most: int) -> list[list[int]]:
+    """Numbers of the pages, shortest first, at most ``most`` to a batch and SLOTS padded blocks, or one page."""
+    out: list[list[int]] = []
+    for k in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if not out or len(out[-1]) >= most or sizes[k] * (len(out[-1]) + 1) > SLOTS:
+            out.append([])
+        out[-1].append(k)
+    return out
+
+
 def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     steps = max(len(y) for _, y in pages)
     x, y = np.zeros((steps, len(pages), SIZE), np.float32), np.zeros((steps, len(pages)), np.float32)
@@ -258,29 +390,14 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return x, inside, y
 
 
-#: Words of paths that mark what is no article, and what is.
-NOT_ARTICLE = frozenset(
-    "nav aside footer header form menu sidebar ad ads advert advertisement banner cookie consent notice comment comments reply share social related promo "
-    "breadcrumb breadcrumbs pagination widget newsletter subscribe popup modal copyright login search toolbar dialog".split()
-)
-ARTICLE = frozenset("article main".split())
+def semantic_labels(leaves: list[tuple[Node, str]]) -> np.ndarray | None:
+    """1 for article blocks, where the page has an article or main element; else None."""
+    if not any(node.inner for node, _ in leaves):
+        return None
+    return np.array([float(node.article) for node, _ in leaves])
 
 
-def semantic_labels(leaves: list[tuple[str, str]]) -> np.ndarray | None:
-    """1 for article blocks, where the page has an article or main element; else None."""
-    out, some = np.zeros(len(leaves)), False
-    for i, (path, _) in enumerate(leaves):
-        names = [s.split() for s in path.split("/") if s]
-        inner = next((k for k, s in enumerate(names) if s[0] in ARTICLE), None)
-        some |= inner is not None
-        bad = {w for k, s in enumerate(names) for w in s if inner is None or k > inner or s[0] in ("nav", "aside", "footer")} & NOT_ARTICLE
-        if inner is not None and "header" in bad and names[-1][0] in ("h1", "h2"):
-            bad = bad - {"header"}
-        out[i] = inner is not None and not bad
-    return out if some else None
-
-
-def made_pages(n: int = MADE_PAGES) -> list[tuple[list[tuple[str, str]], np.ndarray]]:
+def made_pages(n: int = MADE_PAGES) -> list[tuple[list[tuple[Node, str]], np.ndarray]]:
     """Layouts with known labels: (blocks, labels)."""
     rng = np.random.default_rng(SEED)
     letters = np.array(list("etaoinshrdlucmfwypvbgk"))
@@ -289,12 +406,12 @@ def made_pages(n: int = MADE_PAGES) -> list[tuple[list[tuple[str, str]], np.ndar
     pick = lambda *x: x[rng.integers(len(x))]
     pages = []
     for _ in range(n):
-        leaves: list[tuple[str, str]] = []
+        leaves: list[tuple[Node, str]] = []
         label: list[int] = []
 
         def add(path: str, low: int, high: int, good: int, times: int = 1, leaves: list = leaves, label: list = label) -> None:
             for _ in range(times):
-                leaves.append((path, say(low, high)))
+                leaves.append((path_node(path), say(low, high)))
                 label.append(good)
 
         root = pick("html/body", "html/body", "html/body/div wrapper", "html/body/div page", "html/body/div id container")
@@ -338,11 +455,12 @@ def made_pages(n: int = MADE_PAGES) -> list[tuple[list[tuple[str, str]], np.ndar
 
 def fitted(pages: DataFrame) -> Labeller:
     """A labeller from the sample of ``pages`` and the generated layouts."""
-    ids = [r[0] for r in pages.filter("html IS NOT NULL").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()]
-    rows = pages.filter(F.col("page_id").isin(ids)).select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(2 * SAMPLE_PAGES).collect()
+    small = pages.filter(F.length("html") <= SAMPLE_CHARS)
+    ids = [r[0] for r in small.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()]
+    rows = small.filter(F.col("page_id").isin(ids)).select("page_id", "html").limit(2 * SAMPLE_PAGES).collect()
     known = []
-    for r in sorted(rows, key=lambda r: (r["page_id"], r["html"] or "")):
-        leaves = blocks(r["html"] or "")[:80]
+    for r in sorted(rows, key=lambda r: (r["page_id"] or 0, r["html"])):
+        leaves = blocks(r["html"])
         labels = semantic_labels(leaves)
         if leaves and labels is not None:
             known.append((features(leaves), labels))
@@ -359,9 +477,9 @@ def _extract(model: Labeller):
                 rows = batch.slice(i, 128)
                 leaves = [blocks(h or "") for h in rows.column(2).to_pylist()]
                 texts = [""] * len(leaves)
-                order = sorted((k for k, x in enumerate(leaves) if x), key=lambda k: len(leaves[k]))
-                for j in range(0, len(order), 32):
-                    own = order[j : j + 32]
+                some = [k for k, x in enumerate(leaves) if x]
+                for batch_of in dealt([len(leaves[k]) for k in some], 32):
+                    own = [some[j] for j in batch_of]
                     x, inside, _ = padded([(features(leaves[k]), np.zeros(len(leaves[k]))) for k in own])
                     good = (model.scores(x, inside) > 0) & inside
                     for n, k in enumerate(own):

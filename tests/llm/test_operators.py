@@ -461,6 +461,62 @@ def test_blocks_of_an_open_head():
     assert texts("<head><title>x</title>only text") == ["only text"] and texts("<head><title>x</title> </head> <body><p>one") == ["one"]
 
 
+def test_blocks_equal_a_parser_of_the_library():
+    """Leaf texts of made pages, against html.parser with the same notion of a block."""
+    from html.parser import HTMLParser
+
+    class Leaves(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.held, self.quiet = [], "", 0
+
+        def cut(self):
+            if self.held.split():
+                self.out.append(" ".join(self.held.split()))
+            self.held = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.held += " "
+            elif tag not in html_text.INLINE:
+                self.cut()
+            self.quiet += tag in ("script", "button")
+
+        def handle_endtag(self, tag):
+            if tag not in html_text.INLINE:
+                self.cut()
+            self.quiet -= tag in ("script", "button")
+
+        def handle_data(self, data):
+            self.held += "" if self.quiet else data
+
+    rng = np.random.default_rng(9)
+    parts = ["<div class='x &gt; y'>", "</div>", "<p id=a>", "</p>", "<b>", "</b>", "text ", "a &amp; b &#233; ", "<br>", "<!-- no <p> -->", "<li>", "<ul>", "</ul>",
+             "<script>x < y; '<p>'</script>", "<button>go</button>", '<a title="1 > 0">', "</a>", "5 < 6 ", "<article>", "</article>", "\n\t", "</x>"]
+    for _ in range(300):
+        page = "<body>" + "".join(rng.choice(parts, rng.integers(1, 40)))
+        want = Leaves()
+        want.feed(page)
+        want.close()
+        want.cut()
+        assert [t for _, t in html_text.blocks(page)] == want.out
+
+
+def test_blocks_of_hostile_pages_in_linear_time():
+    import time
+
+    model, began = html_text.Labeller(), time.process_time()
+    many = 150_000
+    for page in ("<a " * many, "<div>x" * (many // 3), "<!" * many, "<a \"'>" * many, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<div>" * 40_000 + "</span>" * 40_000, "<p>x " * 100_000):
+        leaves = html_text.blocks(page)
+        if leaves:
+            x, inside, _ = html_text.padded([(html_text.features(leaves), np.zeros(len(leaves)))])
+            assert model.scores(x, inside).shape == (len(leaves), 1)
+    assert time.process_time() - began < 120
+    pieces = html_text.dealt([5, 40_000, 3, 4, 20_000], 2)
+    assert pieces == [[2, 3], [0], [4], [1]]
+
+
 def test_html_text(spark):
     page = "<body><nav><a>menu</a></nav><div class='ad'>buy this</div><article><h1>Title here</h1><p>One two three four. Five.</p><p>Six seven, eight.</p></article><footer>foot</footer>"
     pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (3, "v", ""), (None, "w", page)], "page_id long, url string, html string")
