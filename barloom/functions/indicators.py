@@ -92,9 +92,9 @@ def percentile_rank(x: Column, n: int) -> Column:
     return full((less + (same + 1) / 2) / n, x, n)
 
 
-def market_meanness(n: int) -> Column:
-    """Percent of steps that move back towards the window's median."""
-    held = F.collect_list(F.col("close")).over(back(n))
+def market_meanness(n: int, change: Column) -> Column:
+    """Percent of the changes in a window that are further from its median than the change before them, on the same side."""
+    held = F.collect_list(change).over(back(n))
     ordered = F.array_sort(held)
     middle = (F.get(ordered, F.lit((n - 1) // 2)) + F.get(ordered, F.lit(n // 2))) / 2
     near = lambda m: F.aggregate(
@@ -106,15 +106,24 @@ def market_meanness(n: int) -> Column:
         ).otherwise(0),
     )
     count = F.get(F.transform(F.array(middle), near), F.lit(0))
-    return full(100 * count / F.lit(n - 1), F.col("close"), n)
+    return full(100 * count / F.lit(n - 1), change, n)
 
 
 def break_signal(high: Column, low: Column) -> Column:
-    """1 or -1 where the close leaves the last bar's channel on one side; else null."""
-    up, down = F.col("close") > lag(high), F.col("close") < lag(low)
+    """1 or -1 where the bar reaches an edge of the last bar's channel, and only one; else null."""
+    up, down = F.col("high") >= lag(high), F.col("low") <= lag(low)
     return F.when(up & ~down, F.lit(1)).when(down & ~up, F.lit(-1))
 
 
+def stance_loss(held: Column, stance_: Column, move: Column, cost: Column, formed: Column) -> Column:
+    """Half of one less the payoff: the move (in ranges) of the stance held, less the cost of the sides traded, halved and clipped.
+
+    0.5 before the channel is formed or where the range is not known.
+    """
+    payoff = clip((held * move - cost * F.abs(stance_ - held)) / 2, -1, 1)
+    return F.when(formed, F.coalesce(0.5 * (1 - payoff), F.lit(0.5))).otherwise(F.lit(0.5))
+
+
 def stance(signal: Column, span: int) -> Column:
     """The last break of the past ``span`` bars, 0 without one."""
     return F.coalesce(F.last(signal, ignorenulls=True).over(back(span)), F.lit(0))

@@ -1,117 +1,27 @@
-"""Order simulation of channel-break trades: every trial of every asset in one ordered pass.
-
-Trials are lanes of numpy arrays, so a bar costs the same few vector operations
-for one trial or thousands; assets and shares of the trials run in parallel.
-
-Rules. Orders of bar i rest on what was known at bar i - 1. Flat lanes enter by a
-stop order at the n-bar channel edge: the fill is the worse of open and edge; a
-bar through both edges goes to the side its open has passed, else long. The stop
-lies ``k`` average true ranges behind the fill and, for trailing exits, follows
-the best close; a stop is looked at before a target, and an open beyond it fills
-at the open. A lane never enters on the bar it left. Size risks ``risk`` of
-equity to the stop. A position open at the end is marked at the last close.
-"""
+"""How much of a best trial is luck: cross-validation over halves and paths, bootstraps, deflated Sharpe ratios."""
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EXITS = ("channel", "atr_trail", "target_stop", "time_stop")
-RESULT = "asset string, trial_id int, final double, n_trades long, n_wins long, held long, max_dd double"
-
-
-def simulate(bars: pd.DataFrame, trials: pd.DataFrame, risk: float = 0.01, cost: float = 0.0005) -> pd.DataFrame:
-    """Final equity (from 1), trades, wins, bars held and worst drawdown of each trial (n, k, exit, limit)."""
-    o, h, l, c = (bars[x].to_numpy(float) for x in ("open", "high", "low", "close"))  # noqa: E741
-    before = np.concatenate(([np.nan], c[:-1]))
-    tr = np.fmax(h - l, np.fmax(np.abs(h - before), np.abs(l - before)))
-    spans = trials["n"].to_numpy(int)
-    bands = {}
-    for n in np.unique(spans):
-        s = pd.DataFrame({"h": h, "l": l, "t": tr}).rolling(int(n))
-        bands[n] = (s["h"].max().to_numpy(), s["l"].min().to_numpy(), s["t"].mean().to_numpy())
-    lane = {n: np.flatnonzero(spans == n) for n in bands}
-    k, limit, kind = trials["k"].to_numpy(float), trials["limit"].to_numpy(float), trials["exit"].to_numpy(str)
-    m = len(trials)
-    cash, units, side, stop, target = np.ones(m), np.zeros(m), np.zeros(m), np.zeros(m), np.full(m, np.nan)
-    entry_px, best, age = np.zeros(m), np.zeros(m), np.zeros(m, int)
-    n_trades, wins, held = np.zeros(m, int), np.zeros(m, int), np.zeros(m, int)
-    top, worst = np.ones(m), np.zeros(m)
-    hi, lo, atr = (np.full(m, np.nan) for _ in range(3))
-    for i in range(1, len(c)):
-        for n, at in lane.items():
-            hi[at], lo[at], atr[at] = bands[n][0][i - 1], bands[n][1][i - 1], bands[n][2][i - 1]
-        was = side != 0
-        middle = (hi + lo) / 2
-        level = np.where(kind == "channel", np.where(side > 0, np.fmax(stop, middle), np.fmin(stop, middle)), stop)
-        hit = was & np.where(side > 0, l[i] <= level, h[i] >= level)
-        fill = np.where(side > 0, np.fmin(o[i], level), np.fmax(o[i], level))
-        gain = was & ~hit & (kind == "target_stop") & np.where(side > 0, h[i] >= target, l[i] <= target)
-        fill = np.where(gain, np.where(side > 0, np.fmax(o[i], target), np.fmin(o[i], target)), fill)
-        late = was & ~hit & ~gain & (kind == "time_stop") & (age >= limit)
-        fill = np.where(late, o[i], fill)
-        out = hit | gain | late
-        pnl = units * side * (fill - entry_px) - cost * units * (fill + entry_px)
-        cash, wins = np.where(out, cash + pnl, cash), wins + (out & (pnl > 0))
-        side, units = np.where(out, 0, side), np.where(out, 0.0, units)
-        ready = ~was & ~np.isnan(atr) & (atr > 0) & (cash > 0)
-        up, down = ready & (h[i] > hi), ready & (l[i] < lo)
-        down &= ~up | ((o[i] < lo) & (o[i] <= hi))
-        up &= ~down
-        new = up | down
-        px = np.where(up, np.fmax(o[i], hi), np.fmin(o[i], lo))
-        way = np.where(up, 1.0, -1.0)
-        side, entry_px = np.where(new, way, side), np.where(new, px, entry_px)
-        units = np.where(new, cash * risk / np.where(new, k * atr, 1.0), units)
-        stop, target = np.where(new, px - way * k * atr, stop), np.where(new, px + way * limit * k * atr, target)
-        best, age = np.where(new, px, best), np.where(new, 0, age + 1)
-        n_trades = n_trades + new
-        open_now = side != 0
-        best = np.where(side > 0, np.fmax(best, c[i]), np.where(side < 0, np.fmin(best, c[i]), best))
-        trail = open_now & (kind == "atr_trail")
-        stop = np.where(trail, np.where(side > 0, np.fmax(stop, best - k * atr), np.fmin(stop, best + k * atr)), stop)
-        held = held + open_now
-        equity = cash + units * side * (c[i] - entry_px)
-        top = np.fmax(top, equity)
-        worst = np.fmin(worst, equity / top - 1)
-    final = cash + units * side * ((c[-1] if len(c) else 0.0) - entry_px)
-    return pd.DataFrame({"trial_id": trials["trial_id"].to_numpy(int), "final": final, "n_trades": n_trades, "n_wins": wins, "held": held, "max_dd": worst})
-
-
-def backtest(bars: DataFrame, trials: DataFrame, shares: int = 2) -> DataFrame:
-    """RESULT rows for each asset and trial (trial_id, n, k, exit, limit). A group is one asset and one share of the trials."""
-    columns = ["asset", "bar_idx", "open", "high", "low", "close"]
-    dealt = trials.withColumn("share", F.pmod(F.xxhash64("trial_id"), F.lit(shares)))
-    own = bars.select("asset").distinct().join(F.broadcast(dealt.select("share").distinct()))
-    left = bars.select(*columns).join(own, "asset")
-    right = own.select(F.col("asset").alias("t_asset"), F.col("share").alias("t_share")).join(dealt, F.col("t_share") == F.col("share")).drop("share")
-
-    def run(key: tuple, b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(b) or not len(t):
-            return pd.DataFrame(columns=["asset", "trial_id", "final", "n_trades", "n_wins", "held", "max_dd"])
-        got = simulate(b.sort_values("bar_idx"), t.sort_values("trial_id"))
-        got.insert(0, "asset", key[0])
-        return got
-
-    return left.groupBy("asset", "share").cogroup(right.groupBy("t_asset", "t_share")).applyInPandas(run, RESULT)
-
-
-def overfit_probability(blocks: DataFrame, n_blocks: int, key: str = "trial") -> DataFrame:
+
+def overfit_probability(blocks: DataFrame, n_blocks: int, key: str = "trial", family: str | None = None) -> DataFrame:
     """Symmetric cross-validation over all halves of the blocks: split_id, winner, logit of its out-of-sample rank.
 
-    ``blocks`` (key, block, n, s, s2) are sufficient statistics, one row a trial and block. The halves are numbered by bit masks; the best
-    Sharpe in a half is ranked in the other, ties counting half.
+    ``blocks`` (family, key, block, n, s, s2) are sufficient statistics, one row a trial and block. A half is its bit mask, which
+    is the split's id; there are as many as ways to choose half the blocks, whatever the bars. The best Sharpe in a half is
+    ranked in the other within its family, ties counting half.
     """
-    from itertools import combinations
-
-    halves = [sum(1 << b for b in c) for c in combinations(range(n_blocks), n_blocks // 2)]
-    spark = blocks.sparkSession
-    splits = spark.range(len(halves)).select(F.col("id").alias("split_id"), F.get(F.array(*map(F.lit, halves)), F.col("id").cast("int")).alias("mask"))
-    inside = F.expr("shiftright(mask, block) & 1") != 0
-    both = blocks.join(F.broadcast(splits)).groupBy("split_id", key).agg(
+    group = [family] if family else []
+    splits = blocks.sparkSession.range(1 << n_blocks).filter(F.bit_count("id") == n_blocks // 2).select(F.col("id").alias("split_id"))
+    inside = F.expr("shiftright(split_id, block) & 1") != 0
+    both = blocks.join(F.broadcast(splits)).groupBy(*group, "split_id", key).agg(
         *(F.sum(F.when(inside if part == "i" else ~inside, F.col(c))).alias(c + part) for part in "io" for c in ("n", "s", "s2"))
     )
 
@@ -120,13 +30,13 @@ def overfit_probability(blocks: DataFrame, n_blocks: int, key: str = "trial") ->
         var = (F.col(f"s2{p}") - F.col(f"n{p}") * mean * mean) / (F.col(f"n{p}") - 1)
         return F.when(var > 0, mean / F.sqrt(var)).otherwise(F.lit(0.0))
 
-    scored = both.select("split_id", F.col(key).alias("trial"), ratio("i").alias("inside"), ratio("o").alias("outside"))
-    best = scored.groupBy("split_id").agg(F.min(F.struct((-F.col("inside")).alias("x"), F.col("trial"), F.col("outside"))).alias("b"))
-    ranked = scored.join(best.select("split_id", F.col("b.trial").alias("winner"), F.col("b.outside").alias("level")), "split_id")
+    scored = both.select(*group, "split_id", F.col(key).alias("trial"), ratio("i").alias("inside"), ratio("o").alias("outside"))
+    best = scored.groupBy(*group, "split_id").agg(F.min(F.struct((-F.col("inside")).alias("x"), F.col("trial"), F.col("outside"))).alias("b"))
+    ranked = scored.join(best.select(*group, "split_id", F.col("b.trial").alias("winner"), F.col("b.outside").alias("level")), [*group, "split_id"])
     rank = F.sum((F.col("outside") < F.col("level")).cast("double")) + 0.5 * F.sum((F.col("outside") == F.col("level")).cast("double")) + 0.5
-    got = ranked.groupBy("split_id", "winner").agg(rank.alias("rank"), F.count(F.lit(1)).alias("n"))
+    got = ranked.groupBy(*group, "split_id", "winner").agg(rank.alias("rank"), F.count(F.lit(1)).alias("n"))
     share = F.col("rank") / (F.col("n") + 1)
-    return got.select("split_id", "winner", F.ln(share / (1 - share)).alias("logit"))
+    return got.select(*group, "split_id", "winner", F.ln(share / (1 - share)).alias("logit"))
 
 
 def tested_groups(spark: SparkSession, n_groups: int, n_test: int) -> DataFrame:
@@ -141,23 +51,49 @@ def tested_groups(spark: SparkSession, n_groups: int, n_test: int) -> DataFrame:
     return tested.select("mask", "block", path.alias("path"))
 
 
-def purged_paths(rets: DataFrame, n_groups: int = 8, n_test: int = 2, embargo: int = 10, key: str = "asset") -> DataFrame:
+def carried_until(trades: DataFrame, ends: DataFrame) -> DataFrame:
+    """key, block, until: the last bar that the trade open at each boundary's embargo end holds.
+
+    trades (key, entry_idx, exit_idx), ends (key, block, from_idx): the last trade entered before from_idx, if it leaves at or
+    after it. A trial holds one trade at a time, so the last entry is a maximum, not a search.
+    """
+    key = next(c for c in trades.columns if c not in ("entry_idx", "exit_idx"))
+    met = ends.join(trades, key).filter("entry_idx < from_idx")
+    last = met.groupBy(key, "block").agg(F.max(F.struct("entry_idx", "exit_idx")).alias("t"), F.first("from_idx").alias("from_idx"))
+    return last.filter("t.exit_idx >= from_idx").select(key, "block", F.col("t.exit_idx").alias("until"))
+
+
+def purged_paths(
+    rets: DataFrame, n_groups: int = 8, n_test: int = 2, embargo: int = 10, key: str = "asset", purge: int = 0, trades: DataFrame | None = None
+) -> DataFrame:
     """Combinatorial purged cross-validation: path, n, sharpe of each out-of-sample path.
 
     In each split the trial with the best training Sharpe (the least key on ties) is taken in the tested groups.
-    Training leaves out the tested groups and the first ``embargo`` returns after each. The series is reduced to
-    sums for each trial, group and side of the embargo before splits are formed, so work after the first
-    aggregation depends on trials, groups and splits only. No trial with two training returns: the split is flat.
+    Training leaves out the tested groups, the last ``purge`` returns before each and the first ``embargo`` after each; with
+    ``trades`` (key, entry_idx, exit_idx as places in the series) a trial's embargo lasts until the trade that it carries out of
+    the tested group has closed. The series is reduced to sums for each trial, group and the tested groups that bar it before
+    splits are formed, so work after the first aggregation depends on trials, groups and splits only. No trial with two
+    training returns: the split is flat.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
     nth = F.row_number().over(Window.partitionBy(key).orderBy("ts")) - 1
     block = F.floor(nth * n_groups / n).cast("int")
-    put = rets.select(F.col(key).alias("trial"), "ret", block.alias("block"), n.alias("len"), nth.alias("nth")).withColumn(
-        "early", F.col("nth") - F.ceil(F.col("block") * F.col("len") / n_groups) < embargo
-    )
-    sums = put.groupBy("trial", "block", "early").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
+    put = rets.select(F.col(key).alias("trial"), "ret", block.alias("block"), n.alias("len"), nth.alias("nth"))
+    bound = lambda g: F.ceil(F.lit(1) * g * F.col("len") / n_groups)
+    ends = put.select("trial", "len").distinct().withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    ends = ends.select("trial", "g", bound(F.col("g")).alias("lo"), bound(F.col("g") + 1).alias("hi"))
+    if trades is not None:
+        own = trades.select(F.col(key).alias("trial"), "entry_idx", "exit_idx")
+        late = carried_until(own, ends.select("trial", F.col("g").alias("block"), (F.col("hi") + embargo).alias("from_idx"))).withColumnRenamed("block", "g")
+        ends = ends.join(late, ["trial", "g"], "left")
+    else:
+        ends = ends.withColumn("until", F.lit(None).cast("long"))
+    reach = ends.groupBy("trial").agg(F.collect_list(F.struct("g", (F.col("lo") - purge).alias("a"), F.greatest(F.col("hi") + embargo, F.coalesce(F.col("until") + 1, F.lit(0))).alias("z"))).alias("reach"))
+    # the groups whose test bars a return from training, as bits: at most n_groups intervals a trial
+    bars_ = F.aggregate("reach", F.lit(0).cast("long"), lambda acc, x: acc + F.when((F.col("nth") >= x["a"]) & (F.col("nth") < x["z"]), F.call_function("shiftleft", F.lit(1).cast("long"), x["g"])).otherwise(F.lit(0).cast("long")))
+    sums = put.join(reach, "trial").withColumn("barred", bars_).groupBy("trial", "block", "barred").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
     tested = tested_groups(rets.sparkSession, n_groups, n_test)
-    train = sums.join(F.broadcast(tested.select("mask").distinct()), F.expr("shiftright(mask, block) & 1 = 0 AND NOT (early AND block > 0 AND shiftright(mask, block - 1) & 1 = 1)"))
+    train = sums.join(F.broadcast(tested.select("mask").distinct()), F.expr("mask & barred = 0"))
     mean, more = F.sum("s") / F.sum("n"), F.sum("n") > 1
     var = F.when(more, (F.sum("s2") - F.sum("s") * mean) / (F.sum("n") - 1))
     scored = train.groupBy("mask", "trial").agg(F.when(var > 0, mean / F.sqrt(var)).when(more, F.lit(0.0)).alias("score")).filter("score IS NOT NULL")
@@ -168,31 +104,107 @@ def purged_paths(rets: DataFrame, n_groups: int = 8, n_test: int = 2, embargo: i
     return paths.agg(F.sum("n").alias("n"), F.when(spread > 0, mean / F.sqrt(spread)).otherwise(F.lit(0.0)).alias("sharpe"))
 
 
-def _moments(x: np.ndarray) -> float:
+def _ratio(x: np.ndarray) -> float:
     sd = x.std(ddof=1) if len(x) > 1 else 0.0
     return x.mean() / sd if sd > 0 else 0.0
 
 
-def bootstrap_p(rets: DataFrame, replicates: int = 500, block: float = 20.0, seed: int = 1) -> DataFrame:
-    """asset, p: share of stationary-bootstrap replicates of the demeaned series whose Sharpe reaches the series' own.
+def resampled(n: int, block: float, rng: np.random.Generator) -> np.ndarray:
+    """Rows of one stationary bootstrap sample: blocks of geometric length that wrap around."""
+    jump = rng.random(n) < 1 / max(block, 1.0)
+    jump[0] = True
+    start = np.flatnonzero(jump)
+    return (np.repeat(rng.integers(0, n, len(start)) - start, np.diff(np.append(start, n))) + np.arange(n)) % n
+
+
+def bootstrap_p(rets: DataFrame, replicates: int = 500, block: float = 20.0, seed: int = 1, key: str = "asset", least: int = 20) -> DataFrame:
+    """key, sharpe (a return), p: share of stationary-bootstrap replicates of the demeaned series whose Sharpe reaches the series' own.
 
-    Replicates of an asset are dealt to several tasks, each seeded by its share; the series is the group, the replicates are summed.
+    A series is a group, its replicates run in its task. Fewer than ``least`` returns or no spread: 0 and 1.
     """
-    shares = 8
-
-    def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        x = d.sort_values("ts")["ret"].to_numpy()
-        n, rng = len(x), np.random.default_rng([seed, key[1]])
-        own, flat, hits, todo = _moments(x), x - x.mean(), 0, -(-replicates // shares)
-        for _ in range(todo):
-            jump = rng.random(n) < 1 / block
-            jump[0] = True
-            start = np.flatnonzero(jump)
-            at = np.repeat(rng.integers(0, n, len(start)) - start, np.diff(np.append(start, n))) + np.arange(n)
-            hits += _moments(flat[at % n]) >= own
-        return pd.DataFrame({"asset": [key[0]], "hits": [hits], "n": [todo]})
-
-    dealt = rets.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    parts = dealt.select("asset", "share", "ts", "ret").groupBy("asset", "share").applyInPandas(run, "asset string, hits long, n long")
-    return parts.groupBy("asset").agg((F.sum("hits") / F.sum("n")).alias("p"))
 
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        x = d.sort_values("ts")["ret"].to_numpy(float)
+        own, p = _ratio(x), 1.0
+        if len(x) >= least and x.std() > 0:
+            rng, flat = np.random.default_rng(seed), x - x.mean()
+            p = float(np.mean([_ratio(flat[resampled(len(x), block, rng)]) >= own for _ in range(replicates)]))
+        else:
+            own = 0.0
+        return pd.DataFrame({"k": [d["k"].iloc[0]], "sharpe": [own], "p": [p]})
+
+    rows = rets.filter("ret IS NOT NULL").select(F.col(key).alias("k"), "ts", "ret")
+    return rows.groupBy("k").applyInPandas(run, "k string, sharpe double, p double").withColumnRenamed("k", key)
+
+
+def reality_check(rets: DataFrame, replicates: int = 500, block: float = 20.0, seed: int = 1, key: str = "asset") -> DataFrame:
+    """best, statistic, p_value: whether the best mean return of a family is more than luck, on jointly resampled stamps.
+
+    Every series draws the same rows for a replicate, so tasks need one series each: it gives its mean and its excess in every
+    replicate, and the family's maxima are an aggregate. Series have the same stamps; one without a stamp counts 0 there.
+    """
+    stamps = rets.select("ts").distinct().withColumn("nth", F.row_number().over(Window.orderBy("ts")) - 1)
+    n = stamps.count()
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros(n)
+        x[d["nth"].to_numpy(int)] = d["ret"].to_numpy(float)
+        rng = np.random.default_rng(seed)
+        mean = x.mean()
+        over = [math.sqrt(n) * (x[resampled(n, block, rng)].mean() - mean) for _ in range(replicates)]
+        return pd.DataFrame({"k": d["k"].iloc[0], "mean": mean, "nth": np.arange(replicates), "over": over})
+
+    rows = rets.filter("ret IS NOT NULL").select(F.col(key).alias("k"), "ts", "ret").join(stamps, "ts")
+    drawn = rows.groupBy("k").applyInPandas(run, "k string, mean double, nth long, over double")
+    tops = drawn.groupBy("nth").agg(F.max("over").alias("over"), F.min(F.struct((-F.col("mean")).alias("m"), F.col("k"))).alias("b"))
+    reached = (F.col("over") >= -F.col("b.m") * math.sqrt(max(n, 1))).cast("double")
+    return tops.agg(F.first("b.k").alias("best"), (-F.first("b.m") * math.sqrt(max(n, 1))).alias("statistic"), F.avg(reached).alias("p_value")).filter("best IS NOT NULL")
+
+
+def normal_cdf(z: Column) -> Column:
+    """Share of a standard normal below ``z``, a batch at a time."""
+
+    @F.pandas_udf("double")
+    def cdf(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None or np.isnan(v) else 0.5 * math.erfc(-v / math.sqrt(2)))
+
+    return cdf(z)
+
+
+def expected_max_sharpe(trials: int) -> float:
+    """Expected best Sharpe of so many independent trials of variance 1 and no skill."""
+    if trials <= 1:
+        return 0.0
+    q, euler = NormalDist().inv_cdf, 0.5772156649015329
+    return (1 - euler) * q(1 - 1 / trials) + euler * q(1 - 1 / (trials * math.e))
+
+
+def min_backtest_years(trials: Column, sharpe: Column, per_year: float) -> Column:
+    """Years of record below which the best of so many trials without skill could show the annual Sharpe ratio."""
+    return F.when((sharpe > 0) & (trials >= 2), 2 * F.ln(trials) / (sharpe * sharpe / per_year) / per_year).otherwise(F.lit(float("inf")))
+
+
+def deflated_sharpe(moments: DataFrame, per_year: float, key: str = "asset", family: str | None = None) -> DataFrame:
+    """The best series of each family with its Sharpe a year, the one that luck would give, PSR against 0 and the deflated PSR.
+
+    ``moments`` (key, n, sharpe_bar, skew, kurt): one row a trial. All trials count, with the variance of their Sharpes.
+    """
+    group = [family] if family else []
+    whole = moments.select(*group, key, "n", F.coalesce("sharpe_bar", F.lit(0.0)).alias("s"), F.coalesce("skew", F.lit(0.0)).alias("skew"), F.coalesce("kurt", F.lit(3.0)).alias("kurt"))
+    told = whole.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_trials"), F.coalesce(F.var_samp("s"), F.lit(0.0)).alias("var_sharpe"),
+        F.min(F.struct((-F.col("s")).alias("neg"), F.col(key), F.col("n"), F.col("s"), F.col("skew"), F.col("kurt"))).alias("b"),
+    )
+    ns = [r["n_trials"] for r in told.select("n_trials").distinct().collect()]
+    top = F.lit(0.0)
+    for n in ns:  # a few family sizes
+        top = F.when(F.col("n_trials") == n, F.lit(expected_max_sharpe(n))).otherwise(top)
+    best = told.select(*group, F.col(f"b.{key}").alias("best"), "n_trials", "var_sharpe", F.col("b.n").alias("n"), F.col("b.s").alias("s"), F.col("b.skew").alias("skew"), F.col("b.kurt").alias("kurt"), (F.sqrt("var_sharpe") * top).alias("star"))
+    spread = F.sqrt(F.greatest(1 - F.col("skew") * F.col("s") + (F.col("kurt") - 1) / 4 * F.col("s") * F.col("s"), F.lit(1e-12)))
+    z = lambda b: (F.col("s") - b) * F.sqrt(F.greatest(F.col("n") - 1, F.lit(1)).cast("double")) / spread
+    year = F.sqrt(F.lit(float(per_year)))
+    return best.select(
+        *group, "best", "n_trials", "n", (F.col("s") * year).alias("sharpe_annual"), (F.col("star") * year).alias("star_annual"),
+        normal_cdf(z(F.lit(0.0))).alias("psr"), normal_cdf(z(F.col("star"))).alias("dsr"),
+        min_backtest_years(F.col("n_trials"), F.col("s") * year, per_year).alias("min_years"),
+    )

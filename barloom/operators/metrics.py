@@ -13,6 +13,25 @@ def returns(bars: DataFrame) -> DataFrame:
     return bars.select("asset", "ts", "bar_idx", ret.alias("ret")).filter("ret IS NOT NULL")
 
 
+YEAR_DAYS = 365.25
+
+
+def per_year(bars: DataFrame, key: str = "asset") -> DataFrame:
+    """key, per_year, years: bars in a year, the median of the full calendar years inside the span, else of the span.
+
+    Years count per 365.25 days; fewer than two full years with bars leave the span to decide.
+    """
+    day = F.col("ts").cast("timestamp")
+    spans = bars.groupBy(key).agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count(F.lit(1)).alias("n"))
+    counts = bars.groupBy(key, F.year("ts").alias("y")).agg(F.count(F.lit(1)).alias("n_y")).join(spans.select(key, "first", "last"), key)
+    inside = counts.filter((F.col("y") > F.year("first")) & (F.col("y") < F.year("last")))
+    days = F.dayofyear(F.make_date("y", F.lit(12), F.lit(31)))
+    full = inside.groupBy(key).agg(F.median(F.col("n_y") * YEAR_DAYS / days).alias("x"), F.count(F.lit(1)).alias("years"))
+    span = (F.col("last").cast("double") - F.col("first").cast("double")) / 86400 / YEAR_DAYS
+    raw = F.when(F.col("years") >= 2, F.col("x")).otherwise((F.col("n") - 1) / F.nullif(span, F.lit(0.0)))
+    return spans.join(full, key, "left").select(key, F.greatest(F.lit(1.0), F.rint(raw)).cast("long").alias("per_year"), F.coalesce("years", F.lit(0).cast("long")).alias("years"))
+
+
 def sharpe(ret: Column, per_year: float) -> Column:
     """Annualised mean over deviation; 0 for fewer than two values or no spread."""
     spread = F.stddev_samp(ret)
@@ -29,9 +48,9 @@ def curve(rets: DataFrame, key: str = "asset", additive: bool = False) -> DataFr
     return eq.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(by), F.lit(1.0)) - 1)
 
 
-def moments(rets: DataFrame, key: str = "asset") -> DataFrame:
+def moments(rets: DataFrame, key: str | list[str] = "asset") -> DataFrame:
     """n, Sharpe a bar, biased skewness and kurtosis (3 for a normal)."""
-    return rets.groupBy(key).agg(
+    return rets.groupBy(*([key] if isinstance(key, str) else key)).agg(
         F.count("ret").alias("n"),
         (F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0))).alias("sharpe_bar"),
         F.skewness("ret").alias("skew"),
@@ -45,12 +64,13 @@ def sharpe_z(benchmark: float = 0.0) -> Column:
     return (s - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * s + (F.col("kurt") - 1) / 4 * s * s)
 
 
-def block_stats(rets: DataFrame, blocks: int, key: str = "asset") -> DataFrame:
+def block_stats(rets: DataFrame, blocks: int, key: str | list[str] = "asset", order: str = "ts") -> DataFrame:
     """Count, sum and sum of squares for each of ``blocks`` equal stretches: mergeable statistics for cross-validation."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("ts")) - 1
+    keys = [key] if isinstance(key, str) else key
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
     put = rets.withColumn("block", F.floor(nth * blocks / n).cast("int"))
-    return put.groupBy(key, "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
+    return put.groupBy(*keys, "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
 
 
 def correlations(rets: DataFrame, key: str = "asset") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.operators import metrics, simulation
+
 #: The switches of the default family and their short names.
 SWITCHES = {
     "direction": ("trend", "countertrend"),
@@ -38,18 +40,124 @@ def lattice(spark: SparkSession, grid: dict[str, list[float]]) -> DataFrame:
     return rows.withColumn("trial_id", sum((F.get("coord", F.lit(k)) * w for k, w in enumerate(weights)), F.lit(0)).cast("int"))
 
 
-def windows(bars: DataFrame, train: int, test: int) -> DataFrame:
-    """asset, window_id, train_start, train_end, test_start, test_end (ends open) of the rolling tests that fit."""
-    n = bars.groupBy("asset").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > train)
-    last = F.floor((F.col("n") - train - 1) / test).cast("long")
+def windows(bars: DataFrame, train: int, test: int, embargo: int = 0, anchored: bool = False, least_test: int = 20) -> DataFrame:
+    """asset, window_id, train_start, train_end, test_start, test_end (ends open) of the tests of ``least_test`` bars or more.
+
+    ``embargo`` bars lie between training and test; an anchored training starts at the first bar.
+    """
+    room = train + embargo + min(least_test, test)
+    n = bars.groupBy("asset").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= room)
+    last = F.floor((F.col("n") - room) / test).cast("long")
     rows = n.select("asset", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("window_id"))
     start = F.col("window_id") * test
+    tested = start + train + embargo
     return rows.select(
-        "asset", "window_id", start.alias("train_start"), (start + train).alias("train_end"), (start + train).alias("test_start"),
-        F.least(start + train + test, F.col("n")).alias("test_end"),
+        "asset", "window_id", (F.lit(0).cast("long") if anchored else start).alias("train_start"), (start + train).alias("train_end"),
+        tested.alias("test_start"), F.least(tested + test, F.col("n")).alias("test_end"),
     )
 
 
+def _settled(alpha: Column) -> Column:
+    """Bars until a recursive mean has forgotten its first value to 1e-4."""
+    return F.ceil(F.log(F.lit(1e-4)) / F.log1p(-alpha))
+
+
+def warmup(plans: DataFrame) -> Column:
+    """Bars before the first on which a plan can trade with values that a full history would show."""
+    p = lambda name: F.col(name) if name in plans.columns else F.lit(simulation.PLAN[name])
+    keltner, channel = p("channel") == "keltner", p("exit") == "channel"
+    own = F.lit(0)
+    for name, (n, _) in simulation.REGIMES.items():
+        own = F.when(p("regime_indicator") == name, F.lit(n)).otherwise(own)
+    length = F.when(p("regime_n") > 0, p("regime_n")).otherwise(own)
+    alpha = lambda n: 2.0 / (n + 1)
+    regime = F.when(p("regime_indicator") == "adx", length + 2 * _settled(1.0 / length)).otherwise(length + 10)
+    parts = [
+        p("n_entry"), p("atr_n"), F.when(keltner, _settled(alpha(p("n_entry")))), F.when(channel, p("n_exit")),
+        F.when(channel & keltner, _settled(alpha(p("n_exit")))), F.when(p("regime_filter") != "none", regime),
+        F.when(p("vol_filter"), p("vol_lookback") + p("atr_n")), F.when(p("vol_target") > 0, p("vol_target_n") + 1), F.when(p("bias_filter") == "sma", p("bias_n")),
+    ]
+    return (F.greatest(*(x.cast("long") for x in parts)) + 5).cast("long")
+
+
+def soft_cap(x: Column, cap: float = 10.0) -> Column:
+    """``x``, growing only with its logarithm beyond ``cap``."""
+    return F.when(x > cap, cap + F.log1p(F.least(x, F.lit(1e6)) - cap)).otherwise(x)
+
+
+def score(metric: str, least_trades: int = 5) -> Column:
+    """Objective of a trial's totals; null with fewer trades."""
+    value = {
+        "sharpe": F.col("sharpe"),
+        "return_over_dd": soft_cap(F.col("total_return") / F.greatest(F.abs("max_dd"), F.when(F.col("max_dd") == 0, F.lit(1e-6)).otherwise(F.lit(0.0)))),
+        "profit_factor": soft_cap(F.when(F.col("loss") > 0, F.col("gain") / F.col("loss")).when(F.col("gain") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))),
+    }[metric]
+    return F.when(F.col("n_trades") >= least_trades, value)
+
+
+def optimized(bars: DataFrame, plans: DataFrame, spans: DataFrame, dims: int, metric: str = "sharpe", selection: str = "plateau", least_trades: int = 5, account: simulation.Account = simulation.Account()) -> DataFrame:
+    """asset, window_id and totals of the trial picked for each training span (asset, window_id, start, stop).
+
+    plans: trial_id, coord (a point of a lattice) and plan columns. A span is scored from the bar on which every trial is warm;
+    one that ends before has no row, nor has one in which no trial traded enough.
+    """
+    warm = plans.agg(F.max(warmup(plans)).alias("w")).first()["w"] or 0
+    usable = spans.withColumn("start", F.greatest(F.col("start"), F.lit(warm))).filter(F.col("stop") - 1 > warm)
+    totals = simulation.windowed(bars, usable, plans.drop("coord"), warm, "totals", account).withColumn("score", score(metric, least_trades))
+    scored = totals.join(F.broadcast(plans.select("trial_id", "coord")), "trial_id")
+    if selection == "best":
+        best = Window.partitionBy("asset", "window_id").orderBy(F.desc_nulls_last("score"), "trial_id")
+        return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1 AND score IS NOT NULL").drop("_n", "coord")
+    return plateau(scored, ["asset", "window_id"], dims).filter("picked").drop("picked", "smooth", "coord")
+
+
+def walk_forward(bars: DataFrame, plans: DataFrame, dims: int, train: int = 500, test: int = 125, output: str = "windows", embargo: int = 0, anchored: bool = False, metric: str = "sharpe", selection: str = "plateau", least_trades: int = 5, account: simulation.Account = simulation.Account()) -> DataFrame:
+    """Parameters picked on each training span and traded on the test after it; windows are independent, since sizes are shares of capital.
+
+    "windows": asset, window_id, bounds, trial_id (null where nothing was picked), totals of training (is_) and test (oos_).
+    "bars": asset, window_id, bar_idx, ret of every tested bar, 0 in windows without a pick.
+    """
+    wins = windows(bars, train, test, embargo, anchored)
+    picked = optimized(bars, plans, wins.select("asset", "window_id", F.col("train_start").alias("start"), F.col("train_end").alias("stop")), dims, metric, selection, least_trades, account)
+    chosen = picked.select("asset", "window_id", "trial_id").join(F.broadcast(plans.drop("coord")), "trial_id")
+    warm = plans.agg(F.max(warmup(plans)).alias("w")).first()["w"] or 0
+    tests = wins.select("asset", "window_id", F.col("test_start").alias("start"), F.col("test_end").alias("stop"))
+    if output == "bars":
+        rets = simulation.windowed(bars, tests, chosen, warm, "bars", account).select("asset", "window_id", "bar_idx", "ret")
+        every = tests.select("asset", "window_id", F.explode(F.sequence("start", F.col("stop") - 1)).alias("bar_idx"))
+        return every.join(rets, ["asset", "window_id", "bar_idx"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    named = lambda d, p: d.select("asset", "window_id", *([F.col("trial_id")] if p == "is_" else []), *(F.col(c).alias(p + c) for c in ("total_return", "sharpe", "max_dd", "n_trades", "n_bars")))
+    tested = simulation.windowed(bars, tests, chosen, warm, "totals", account)
+    return wins.join(named(picked, "is_"), ["asset", "window_id"], "left").join(named(tested, "oos_"), ["asset", "window_id"], "left")
+
+
+def summary(wins: DataFrame, rets: DataFrame, per_year: float = 252.0) -> DataFrame:
+    """One row an asset: the record of its tested windows, with Pardo's efficiency and criteria.
+
+    Efficiency is the mean annual return of tests over that of trainings, null without a profit in training, within +-10. A window
+    without a pick made no money and counts.
+    """
+    live = F.col("trial_id").isNotNull()
+    by = Window.partitionBy("asset").orderBy("window_id")
+    before = F.last("trial_id", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = wins.withColumn("changed", F.when(live & before.isNotNull(), (F.col("trial_id") != before).cast("double")))
+    annual = lambda p: F.col(f"{p}_total_return") / (F.col(f"{p}_n_bars") / per_year)
+    per = rows.groupBy("asset").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.sum(live.cast("long")).alias("n_live"), F.avg("is_sharpe").alias("is_sharpe"),
+        F.avg(annual("is")).alias("_i"), F.avg(annual("oos")).alias("_o"), F.coalesce(F.sum("oos_n_trades"), F.lit(0)).alias("n_trades"),
+        (F.sum(F.coalesce((F.col("oos_total_return") > 0).cast("long"), F.lit(0))) / F.count(F.lit(1))).alias("pct_profitable"),
+        F.coalesce(F.avg("changed"), F.lit(0.0)).alias("change_rate"),
+    )
+    curve = metrics.curve(rets.withColumnRenamed("bar_idx", "ts"))
+    ends = curve.groupBy("asset").agg(
+        metrics.sharpe(F.col("ret"), per_year).alias("oos_sharpe"), (F.max_by("equity", "ts") - 1).alias("oos_total"), F.min("drawdown").alias("oos_max_dd"), F.count(F.lit(1)).alias("n_bars")
+    )
+    wfe = F.when(F.col("_i") > 0, F.least(F.greatest(F.col("_o") / F.col("_i"), F.lit(-10.0)), F.lit(10.0)))
+    out = per.join(ends, "asset").withColumn("wfe", wfe)
+    passed = (F.col("n_live") >= 3) & (F.col("oos_total") > 0) & (F.col("pct_profitable") >= 0.5) & F.coalesce(F.col("wfe") >= 0.5, F.lit(False))
+    return out.withColumn("pardo_pass", passed).drop("_i", "_o")
+
+
 def in_windows(rows: DataFrame, train: int, test: int) -> DataFrame:
     """Each bar once for every window it trains and the one it tests: window_id and part, by arithmetic, without a range join."""
     i = F.col("bar_idx")
@@ -66,14 +174,20 @@ def in_windows(rows: DataFrame, train: int, test: int) -> DataFrame:
 def plateau(scores: DataFrame, keys: list[str], dims: int) -> DataFrame:
     """Mean of each score and its lattice neighbours (|difference| <= 1 in each dimension), and the best point of each group.
 
-    Each point is sent to its at most 3 ** dims neighbour cells, so points meet by equality; a missing score counts as the group's median at half weight.
+    Each point is sent to its at most 3 ** dims neighbour cells, so points meet by equality. A neighbour that is missing, beyond
+    the lattice's edge or without a score, counts as the group's median at half weight; points without a score get none.
     """
-    mid = scores.groupBy(*keys).agg(F.median("score").alias("_mid"))
-    rows = scores.join(mid, keys).withColumn("_w", F.when(F.col("score").isNull(), 0.5).otherwise(1.0)).withColumn("_s", F.coalesce("score", "_mid"))
-    cells = rows.select(*keys, "_s", "_w", F.col("coord").alias("_c"))
+    sizes = [F.least(F.lit(3), F.max(F.get("coord", F.lit(k))) + 1) for k in range(dims)]
+    room = reduce(lambda a, b: a * b, sizes, F.lit(1))
+    mid = scores.groupBy(*keys).agg(F.median("score").alias("_mid"), room.cast("double").alias("_room"))
+    cells = scores.filter("score IS NOT NULL").select(*keys, F.col("score").alias("_s"), F.col("coord").alias("_c"))
     for k in range(dims):
         parts = [F.get("_c", F.lit(i)) + (F.col("_d") if i == k else 0) for i in range(dims)]
         cells = cells.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_c", F.array(*parts))
-    near = cells.groupBy(*keys, F.col("_c").alias("coord")).agg((F.sum(F.col("_s") * F.col("_w")) / F.sum("_w")).alias("smooth"))
-    best = Window.partitionBy(*keys).orderBy(F.desc("smooth"), F.desc("score"), "trial_id")
-    return scores.join(near, [*keys, "coord"]).withColumn("picked", F.row_number().over(best) == 1)
+    near = cells.groupBy(*keys, F.col("_c").alias("coord")).agg(F.sum("_s").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    missing = 0.5 * (F.col("_room") - F.col("_n"))
+    smooth = F.when(F.col("score").isNotNull(), (F.col("_t") + missing * F.col("_mid")) / (F.col("_n") + missing))
+    rows = scores.join(near, [*keys, "coord"], "left").join(mid, keys).withColumn("smooth", smooth)
+    best = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("smooth"), F.desc_nulls_last("score"), "trial_id")
+    picked = (F.row_number().over(best) == 1) & F.col("smooth").isNotNull()
+    return rows.withColumn("picked", picked).select(*scores.columns, "smooth", "picked")

@@ -12,21 +12,23 @@ from barloom.sources import bars as src
 
 #: Channel lengths of the experts.
 SPANS = (10, 20, 40, 80)
+#: Bars of the range that moves are measured in, and the cost of a side.
+ATR, COST = 20, 0.0005
 
 
 def experts(bars: DataFrame) -> DataFrame:
     """asset, bar_idx, stances, losses: the side of each expert's last channel break, and its loss on this bar's move."""
-    prior = lambda c, f, n: f(c).over(ind.back(n).rowsBetween(-n, -1))
-    signs = {}
+    rows = bars.withColumn("_tr", ind.true_range())
     for n in SPANS:
-        up, down = F.col("close") > prior("high", F.max, n), F.col("close") < prior("low", F.min, n)
-        signs[f"_s{n}"] = F.when(prior("close", F.count, n) < n, None).when(up, 1.0).when(down, -1.0)
-    rows = bars.withColumns(signs)
-    rows = rows.withColumns({f"_s{n}": F.coalesce(F.last(f"_s{n}", ignorenulls=True).over(ind.back(n)), F.lit(0.0)) for n in SPANS})
-    move = (F.col("close") - ind.lag(F.col("close"))) / F.nullif(F.stddev_samp("close").over(ind.back(60)), F.lit(0.0))
-    rows = rows.withColumn("_z", move).withColumns({f"_l{n}": 0.5 * (1 - ind.clip(ind.lag(F.col(f"_s{n}")) * F.col("_z") / 2, -1, 1)) for n in SPANS})
-    half = lambda c: F.coalesce(c, F.lit(0.5))
-    return rows.select("asset", "bar_idx", F.array(*(f"_s{n}" for n in SPANS)).alias("stances"), F.array(*(half(f"_l{n}") for n in SPANS)).alias("losses"))
+        high, low, _ = ind.donchian(n)
+        rows = rows.withColumns({f"_h{n}": high, f"_b{n}": low})
+    rows = rows.withColumns({f"_g{n}": ind.break_signal(F.col(f"_h{n}"), F.col(f"_b{n}")).cast("double") for n in SPANS} | {"_a": ind.sma(F.col("_tr"), ATR)})
+    rows = rows.withColumns({f"_s{n}": F.coalesce(F.last(f"_g{n}", ignorenulls=True).over(ind.back(n)), F.lit(0.0)) for n in SPANS})
+    rows = rows.withColumn("_a", F.nullif(ind.lag(F.col("_a")), F.lit(0.0)))
+    move, cost = (F.col("close") - ind.lag(F.col("close"))) / F.col("_a"), F.abs(F.col("close")) * COST / F.col("_a")
+    rows = rows.withColumns({"_z": move, "_c": cost} | {f"_p{n}": ind.lag(F.col(f"_s{n}")) for n in SPANS})
+    loss = lambda n: ind.stance_loss(F.col(f"_p{n}"), F.col(f"_s{n}"), F.col("_z"), F.col("_c"), F.col(f"_h{n}").isNotNull())
+    return rows.select("asset", "bar_idx", F.array(*(f"_s{n}" for n in SPANS)).alias("stances"), F.array(*(loss(n) for n in SPANS)).alias("losses"))
 
 
 @query("hedge_positions")

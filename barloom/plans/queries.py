@@ -165,14 +165,14 @@ def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ranks",
-    f"""WITH {STEP}, g AS (SELECT asset, bar_idx, tr, close, list(tr) OVER w30 AS ts, list(close) OVER w30 AS cs, median(close) OVER w30 AS md, count(*) OVER w30 AS n FROM s{WINDOWS})
+    f"""WITH {STEP}, g AS (SELECT asset, bar_idx, tr, close, list(tr) OVER w30 AS ts, list(ch) OVER w30 AS cs, median(ch) OVER w30 AS md, count(*) OVER w30 AS n, count(ch) OVER w30 AS nc FROM s{WINDOWS})
 SELECT asset, bar_idx,
   {r("CASE WHEN n = 30 THEN (len(list_filter(ts, lambda v: v < tr)) + (len(list_filter(ts, lambda v: v = tr)) + 1) / 2) / 30 END", "tr_rank")},
-  {r("CASE WHEN n = 30 THEN 100.0 * len(list_filter(range(2, 31), lambda i: (cs[i] > md AND cs[i] > cs[i - 1]) OR (cs[i] < md AND cs[i] < cs[i - 1]))) / 29 END", "away")}
+  {r("CASE WHEN nc = 30 THEN 100.0 * len(list_filter(range(2, 31), lambda i: (cs[i] > md AND cs[i] > cs[i - 1]) OR (cs[i] < md AND cs[i] < cs[i - 1]))) / 29 END", "away")}
 FROM g""",
 )
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _steps(spark, sf_dir).select("asset", "bar_idx", ind.percentile_rank(F.col("tr"), 30).alias("tr_rank"), ind.market_meanness(30).alias("away"))
+    return _steps(spark, sf_dir).select("asset", "bar_idx", ind.percentile_rank(F.col("tr"), 30).alias("tr_rank"), ind.market_meanness(30, F.col("ch")).alias("away"))
 
 
 STANCE = (
@@ -180,7 +180,7 @@ STANCE = (
     + """,
 ch AS (SELECT *, CASE WHEN count(*) OVER w = 20 THEN max(high) OVER w END AS hi, CASE WHEN count(*) OVER w = 20 THEN min(low) OVER w END AS lo FROM b
   WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-sg AS (SELECT *, CASE WHEN close > lag(hi) OVER p AND NOT coalesce(close < lag(lo) OVER p, false) THEN 1 WHEN close < lag(lo) OVER p THEN -1 END AS sig
+sg AS (SELECT *, CASE WHEN high >= lag(hi) OVER p AND low > lag(lo) OVER p THEN 1 WHEN low <= lag(lo) OVER p AND high < lag(hi) OVER p THEN -1 END AS sig
   FROM ch WINDOW p AS (PARTITION BY asset ORDER BY ts)),
 st AS (SELECT *, coalesce(last_value(sig IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), 0) AS stance FROM sg)"""
 )
@@ -219,16 +219,18 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stance_loss",
-    f"""WITH {STANCE}, z AS (SELECT *, (close - lag(close) OVER p) / nullif(stddev_samp(close) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 0) AS z,
-  lag(stance) OVER p AS s1 FROM st WINDOW p AS (PARTITION BY asset ORDER BY ts))
-SELECT asset, bar_idx, {r("CASE WHEN s1 IS NULL OR z IS NULL THEN 0.5 ELSE 0.5 * (1 - least(greatest((s1 * z - 0.05 * abs(stance - s1)) / 2, -1), 1)) END", "loss")} FROM z""",
+    f"""WITH {STANCE},
+t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER p), abs(low - lag(close) OVER p)) AS tr FROM st WINDOW p AS (PARTITION BY asset ORDER BY ts)),
+a AS (SELECT *, CASE WHEN count(tr) OVER w = 20 THEN avg(tr) OVER w END AS atr FROM t WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+z AS (SELECT *, lag(stance) OVER p AS s1, nullif(lag(atr) OVER p, 0) AS a1, close - lag(close) OVER p AS d FROM a WINDOW p AS (PARTITION BY asset ORDER BY ts))
+SELECT asset, bar_idx, {r("CASE WHEN hi IS NULL OR a1 IS NULL THEN 0.5 ELSE 0.5 - 0.5 * least(greatest((s1 * d / a1 - abs(close) * 0.0005 / a1 * abs(stance - s1)) / 2, -1), 1) END", "loss")} FROM z""",
 )
 def stance_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stances(spark, sf_dir)
-    z = (F.col("close") - ind.lag(F.col("close"))) / F.nullif(F.stddev_samp("close").over(ind.back(60)), F.lit(0.0))
-    s = s.withColumns({"z": z, "s1": ind.lag(F.col("stance"))})
-    gain = ind.clip((F.col("s1") * F.col("z") - 0.05 * F.abs(F.col("stance") - F.col("s1"))) / 2, -1, 1)
-    return s.select("asset", "bar_idx", F.coalesce(0.5 * (1 - gain), F.lit(0.5)).alias("loss"))
+    s = s.withColumn("tr", ind.true_range()).withColumn("atr", ind.sma(F.col("tr"), 20))
+    s = s.withColumns({"s1": ind.lag(F.col("stance")), "a1": F.nullif(ind.lag(F.col("atr")), F.lit(0.0)), "d": F.col("close") - ind.lag(F.col("close"))})
+    loss = ind.stance_loss(F.col("s1"), F.col("stance"), F.col("d") / F.col("a1"), F.abs(F.col("close")) * 0.0005 / F.col("a1"), F.col("hi").isNotNull())
+    return s.select("asset", "bar_idx", loss.alias("loss"))
 
 
 @query(
@@ -348,18 +350,22 @@ def session_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bars_per_year",
-    f"""WITH {BARS}, y AS (SELECT asset, year(ts) AS y, count(*) AS n FROM b GROUP BY 1, 2)
-SELECT asset, {r("median(n)", "per_year")}, count(*) AS years FROM y GROUP BY asset""",
+    f"""WITH {BARS}, a AS (SELECT asset, min(ts) AS first, max(ts) AS last, count(*) AS n FROM b GROUP BY asset),
+y AS (SELECT asset, year(ts) AS y, count(*) AS n FROM b GROUP BY 1, 2),
+f AS (SELECT y.asset, y.n * 365.25 / (CASE WHEN (y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0 THEN 366 ELSE 365 END) AS x
+      FROM y JOIN a USING (asset) WHERE y > year(first) AND y < year(last)),
+m AS (SELECT asset, median(x) AS x, count(*) AS years FROM f GROUP BY asset)
+SELECT asset, CAST(greatest(1, round_even(CASE WHEN years >= 2 THEN x ELSE (n - 1) / (date_diff('day', first, last) / 365.25) END, 0)) AS BIGINT) AS per_year,
+  coalesce(years, 0) AS years FROM a LEFT JOIN m USING (asset)""",
 )
 def bars_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    years = src.order_bars(spark, sf_dir).groupBy("asset", F.year("ts").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    return years.groupBy("asset").agg(F.median("n").alias("per_year"), F.count(F.lit(1)).alias("years"))
+    return metrics.per_year(src.order_bars(spark, sf_dir))
 
 
 @query(
     "walk_forward_windows",
     f"""WITH {BARS}, n AS (SELECT asset, count(*) AS n FROM b GROUP BY asset),
-w AS (SELECT asset, n, unnest(range(0, (n - 501) // 125 + 1)) AS window_id FROM n WHERE n > 500)
+w AS (SELECT asset, n, unnest(range(0, (n - 520) // 125 + 1)) AS window_id FROM n WHERE n >= 520)
 SELECT asset, window_id, window_id * 125 AS train_start, window_id * 125 + 500 AS train_end, window_id * 125 + 500 AS test_start, least(window_id * 125 + 625, n) AS test_end FROM w""",
 )
 def walk_forward_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +375,7 @@ def walk_forward_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "window_stats",
     f"""WITH {RETS}, n AS (SELECT asset, count(*) AS n FROM b GROUP BY asset),
-w AS (SELECT asset, n, unnest(range(0, (n - 501) // 125 + 1)) AS window_id FROM n WHERE n > 500),
+w AS (SELECT asset, n, unnest(range(0, (n - 520) // 125 + 1)) AS window_id FROM n WHERE n >= 520),
 j AS (SELECT r.asset, window_id, CASE WHEN bar_idx < window_id * 125 + 500 THEN 'train' ELSE 'test' END AS part, ret
   FROM rets r JOIN w ON r.asset = w.asset AND bar_idx >= window_id * 125 AND bar_idx < window_id * 125 + 625)
 SELECT asset, window_id, part, count(*) AS n, {r("avg(ret)", "mean")}, {r("stddev_samp(ret)", "sd")} FROM j GROUP BY 1, 2, 3""",
@@ -399,8 +405,10 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "plateau",
     f"""WITH p AS (SELECT p_partkey % 20 AS g, CAST((p_partkey // 20) % 5 AS INT) AS x, CAST((p_partkey // 100) % 5 AS INT) AS y, avg(p_retailprice) AS score FROM part GROUP BY 1, 2, 3),
-n AS (SELECT a.g, a.x, a.y, a.score, avg(b.score) AS smooth FROM p a JOIN p b ON a.g = b.g AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3, 4)
-SELECT g, x, y, {r("smooth", "smooth", 3)} FROM n""",
+k AS (SELECT *, CASE WHEN (x + y + g) % 7 <> 0 THEN score END AS s FROM p),
+d AS (SELECT g, median(s) AS mid, least(3, max(x) + 1) * least(3, max(y) + 1) AS room FROM k GROUP BY g),
+n AS (SELECT a.g, a.x, a.y, sum(b.s) AS t, count(b.s) AS n FROM k a JOIN k b ON a.g = b.g AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 WHERE a.s IS NOT NULL GROUP BY 1, 2, 3)
+SELECT k.g, k.x, k.y, {r("(t + 0.5 * (room - n) * mid) / (n + 0.5 * (room - n))", "smooth", 3)} FROM k JOIN d USING (g) LEFT JOIN n USING (g, x, y)""",
     digits=3,
 )
 def plateau(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +416,8 @@ def plateau(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     xy = [F.floor(k / 20) % 5, F.floor(k / 100) % 5]
     cells = part.groupBy((k % 20).alias("g"), *(c.cast("int").alias(n) for c, n in zip(xy, "xy", strict=True))).agg(F.avg("p_retailprice").alias("score"))
-    scores = cells.withColumns({"coord": F.array("x", "y"), "trial_id": F.col("x") * 5 + F.col("y")})
+    known = F.when((F.col("x") + F.col("y") + F.col("g")) % 7 != 0, F.col("score"))
+    scores = cells.withColumns({"coord": F.array("x", "y"), "trial_id": F.col("x") * 5 + F.col("y"), "score": known})
     return search.plateau(scores, ["g"], 2).select("g", "x", "y", "smooth")
 
 
@@ -438,29 +447,33 @@ def moved_rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.moved_rolls(b)
 
 
-@query("recursive_means")
+@query(
+    "recursive_means",
+    f"""WITH RECURSIVE {STEP}, m AS (SELECT *, coalesce(high - lag(high) OVER p, 0) AS up, coalesce(lag(low) OVER p - low, 0) AS dn FROM s WINDOW p AS (PARTITION BY asset ORDER BY ts)),
+v AS MATERIALIZED (SELECT asset, bar_idx, close, tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pl, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS mi FROM m),
+e AS (SELECT asset, bar_idx, close AS ema, tr AS t, pl AS p, mi AS q, CAST(NULL AS DOUBLE) AS x FROM v WHERE bar_idx = 0 UNION ALL
+  SELECT asset, bar_idx, ema, t, p, q, CASE WHEN bar_idx < 13 THEN NULL WHEN x IS NULL THEN dx ELSE x + (dx - x) / 14 END FROM
+  (SELECT *, 100 * abs(p - q) / nullif(p + q, 0) AS dx FROM
+    (SELECT v.asset, v.bar_idx, e.ema + (v.close - e.ema) * 2 / 21 AS ema, e.t + (v.tr - e.t) / 14 AS t, e.p + (v.pl - e.p) / 14 AS p, e.q + (v.mi - e.q) / 14 AS q, e.x
+     FROM e JOIN v ON v.asset = e.asset AND v.bar_idx = e.bar_idx + 1)))
+SELECT asset, bar_idx, {r("CASE WHEN bar_idx >= 19 THEN ema END", "ema")}, {r("CASE WHEN bar_idx >= 26 THEN x END", "adx")} FROM e""",
+)
 def recursive_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive.recursive_means(src.order_bars(spark, sf_dir), 20, 14)
 
 
-@query("buffered_levels")
+@query(
+    "buffered_levels",
+    f"""WITH RECURSIVE {STANCE}, t AS MATERIALIZED (SELECT asset, bar_idx, avg(stance) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS p FROM st),
+l AS (SELECT asset, bar_idx, least(greatest(0, p - 0.25), p + 0.25) AS level FROM t WHERE bar_idx = 0 UNION ALL
+  SELECT t.asset, t.bar_idx, least(greatest(level, p - 0.25), p + 0.25) FROM l JOIN t ON t.asset = l.asset AND t.bar_idx = l.bar_idx + 1)
+SELECT asset, bar_idx, {r("level", "level")} FROM l""",
+)
 def buffered_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stances(spark, sf_dir).select("asset", "bar_idx", F.avg("stance").over(ind.back(10)).alias("target"))
     return recursive.buffered_levels(s, 0.25)
 
 
-def trials(spark: SparkSession) -> DataFrame:
-    points = search.lattice(spark, {"n": [10, 20, 40, 80], "k": [1.5, 2.5, 4.0], "exit": list(range(4)), "limit": [2.0, 5.0]})
-    p = F.col("params")
-    kind = F.get(F.array(*map(F.lit, backtest.EXITS)), p["exit"].cast("int"))
-    return points.select("trial_id", p["n"].cast("int").alias("n"), p["k"].alias("k"), kind.alias("exit"), p["limit"].alias("limit"))
-
-
-@query("backtest")
-def run_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.backtest(src.order_bars(spark, sf_dir), trials(spark))
-
-
 @query("bootstrap_p")
 def bootstrap_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.bootstrap_p(metrics.returns(src.order_bars(spark, sf_dir)))

@@ -8,9 +8,9 @@ import pandas as pd
 import pytest
 from conftest import SF
 
-from barloom.operators import backtest, book, recursive, search
-from barloom.plans import learning  # noqa: F401
-from barloom.plans.queries import ORACLE_SQL, QUERIES, trials
+from barloom.operators import book, recursive, search
+from barloom.plans import learning, research  # noqa: F401
+from barloom.plans.queries import ORACLE_SQL, QUERIES
 from barloom.sources import bars as src
 
 
@@ -60,23 +60,6 @@ def test_buffered_level_stays_within_the_band(spark):
         assert r["level"] == level
 
 
-def test_backtest_by_hand():
-    """Five flat bars, a break of the channel at 101, then a fall through the stop."""
-    flat = [(100.0, 101.0, 99.0, 100.0)] * 5
-    bars = pd.DataFrame(flat + [(100.0, 103.0, 100.0, 102.0), (102.0, 102.0, 95.0, 96.0)], columns=["open", "high", "low", "close"])
-    trial = pd.DataFrame({"trial_id": [0], "n": [3], "k": [1.5], "exit": ["atr_trail"], "limit": [2.0]})
-    got = backtest.simulate(bars, trial, risk=0.01, cost=0.0).iloc[0]
-    units = 0.01 / 3.0  # the range is 2 and the stop 3 below the fill at 101, then 3 below the close of 102
-    assert got.n_trades == 1 and got.final == pytest.approx(1 + units * (99.0 - 101.0))
-
-
-def test_backtest_trials_do_not_depend_on_each_other(spark):
-    bars, rows = src.order_bars(spark, SF), trials(spark)
-    whole = backtest.backtest(bars, rows).filter("trial_id = 7").orderBy("asset").collect()
-    alone = backtest.backtest(bars, rows.filter("trial_id = 7")).orderBy("asset").collect()
-    assert whole == alone
-
-
 def test_lattice_has_every_point_once(spark):
     got = search.lattice(spark, {"a": [1, 2, 3], "b": [0.5, 1.5]}).collect()
     assert sorted(r["trial_id"] for r in got) == list(range(6))
