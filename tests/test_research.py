@@ -80,19 +80,19 @@ def test_time_exit_and_confirming_entry():
 
 
 def test_sides_size_rolls_and_ruin():
-    up = quiet(b31=(100.0, 102.0, 100.0, 101.5))
+    up, held = quiet(b31=(100.0, 102.0, 100.0, 101.5)), {"exit": "time_stop", "max_hold": 99}
     assert len(run(up, sides="short_only").trades) == 0 and (run(up, sides="short_only").position == 0).all()
-    got = run(up)
+    got = run(up, **held)
     assert got.position[0] == 1 and got.units[0] == pytest.approx(1000 / (3 * 2.0), rel=0.05)
-    assert run(up, account=simulation.Account(cost_rate=0.0, whole_units=True)).units[0] == math.floor(got.units[0])
-    assert run(up, account=simulation.Account(cost_rate=0.0), leverage=0.1).units[0] == pytest.approx(0.1 * 100_000 / 101)
-    rolled = run(up.assign(roll=[0.0] * 35 + [1.0] + [0.0] * 4), account=simulation.Account(cost_rate=0.0, roll_cost=2.0))
+    assert run(up, account=simulation.Account(cost_rate=0.0, whole_units=True), **held).units[0] == math.floor(got.units[0])
+    assert run(up, account=simulation.Account(cost_rate=0.0), leverage=0.1, **held).units[0] == pytest.approx(0.1 * 100_000 / 101)
+    rolled = run(up.assign(roll=[0.0] * 35 + [1.0] + [0.0] * 4), account=simulation.Account(cost_rate=0.0, roll_cost=2.0), **held)
     assert rolled.equity[-1, 0] == pytest.approx(got.equity[-1, 0] - 2 * got.units[0])
     crash = quiet(b31=(100.0, 102.0, 100.0, 101.5), b32=(1.0, 1.0, 1.0, 1.0))
-    dead = run(crash, leverage=50.0, risk=1.0)
+    dead = run(crash, leverage=50.0, risk=1.0, **held)
     assert dead.equity[-1, 0] < 0 and (dead.equity[32:, 0] == dead.equity[-1, 0]).all() and dead.returns(simulation.Account())[33:].sum() == 0
     fixed = simulation.Account(cost_rate=0.0, fixed=True)
-    assert run(crash, leverage=50.0, risk=1.0, account=fixed).returns(fixed)[32, 0] < -1
+    assert run(crash, leverage=50.0, risk=1.0, account=fixed, **held).returns(fixed)[32, 0] < -1
 
 
 def test_simulated_tables_agree(spark):
