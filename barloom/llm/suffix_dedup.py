@@ -8,9 +8,12 @@ strings, so equal windows meet in one bucket and a bucket holds about 1/18 of a
 hash's neighbourhood, never a whole document.
 
 1. Each task lists the anchors of its documents, a bucket at a time as packed
-   arrays. An anchor met once in the corpus can't lie in a repeated string; the
-   others go back to their documents. (Exact: it drops nothing that could match.)
-2. The windows of the remaining anchors, as segments of text, go to the buckets.
+   arrays; an anchor that several documents of a pack hold goes there once. An anchor
+   met once in the corpus can't lie in a repeated string; the others go back to their
+   documents. (Exact: it drops nothing that could match.) The number of buckets
+   follows the bytes of all texts, not the number of tasks or partitions.
+2. The windows of the remaining anchors, as segments of text, go to the buckets, each
+   distinct segment of a pack once with the places where it stands.
 3. A bucket sorts the suffixes of its distinct segments by the difference cover
    {1, 2} modulo 3: sampled triples are sorted and named, names are sorted by
    recursion until they are distinct or stand for SPAN bytes, the remaining
@@ -40,8 +43,13 @@ from barloom.llm.text import chunks, mix, prefix, slice_hashes
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
-#: Anchors and segment bytes that a task packs at a time; buckets to a shuffle partition.
-FLUSH_ANCHORS, FLUSH_BYTES, BUCKETS = 400_000, 4 << 20, 6
+#: Anchors and segment bytes that a task packs at a time, at least; anchors to a packed row, as far as a task has so many.
+FLUSH_ANCHORS, FLUSH_BYTES, ROW_ANCHORS = 400_000, 4 << 20, 64
+#: Bytes of all texts to a bucket of segments, and to one of anchors: more of it where there is more, within these bounds.
+SEGMENT_BUCKET, ANCHOR_BUCKET, ANCHOR_BUCKETS = 5 << 19, (5 << 19, 32 << 20), 4000
+#: Windows that are looked up at a time when ranges are written.
+SLICE = 1 << 20
+KNOWN = -1  #: stands for the holders of an anchor that several documents of a pack have, which it lists apart
 LAST = (1 << 63) - 1  #: stands for a null doc_id
 _48 = np.uint64(48)
 
@@ -96,6 +104,13 @@ def _order_ids(rows: pa.RecordBatch) -> np.ndarray:
 
 
 def _list_anchors(n_buckets: int):
+    """Packed (anchor, id) pairs by bucket; ``known`` packs hold pairs whose anchor several documents of the pack have.
+
+    Such an anchor goes to its bucket once, as KNOWN, so what a bucket gets of one anchor is one entry a pack, however many
+    documents hold it.
+    """
+    most = max(FLUSH_ANCHORS, ROW_ANCHORS * n_buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -106,17 +121,24 @@ def _list_anchors(n_buckets: int):
             fresh = np.ones(len(anchor), bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1])
             anchor, ids = anchor[fresh], ids[fresh]
+            first = np.ones(len(anchor), bool)
+            first[1:] = anchor[1:] != anchor[:-1]
+            begin = np.flatnonzero(first)
+            several = np.diff(np.append(begin, len(anchor))) > 1
+            local = np.repeat(several, np.diff(np.append(begin, len(anchor))))
+            rows = []
+            if local.any():
+                spread = n_buckets + int(mix(anchor[local][:1] ^ ids[local][:1].view(np.uint64))[0] % np.uint64(n_buckets))
+                rows.append((spread, pack(np.diff(anchor[local], prepend=np.uint64(0))), pack(ids[local]), True))
+            anchor, ids = anchor[begin], np.where(several, KNOWN, ids[begin])
             bucket = _bucket(anchor, n_buckets)
             order = np.argsort(bucket, kind="stable")
             bucket, anchor, ids = bucket[order], anchor[order], ids[order]
             edge = np.flatnonzero(np.diff(bucket)) + 1
-            buckets, packed = [], []
             for a, b in zip(np.append(0, edge), np.append(edge, len(anchor)), strict=True):
-                buckets.append(int(bucket[a]))
-                packed.append((pack(np.diff(anchor[a:b], prepend=np.uint64(0))), pack(ids[a:b])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(buckets, pa.int32()), *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1))], ["bucket", "anchors", "ids"]
-            )
+                rows.append((int(bucket[a]), pack(np.diff(anchor[a:b], prepend=np.uint64(0))), pack(ids[a:b]), False))
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["bucket", "anchors", "ids", "known"])
 
         count = 0
         for rows, data, at in chunks(batches):
@@ -124,7 +146,7 @@ def _list_anchors(n_buckets: int):
             if len(doc):
                 held.append((anchor, _order_ids(rows)[doc]))
                 count += len(doc)
-            if count >= FLUSH_ANCHORS:
+            if count >= most:
                 yield flush()
                 held, count = [], 0
         if held:
@@ -135,19 +157,27 @@ def _list_anchors(n_buckets: int):
 
 def _repeated(table: pa.Table) -> pa.Table:
     """(id, anchor) of all anchors that more than one document holds."""
-    anchor = np.concatenate([np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in table.column("anchors").to_pylist()])
-    ids = np.concatenate([unpack(x, "<i8") for x in table.column("ids").to_pylist()])
+
+    def pairs(known: bool) -> tuple[np.ndarray, np.ndarray]:
+        own = [(a, i) for a, i, k in zip(*(table.column(c).to_pylist() for c in ("anchors", "ids", "known")), strict=True) if k == known]
+        anchor = [np.cumsum(unpack(a, "<u8"), dtype=np.uint64) for a, _ in own]
+        return np.concatenate([np.zeros(0, np.uint64), *anchor]), np.concatenate([np.zeros(0, np.int64), *(unpack(i, "<i8") for _, i in own)])
+
+    anchor, ids = pairs(False)
     order = np.lexsort((ids, anchor))
     anchor, ids = anchor[order], ids[order]
     first = np.ones(len(anchor), bool)
     first[1:] = anchor[1:] != anchor[:-1]
     begin = np.flatnonzero(first)
     several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin) if len(begin) else np.zeros(0, bool)
-    keep = np.repeat(several, np.diff(np.append(begin, len(anchor))))
-    return pa.table({"id": pa.array(ids[keep]), "anchor": pa.array(anchor[keep].view(np.int64))})
+    keep = np.repeat(several, np.diff(np.append(begin, len(anchor)))) & (ids != KNOWN)
+    more, holders = pairs(True)
+    return pa.table({"id": pa.array(np.concatenate((ids[keep], holders))), "anchor": pa.array(np.concatenate((anchor[keep], more)).view(np.int64))})
 
 
 def _cut_segments(n_buckets: int):
+    most = min(16 * FLUSH_BYTES, max(FLUSH_BYTES, 2048 * n_buckets))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -155,17 +185,21 @@ def _cut_segments(n_buckets: int):
             bucket, ids, start, size = (np.concatenate([x[i] for x in held]) for i in range(4))
             text = np.concatenate([x[4] for x in held])
             begin = np.cumsum(size) - size
-            order = np.argsort(bucket, kind="stable")
+            # equal segments of a pack send their text once
+            _, one, which = np.unique(mix(slice_hashes(prefix(text), begin, begin + size) ^ mix(size.astype(np.uint64))), return_index=True, return_inverse=True)
+            order = np.lexsort((which, bucket))
             edge = np.flatnonzero(np.diff(bucket[order])) + 1
             out = []
             for own in np.split(order, edge):
-                n = size[own]
-                places = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                new = np.append(True, which[own][1:] != which[own][:-1])
+                kinds = one[which[own][new]]
+                n = size[kinds]
+                places = np.repeat(begin[kinds] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 own_text = text[places].tobytes()
                 packed = len(own_text).to_bytes(8, "little") + pa.compress(own_text, "zstd", asbytes=True)
-                out.append((int(bucket[own[0]]), pack(ids[own]), pack(start[own]), pack(n), packed))
-            kinds = [pa.int32(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["bucket", "ids", "starts", "sizes", "text"])
+                out.append((int(bucket[own[0]]), pack(ids[own]), pack(start[own]), pack((np.cumsum(new) - 1).astype(np.int64)), pack(n), packed))
+            kinds = [pa.int32(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["bucket", "ids", "starts", "kinds", "sizes", "text"])
 
         total = 0
         for rows, data, at in chunks(batches):
@@ -183,7 +217,7 @@ def _cut_segments(n_buckets: int):
             places = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
             held.append((_bucket(anchor, n_buckets), _order_ids(rows)[doc], (first - at[doc]).astype(np.int64), size.astype(np.int64), data[places]))
             total += int(size.sum())
-            if total >= FLUSH_BYTES:
+            if total >= most:
                 yield flush()
                 held, total = [], 0
         if held:
@@ -287,36 +321,50 @@ def smallest_holder(text: np.ndarray, sizes: np.ndarray, holders: np.ndarray, sp
     return out
 
 
-def _ranges(table: pa.Table) -> pa.Table:
-    """Removed byte ranges (id, start, stop) that the segments of a bucket show."""
-    column = lambda name, kind: np.concatenate([unpack(x, kind) for x in table.column(name).to_pylist()])
-    ids, starts, sizes = column("ids", "<i8"), column("starts", "<i8"), column("sizes", "<i8")
-    blobs = table.column("text").to_pylist()
-    text = np.frombuffer(b"".join(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in blobs), np.uint8)
+def _ranges(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Removed byte ranges (id, start, stop) that the segments of a bucket show.
+
+    Segments are sorted once each, for their smallest holder; their places are looked up a slice at a time.
+    """
+    column = lambda name, kind: [unpack(x, kind) for x in table.column(name).to_pylist()]
+    ids, starts, sizes, kinds = (column(name, "<i8") for name in ("ids", "starts", "sizes", "kinds"))
+    before = np.cumsum([0, *map(len, sizes)])
+    kind = np.concatenate([k + b for k, b in zip(kinds, before[:-1], strict=True)])
+    ids, starts, sizes = (np.concatenate(x) for x in (ids, starts, sizes))
+    text = np.frombuffer(b"".join(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in table.column("text").to_pylist()), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    # equal segments are sorted once, for their smallest holder
-    own = slice_hashes(prefix(text), begin, begin + sizes)
-    order = np.lexsort((ids, sizes, own))
-    new = np.ones(len(order), bool)
-    new[1:] = (own[order][1:] != own[order][:-1]) | (sizes[order][1:] != sizes[order][:-1])
-    one = order[new]
-    n = sizes[one]
+    # the packs' segments again once each
+    _, one, same = np.unique(mix(slice_hashes(prefix(text), begin, begin + sizes) ^ mix(sizes.astype(np.uint64))), return_index=True, return_inverse=True)
+    kind, n = same[kind], sizes[one]
     places = np.repeat(begin[one] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    low = smallest_holder(text[places], n, ids[one])
+    holder = np.full(len(one), LAST)
+    np.minimum.at(holder, kind, ids)
+    low = smallest_holder(text[places], n, holder)
     low_begin = np.cumsum(n - SPAN + 1) - (n - SPAN + 1)
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    windows = sizes - SPAN + 1
-    member = np.repeat(np.arange(len(ids)), windows)
-    offset = np.arange(len(member)) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = low[low_begin[kind[member]] + offset] < ids[member]
-    member, offset = member[gone], offset[gone]
-    head = np.ones(len(member), bool)
-    head[1:] = (member[1:] != member[:-1]) | (offset[1:] != offset[:-1] + 1)
-    first = np.flatnonzero(head)
-    final = np.append(first[1:], len(member)) - 1
-    m = member[first]
-    return pa.table({"id": ids[m], "start": (starts[m] + offset[first]).astype(np.int64), "stop": (starts[m] + offset[final] + SPAN).astype(np.int64)})
+    windows = n[kind] - SPAN + 1
+    cut = np.searchsorted(np.cumsum(windows), np.arange(SLICE, int(windows.sum()) + 1, SLICE)) + 1
+    for a, b in zip(np.append(0, cut), np.append(cut, len(ids)), strict=True):
+        if a >= b:
+            continue
+        w = windows[a:b]
+        member = np.repeat(np.arange(a, b), w)
+        offset = np.arange(len(member)) - np.repeat(np.cumsum(w) - w, w)
+        gone = low[low_begin[kind[member]] + offset] < ids[member]
+        member, offset = member[gone], offset[gone]
+        if not len(member):
+            continue
+        head = np.ones(len(member), bool)
+        head[1:] = (member[1:] != member[:-1]) | (offset[1:] != offset[:-1] + 1)
+        first = np.flatnonzero(head)
+        final = np.append(first[1:], len(member)) - 1
+        m = member[first]
+        parts = [ids[m], (starts[m] + offset[first]).astype(np.int64), (starts[m] + offset[final] + SPAN).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["id", "start", "stop"])
+
+
+def _all_ranges(table: pa.Table) -> pa.Table:
+    kinds = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    return pa.Table.from_batches(list(_ranges(table)), kinds)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,16 +396,17 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """id (LAST for null), start, stop: byte ranges to remove; they may overlap."""
-    spark = docs.sparkSession
-    n = BUCKETS * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     small_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
-    listed = rows.mapInArrow(_list_anchors(n), "bucket int, anchors binary, ids binary")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    low, high = ANCHOR_BUCKET
+    n_anchors, n_segments = max(1, -(-size // min(high, max(low, size // ANCHOR_BUCKETS)))), max(1, -(-size // SEGMENT_BUCKET))
+    listed = rows.mapInArrow(_list_anchors(n_anchors), "bucket int, anchors binary, ids binary, known boolean")
     repeated = listed.groupBy("bucket").applyInArrow(_repeated, "id long, anchor long")
     wanted = repeated.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
     texts = _texts(docs).join(wanted, F.col("order_id") == F.col("id")).select("order_id", "text", "anchors")
-    segments = texts.mapInArrow(_cut_segments(n), "bucket int, ids binary, starts binary, sizes binary, text binary")
-    return segments.groupBy("bucket").applyInArrow(_ranges, "id long, start long, stop long")
+    segments = texts.mapInArrow(_cut_segments(n_segments), "bucket int, ids binary, starts binary, kinds binary, sizes binary, text binary")
+    return segments.groupBy("bucket").applyInArrow(_all_ranges, "id long, start long, stop long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:

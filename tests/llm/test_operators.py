@@ -253,6 +253,35 @@ def test_suffix_dedup(docs, none):
         assert r["n_spans"] == (np.diff(np.concatenate(([0], gone))) == 1).sum()
 
 
+def test_suffix_dedup_of_common_passages(spark, monkeypatch):
+    """Small packs and buckets: a passage in most documents, whole copies, and strings that few share."""
+    monkeypatch.setattr(suffix_dedup, "FLUSH_ANCHORS", 60)
+    monkeypatch.setattr(suffix_dedup, "ROW_ANCHORS", 1)
+    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT_BUCKET", 3000)
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_BUCKET", (2000, 4000))
+    monkeypatch.setattr(suffix_dedup, "SLICE", 64)
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcd"), rng.integers(2, 7)))
+    passage, other = (" ".join(word() for _ in range(30)) for _ in range(2))
+    rows = []
+    for i in range(90):
+        own = " ".join(word() for _ in range(int(rng.integers(1, 60))))
+        rows.append((i, own + (passage if i % 3 else "") + own[:20] + (other[i % 7 :] if i % 5 == 0 else "")))
+    rows += [(100 + i, rows[i][1]) for i in range(10)] + [(200, passage), (201, ""), (202, None)]
+    got = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    seen: set[bytes] = set()
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        b = (text or "").encode()
+        gone, own = np.zeros(len(b) + 1, int), [b[p : p + 50] for p in range(len(b) - 49)]
+        for p, w in enumerate(own):
+            if w in seen:
+                gone[p : p + 50] = 1
+        seen |= set(own)
+        kept = bytes(x for x, g in zip(b, gone, strict=False) if not g)
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
+
+
 def test_token_output(docs, none, spark):
     from tokenizers import Tokenizer
 
