@@ -48,6 +48,18 @@ def curve(rets: DataFrame, key: str = "asset", additive: bool = False) -> DataFr
     return eq.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(by), F.lit(1.0)) - 1)
 
 
+def record(rets: DataFrame, per_year_: float, key: str = "asset", additive: bool = False) -> DataFrame:
+    """key, n_bars, total_return, max_dd, sharpe, years, cagr of return series; years are calendar time, one step more than the span."""
+    c = curve(rets, key, additive)
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    got = c.groupBy(key).agg(
+        F.count("ret").alias("n_bars"), F.max_by("equity", "ts").alias("_last"), F.min("drawdown").alias("max_dd"), sharpe(F.col("ret"), per_year_).alias("sharpe"), ((F.max(seconds) - F.min(seconds)) / 86400 / YEAR_DAYS).alias("_span")
+    )
+    years = F.col("_span") * F.col("n_bars") / F.nullif(F.col("n_bars") - 1, F.lit(0))
+    cagr = F.when(F.col("_last") > 0, F.pow("_last", 1 / F.nullif(F.col("years"), F.lit(0.0))) - 1).otherwise(F.lit(-1.0))
+    return got.withColumn("years", years).select(key, "n_bars", (F.col("_last") - 1).alias("total_return"), "max_dd", "sharpe", "years", cagr.alias("cagr"))
+
+
 def moments(rets: DataFrame, key: str | list[str] = "asset") -> DataFrame:
     """n, Sharpe a bar, biased skewness and kurtosis (3 for a normal)."""
     return rets.groupBy(*([key] if isinstance(key, str) else key)).agg(

@@ -135,9 +135,10 @@ def trade_runs(rets: DataFrame, key: str = "asset") -> DataFrame:
 def nested_selection(rets: DataFrame, block: int, least_sharpe: float, per_year: float, most: int = 8, ceiling: float = 0.6, history: int = 60, key: str = "asset") -> DataFrame:
     """block_id, series, weight: series picked for each block from the returns before it, in equal shares.
 
-    rets (key, ts, bar_idx, ret). Series whose Sharpe so far reaches ``least_sharpe`` are taken from the best
-    down unless they correlate at ``ceiling`` or above (or not measurably) with one taken. What is before a
-    block comes from sums for each block, accumulated; bars are read once and meet no boundaries.
+    rets (key, ts, bar_idx, ret). Of the series whose Sharpe so far reaches ``least_sharpe`` the best is taken; then, while the
+    Sharpe of the equal-weight mix rises, the one that lifts it most, among those that correlate at ``ceiling`` or
+    less (and measurably) with all taken. What is before a block comes from sums for each block, accumulated; bars are
+    read once and meet no boundaries.
     """
     put = rets.filter("ret IS NOT NULL").select(F.col(key).alias("k"), "ts", F.floor(F.col("bar_idx") / block).cast("long").alias("block_id"), "ret")
     a, b = put.select("ts", "block_id", F.col("k").alias("a"), F.col("ret").alias("x")), put.select("ts", F.col("k").alias("b"), F.col("ret").alias("y"))
@@ -152,18 +153,30 @@ def nested_selection(rets: DataFrame, block: int, least_sharpe: float, per_year:
     n = F.col("n")
     vx, vy, cxy = (F.col(p) - F.col(q) * F.col(s) / n for p, q, s in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
     told = past.select(
-        "block_id", "a", "b", F.when((vx > 0) & (vy > 0), cxy / F.sqrt(vx * vy)).alias("corr"),
+        "block_id", "a", "b", F.when((vx > 0) & (vy > 0), cxy / F.sqrt(vx * vy)).alias("corr"), (cxy / (n - 1)).alias("cov"), (F.col("sx") / n).alias("mean"),
         F.when(vx > 0, F.col("sx") / n / F.sqrt(vx / (n - 1)) * per_year**0.5).otherwise(F.lit(0.0)).alias("sharpe"),
     )
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        own = d[d["a"] == d["b"]].set_index("a")["sharpe"]
-        order = own[own >= least_sharpe].sort_index().sort_values(ascending=False, kind="stable").index
-        corr = {frozenset(p): c for *p, c in d[["a", "b", "corr"]].itertuples(index=False)}
-        taken: list[str] = []
-        for s in order:
-            if len(taken) < most and all(corr.get(frozenset((s, t)), np.nan) < ceiling for t in taken):
-                taken.append(s)
+        own = d[d["a"] == d["b"]].set_index("a")
+        names = own["sharpe"][own["sharpe"] >= least_sharpe].sort_index().sort_values(ascending=False, kind="stable").index.tolist()
+        every = sorted(set(d["a"]) | set(d["b"]))
+        place = {s: i for i, s in enumerate(every)}
+        corr, cov = (_matrices(d, every, c) for c in ("corr", "cov"))
+        mean = own["mean"].reindex(every).to_numpy(float)
+
+        def mixed(part: list[str]) -> float:
+            at = [place[s] for s in part]
+            var = cov[np.ix_(at, at)].mean()
+            return mean[at].mean() / np.sqrt(var) if var > 0 else 0.0
+
+        taken = names[:1]
+        while taken and len(taken) < most:
+            open_ = [s for s in names if s not in taken and all(abs(corr[place[s], place[t]]) <= ceiling for t in taken)]
+            best = max(open_, key=lambda s: mixed([*taken, s]), default=None)
+            if best is None or not mixed([*taken, best]) > mixed(taken):
+                break
+            taken.append(best)
         return pd.DataFrame({"block_id": d["block_id"].iloc[0], "series": taken, "weight": 1 / max(len(taken), 1)})
 
     return told.groupBy("block_id").applyInPandas(run, "block_id long, series string, weight double")
@@ -209,3 +222,45 @@ def future_level(level: Column, close: Column, price: Column, ratio: Column, tic
     """A price level restated on a future: the same move, over the hedge ratio, in whole ticks."""
     moved = price * (1 + (level / F.nullif(close, F.lit(0.0)) - 1) / ratio)
     return F.bround(moved / tick) * tick
+
+
+def contract_book(targets: DataFrame, contracts: DataFrame, held: DataFrame, slack: float = 0.6) -> DataFrame:
+    """A dollar book in whole contracts: one row an asset or root with a target or a holding, and a note where it is left out.
+
+    targets (asset, notional), held (root, contracts), contracts (asset, root, price, unit, rate, ratio, low, high): a contract is
+    worth price * unit * rate dollars and must lie in low..high; ratio is the hedge for a dollar held. A held root without a
+    target is closed; assets without a contract, price or rate and holdings of unknown roots are told, not guessed.
+    """
+    known = contracts.withColumn("value", F.col("price") * F.col("unit") * F.col("rate"))
+    rows = known.join(targets, "asset", "full_outer").join(held.withColumnRenamed("contracts", "held"), "root", "full_outer")
+    rows = rows.withColumns({"notional": F.coalesce("notional", F.lit(0.0)), "held": F.coalesce(F.rint("held"), F.lit(0.0))}).filter((F.col("notional") != 0) | (F.col("held") != 0))
+    note = (
+        F.when(F.col("root").isNull(), "no contract for this asset")
+        .when(F.col("asset").isNull(), "held root is no contract of the table")
+        .when((F.col("notional") == 0) & F.col("value").isNull(), "closed without a price")
+        .when(F.col("price").isNull() | (F.col("price") <= 0), "no price")
+        .when(F.col("rate").isNull() | (F.col("rate") <= 0), "no currency rate")
+        .when(~F.col("value").between(F.col("low"), F.col("high")), "contract value out of range")
+    )
+    rows = rows.withColumn("note", note)
+    usable = F.col("note").isNull()
+    raw = F.when(usable, F.col("notional") * F.col("ratio") / F.col("value"))
+    closing = F.col("note") == "closed without a price"
+    target = F.when(usable, whole_contracts(raw, F.col("held"), slack)).when(closing, F.lit(0).cast("long"))
+    rows = rows.withColumns({"raw": raw, "target": target}).withColumn("delta", F.col("target") - F.col("held").cast("long"))
+    action = F.when(F.col("delta") > 0, "BUY").when(F.col("delta") < 0, "SELL").when(F.col("delta") == 0, "hold")
+    off = (F.col("target") - F.col("raw")) * F.col("value") / F.col("ratio")
+    return rows.select("asset", "root", "notional", "value", "raw", F.col("held").cast("long").alias("held"), "target", "delta", action.alias("action"), off.alias("rounding_error"), "note")
+
+
+def translated_orders(orders: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Orders (asset, kind, side, level, shares, close) restated on futures: level in ticks, contracts raw and whole.
+
+    contracts (asset, root, price, value, ratio, tick). An order without a level counts at the last close.
+    """
+    rows = orders.join(F.broadcast(contracts), "asset")
+    raw = F.col("shares") * F.coalesce("level", "close") * F.col("ratio") / F.col("value")
+    moved = F.col("price") * (1 + (F.col("level") / F.nullif(F.col("close"), F.lit(0.0)) - 1) / F.col("ratio"))
+    return rows.select(
+        "asset", "root", "kind", "side", "level", (F.bround(moved / F.col("tick")) * F.col("tick")).alias("fut_level"), raw.alias("contracts_raw"), F.floor(F.abs(raw) + 0.5).cast("long").alias("contracts")
+    )

@@ -14,6 +14,7 @@ only warm up. A position open at the end is marked at the last close.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,6 +153,11 @@ class Run:
     units: np.ndarray
     entry_price: np.ndarray
     since: np.ndarray
+    stop: np.ndarray
+    target: np.ndarray
+    last_atr: np.ndarray
+    trending: np.ndarray  #: the logic of new entries after the last bar
+    size: Callable[[np.ndarray, np.ndarray], np.ndarray]  #: units of an entry at a price, under a logic, after the last bar
 
     def returns(self, account: Account) -> np.ndarray:
         out = np.zeros(self.equity.shape)
@@ -244,6 +250,17 @@ def simulate(bars: pd.DataFrame, plans: pd.DataFrame, account: Account = Account
             cash, paid = np.where(who, cash - due, cash), np.where(who, paid + due, paid)
             say(bar, 12, who, side, 0, c[bar], units, due)
 
+    def size(j: int, at: np.ndarray, logic: np.ndarray) -> np.ndarray:
+        """Units of an entry at the price, under the logic, on what bar j showed (``last_atr``, where its range was unusable)."""
+        base = np.full(m, account.equity) if account.fixed else cash
+        with np.errstate(divide="ignore", invalid="ignore"):
+            by_vol = base * aim / (vol[j] * account.point_value * (1.0 if account.margin > 0 else np.abs(at)))
+            qty = np.where(aim > 0, by_vol, base * risk / (stop_mult * last_atr * account.point_value))
+            qty = qty * np.fmax(direction[j] * np.where(logic, 1.0, -1.0), 0.0)
+            one = np.full(m, account.margin) if account.margin > 0 else account.point_value * np.abs(at)
+            qty = np.where(one > 0, np.fmin(qty, leverage * base / one), 0.0)
+        return np.floor(qty) if account.whole_units else qty
+
     worth = lambda bar: cash + np.where(side != 0, side * units * account.point_value * (c[bar] - price), 0.0)
     none = np.zeros(m, int)
     for i in range(1, n):
@@ -340,16 +357,8 @@ def simulate(bars: pd.DataFrame, plans: pd.DataFrame, account: Account = Account
 
         # sizes
         opens = take != 0
-        base = np.full(m, account.equity) if account.fixed else cash
         reach = stop_mult * a
-        with np.errstate(divide="ignore", invalid="ignore"):
-            by_vol = base * aim / (vol[j] * account.point_value * (1.0 if account.margin > 0 else np.abs(at)))
-            qty = np.where(aim > 0, by_vol, base * risk / (reach * account.point_value))
-            qty = qty * np.fmax(direction[j] * np.where(logic, 1.0, -1.0), 0.0)
-            one = np.full(m, account.margin) if account.margin > 0 else account.point_value * np.abs(at)
-            qty = np.where(one > 0, np.fmin(qty, leverage * base / one), 0.0)
-        if account.whole_units:
-            qty = np.floor(qty)
+        qty = size(j, at, logic)
         say(i, 7, opens & ~(qty > 0), take, order, at, qty)
         opens &= qty > 0
         fee = account.cost_rate * qty * account.point_value * np.abs(at) + account.cost_per_unit * qty
@@ -396,13 +405,18 @@ def simulate(bars: pd.DataFrame, plans: pd.DataFrame, account: Account = Account
         names = ["bar_idx", "seq", "lane", "kind", "side", "detail", "level", "qty", "aux"]
         orders = pd.DataFrame({k: np.concatenate([x[q] for x in events]) if events else np.zeros(0) for q, k in enumerate(names)})
         orders = orders.sort_values(["lane", "seq"], kind="stable").reset_index(drop=True)
-    return Run(equity, entries, trades, orders, side, units, price, since)
+    if n:
+        last_atr = np.where(ready[-1] & (atr[-1] > 0) & ~ruined, atr[-1], last_atr)
+    after = direction[-1] > 0 if n else np.ones(m, bool)
+    return Run(equity, entries, trades, orders, side, units, price, since, stop, target, last_atr, after, lambda at, logic: size(n - 1, at, logic))
 
 
 SCHEMAS = {
     "totals": "final double, total_return double, sharpe double, max_dd double, n_trades long, n_wins long, gain double, loss double, held long, n_bars long",
     "bars": "bar_idx long, ret double, equity double, entered boolean, exited boolean, pnl double",
     "trades": "trade_no long, entry_idx long, exit_idx long, side int, entry_price double, exit_price double, units double, pnl double, cost double, reason string",
+    "states": "position int, units double, entry_price double, entry_idx long, stop double, target double, atr double, equity double, unrealized double",
+    "next_orders": "kind string, side int, level double, shares double, detail_text string",
     "orders": "bar_idx long, seq long, kind string, side int, detail int, detail_text string, level double, qty double, aux double",
 }
 
@@ -430,7 +444,7 @@ def _totals(run: Run, account: Account, first: int, ids: np.ndarray) -> pd.DataF
     })
 
 
-def _frame(output: str, run: Run, account: Account, first: int, ids: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+def _frame(output: str, run: Run, account: Account, first: int, ids: np.ndarray, places: np.ndarray, bars: pd.DataFrame) -> pd.DataFrame:
     """``places``: bar_idx of each row that was simulated; what lies before ``first`` is left out."""
     if output == "totals":
         return _totals(run, account, first, ids)
@@ -454,6 +468,15 @@ def _frame(output: str, run: Run, account: Account, first: int, ids: np.ndarray,
             "entry_idx": places[t["entry_idx"].to_numpy(int)], "exit_idx": places[t["exit_idx"].to_numpy(int)], "side": t["side"].to_numpy(int),
             **{k: t[k].to_numpy(float) for k in ("entry_price", "exit_price", "units", "pnl", "cost")}, "reason": np.array(REASONS)[t["reason"].to_numpy(int)],
         })
+    if output == "states":
+        held, last = run.position != 0, places[-1] if len(places) else -1
+        only = lambda x: np.where(held, x, np.nan)
+        close = bars["close"].to_numpy(float)[-1]
+        return pd.DataFrame({
+            "trial_id": ids, "position": run.position.astype(int), "units": run.units, "entry_price": only(run.entry_price),
+            "entry_idx": np.where(held, places[np.maximum(run.since, 0)], last), "stop": only(run.stop), "target": only(run.target), "atr": run.last_atr,
+            "equity": run.equity[-1], "unrealized": run.position * run.units * account.point_value * (close - np.where(held, run.entry_price, close)),
+        })
     e = run.orders
     kind, detail = e["kind"].to_numpy(int), e["detail"].to_numpy(int)
     text = np.full(len(e), "", dtype=object)
@@ -467,6 +490,35 @@ def _frame(output: str, run: Run, account: Account, first: int, ids: np.ndarray,
     })
 
 
+def next_orders(bars: pd.DataFrame, plans: pd.DataFrame, account: Account, first: int, ids: np.ndarray) -> pd.DataFrame:
+    """The orders that work on the bar after the last: what the simulation has working on a bar whose prices are not known yet."""
+    run = simulate(bars, plans, account, first)
+    unknown = pd.DataFrame({c: [np.nan] for c in ("open", "high", "low", "close")})
+    e = simulate(pd.concat([bars, unknown], ignore_index=True), plans, account, first, True).orders
+    e = e[(e["bar_idx"] == len(bars)) & e["kind"].isin([0, 1, 3, 8, 9, 10])]
+    lane, kind = e["lane"].to_numpy(int), e["kind"].to_numpy(int)
+    level = e["level"].to_numpy(float)
+    names = {0: "entry", 1: "market_on_open", 3: "limit", 8: "stop", 9: "target", 10: "exit_on_open"}
+    name = np.array([names[k] for k in kind], dtype=object)
+    entry_type = np.where(kind == 0, e["detail"].to_numpy(int), 0)
+    name = np.where(kind == 0, np.array(ORDER_TYPES, dtype=object)[entry_type], name)
+    close = bars["close"].to_numpy(float)[-1] if len(bars) else np.nan
+    shares = run.units[lane]
+    for k in np.flatnonzero(np.isin(kind, (0, 1, 3))):
+        at, logic = np.full(len(ids), close if np.isnan(level[k]) else level[k]), run.trending
+        shares[k] = run.size(at, logic)[lane[k]]
+    text = np.where(kind == 8, np.array(STOP_KINDS, dtype=object)[np.where(kind == 8, e["detail"].to_numpy(int), 0)], "")
+    side = np.where(np.isin(kind, (8, 9, 10)), -e["side"].to_numpy(int), e["side"].to_numpy(int))
+    return pd.DataFrame({"trial_id": ids[lane], "kind": name, "side": side, "level": level, "shares": shares, "detail_text": text})
+
+
+def _run_group(output: str, b: pd.DataFrame, p: pd.DataFrame, account: Account, first: int) -> pd.DataFrame:
+    ids = p["trial_id"].to_numpy(int)
+    if output == "next_orders":
+        return next_orders(b.reset_index(drop=True), p, account, first, ids)
+    return _frame(output, simulate(b, p, account, first, output == "orders"), account, first, ids, b["bar_idx"].to_numpy(int), b)
+
+
 BAR_COLUMNS = ["bar_idx", "open", "high", "low", "close"]
 
 
@@ -490,7 +542,7 @@ def simulated(bars: DataFrame, plans: DataFrame, output: str = "totals", account
         if not len(b) or not len(p):
             return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
         b, p = b.sort_values("bar_idx"), p.sort_values("trial_id")
-        got = _frame(output, simulate(b, p, account, first, output == "orders"), account, first, p["trial_id"].to_numpy(int), b["bar_idx"].to_numpy(int))
+        got = _run_group(output, b, p, account, first)
         got.insert(0, "asset", key[0])
         return got
 
@@ -521,7 +573,7 @@ def windowed(bars: DataFrame, spans: DataFrame, plans: DataFrame, warm: int, out
             return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
         b, p = b.sort_values("bar_idx"), p.sort_values("trial_id")
         first = int((b["bar_idx"] < b["start"]).sum())
-        got = _frame(output, simulate(b, p, account, first, output == "orders"), account, first, p["trial_id"].to_numpy(int), b["bar_idx"].to_numpy(int))
+        got = _run_group(output, b, p, account, first)
         got.insert(0, "asset", key[0])
         got.insert(1, "window_id", key[1])
         return got

@@ -9,8 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, metrics, recursive, search, simulation
+from barloom.operators import backtest, book, calendar, metrics, portfolio, recursive, search, simulation
 from barloom.plans import research
+from barloom.sources import bars as src
 from barloom.sources.synthetic import regime_walk, synthetic_bars
 
 K = 30
@@ -211,3 +212,91 @@ def test_bands_hold_on_missing_targets_and_one_side(spark):
     rows = spark.createDataFrame([("a", 0, 0.8), ("a", 1, None), ("a", 2, 0.5), ("a", 3, -0.4), ("a", 4, 0.1)], "asset string, bar_idx long, target double")
     ask = lambda s: [round(r["level"], 9) for r in recursive.buffered_levels(rows, 0.3, s).orderBy("bar_idx").collect()]
     assert ask("both") == [0.5, 0.0, 0.5, -0.1, -0.1] and ask("long_only") == [0.5, 0.0, 0.5, 0.0, 0.0] and ask("short_only") == [0.0, 0.0, 0.0, -0.1, 0.0]
+
+
+def stamps(spark, by_asset):
+    return spark.createDataFrame([(a, t.to_pydatetime()) for a, ts in by_asset.items() for t in ts], "asset string, ts timestamp_ntz")
+
+
+def test_sessions_of_kinds_of_calendars(spark):
+    days = pd.bdate_range("2021-01-04", "2022-12-30")
+    hours = lambda first, n, d: pd.DatetimeIndex([x + pd.Timedelta(hours=first + k) for x in d for k in range(n)])
+    all_day = pd.date_range("2021-01-01", "2022-12-31", freq="h")
+    rng = np.random.default_rng(1)
+    ticks = pd.DatetimeIndex(sorted(d + pd.Timedelta(seconds=int(s)) for d in days[:200] for s in rng.integers(14 * 3600, 21 * 3600, 20)))
+    bars = stamps(spark, {"equity": hours(14, 7, days), "future": hours(23, 23, days), "crypto": all_day, "daily": days, "ticks": ticks.unique(), "two": days[:2]})
+    got = {r["asset"]: r for r in calendar.annualization(bars).collect()}
+    assert "two" not in got and (got["daily"]["sessions_per_year"], got["daily"]["cut"]) == (None, 0) and got["daily"]["per_year"] in (260, 261)
+    assert got["crypto"]["cut"] == 0 and got["crypto"]["sessions_per_year"] in (365, 366) and 8700 < got["crypto"]["per_year"] < 8800
+    assert not 14 * 60 <= got["equity"]["cut"] <= 20 * 60 and got["equity"]["sessions_per_year"] in (260, 261)
+    # a session of 23 hours from 23:00 on breaks after its bar of 21:00
+    assert got["future"]["cut"] == 22 * 60 and got["future"]["sessions_per_year"] in (260, 261)
+    odd = {r["asset"]: r["irregular"] for r in calendar.irregular(bars.filter("asset <> 'two'")).collect()}
+    assert odd == {"equity": False, "future": False, "crypto": False, "daily": False, "ticks": True}
+    assert calendar.best_cut(np.array([5, 5, 9, 9, 5, 5]), np.zeros(6, int), 240) == 1200
+    assert {r["asset"]: r["intraday"] for r in src.intraday(bars).collect()} == {"equity": True, "future": True, "crypto": True, "daily": False, "ticks": True, "two": False}
+
+
+def test_loading_of_numeric_dates_and_rolls(spark, tmp_path):
+    def load(text):
+        (tmp_path / "x.csv").write_text(text)
+        return [(str(r["ts"]), r["close"], r["roll"] if "roll" in r else None) for r in src.csv_bars(spark, str(tmp_path / "x.csv"), "x").orderBy("ts").collect()]
+
+    head = "stamp,Open,High,Low,Close\n"
+    assert [x[0][:10] for x in load(head + "13.01.2023,1,1,1,1\n14.01.2023,1,1,1,2\n")] == ["2023-01-13", "2023-01-14"]
+    assert [x[0][:10] for x in load(head + "01/13/2023,1,1,1,1\n02/01/2023,1,1,1,2\n")] == ["2023-01-13", "2023-02-01"]
+    # all fields fit both: a day of bars, not months of jumps
+    assert [x[0] for x in load(head + "02.01.2023 10:00,1,1,1,1\n02.01.2023 11:00,1,1,1,2\n03.01.2023 10:00,1,1,1,3\n")] == ["2023-01-02 10:00:00", "2023-01-02 11:00:00", "2023-01-03 10:00:00"]
+    assert [x[0] for x in load(head + "2023-01-02 10:00:00.250,1,1,1,1\n2023-01-02T10:00:01+01:00,1,1,1,2\n")] == ["2023-01-02 09:00:01", "2023-01-02 10:00:00.250000"]
+    rolled = load("stamp,Open,High,Low,Close,Roll\n2023-01-02,1,1,1,1,no\n2023-01-03,,1,1,1,TRUE\n2023-01-04,1,1,1,1,1\n2023-01-04,1,1,1,2,\n2023-01-05,0,0,0,0,y\n")
+    assert rolled == [("2023-01-02 00:00:00", 1.0, 1.0), ("2023-01-04 00:00:00", 2.0, 2.0)]
+    with pytest.raises(Exception, match="not a roll flag"):
+        load("stamp,Open,High,Low,Close,Roll\n2023-01-02,1,1,1,1,maybe\n")
+    bars = spark.createDataFrame([("a", 1.0, 2.0, -1.0, 1.0)], "asset string, open double, high double, low double, close double")
+    assert src.checked(bars, margin=10.0).count() == 1
+    for why, how in (("margin", {}), ("basis points", {"margin": 1.0, "cost_bps": 5.0}), ("roll", {"margin": 1.0, "roll_cost": 1.0}), ("needed", {"margin": 1.0, "least": 5}), ("point_value", {"point_value": 0.0})):
+        with pytest.raises(ValueError, match=why):
+            src.checked(bars, **how)
+
+
+def test_next_orders_are_what_the_next_bar_works(spark):
+    """Orders after the first k bars are those that the log has on bar k of a longer run."""
+    bars = synthetic_bars(spark, [4], 260)
+    plans = research.plans(spark)
+    log = simulation.simulated(bars, plans, "orders").filter("bar_idx = 200").toPandas()
+    got = simulation.simulated(bars.filter("bar_idx < 200"), plans, "next_orders").toPandas()
+    states = {r["trial_id"]: r for r in simulation.simulated(bars.filter("bar_idx < 200"), plans, "states").collect()}
+    assert len(states) == 72 and len(got)
+    for k in range(72):
+        own, now = got[got.trial_id == k], log[log.trial_id == k]
+        work = now[now.kind.isin(["stop_working", "target_working"])] if states[k]["position"] else now[now.kind.isin(["entry_working", "pullback_working"])]
+        levels = own[~own.kind.isin(["market_on_open", "exit_on_open"])].level
+        known = work.level if not states[k]["position"] else now[now.seq < now[now.kind == "entry_fill"].seq.min()].level if (now.kind == "entry_fill").any() else work.level
+        assert sorted(levels) == pytest.approx(sorted(known))
+        assert (own.shares >= 0).all()
+
+
+def test_books_and_verdicts(spark):
+    table = spark.createDataFrame([("a", 1.0, 9, 50, -0.2, True, 0.7), ("b", 1.0, 2, 50, -0.2, True, 0.7), ("c", -1.0, 9, 50, -0.2, True, 0.7), ("d", 1.0, 9, 50, -1.0, True, 0.7), ("e", 1.0, 9, 50, None, False, None)], "k string, oos_sharpe double, n_live int, n_trades int, oos_max_dd double, pardo_pass boolean, wfe double")
+    names = lambda d: sorted(r["k"] for r in d.collect())
+    assert names(book.candidates(table)) == ["a", "e"] and names(book.candidates(table, pardo=True)) == ["a"] == names(book.candidates(table, least_wfe=0.5))
+    diag = spark.createDataFrame([(1, 3, 0.8, 0.1, 0.01, 0.99, 10.0, 5.0, 0), (2, 3, 0.3, 0.4, 0.01, 0.99, 10.0, 5.0, 0), (3, 0, -0.1, 0.6, 0.3, 0.5, 1.0, 5.0, 2)], "k int, n_slots int, nested_sharpe double, pbo double, reality_check_p double, dsr double, years double, min_years double, weak_slots int")
+    got = {r["k"]: (r["level"], len(r["reasons"])) for r in book.verdict(diag).collect()}
+    assert got == {1: ("good", 0), 2: ("warning", 2), 3: ("critical", 7)}
+    legs = spark.createDataFrame([("x", 1, 1, 10.0, 100.0, 1.0, 0.0, 90.0), ("x", 2, -1, 4.0, 100.0, 1.0, 0.0, None), ("y", 3, 1, 2.0, 50.0, 10.0, 300.0, 45.0)], "asset string, slot int, side int, shares double, price double, point_value double, margin double, stop double")
+    free = {r["asset"]: r for r in book.book_targets(legs, 1000.0).collect()}
+    assert (free["x"]["shares"], free["x"]["notional"], free["x"]["open_risk"], free["y"]["notional"], free["y"]["scale"]) == (6.0, 600.0, 100.0, 600.0, 1.0)
+    tight = {r["asset"]: r for r in book.book_targets(legs, 1000.0, 1.0).collect()}
+    assert tight["x"]["scale"] == pytest.approx(0.5) and tight["y"]["shares"] == pytest.approx(1.0)
+    trades = spark.createDataFrame([("a", 1.0, 3.0, 2.0, 10.0), ("b", 3.0, 1.0, -2.0, None), ("c", 1.0, 1.0, 0.0, 5.0)], "asset string, held double, target double, order double, price double")
+    assert [(r["action"], r["order_notional"]) for r in book.order_actions(trades).orderBy("asset").collect()] == [("BUY", 20.0), ("SELL", None), ("hold", 0.0)]
+    orders = spark.createDataFrame([("A", "stop", -1, 95.0, 10.0, 100.0), ("A", "market_on_open", 1, None, 5.0, 100.0), ("B", "stop", 1, 1.0, 1.0, 1.0)], "asset string, kind string, side int, level double, shares double, close double")
+    futures = spark.createDataFrame([("A", "R", 4000.0, 1000.0, 2.0, 0.25)], "asset string, root string, price double, value double, ratio double, tick double")
+    told = {r["kind"]: r for r in portfolio.translated_orders(orders, futures).collect()}
+    assert told["stop"]["fut_level"] == 3900.0 and told["stop"]["contracts"] == 2 and told["market_on_open"]["fut_level"] is None and told["market_on_open"]["contracts_raw"] == pytest.approx(1.0)
+
+
+def test_orders_collapse(spark):
+    rows = [("a", i, "stop_working", -1, "hard", 99.0 if i < 4 else 98.0, 1.0) for i in (1, 2, 3, 4, 6)] + [("a", 6, "exit_fill", -1, "stop", 98.0, 1.0)]
+    got = book.collapsed(spark.createDataFrame(rows, "asset string, bar_idx long, kind string, side int, detail_text string, level double, qty double"), "asset").collect()
+    assert sorted((r["first_bar"], r["last_bar"], r["n_bars"], r["level"], r["kind"]) for r in got) == [(1, 3, 3, 99.0, "stop_working"), (4, 4, 1, 98.0, "stop_working"), (6, 6, 1, 98.0, "exit_fill"), (6, 6, 1, 98.0, "stop_working")]
