@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.native import let, own_columns, window_hashes, words
+from barloom.llm.storage import rewritten
 
 WIDTH, LEAST, EXACT_BELOW = 5, 0.8, 24
 #: Partitions by the power of two of the number of slots; the last takes all larger documents at full resolution.
 PARTITIONS = tuple(range(4, 32, 2))
-#: Index rows up to which the index is broadcast; a larger one is joined by shuffle.
+EXACT = -1  #: stands for the finest partition, of all shingles
+#: Rows up to which the index, the candidates and the ids found are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -52,30 +54,29 @@ def _partition(n: Column) -> Column:
     return e
 
 
+def _bound(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of each pair at or above LEAST."""
     wanted = items.filter("item_id IS NOT NULL").select("item_id", shingles(F.col("text")).alias("item")).filter(F.size("item") > 0)
     wanted = wanted.withColumn("n_item", F.size("item").cast("long"))
     large = wanted.filter(F.col("n_item") >= EXACT_BELOW).withColumn("e", F.explode(F.array(*map(F.lit, PARTITIONS))))
     index = large.select("item_id", "e", F.explode(_minima(F.col("item"), F.col("e"))).alias("h"))
-    small = wanted.filter(F.col("n_item") < EXACT_BELOW).select("item_id", F.explode("item").alias("h"))
-    bound = lambda d, n: F.broadcast(d) if n <= BROADCAST_ROWS else d
-    n_index, n_small = index.count(), small.count()
-
-    hashed = docs.filter("doc_id IS NOT NULL").select("doc_id", shingles(F.col("text")).alias("doc"))
-    signed = hashed.select("doc_id", "doc", _partition(F.size("doc")).alias("e"))
-    minima = signed.select("doc_id", "e", F.explode(_minima(F.col("doc"), F.col("e"))).alias("h"))
-    found = minima.join(bound(index, n_index), ["e", "h"]).select("doc_id", "item_id")
-    if n_small:
-        every = hashed.select("doc_id", F.explode("doc").alias("h"))
-        found = found.unionByName(every.join(bound(small, n_small), "h").select("doc_id", "item_id"))
-    candidates = found.distinct()
-
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    exact = (
-        candidates.join(wanted, "item_id")
-        .join(texts, F.col("doc_id") == F.col("_id"))
-        .select("doc_id", "item_id", "n_item", F.size(F.array_intersect(shingles(F.col("_text")), F.col("item"))).cast("long").alias("n_shared"))
+    small = wanted.filter(F.col("n_item") < EXACT_BELOW).select("item_id", F.lit(EXACT).alias("e"), F.explode("item").alias("h"))
+    has_small = not small.isEmpty()
+
+    # a text is shingled once: its minima, and all its shingles where items ask for them
+    def keys(d: Column) -> Column:
+        minima = let(_partition(F.size(d)), lambda e: F.transform(_minima(d, e), lambda h: F.struct(e.alias("e"), h.alias("h"))))
+        return F.concat(minima, F.transform(d, lambda h: F.struct(F.lit(EXACT).alias("e"), h.alias("h")))) if has_small else minima
+
+    hashed = docs.filter("doc_id IS NOT NULL").select("doc_id", F.explode(let(shingles(F.col("text")), keys)).alias("k")).select("doc_id", "k.e", "k.h")
+    found = hashed.join(_bound(index.unionByName(small)), ["e", "h"]).select("doc_id", "item_id").distinct()
+    candidates = _bound(rewritten(found, "candidates")).join(_bound(wanted), "item_id")
+    exact = docs.select("doc_id", "text").join(_bound(candidates), "doc_id").select(
+        "doc_id", "item_id", "n_item", F.size(F.array_intersect(shingles(F.col("text")), F.col("item"))).cast("long").alias("n_shared")
     )
     return (
         exact.groupBy("doc_id", "item_id")
@@ -87,7 +88,7 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item; a null doc_id stays."""
-    return docs.join(contained(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*own_columns(docs))
+    return docs.join(_bound(rewritten(contained(docs, items).select("doc_id").distinct(), "found")), "doc_id", "left_anti").select(*own_columns(docs))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,7 +150,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = verdict(verdict(ledger(docs), BASE_POLICY, "_base"), POLICY)
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "fail_bits"
     )
 
 
@@ -182,6 +182,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > 3 * n_words
             OR 2 * n_dup_lines > n_lines OR word_chars > 14 * n_words OR 2 * word_chars < 5 * n_words
-            OR 2 * n_capitals > word_chars) AS kept
+            OR 2 * n_capitals > word_chars) AS kept,
+       CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT + 8 * (2 * n_dup_lines > n_lines)::INT
+            + 16 * (word_chars > 14 * n_words)::INT + 32 * (2 * word_chars < 5 * n_words)::INT + 64 * (2 * n_capitals > word_chars)::INT AS BIGINT) AS fail_bits
 FROM m
 """
