@@ -80,9 +80,9 @@ def hurst(n: int, moves: list[Column]) -> Column:
     x = [math.log(q) for q in range(1, len(moves) + 1)]
     mean = sum(x) / len(x)
     spread = sum((v - mean) ** 2 for v in x)
-    logs = [F.ln(F.nullif(F.var_pop(m).over(back(n - q)), F.lit(0.0))) for q, m in enumerate(moves, 1)]
+    logs = [F.ln(F.nullif(F.var_pop(m).over(back(n)), F.lit(0.0))) for m in moves]
     slope = reduce(lambda a, b: a + b, (F.lit((v - mean) / spread) * y for v, y in zip(x, logs, strict=True)))
-    return full(slope / 2, moves[-1], n - len(moves))
+    return full(slope / 2, moves[-1], n)
 
 
 def percentile_rank(x: Column, n: int) -> Column:

@@ -8,6 +8,8 @@ length of its history; assets run in parallel.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +19,71 @@ from pyspark.sql import functions as F
 MEMORY, LIFETIMES, SWITCHES = 250, (20, 40, 80, 160), (0.25, 0.5, 1, 2, 4, 8)
 
 
+@dataclass(frozen=True)
+class Expert:
+    """A channel of n bars (highest and lowest, or an average with k ranges around it) and the side taken on a break of it."""
+
+    kind: str
+    n: int
+    k: float = 0.0
+    side: int = 1
+    hold: int = 0  #: bars a break stays the stance; 0: n
+
+    @property
+    def span(self) -> int:
+        return self.hold or self.n
+
+    @property
+    def label(self) -> str:
+        base = str(self.n) if self.kind == "donchian" else f"kel{self.n}x{self.k:g}"
+        return f"{'follow' if self.side > 0 else 'fade'}_{base}" + (f"_h{self.hold}" if self.hold else "")
+
+
+#: Lookbacks of the ladders, width of their bands, memory and lifetimes of their learners.
+RUNGS, LONG_RUNGS, WIDE = (10, 20, 40, 80), (20, 40, 80, 160), 2.0
+FAST_LEARNER, SLOW_LEARNER = (250, (20, 40, 80, 160)), (750, (250, 500, 750))
+FOLLOW_LEARNER, FADE_LEARNER, TOP_LEARNER = (500, (125, 250, 500)), (250, (10, 20, 40, 80)), (120, (10, 20, 40))
+LADDERS = ("hedge", "hedge_wide", "hedge_slow", "hedge_wide_slow", "hedge_long", "hedge_split")
+
+
+def _two(spans: tuple[int, ...], side: int, holds: tuple[int, ...] = (0,)) -> list[Expert]:
+    return [Expert(kind, n, WIDE if kind == "keltner" else 0.0, side, hold) for kind in ("donchian", "keltner") for n in spans for hold in holds]
+
+
+def ladder(name: str = "hedge", mode: str = "learned") -> list[Expert]:
+    """The experts of a ladder: following (trend), fading (countertrend), or both (learned)."""
+    if name == "hedge_split":
+        follow, fade = _two((20, 40, 80), 1), _two((5, 10, 20), -1, (1, 3))
+    else:
+        spans = LONG_RUNGS if name == "hedge_long" else RUNGS
+        make = (lambda side: _two(spans, side)) if "wide" in name else (lambda side: [Expert("donchian", n, side=side) for n in spans])
+        follow, fade = make(1), make(-1)
+    return {"trend": follow, "countertrend": fade, "learned": follow + fade}[mode]
+
+
+def learner_of(name: str) -> tuple[int, tuple[int, ...]]:
+    """Memory and lifetimes of a ladder's learner."""
+    return SLOW_LEARNER if name in ("hedge_slow", "hedge_wide_slow", "hedge_long") else FAST_LEARNER
+
+
+def split_committee(loss: np.ndarray, followers: int, sharing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of all experts and the weight on trading: one learner for each group, and one over the two committees.
+
+    A committee's loss on a bar is what the weights of the bar before suffered.
+    """
+    def run(x: np.ndarray, learner: tuple[int, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        keep, share, slow = rungs(learner[0], learner[1], sharing)
+        return committee(x, learner[0], keep, share, slow)
+
+    parts = [loss[:, :followers], loss[:, followers:]]
+    own = [run(x, learner)[0] for x, learner in zip(parts, (FOLLOW_LEARNER, FADE_LEARNER), strict=True)]
+    top = np.full((len(loss), 2), 0.5)
+    for g in range(2):
+        top[1:, g] = np.clip((own[g][:-1] * parts[g][1:]).sum(1), 0, 1)
+    weight, trade = run(top, TOP_LEARNER)
+    return np.concatenate([weight[:, :1] * own[0], weight[:, 1:] * own[1]], axis=1), trade
+
+
 def rungs(memory: int = MEMORY, lifetimes: tuple[int, ...] = LIFETIMES, sharing: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
     """Discount and share rate of each rung, and the discount of the layers above them."""
     slow = 1 - 1 / max(lifetimes)
@@ -72,17 +139,19 @@ def committee(loss: np.ndarray, memory: int, keep: np.ndarray, share: np.ndarray
     return (v[..., None] * w).sum(1), 1 / (1 + np.exp(edge))
 
 
-def hedge(rows: DataFrame, memory: int = MEMORY, lifetimes: tuple[int, ...] = LIFETIMES, sharing: bool = True) -> DataFrame:
+def hedge(rows: DataFrame, memory: int = MEMORY, lifetimes: tuple[int, ...] = LIFETIMES, sharing: bool = True, followers: int | None = None) -> DataFrame:
     """asset, bar_idx, weights, trade, position of rows (asset, bar_idx, stances array, losses array).
 
-    position: trade times the weighted stance, within [-1, 1]. A null in the arrays counts as stance 0 and loss 0.5.
+    position: trade times the weighted stance, within [-1, 1]. A null in the arrays counts as stance 0 and loss 0.5. With
+    ``followers`` the first so many experts and the rest have learners of their own, and a third one over them.
     """
     keep, share, slow = rungs(memory, lifetimes, sharing)
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("bar_idx")
         stances, losses = (np.array(d[c].tolist(), float) for c in ("stances", "losses"))
-        weights, trade = committee(np.nan_to_num(losses, nan=0.5), memory, keep, share, slow)
+        losses = np.nan_to_num(losses, nan=0.5)
+        weights, trade = committee(losses, memory, keep, share, slow) if followers is None else split_committee(losses, followers, sharing)
         position = trade * np.clip((weights * np.nan_to_num(stances)).sum(1), -1, 1)
         return pd.DataFrame({"asset": d["asset"], "bar_idx": d["bar_idx"], "weights": list(weights), "trade": trade, "position": position})
 
@@ -94,8 +163,15 @@ def hedge(rows: DataFrame, memory: int = MEMORY, lifetimes: tuple[int, ...] = LI
 def ridge(x: np.ndarray, y: np.ndarray, memory: int, keep: float, prior: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     """Coefficients (bars, features) at each bar from the pairs of the last ``memory`` bars that are two bars old or older.
 
-    Pairs with a missing value weigh nothing; without pairs the coefficients are the prior.
+    Pairs with a missing value weigh nothing; without pairs the coefficients are the prior. A coefficient of infinite
+    precision stays at its prior, and its share is taken off y.
     """
+    free = np.isfinite(penalty)
+    if not free.all():
+        out = np.tile(prior, (len(x), 1)).astype(float)
+        if free.any():
+            out[:, free] = ridge(x[:, free], y - x[:, ~free] @ prior[~free], memory, keep, prior[free], penalty[free])
+        return out
     known = np.isfinite(x).all(1) & np.isfinite(y)
     a, b = np.where(known[:, None], x, 0.0), np.where(known, y, 0.0)
     gram, cross = a[:, :, None] * a[:, None, :], a * b[:, None]

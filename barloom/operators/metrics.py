@@ -96,3 +96,77 @@ def against(rets: DataFrame, benchmark: str, key: str = "asset") -> DataFrame:
     base = rets.filter(F.col(key) == benchmark).select("ts", F.col("ret").alias("base"))
     both = rets.filter(F.col(key) != benchmark).join(base, "ts", "left").withColumn("base", F.coalesce("base", F.lit(0.0)))
     return both.groupBy(key).agg(F.try_divide(F.covar_samp("ret", "base"), F.nullif(F.var_samp("base"), F.lit(0.0))).alias("beta"), F.corr("ret", "base").alias("corr"))
+
+
+def aligned(rets: DataFrame, key: str = "asset") -> DataFrame:
+    """The rows at stamps that every series has, missing returns as 0."""
+    n = rets.select(key).distinct().agg(F.count(F.lit(1)).alias("_n"))
+    shared = rets.groupBy("ts").agg(F.count_distinct(key).alias("_c")).join(F.broadcast(n), F.col("_c") == F.col("_n")).select("ts")
+    return rets.join(shared, "ts", "left_semi").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+
+
+def added(*parts: DataFrame) -> DataFrame:
+    """ts, ret: returns of several blocks added stamp by stamp; a block without a stamp counts 0 there."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, (p.select("ts", "ret") for p in parts)).groupBy("ts").agg(F.sum("ret").alias("ret"))
+
+
+def verified(stored: DataFrame, again: DataFrame, keys: tuple[str, ...] = ("ts",), tolerance: float = 1e-12) -> DataFrame:
+    """One row: n, missing, worst, ok; whether returns made again are the stored ones, to ``tolerance``."""
+    both = stored.join(again.withColumnRenamed("ret", "_again"), list(keys), "full_outer")
+    off = F.max(F.abs(F.col("ret") - F.col("_again")))
+    got = both.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("ret").isNull() | F.col("_again").isNull()).cast("long")).alias("missing"), F.coalesce(off, F.lit(0.0)).alias("worst"))
+    return got.withColumn("ok", (F.coalesce("missing", F.lit(0)) == 0) & (F.col("worst") <= tolerance))
+
+
+def closed_after_ruin(rets: DataFrame, key: str = "asset") -> DataFrame:
+    """The returns with every one after a curve first reaches 0 or less set to 0: the account is closed."""
+    by = Window.partitionBy(key).orderBy("ts")
+    marked = rets.withColumn("_d", (F.product(1 + F.col("ret")).over(by.rowsBetween(Window.unboundedPreceding, 0)) <= 0).cast("int"))
+    before = F.coalesce(F.max("_d").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("ret", F.when(before == 1, F.lit(0.0)).otherwise(F.col("ret"))).drop("_d")
+
+
+def benchmark_returns(bars: DataFrame, point_value: float = 1.0, equity: float = 100_000.0, margin: float = 0.0) -> DataFrame:
+    """asset, ts, kind, ret: holding the asset, or for one with a margin or with prices at 0 or below one unit on the equity."""
+    by = Window.partitionBy("asset").orderBy("ts")
+    low = F.min("low").over(Window.partitionBy("asset"))
+    held = F.lit(not margin > 0) & (low > 0)
+    step = F.col("close") - F.lag("close").over(by)
+    ret = F.when(held, step / F.nullif(F.lag("close").over(by), F.lit(0.0))).otherwise(step * point_value / equity)
+    return bars.select("asset", "ts", F.when(held, "buy_and_hold").otherwise("one_unit").alias("kind"), ret.alias("ret")).filter("ret IS NOT NULL")
+
+
+def exposures(bars: DataFrame, trades: DataFrame, curve_: DataFrame, keys: tuple[str, ...] = ("asset", "trial_id"), point_value: float = 1.0, margin: float = 0.0, per_year_: float = 252.0) -> DataFrame:
+    """keys, n_bars, held_bars, gross, net, turnover: exposure and change of position over equity, of whole series.
+
+    trades (keys, entry_idx, exit_idx, side, units) cover [entry, exit); curve_ (keys, bar_idx, equity). Units come from their
+    changes at the ends of trades, summed in order: no bar is joined with the trades that cover it.
+    """
+    k = list(keys)
+    ends = trades.select(*k, F.col("entry_idx").alias("bar_idx"), (F.col("side") * F.col("units")).alias("d")).unionByName(
+        trades.select(*k, F.col("exit_idx").alias("bar_idx"), (-F.col("side") * F.col("units")).alias("d"))
+    )
+    steps = ends.groupBy(*k, "bar_idx").agg(F.sum("d").alias("d"))
+    rows = curve_.select(*k, "bar_idx", "equity").join(bars.select("asset", "bar_idx", "close"), ["asset", "bar_idx"]).join(steps, [*k, "bar_idx"], "left")
+    by = Window.partitionBy(*k).orderBy("bar_idx")
+    d = F.coalesce("d", F.lit(0.0))
+    units = F.round(F.sum(d).over(by.rowsBetween(Window.unboundedPreceding, 0)), 9)
+    basis = F.lit(float(margin)) if margin > 0 else F.abs("close") * point_value
+    rows = rows.withColumns({"u": units, "moved": F.abs(d) * basis, "one": basis})
+    over = lambda c: F.when(F.col("equity") > 0, c / F.col("equity")).otherwise(F.lit(0.0))
+    return rows.groupBy(*k).agg(
+        F.count(F.lit(1)).alias("n_bars"), F.sum((F.col("u") != 0).cast("long")).alias("held_bars"), F.avg(over(F.abs(F.col("u") * F.col("one")))).alias("gross"),
+        F.avg(over(F.col("u") * F.col("one"))).alias("net"), (F.avg(over(F.col("moved"))) * per_year_).alias("turnover"),
+    )
+
+
+def breakeven(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, breakeven: the cost at which a return (cost, ret) first falls to 0, between its neighbours; 0 if it starts there, infinite if never."""
+    by = Window.partitionBy(*keys).orderBy("cost")
+    x0, y0 = F.lag("cost").over(by), F.lag("ret").over(by)
+    cross = F.when(F.col("ret") <= 0, F.coalesce(x0 + (F.col("cost") - x0) * y0 / (y0 - F.col("ret")), F.lit(0.0)))
+    marked = rows.withColumn("_x", F.struct(F.col("cost"), cross.alias("at")))
+    first = F.min(F.when(F.col("ret") <= 0, F.col("_x")))
+    return marked.groupBy(*keys).agg(F.coalesce(first["at"], F.lit(float("inf"))).alias("breakeven"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -191,3 +192,19 @@ def plateau(scores: DataFrame, keys: list[str], dims: int) -> DataFrame:
     best = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("smooth"), F.desc_nulls_last("score"), "trial_id")
     picked = (F.row_number().over(best) == 1) & F.col("smooth").isNotNull()
     return rows.withColumn("picked", picked).select(*scores.columns, "smooth", "picked")
+
+
+def matrix(bars: DataFrame, plans: DataFrame, dims: int, trains: tuple[int, ...] = (250, 375, 500, 750), tests: tuple[int, ...] = (63, 125, 250), **how) -> DataFrame:
+    """train, test and the summary of each asset for every pair of lengths that fits the longest series."""
+    longest = bars.groupBy("asset").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    cells = [(a, b) for a in trains for b in tests if a + b < longest]
+    each = [
+        summary(walk_forward(bars, plans, dims, a, b, **how), walk_forward(bars, plans, dims, a, b, "bars", **how)).withColumns({"train": F.lit(a), "test": F.lit(b)}) for a, b in cells
+    ]  # a dozen cells at most
+    return reduce(DataFrame.unionByName, each) if each else summary(walk_forward(bars.limit(0), plans, dims), walk_forward(bars.limit(0), plans, dims, output="bars")).withColumns({"train": F.lit(0), "test": F.lit(0)})
+
+
+def cost_sweep(bars: DataFrame, plans: DataFrame, costs: tuple[float, ...] = (0.0, 2.0, 5.0, 10.0, 20.0), account: simulation.Account = simulation.Account()) -> DataFrame:
+    """asset, trial_id, cost (basis points a side) and totals of every plan at every cost."""
+    runs = [simulation.simulated(bars, plans, "totals", replace(account, cost_rate=c / 1e4)).withColumn("cost", F.lit(float(c))) for c in costs]
+    return reduce(DataFrame.unionByName, runs)

@@ -129,7 +129,7 @@ class Formed:
 
     def hurst(self, n, most=10):
         x = np.log(np.arange(1, most + 1))
-        y = np.stack([np.log(self.c.diff(q).rolling(n - q).var(ddof=0).where(lambda v: v > 0)) for q in range(1, most + 1)])
+        y = np.stack([np.log(self.c.diff(q).rolling(n).var(ddof=0).where(lambda v: v > 0)) for q in range(1, most + 1)])
         return ((x - x.mean()) @ y) / ((x - x.mean()) ** 2).sum() / 2
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions import forecast
 from barloom.functions import indicators as ind
 from barloom.operators import learners, metrics, portfolio
-from barloom.plans.queries import RETS, query, r
+from barloom.plans.queries import BARS, RETS, query, r
 from barloom.sources import bars as src
 
 #: Channel lengths of the experts.
@@ -16,19 +17,29 @@ SPANS = (10, 20, 40, 80)
 ATR, COST = 20, 0.0005
 
 
-def experts(bars: DataFrame) -> DataFrame:
-    """asset, bar_idx, stances, losses: the side of each expert's last channel break, and its loss on this bar's move."""
-    rows = bars.withColumn("_tr", ind.true_range())
-    for n in SPANS:
-        high, low, _ = ind.donchian(n)
-        rows = rows.withColumns({f"_h{n}": high, f"_b{n}": low})
-    rows = rows.withColumns({f"_g{n}": ind.break_signal(F.col(f"_h{n}"), F.col(f"_b{n}")).cast("double") for n in SPANS} | {"_a": ind.sma(F.col("_tr"), ATR)})
-    rows = rows.withColumns({f"_s{n}": F.coalesce(F.last(f"_g{n}", ignorenulls=True).over(ind.back(n)), F.lit(0.0)) for n in SPANS})
+def experts(bars: DataFrame, ladder: list[learners.Expert] | None = None, sides: str = "both") -> DataFrame:
+    """asset, bar_idx, stances, losses: the side of each expert's last channel break, and its loss on this bar's move.
+
+    A break stays the stance for the expert's span; a stance on a side that ``sides`` bars is flat.
+    """
+    ladder = ladder or [learners.Expert("donchian", n) for n in SPANS]
+    which = range(len(ladder))
+    rows = bars.withColumn("_tr", ind.true_range()).withColumn("_a", ind.sma(F.col("_tr"), ATR))
+    edges = {}
+    for k, e in enumerate(ladder):
+        middle, width = ind.sma(F.col("close"), e.n), e.k * F.col("_a")
+        high, low = ind.donchian(e.n)[:2] if e.kind == "donchian" else (middle + width, middle - width)
+        edges |= {f"_h{k}": high, f"_b{k}": low}
+    rows = rows.withColumns(edges)
+    rows = rows.withColumns({f"_g{k}": e.side * ind.break_signal(F.col(f"_h{k}"), F.col(f"_b{k}")).cast("double") for k, e in enumerate(ladder)})
+    barred = {"both": F.lit(0.0), "long_only": F.lit(-1.0), "short_only": F.lit(1.0)}[sides]
+    last = lambda k, e: F.coalesce(F.last(f"_g{k}", ignorenulls=True).over(ind.back(e.span)), F.lit(0.0))
+    rows = rows.withColumns({f"_s{k}": F.when(last(k, e) * barred > 0, F.lit(0.0)).otherwise(last(k, e)) for k, e in enumerate(ladder)})
     rows = rows.withColumn("_a", F.nullif(ind.lag(F.col("_a")), F.lit(0.0)))
     move, cost = (F.col("close") - ind.lag(F.col("close"))) / F.col("_a"), F.abs(F.col("close")) * COST / F.col("_a")
-    rows = rows.withColumns({"_z": move, "_c": cost} | {f"_p{n}": ind.lag(F.col(f"_s{n}")) for n in SPANS})
-    loss = lambda n: ind.stance_loss(F.col(f"_p{n}"), F.col(f"_s{n}"), F.col("_z"), F.col("_c"), F.col(f"_h{n}").isNotNull())
-    return rows.select("asset", "bar_idx", F.array(*(f"_s{n}" for n in SPANS)).alias("stances"), F.array(*(loss(n) for n in SPANS)).alias("losses"))
+    rows = rows.withColumns({"_z": move, "_c": cost} | {f"_p{k}": ind.lag(F.col(f"_s{k}")) for k in which})
+    loss = lambda k: ind.stance_loss(F.col(f"_p{k}"), F.col(f"_s{k}"), F.col("_z"), F.col("_c"), F.col(f"_h{k}").isNotNull())
+    return rows.select("asset", "bar_idx", F.array(*(f"_s{k}" for k in which)).alias("stances"), F.array(*(loss(k) for k in which)).alias("losses"))
 
 
 @query("hedge_positions")
@@ -43,11 +54,51 @@ def hedge_discounted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ridge_forecasts")
 def ridge_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spread = F.nullif(F.stddev_samp("close").over(ind.back(60)), F.lit(0.0))
-    slope = lambda n: ind.clip((F.col("close") - ind.lag(F.col("close"), n)) / spread / n**0.5, -2, 2)
-    ahead = lambda n: F.lead("open", n).over(src.by_bar())
-    rows = src.order_bars(spark, sf_dir).select("asset", "bar_idx", F.array(slope(64), slope(8)).alias("features"), ind.clip((ahead(2) - ahead(1)) / spread, -4, 4).alias("y"))
-    return learners.ridge_forecasts(rows).select("asset", "bar_idx", "forecast")
+    names, prior, stiff = forecast.spec("learned")
+    rows = forecast.features(forecast.bands(src.order_bars(spark, sf_dir)), names)
+    got = learners.ridge_forecasts(rows, prior=tuple(prior), penalty=tuple(stiff))
+    return got.select("asset", "bar_idx", "forecast", forecast.position(F.col("forecast")).alias("position"))
+
+
+def _kernel_sql(scale: int) -> str:
+    import math
+
+    weights = [(k + 1) * math.exp(-2 * k / scale) for k in range(3 * scale + 1)]
+    norm = math.sqrt(sum(w * w for w in weights))
+    terms = " + ".join(f"{w / norm!r}::DOUBLE * lag(ch, {k}) OVER p" for k, w in enumerate(weights))
+    return _clipped(f"({terms}) / sg", 2.5)
+
+
+def _clipped(x: str, most: float) -> str:
+    """DuckDB's least and greatest pass over nulls."""
+    return f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, -{most}), {most}) END"
+
+
+@query(
+    "forecast_bands",
+    f"""WITH {BARS}, c AS (SELECT *, close - lag(close) OVER (PARTITION BY asset ORDER BY ts) AS ch FROM b),
+s AS (SELECT *, CASE WHEN count(ch) OVER w = 60 THEN nullif(stddev_samp(ch) OVER w, 0) END AS sg FROM c WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+k AS (SELECT asset, bar_idx, sg, (({_kernel_sql(4)}) + ({_kernel_sql(8)})) / 2 AS fast, {_clipped("(lead(open, 2) OVER p - lead(open) OVER p) / sg", 4)} AS y FROM s WINDOW p AS (PARTITION BY asset ORDER BY ts))
+SELECT asset, bar_idx, {r("sg", "sigma")}, {r(_clipped("fast", 2), "fast")}, {r("y", "y")} FROM k""",
+)
+def forecast_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.bands(src.order_bars(spark, sf_dir)).select("asset", "bar_idx", "sigma", "fast", "y")
+
+
+@query(
+    "centred_ranks",
+    f"""WITH {BARS}, x AS (SELECT asset, bar_idx, volume, list(volume) OVER w AS vs, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+SELECT asset, bar_idx, {r("CASE WHEN n = 50 THEN 2 * (len(list_filter(vs, lambda v: v < volume)) + 0.5 * len(list_filter(vs, lambda v: v = volume))) / 50 - 1 END", "place")} FROM x""",
+)
+def centred_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.order_bars(spark, sf_dir).select("asset", "bar_idx", forecast.centred_rank(F.col("volume"), 50).alias("place"))
+
+
+@query("hedge_split")
+def hedge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = learners.ladder("hedge_split")
+    followers = len(learners.ladder("hedge_split", "trend"))
+    return learners.hedge(experts(src.order_bars(spark, sf_dir), every), sharing=False, followers=followers).select("asset", "bar_idx", "trade", "position")
 
 
 def _rets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,14 +145,14 @@ def _hurst_sql() -> str:
 @query(
     "regimes",
     f"""WITH {STEP}, h AS (SELECT *, {", ".join(f"close - lag(close, {q}) OVER (PARTITION BY asset ORDER BY ts) AS m{q}" for q in range(1, 6))} FROM s),
-v AS (SELECT *, {", ".join(f"var_pop(m{q}) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN {29 - q} PRECEDING AND CURRENT ROW) AS v{q}" for q in range(1, 6))},
-  count(m5) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS n5 FROM h)
+v AS (SELECT *, {", ".join(f"var_pop(m{q}) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS v{q}" for q in range(1, 6))},
+  count(m5) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS n5 FROM h)
 SELECT asset, bar_idx,
   {r(ok("least(greatest(abs(close - lag(close, 20) OVER p) / nullif(sum(abs(ch)) OVER w20, 0), 0), 1)", "ch", 20, W20), "er")},
   {r(ok("coalesce(corr(close, bar_idx) OVER w20, 0)", "close", 20, W20), "cti")},
   {r(ok("least(greatest(100 * log10(sum(tr) OVER w14 / nullif(max(high) OVER w14 - min(low) OVER w14, 0)) / log10(14), 0), 100)", "tr", 14, W14), "chop")},
   {r(ok("least(greatest(var_samp(ch5) OVER w60 / nullif(5 * var_samp(ch) OVER w60, 0), 0), 5)", "ch5", 60, "w60"), "vr")},
-  {r(f"CASE WHEN n5 = 25 THEN ({_hurst_sql()}) / 2 END", "hurst")} FROM v{WINDOWS}""",
+  {r(f"CASE WHEN n5 = 30 THEN ({_hurst_sql()}) / 2 END", "hurst")} FROM v{WINDOWS}""",
 )
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _steps(spark, sf_dir).withColumns({f"m{q}": F.col("close") - ind.lag(F.col("close"), q) for q in range(1, 6)})

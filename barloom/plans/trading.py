@@ -135,3 +135,66 @@ def slot_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("next_orders")
 def next_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.simulated(src.order_bars(spark, sf_dir), research.plans(spark), "next_orders")
+
+
+@query(
+    "aligned_returns",
+    f"""WITH {RETS}, n AS (SELECT count(DISTINCT asset) AS n FROM rets), k AS (SELECT ts FROM rets, n GROUP BY ts HAVING count(DISTINCT asset) = any_value(n))
+SELECT asset, ts, {r("ret", "ret")} FROM rets SEMI JOIN k USING (ts)""",
+)
+def aligned_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.aligned(metrics.returns(src.order_bars(spark, sf_dir))).select("asset", "ts", "ret")
+
+
+@query(
+    "added_returns",
+    f"WITH {RETS} SELECT coalesce(a.ts, b.ts) AS ts, {r('coalesce(a.ret, 0) + coalesce(b.ret, 0)', 'ret')} FROM (SELECT * FROM rets WHERE asset = '1-URGENT') a FULL JOIN (SELECT * FROM rets WHERE asset = '5-LOW') b ON a.ts = b.ts",
+)
+def added_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rets = metrics.returns(src.order_bars(spark, sf_dir))
+    return metrics.added(*(rets.filter(F.col("asset") == a) for a in ("1-URGENT", "5-LOW")))
+
+
+@query(
+    "benchmarks",
+    f"""WITH {BARS}, m AS (SELECT *, min(low) OVER (PARTITION BY asset) AS least, lag(close) OVER (PARTITION BY asset ORDER BY ts) AS c0 FROM (SELECT asset, ts, CASE WHEN asset = '5-LOW' THEN low - 1e6 ELSE low END AS low, close FROM b))
+SELECT asset, ts, CASE WHEN least > 0 THEN 'buy_and_hold' ELSE 'one_unit' END AS kind, {r("CASE WHEN least > 0 THEN (close - c0) / nullif(c0, 0) ELSE (close - c0) / 100000 END", "ret")} FROM m WHERE c0 IS NOT NULL""",
+)
+def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = src.order_bars(spark, sf_dir)
+    return metrics.benchmark_returns(b.withColumn("low", F.when(F.col("asset") == "5-LOW", F.col("low") - 1e6).otherwise(F.col("low"))))
+
+
+@query(
+    "breakevens",
+    """WITH x AS (SELECT p_partkey % 40 AS g, CAST(p_size AS DOUBLE) AS cost, avg(p_retailprice) - 900 - 20 * p_size AS ret FROM part GROUP BY 1, 2, p_size),
+l AS (SELECT *, lag(cost) OVER w AS x0, lag(ret) OVER w AS y0, row_number() OVER w AS i FROM x WINDOW w AS (PARTITION BY g ORDER BY cost)),
+f AS (SELECT g, min(cost) AS c FROM l WHERE ret <= 0 GROUP BY g)
+SELECT d.g, round(coalesce(CASE WHEN i = 1 THEN 0 ELSE x0 + (cost - x0) * y0 / (y0 - ret) END, 1e9), 4) + 0.0 AS breakeven FROM (SELECT DISTINCT g FROM x) d LEFT JOIN f USING (g) LEFT JOIN l ON l.g = f.g AND l.cost = f.c""",
+)
+def breakevens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy((F.col("p_partkey") % 40).alias("g"), size.alias("cost")).agg((F.avg("p_retailprice")).alias("p")).withColumn("ret", F.col("p") - 900 - 20 * F.col("cost"))
+    got = metrics.breakeven(rows, "g")
+    return got.select("g", F.when(F.col("breakeven") == float("inf"), 1e9).otherwise(F.col("breakeven")).alias("breakeven"))
+
+
+@query("exposures")
+def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, plans = src.order_bars(spark, sf_dir), research.plans(spark, research.SHOWN | {"channel": ("donchian",)})
+    return metrics.exposures(b, simulation.simulated(b, plans, "trades"), simulation.simulated(b, plans, "bars"))
+
+
+@query("cost_sweep")
+def cost_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.operators import search
+
+    plans = research.plans(spark, research.SHOWN | {"channel": ("donchian",), "entry": ("stop",)})
+    return search.cost_sweep(src.order_bars(spark, sf_dir), plans, (0.0, 5.0, 20.0)).select("asset", "trial_id", "cost", "total_return", "sharpe", "n_trades")
+
+
+@query("walk_forward_matrix")
+def walk_forward_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.operators import search
+
+    return search.matrix(src.order_bars(spark, sf_dir), research.lattice_plans(spark), 3, (120, 150), (50,))

@@ -123,3 +123,58 @@ def test_contracts(spark):
     assert df.filter(~portfolio.whole_contracts(F.col("target"), F.col("held")).eqNullSafe(F.col("want"))).count() == 0
     level = df.limit(1).select(portfolio.future_level(F.lit(102.0), F.lit(100.0), F.lit(4000.0), F.lit(2.0), 0.25).alias("x")).first()["x"]
     assert level == 4040.0
+
+
+def test_ladders_and_the_split_learner():
+    assert [len(learners.ladder(x)) for x in learners.LADDERS] == [8, 16, 8, 16, 8, 18]
+    assert [e.label for e in learners.ladder("hedge_split", "countertrend")][:3] == ["fade_5_h1", "fade_5_h3", "fade_10_h1"] and learners.ladder("hedge_wide", "trend")[-1].label == "follow_kel80x2"
+    assert learners.learner_of("hedge_long")[0] == 750 and {e.span for e in learners.ladder("hedge_split", "trend")} == {20, 40, 80}
+    rng = np.random.default_rng(9)
+    loss = rng.random((80, 5))
+    weights, trade = learners.split_committee(loss, 2, False)
+    own = [learners.committee(loss[:, p], *_learner(x))[0] for p, x in ((slice(0, 2), learners.FOLLOW_LEARNER), (slice(2, 5), learners.FADE_LEARNER))]
+    top = np.full((80, 2), 0.5)
+    for t in range(1, 80):
+        top[t] = [own[0][t - 1] @ loss[t, :2], own[1][t - 1] @ loss[t, 2:]]
+    u, want = learners.committee(top, *_learner(learners.TOP_LEARNER))
+    assert np.allclose(weights, np.concatenate([u[:, :1] * own[0], u[:, 1:] * own[1]], axis=1)) and np.allclose(trade, want) and np.allclose(weights.sum(1), 1)
+
+
+def _learner(of):
+    keep, share, slow = learners.rungs(of[0], of[1], False)
+    return of[0], keep, share, slow
+
+
+def test_ridge_with_fixed_coefficients():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=60)
+    prior, stiff = np.array([0.3, 0.1, -0.2]), np.array([np.inf, 2.0, np.inf])
+    got = learners.ridge(x, y, 25, 0.95, prior, stiff)
+    alone = learners.ridge(x[:, 1:2], y - 0.3 * x[:, 0] + 0.2 * x[:, 2], 25, 0.95, prior[1:2], stiff[1:2])
+    assert np.allclose(got[:, 0], 0.3) and np.allclose(got[:, 2], -0.2) and np.allclose(got[:, 1], alone[:, 0])
+
+
+def test_experts_of_a_split_ladder(spark):
+    """Stances and losses of every expert against one bar at a time."""
+    from barloom.plans.learning import ATR, COST, experts
+    from barloom.sources.synthetic import synthetic_bars
+
+    bars, every = synthetic_bars(spark, [6], 160), learners.ladder("hedge_split")
+    d = bars.orderBy("ts").toPandas()
+    rows = experts(bars, every, "long_only").orderBy("bar_idx").collect()
+    h, low, c = (d[x].to_numpy() for x in ("high", "low", "close"))
+    before = np.concatenate(([np.nan], c[:-1]))
+    tr = np.fmax(h - low, np.fmax(abs(h - before), abs(low - before)))
+    atr = np.array([tr[t - ATR + 1 : t + 1].mean() if t >= ATR - 1 else np.nan for t in range(len(c))])
+    for k, e in enumerate(every):
+        last, side, held = -1, 0, np.zeros(len(c))
+        edge = lambda t, s, e=e: ((h[t - e.n + 1 : t + 1].max() if s > 0 else low[t - e.n + 1 : t + 1].min()) if e.kind == "donchian" else c[t - e.n + 1 : t + 1].mean() + s * e.k * atr[t]) if t >= e.n - 1 else np.nan
+        for t in range(1, len(c)):
+            up, down = h[t] >= edge(t - 1, 1), low[t] <= edge(t - 1, -1)
+            if up != down:
+                last, side = t, e.side if up else -e.side
+            held[t] = side if last >= 0 and t - last < e.span and side > 0 else 0
+            formed = not np.isnan(edge(t, 1))
+            pay = (held[t - 1] * (c[t] - c[t - 1]) - c[t] * COST * abs(held[t] - held[t - 1])) / atr[t - 1] / 2
+            want = 0.5 * (1 - min(1, max(-1, pay))) if formed and not np.isnan(pay) else 0.5
+            assert rows[t]["stances"][k] == held[t] and rows[t]["losses"][k] == pytest.approx(want)
