@@ -3,9 +3,9 @@
 Vocabulary statistics come from all training documents: counts of words (for the
 unigram base score), counts of subword ids, and sums of random projections of what stands
 before, after and around each id. By these sums, ids with like neighbours share one of
-``CLASSES`` classes; the network predicts the class of the next id, an id within its
-class has its smoothed relative frequency, so the product is a probability over
-the whole vocabulary. The attention weights are fitted to all windows of all training
+``CLASSES`` classes, which lie in groups of ``GROUP``; the network predicts the group of the
+next id and its class within the group, an id within its class has its smoothed relative
+frequency, so the product is a probability over the whole vocabulary. The attention weights are fitted to all windows of all training
 documents, the last one of a text padded: in each of ``ROUNDS`` rounds every task trains
 on its next part of the windows from the weights so far, and the results are averaged by
 windows. Small inputs are passed over more than once, at most ``EPOCHS`` times, and by
@@ -38,7 +38,7 @@ from barloom.llm.text import LOWER, chunks, mix, spans, word_hashes
 from barloom.llm.token_output import default_tokenizer, encoder_of, with_ends
 
 HOT = 1 << 16
-VOCABULARY, OWN_ROWS, CLASSES, DIM = 49_408, 4_096, 96, 16
+VOCABULARY, OWN_ROWS, CLASSES, GROUP, DIM = 49_408, 4_096, 96, 8, 16
 WINDOW, CONTEXT = 24, 8
 #: Windows to a product: what stands between fits a core's cache.
 BATCH = 384
@@ -50,6 +50,11 @@ SEED, SIDE = 7, 24
 FIXED = float(1 << 24)  #: weights are averaged as whole multiples of 1 / FIXED
 END_TOKEN = 0x454E44  #: stands for the end token among word hashes
 PACK = 1 << 20
+#: A score of what may not be seen or does not occur, and of the later places of a window.
+CLOSED = -1e9
+CAUSAL = np.triu(np.full((WINDOW, WINDOW), CLOSED, np.float32), 1)
+MOST = 80.0  #: scores are kept within, so that their exponentials are finite and not 0
+STEP = 256  #: windows to a step of descent
 
 
 def _held_out(ids: list[int | None]) -> np.ndarray:
@@ -182,8 +187,9 @@ class Model:
         rng = np.random.default_rng(SEED)
         draw = lambda *shape, scale=0.1: (rng.standard_normal(shape) * scale).astype(np.float32)
         self.w = {"E": draw(self.start + 1, DIM), "P": draw(WINDOW, DIM), "Q": draw(DIM, DIM, scale=0.25), "K": draw(DIM, DIM, scale=0.25)}
-        self.w |= {"V": draw(DIM, DIM, scale=0.25), "O": draw(DIM, DIM, scale=0.25), "U": draw(DIM, CLASSES), "b": np.zeros(CLASSES, np.float32)}
-        self.w["b"][self.empty] = -1e9
+        self.w |= {"V": draw(DIM, DIM, scale=0.25), "O": draw(DIM, DIM, scale=0.25), "G": draw(DIM, CLASSES // GROUP), "g": np.zeros(CLASSES // GROUP, np.float32)}
+        self.w |= {"U": draw(CLASSES // GROUP, DIM, GROUP), "b": np.zeros((CLASSES // GROUP, GROUP), np.float32)}
+        self._close()
 
     @staticmethod
     def _classes(mass: np.ndarray, order: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -242,15 +248,16 @@ class Model:
         if not moments:
             moments |= {"step": 0, "first": {k: np.zeros_like(v) for k, v in self.w.items()}, "second": {k: np.zeros_like(v) for k, v in self.w.items()}}
         first, second = moments["first"], moments["second"]
-        for i in range(0, len(order), 128):
-            loss, grad = self._gradient(x[order[i : i + 128]], y[order[i : i + 128]])
-            total += loss * len(order[i : i + 128])
+        for i in range(0, len(order), STEP):
+            loss, grad = self._gradient(x[order[i : i + STEP]], y[order[i : i + STEP]])
+            total += loss * len(order[i : i + STEP])
             moments["step"] += 1
             step = moments["step"]
             for k, g in grad.items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
                 self.w[k] -= 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            self._close()
         return total
 
     def flat(self) -> np.ndarray:
@@ -262,40 +269,69 @@ class Model:
         for k in sorted(self.w):
             self.w[k] = weights[at : at + self.w[k].size].astype(np.float32).reshape(self.w[k].shape)
             at += self.w[k].size
-        self.w["b"][self.empty] = -1e9
+        self._close()
+
+    def _close(self) -> None:
+        """Classes without ids, and groups of such classes only, have no probability."""
+        empty = self.empty.reshape(-1, GROUP)
+        self.w["b"][empty] = CLOSED
+        self.w["g"][empty.all(axis=1)] = CLOSED
+
+    def _grouped(self, h: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Group, its rows, their states and the scores of its classes."""
+        order = np.argsort(group, kind="stable")
+        states, edges = h[order], np.searchsorted(group[order], np.arange(CLASSES // GROUP + 1))
+        for k in range(CLASSES // GROUP):
+            if (a := edges[k]) < (b := edges[k + 1]):
+                own = states[a:b]
+                yield k, order[a:b], own, np.clip(own @ self.w["U"][k] + self.w["b"][k], -MOST, MOST)
 
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        w, inside = self.w, y >= 0
-        n, y = inside.sum(), np.maximum(y, 0)
-        e = w["E"][x] + w["P"]
-        q, k, v = e @ w["Q"], e @ w["K"], e @ w["V"]
-        s = q @ k.transpose(0, 2, 1) / np.float32(DIM**0.5) + np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-        a = np.exp(s - s.max(axis=2, keepdims=True))
+        """Mean loss of the windows and its gradient. A class has the probability of its group times its own within it."""
+        w, m, root = self.w, len(x), np.float32(DIM**0.5)
+        inside = (y >= 0).reshape(-1)
+        n, label, flat = int(inside.sum()), np.maximum(y, 0).reshape(-1), x.reshape(-1)
+        scale = inside.astype(np.float32) / np.float32(n)
+        e = w["E"].take(flat, 0)
+        e.reshape(m, WINDOW, DIM)[:] += w["P"]
+        into = np.concatenate((w["Q"] / root, w["K"], w["V"]), axis=1)
+        q, k, v = np.split((e @ into).reshape(m, WINDOW, 3 * DIM), 3, axis=2)
+        a = q @ k.transpose(0, 2, 1)
+        np.clip(a, -MOST, MOST, out=a)
+        a += CAUSAL
+        np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
-        o = a @ v
+        o = (a @ v).reshape(-1, DIM)
         h = e + o @ w["O"]
-        z = h @ w["U"] + w["b"]
-        z = z - z.max(axis=2, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=2, keepdims=True)
-        right = np.take_along_axis(p, y[..., None], 2)[..., 0]
-        dz = p
-        np.put_along_axis(dz, y[..., None], (right - 1)[..., None], 2)
-        dz = dz * (inside / np.float32(n))[..., None].astype(np.float32)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"U": flat(h).T @ flat(dz), "b": flat(dz).sum(axis=0)}
-        dh = dz @ w["U"].T
-        g["O"] = flat(o).T @ flat(dh)
-        do = dh @ w["O"].T
-        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / np.float32(DIM**0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-            g[name] = flat(e).T @ flat(d)
-        de = dh + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-        g["P"] = de.sum(axis=0)
-        g["E"] = np.zeros_like(w["E"])
-        np.add.at(g["E"], x.reshape(-1), flat(de))
+        place, group, within = np.arange(len(h)), label // GROUP, label % GROUP
+        z = h @ w["G"]
+        z += w["g"]
+        np.clip(z, -MOST, MOST, out=z)
+        np.exp(z, out=z)
+        total = z.sum(axis=1)
+        right = z[place, group] / total
+        z *= (scale / total)[:, None]
+        z[place, group] -= scale
+        g = {"G": h.T @ z, "g": z.sum(axis=0), "U": np.zeros_like(w["U"]), "b": np.zeros_like(w["b"])}
+        dh = z @ w["G"].T
+        for own, rows, states, d in self._grouped(h, group):
+            np.exp(d, out=d)
+            total, at, part = d.sum(axis=1), np.arange(len(rows)), scale[rows]
+            right[rows] *= d[at, within[rows]] / total
+            d *= (part / total)[:, None]
+            d[at, within[rows]] -= part
+            g["U"][own], g["b"][own] = states.T @ d, d.sum(axis=0)
+            dh[rows] += d @ w["U"][own].T
+        g["O"] = o.T @ dh
+        do = (dh @ w["O"].T).reshape(m, WINDOW, DIM)
+        da = do @ v.transpose(0, 2, 1)
+        ds = a * (da - np.einsum("ijk,ijk->ij", da, a)[..., None])
+        back = np.concatenate((ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do), axis=2).reshape(-1, 3 * DIM)
+        g["Q"], g["K"], g["V"] = np.split(e.T @ back, 3, axis=1)
+        g["Q"] = g["Q"] / root
+        de = dh + back @ into.T
+        g["P"] = de.reshape(m, WINDOW, DIM).sum(axis=0)
+        g["E"] = np.stack([np.bincount(flat, weights=de[:, j], minlength=len(w["E"])) for j in range(DIM)], axis=1).astype(np.float32)
         return float(-np.log(np.maximum(right[inside], 1e-30)).mean()), g
 
     def prepared(self) -> None:
@@ -305,7 +341,7 @@ class Model:
         self.e, self.q, self.k, self.v = w["E"], w["E"] @ w["Q"] / scale, w["E"] @ w["K"], w["E"] @ w["V"]
         self.pq, self.pk, self.pv = w["P"] @ w["Q"] / scale, w["P"] @ w["K"], w["P"] @ w["V"]
         late = np.arange(CONTEXT, WINDOW)
-        self.mask = np.where(np.arange(WINDOW)[None] > late[:, None], np.float32(-1e9), np.float32(0))
+        self.mask = np.where(np.arange(WINDOW)[None] > late[:, None], np.float32(CLOSED), np.float32(0))
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log probability of each text; text i has the ids at[i]..at[i + 1]."""
@@ -327,20 +363,22 @@ class Model:
             # an id after the text's end is seen by none that counts; only before its start is there something to hide
             late, late_in = x[:, CONTEXT:], place[:, CONTEXT:] < n[t][:, None]
             s = (self.q.take(late, 0) + self.pq[CONTEXT:]) @ (self.k.take(x, 0) + self.pk).transpose(0, 2, 1)
+            np.clip(s, -MOST, MOST, out=s)
             s += self.mask
-            s[f == 0, :, :CONTEXT] = -1e9
-            s -= s.max(axis=2, keepdims=True)
+            s[f == 0, :, :CONTEXT] = CLOSED
             np.exp(s, out=s)
             o = s @ (self.v.take(x, 0) + self.pv)
             o /= s.sum(axis=2, keepdims=True)
             target = where[:, CONTEXT:][late_in]
             h = (self.e.take(late, 0) + self.w["P"][CONTEXT:] + (o.reshape(-1, DIM) @ self.w["O"]).reshape(o.shape))[late_in]
-            z = h @ self.w["U"]
-            z += self.w["b"]
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), label[target]]
-            np.exp(z, out=z)
-            log_p = own - np.log(z.sum(axis=1)) + within[target]
+            own = label[target]
+            z = h @ self.w["G"]
+            z += self.w["g"]
+            np.clip(z, -MOST, MOST, out=z)
+            log_p = z[np.arange(len(z)), own // GROUP]
+            log_p += within[target] - np.log(np.exp(z, out=z).sum(axis=1))
+            for _, rows, _, d in self._grouped(h, own // GROUP):
+                log_p[rows] += d[np.arange(len(rows)), own[rows] % GROUP] - np.log(np.exp(d, out=d).sum(axis=1))
             out += np.bincount(np.repeat(t, late_in.sum(axis=1)), weights=log_p, minlength=len(n))
         return out
 

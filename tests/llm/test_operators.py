@@ -406,6 +406,26 @@ def test_model_is_a_causal_distribution():
     assert np.exp(first).sum() < 1.001
 
 
+def test_gradient_of_the_model():
+    """Against differences of the loss, in places of every weight."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 400, 60) for _ in range(9)]
+    model = attention_lm.Model(np.bincount(np.concatenate(texts), minlength=attention_lm.VOCABULARY), texts)
+    x, y = model.windows(np.concatenate(texts), np.arange(0, 541, 60))
+    model.w = {k: v.astype(float) for k, v in model.w.items()}
+    _, grad = model._gradient(x, y)
+    for k, g in grad.items():
+        for at in np.argsort(-np.abs(g.reshape(-1)))[:4]:
+            flat, step = model.w[k].reshape(-1), 1e-4
+            keep = flat[at]
+            losses = []
+            for d in (step, -step):
+                flat[at] = keep + d
+                losses.append(model._gradient(x, y)[0])
+            flat[at] = keep
+            assert g.reshape(-1)[at] == pytest.approx((losses[0] - losses[1]) / (2 * step), rel=0.02, abs=2e-6), k
+
+
 def test_license_scan(docs, none, real, spark):
     assert licenses.license_scan(none).count() == 0
     texts = [(r["doc_id"], r["text"]) for r in real.collect()]
