@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import forecast
 from barloom.functions import indicators as ind
-from barloom.operators import learners, metrics, portfolio
+from barloom.operators import learners, metrics, portfolio, stance
 from barloom.plans.queries import BARS, RETS, query, r
 from barloom.sources import bars as src
 
@@ -161,3 +161,22 @@ def whole_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     held = (F.col("c_custkey") % 9 - 4).cast("double")
     return c.select("c_custkey", portfolio.whole_contracts(F.col("c_acctbal") / 1000, held).alias("contracts"))
+
+
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order bars with the level of the committee's position within its band."""
+    from barloom.operators import recursive
+
+    bars = src.order_bars(spark, sf_dir)
+    position = learners.hedge(experts(bars), sharing=False).select("asset", "bar_idx", F.col("position").alias("target"))
+    return bars.join(recursive.buffered_levels(position, 0.125), ["asset", "bar_idx"])
+
+
+@query("stance_totals")
+def stance_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stance.held_levels(_held(spark, sf_dir))
+
+
+@query("stance_trades")
+def stance_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stance.held_levels(_held(spark, sf_dir), "trades")

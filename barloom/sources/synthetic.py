@@ -44,3 +44,97 @@ def synthetic_bars(spark: SparkSession, seeds: list[int], n: int = 2500) -> Data
 
     schema = "asset string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
     return numbered(spark.createDataFrame([(s,) for s in seeds], "seed long").groupBy("seed").applyInPandas(make, schema))
+
+
+def _bars(close: np.ndarray, spread: np.ndarray, rng: np.random.Generator) -> pd.DataFrame:
+    """Bars around a path: opens with a gap, ranges of the spread beyond open and close."""
+    open_ = np.concatenate((close[:1], close[:-1] * np.exp(0.3 * spread[1:] * rng.standard_normal(len(close) - 1))))
+    top, low = np.maximum(open_, close), np.minimum(open_, close)
+    high, low = top * np.exp(np.abs(rng.standard_normal(len(close))) * spread / 2), low * np.exp(-np.abs(rng.standard_normal(len(close))) * spread / 2)
+    return pd.DataFrame({"ts": pd.bdate_range("2000-01-03", periods=len(close)), "open": open_, "high": high, "low": low, "close": close, "volume": rng.integers(1_000_000, 5_000_000, len(close)).astype(float)})
+
+
+def _clustered(n: int, vol: float, z: np.ndarray) -> np.ndarray:
+    """Deviations that follow the squares of the shocks, with mean square vol ** 2."""
+    out, now = np.empty(n), vol * vol
+    for t in range(n):
+        out[t] = now**0.5
+        now = 0.02 * vol * vol + 0.93 * now + 0.05 * now * z[t] ** 2
+    return out
+
+
+def random_walk(n: int = 3000, seed: int = 0, vol: float = 0.01) -> pd.DataFrame:
+    """No edge: any Sharpe ratio found here is luck."""
+    rng = np.random.default_rng(seed)
+    z = rng.standard_normal(n)
+    sd = _clustered(n, vol, z)
+    return _bars(100 * np.exp(np.cumsum(sd * z)), sd, rng)
+
+
+def trending(n: int = 3000, seed: int = 0, ic: float = 0.03, halflife: int = 60, vol: float = 0.01, fast: float = 0.0, lags: int = 5) -> pd.DataFrame:
+    """A move has correlation ic with the recursive mean of the moves before it, and ``fast`` (negative: reversal) with the sum of the last few."""
+    rng = np.random.default_rng(seed)
+    z, a = rng.standard_normal(n), 1 - 0.5 ** (1 / halflife)
+    u, mean, unit = np.zeros(n), 0.0, (a / (2 - a)) ** 0.5
+    for t in range(n):
+        u[t] = ic / (1 - ic * ic) ** 0.5 * mean / unit + fast * u[max(0, t - lags) : t].sum() / lags**0.5 + z[t]
+        mean += a * (u[t] - mean)
+    sd = _clustered(n, vol, z)
+    return _bars(100 * np.exp(np.cumsum(sd * u)), sd, rng)
+
+
+def autoregressive(n: int = 3000, seed: int = 0, phi: float = 0.2, vol: float = 0.01) -> pd.DataFrame:
+    """Each move is phi times the last one and a shock, with deviation vol."""
+    rng = np.random.default_rng(seed)
+    z, u = rng.standard_normal(n) * (1 - phi * phi) ** 0.5, np.zeros(n)
+    for t in range(n):
+        u[t] = (phi * u[t - 1] if t else 0.0) + z[t]
+    return _bars(100 * np.exp(np.cumsum(vol * u)), np.full(n, vol), rng)
+
+
+def switching(n: int = 3000, seed: int = 0, stay: float = 120.0, drift: float = 0.06, pull: float = 0.02, vol: float = 0.01) -> pd.DataFrame:
+    """Trends of a drawn side and stretches pulled back to where they began, each of a geometric length; column ``trend`` tells."""
+    rng = np.random.default_rng(seed)
+    z, change, first = rng.standard_normal(n), rng.random(n) < 1 / stay, int(rng.integers(2))
+    state = (first + np.cumsum(change)) % 2 == 1
+    level, anchor, way, path = 0.0, 0.0, 1.0, np.empty(n)
+    for t in range(n):
+        if t == 0 or change[t]:
+            anchor, way = level, rng.choice([-1.0, 1.0])
+        level += vol * ((drift * way if state[t] else -pull * (level - anchor) / vol) + z[t])
+        path[t] = level
+    return _bars(100 * np.exp(path), np.full(n, vol), rng).assign(trend=state)
+
+
+def planted(n: int = 3000, seed: int = 0, span: int = 20, side: int = 1, edge: float = 0.1, vol: float = 0.01) -> pd.DataFrame:
+    """The next move drifts with ``side`` times the stance of the last break of a channel of ``span`` bars, as long as the span."""
+    rng = np.random.default_rng(seed)
+    close, high, low = np.full(n, 100.0), np.full(n, 100.2), np.full(n, 99.8)
+    at, way = -1, 0
+    for t in range(1, n):
+        stance = way if at >= 0 and t - 1 - at < span else 0
+        close[t] = close[t - 1] * (1 + side * stance * edge * vol + rng.normal(0, vol))
+        high[t] = max(close[t - 1], close[t]) * (1 + abs(rng.normal(0, 0.003)))
+        low[t] = min(close[t - 1], close[t]) * (1 - abs(rng.normal(0, 0.003)))
+        if t >= span:
+            up, down = high[t] >= high[t - span : t].max(), low[t] <= low[t - span : t].min()
+            if up != down:
+                at, way = t, 1 if up else -1
+    open_ = np.concatenate((close[:1], close[:-1]))
+    return pd.DataFrame({"ts": pd.bdate_range("2000-01-03", periods=n), "open": open_, "high": high, "low": low, "close": close, "volume": 0.0})
+
+
+SUITE = {"random_walk": random_walk, "trending": trending, "autoregressive": autoregressive, "switching": switching, "planted": planted}
+
+
+def suite(spark: SparkSession, names: tuple[str, ...] = tuple(SUITE), seeds: tuple[int, ...] = (0,), n: int = 3000) -> DataFrame:
+    """Bars of an asset for each name and seed, each made in a task."""
+
+    def make(d: pd.DataFrame) -> pd.DataFrame:
+        name, seed = d["name"].iloc[0], int(d["seed"].iloc[0])
+        made = SUITE[name](n, seed)[["ts", "open", "high", "low", "close", "volume"]]
+        made.insert(0, "asset", f"{name}-{seed}")
+        return made
+
+    schema = "asset string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+    return numbered(spark.createDataFrame([(x, s) for x in names for s in seeds], "name string, seed long").groupBy("name", "seed").applyInPandas(make, schema))

@@ -9,9 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, book, calendar, metrics, portfolio, recursive, search, simulation
+from barloom.operators import backtest, book, calendar, metrics, portfolio, recursive, search, simulation, stance
 from barloom.plans import research
 from barloom.sources import bars as src
+from barloom.sources import synthetic
 from barloom.sources.synthetic import regime_walk, synthetic_bars
 
 K = 30
@@ -300,3 +301,47 @@ def test_orders_collapse(spark):
     rows = [("a", i, "stop_working", -1, "hard", 99.0 if i < 4 else 98.0, 1.0) for i in (1, 2, 3, 4, 6)] + [("a", 6, "exit_fill", -1, "stop", 98.0, 1.0)]
     got = book.collapsed(spark.createDataFrame(rows, "asset string, bar_idx long, kind string, side int, detail_text string, level double, qty double"), "asset").collect()
     assert sorted((r["first_bar"], r["last_bar"], r["n_bars"], r["level"], r["kind"]) for r in got) == [(1, 3, 3, 99.0, "stop_working"), (4, 4, 1, 98.0, "stop_working"), (6, 6, 1, 98.0, "exit_fill"), (6, 6, 1, 98.0, "stop_working")]
+
+
+def test_held_levels_by_hand():
+    bars = pd.DataFrame({"open": [10.0, 10, 11, 12, 12, 12], "close": [10.0, 11, 12, 12, 12, 12], "high": [11.0, 12, 13, 13, 13, 13], "low": [9.0, 9, 10, 11, 11, 11]})
+    bars = pd.concat([bars.iloc[[0]]] * 20 + [bars.iloc[1:]], ignore_index=True)
+    level = np.full(len(bars), np.nan)
+    level[19:] = [0.5, 0.5, 1.0, -0.5, np.nan, np.nan][: len(bars) - 19]
+    account = simulation.Account(equity=1000.0, cost_rate=0.0, cost_per_unit=0.1, fixed=True)
+    equity, trades, held, units = stance.hold(bars, level, account, leverage=100.0)
+    atr = [2.0, 2.1, 2.1]
+    a, b, c = (1000 * 0.01 / (3 * x) * y for x, y in zip(atr, (0.5, 1.0, 0.5), strict=True))
+    assert [(t[0], t[1], t[2], t[8]) for t in trades] == [(20, 22, 1, "stance"), (22, 23, 1, "stance")] and held == -0.5 and units == pytest.approx(-c)
+    assert trades[0][5] == pytest.approx(a) and trades[0][6] == pytest.approx(a * 2 - 0.1 * a) and trades[1][5] == pytest.approx(b)
+    assert trades[1][7] == pytest.approx(0.1 * (b - a) + 0.1 * b) and equity[-1] == pytest.approx(1000 + sum(t[6] for t in trades) - 0.1 * c)
+
+
+def test_made_series(spark):
+    for make in synthetic.SUITE.values():
+        d = make(800, 3)
+        assert len(d) == 800 and (d.high >= d[["open", "close"]].max(axis=1)).all() and (d.low <= d[["open", "close"]].min(axis=1)).all() and make(800, 3).close.equals(d.close)
+    r = np.log(synthetic.autoregressive(4000, 1, 0.3).close).diff().dropna()
+    assert r.autocorr(1) == pytest.approx(0.3, abs=0.05) and r.std() == pytest.approx(0.01, rel=0.05)
+    assert abs(np.log(synthetic.random_walk(4000, 1).close).diff().autocorr(1)) < 0.05
+    edge = synthetic.planted(4000, 2, 20, 1, 0.5)
+    up = (edge.high >= edge.high.rolling(20).max().shift(1)) & ~(edge.low <= edge.low.rolling(20).min().shift(1))
+    assert edge.close.pct_change().shift(-1)[up].mean() > 0.002
+    bars = synthetic.suite(spark, ("planted", "switching"), (1, 2), 120)
+    assert bars.count() == 480 and [r["close"] for r in bars.filter("asset = 'planted-2'").orderBy("ts").collect()] == synthetic.planted(120, 2).close.tolist()
+
+
+def test_series_operations(spark):
+    rets = spark.createDataFrame([("a", 1, 0.1), ("a", 2, -1.5), ("a", 3, 0.2), ("b", 2, 0.3), ("b", 3, None)], "asset string, ts long, ret double")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(metrics.closed_after_ruin(rets.filter("ret IS NOT NULL")).select("asset", "ts", "ret")) == [("a", 1, 0.1), ("a", 2, -1.5), ("a", 3, 0.0), ("b", 2, 0.3)]
+    assert rows(metrics.aligned(rets).select("asset", "ts", "ret")) == [("a", 2, -1.5), ("a", 3, 0.2), ("b", 2, 0.3), ("b", 3, 0.0)]
+    one, two = rets.filter("asset = 'a'").select("ts", "ret"), rets.filter("asset = 'a' AND ts < 3").select("ts", "ret")
+    assert metrics.verified(one, one).first()["ok"] and metrics.verified(one, two).first()["missing"] == 1 and not metrics.verified(one, two).first()["ok"]
+    cost = spark.createDataFrame([("x", 0.0, 0.3), ("x", 5.0, 0.1), ("x", 10.0, -0.1), ("y", 0.0, -0.1), ("z", 0.0, 0.2), ("z", 5.0, 0.1)], "k string, cost double, ret double")
+    assert {r["k"]: r["breakeven"] for r in metrics.breakeven(cost, "k").collect()} == {"x": 7.5, "y": 0.0, "z": math.inf}
+    bars = spark.createDataFrame([("a", i, 10.0 + i) for i in range(4)], "asset string, bar_idx long, close double")
+    trades = spark.createDataFrame([("a", 0, 1, 3, 1, 2.0)], "asset string, trial_id int, entry_idx long, exit_idx long, side int, units double")
+    curve = spark.createDataFrame([("a", 0, i, 100.0) for i in range(4)], "asset string, trial_id int, bar_idx long, equity double")
+    e = metrics.exposures(bars, trades, curve, per_year_=1.0).first()
+    assert (e["n_bars"], e["held_bars"]) == (4, 2) and e["gross"] == pytest.approx((22 + 24) / 400) and e["turnover"] == pytest.approx((22 + 26) / 400)
