@@ -2,8 +2,9 @@
 
 Both restart cold at every bar over the last ``memory`` rounds. The restarts are
 lanes: step j of all of them is one numpy operation, so a pass takes ``memory``
-steps however long the history is. An asset's bars are one group, bounded by the
-length of its history; assets run in parallel.
+steps however long the history is. A group is CHUNK bars of an asset and the bars before
+them that its restarts read, so groups are bounded, run in parallel and give what one pass
+over the whole history would give.
 """
 
 from __future__ import annotations
@@ -50,6 +51,16 @@ def _two(spans: tuple[int, ...], side: int, holds: tuple[int, ...] = (0,)) -> li
     return [Expert(kind, n, WIDE if kind == "keltner" else 0.0, side, hold) for kind in ("donchian", "keltner") for n in spans for hold in holds]
 
 
+#: Bars to a group, besides those that are read before them.
+CHUNK = 2048
+
+
+def chunked(rows: DataFrame, lead: int) -> DataFrame:
+    """Each row in the chunk of its bar and in those within ``lead`` bars after it; bars of an asset are numbered without gaps."""
+    own, last = F.floor(F.col("bar_idx") / CHUNK).cast("long"), F.floor((F.col("bar_idx") + lead) / CHUNK).cast("long")
+    return rows.withColumn("chunk", F.explode(F.sequence(own, last)))
+
+
 def ladder(name: str = "hedge", mode: str = "learned") -> list[Expert]:
     """The experts of a ladder: following (trend), fading (countertrend), or both (learned)."""
     if name == "hedge_split":
@@ -153,9 +164,11 @@ def hedge(rows: DataFrame, memory: int = MEMORY, lifetimes: tuple[int, ...] = LI
         losses = np.nan_to_num(losses, nan=0.5)
         weights, trade = committee(losses, memory, keep, share, slow) if followers is None else split_committee(losses, followers, sharing)
         position = trade * np.clip((weights * np.nan_to_num(stances)).sum(1), -1, 1)
-        return pd.DataFrame({"asset": d["asset"], "bar_idx": d["bar_idx"], "weights": list(weights), "trade": trade, "position": position})
+        out = pd.DataFrame({"asset": d["asset"], "bar_idx": d["bar_idx"], "weights": list(weights), "trade": trade, "position": position})
+        return out[(d["bar_idx"] >= d["chunk"] * CHUNK).to_numpy()]
 
-    return rows.select("asset", "bar_idx", "stances", "losses").groupBy("asset").applyInPandas(
+    lead = memory if followers is None else max(FOLLOW_LEARNER[0], FADE_LEARNER[0]) + TOP_LEARNER[0]
+    return chunked(rows.select("asset", "bar_idx", "stances", "losses"), lead).groupBy("asset", "chunk").applyInPandas(
         run, "asset string, bar_idx long, weights array<double>, trade double, position double"
     )
 
@@ -196,7 +209,8 @@ def ridge_forecasts(rows: DataFrame, memory: int = 500, horizon: int = 250, prio
         d = d.sort_values("bar_idx")
         x = np.array(d["features"].tolist(), float)
         betas = ridge(x, d["y"].to_numpy(float), memory, keep, start, stiff)
-        return pd.DataFrame({"asset": d["asset"], "bar_idx": d["bar_idx"], "betas": list(betas), "forecast": (betas * x).sum(1)})
+        out = pd.DataFrame({"asset": d["asset"], "bar_idx": d["bar_idx"], "betas": list(betas), "forecast": (betas * x).sum(1)})
+        return out[(d["bar_idx"] >= d["chunk"] * CHUNK).to_numpy()]
 
-    out = rows.select("asset", "bar_idx", "features", "y").groupBy("asset").applyInPandas(run, "asset string, bar_idx long, betas array<double>, forecast double")
+    out = chunked(rows.select("asset", "bar_idx", "features", "y"), memory + 2).groupBy("asset", "chunk").applyInPandas(run, "asset string, bar_idx long, betas array<double>, forecast double")
     return out.withColumn("forecast", F.nanvl("forecast", F.lit(None).cast("double")))

@@ -178,3 +178,15 @@ def test_experts_of_a_split_ladder(spark):
             pay = (held[t - 1] * (c[t] - c[t - 1]) - c[t] * COST * abs(held[t] - held[t - 1])) / atr[t - 1] / 2
             want = 0.5 * (1 - min(1, max(-1, pay))) if formed and not np.isnan(pay) else 0.5
             assert rows[t]["stances"][k] == held[t] and rows[t]["losses"][k] == pytest.approx(want)
+
+
+def test_chunks_equal_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([("a", i, rng.choice([-1.0, 0.0, 1.0], 3).tolist(), rng.random(3).tolist(), rng.normal(size=2).tolist(), float(rng.normal())) for i in range(230)], "asset string, bar_idx long, stances array<double>, losses array<double>, features array<double>, y double")
+    ask = lambda: [
+        [tuple(np.round(r["weights"], 12)) + (round(r["position"], 12),) for r in learners.hedge(rows, 40, (5, 10)).orderBy("bar_idx").collect()],
+        [round(r["forecast"], 10) for r in learners.ridge_forecasts(rows, 30, 20).orderBy("bar_idx").collect()],
+    ]
+    whole = ask()
+    monkeypatch.setattr(learners, "CHUNK", 64)
+    assert ask() == whole and len(whole[0]) == len(whole[1]) == 230
