@@ -57,8 +57,10 @@ def efficiency_ratio(n: int, change: Column) -> Column:
 
 def trend_correlation(n: int) -> Column:
     """Correlation of close and time; 0 for a flat window."""
-    r = F.corr(F.col("close"), F.col("bar_idx").cast("double")).over(back(n))
-    return full(clip(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), -1, 1), F.col("close"), n)
+    x, y = F.col("bar_idx").cast("double"), F.col("close")
+    spread = F.stddev_pop(x).over(back(n)) * F.stddev_pop(y).over(back(n))
+    r = F.try_divide(F.covar_pop(y, x).over(back(n)), F.nullif(spread, F.lit(0.0)))
+    return full(clip(F.coalesce(r, F.lit(0.0)), -1, 1), F.col("close"), n)
 
 
 def choppiness(n: int, tr: Column) -> Column:

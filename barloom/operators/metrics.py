@@ -60,6 +60,11 @@ def record(rets: DataFrame, per_year_: float, key: str = "asset", additive: bool
     return got.withColumn("years", years).select(key, "n_bars", (F.col("_last") - 1).alias("total_return"), "max_dd", "sharpe", "years", cagr.alias("cagr"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's, null where a series is flat (the built-in raises there)."""
+    return F.try_divide(F.covar_samp(a, b), F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0)))
+
+
 def moments(rets: DataFrame, key: str | list[str] = "asset") -> DataFrame:
     """n, Sharpe a bar, biased skewness and kurtosis (3 for a normal)."""
     return rets.groupBy(*([key] if isinstance(key, str) else key)).agg(
@@ -88,14 +93,14 @@ def block_stats(rets: DataFrame, blocks: int, key: str | list[str] = "asset", or
 def correlations(rets: DataFrame, key: str = "asset") -> DataFrame:
     """a < b, n, corr, cov of each pair of series on shared stamps. Stamps meet on their key; series are few."""
     a, b = (rets.select("ts", F.col(key).alias(x), F.col("ret").alias(f"r{x}")) for x in "ab")
-    return a.join(b, "ts").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("corr"), F.covar_samp("ra", "rb").alias("cov"))
+    return a.join(b, "ts").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), correlation("ra", "rb").alias("corr"), F.covar_samp("ra", "rb").alias("cov"))
 
 
 def against(rets: DataFrame, benchmark: str, key: str = "asset") -> DataFrame:
     """Beta and correlation of each series with one of them, whose missing stamps count 0."""
     base = rets.filter(F.col(key) == benchmark).select("ts", F.col("ret").alias("base"))
     both = rets.filter(F.col(key) != benchmark).join(base, "ts", "left").withColumn("base", F.coalesce("base", F.lit(0.0)))
-    return both.groupBy(key).agg(F.try_divide(F.covar_samp("ret", "base"), F.nullif(F.var_samp("base"), F.lit(0.0))).alias("beta"), F.corr("ret", "base").alias("corr"))
+    return both.groupBy(key).agg(F.try_divide(F.covar_samp("ret", "base"), F.nullif(F.var_samp("base"), F.lit(0.0))).alias("beta"), correlation("ret", "base").alias("corr"))
 
 
 def aligned(rets: DataFrame, key: str = "asset") -> DataFrame:

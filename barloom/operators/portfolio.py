@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.metrics import correlation
+
 
 def merges(apart: np.ndarray, single: bool) -> list[tuple[list[int], list[int]]]:
     """Agglomerative clustering: the two clusters of each merge, nearest first (ties: lowest members); single or average linkage."""
@@ -94,7 +96,7 @@ def _matrices(d: pd.DataFrame, names: list[str], column: str) -> np.ndarray:
 def pairs(rets: DataFrame, key: str = "asset") -> DataFrame:
     """a <= b, corr, cov on shared stamps, each series with itself included."""
     a, b = (rets.select("ts", F.col(key).alias(x), F.col("ret").alias(f"r{x}")) for x in "ab")
-    return a.join(b, "ts").filter("a <= b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.covar_samp("ra", "rb").alias("cov"))
+    return a.join(b, "ts").filter("a <= b").groupBy("a", "b").agg(correlation("ra", "rb").alias("corr"), F.covar_samp("ra", "rb").alias("cov"))
 
 
 def hrp_weights(rets: DataFrame, key: str = "asset") -> DataFrame:
@@ -132,6 +134,57 @@ def trade_runs(rets: DataFrame, key: str = "asset") -> DataFrame:
     return marked.groupBy(key).agg(F.sum("_new").alias("n_trades"))
 
 
+def picked(d: pd.DataFrame, least_sharpe: float, most: int, ceiling: float, method: str = "greedy") -> list[str]:
+    """Series taken from a table of pairs (a, b, corr, cov, mean, sharpe), the last two of a where a = b; best first.
+
+    "greedy": the best, then what lifts the Sharpe of the equal-weight mix most, while it rises, among those correlated at
+    ``ceiling`` or less with all taken. "cluster": the best of each of at most ``most`` clusters of correlation.
+    """
+    own = d[d["a"] == d["b"]].set_index("a")
+    names = own["sharpe"][own["sharpe"] >= least_sharpe].sort_index().sort_values(ascending=False, kind="stable").index.tolist()
+    every = sorted(set(d["a"]) | set(d["b"]))
+    place = {s: i for i, s in enumerate(every)}
+    corr, cov = (_matrices(d, every, c) for c in ("corr", "cov"))
+    mean = own["mean"].reindex(every).to_numpy(float)
+    if method == "cluster" and len(names) > 1:
+        at = [place[s] for s in names]
+        apart = np.sqrt(0.5 * (1 - np.clip(np.nan_to_num(corr[np.ix_(at, at)]), -1, 1)))
+        label = np.arange(len(at))
+        for a, b in merges(apart, False)[: max(0, len(at) - most)]:
+            label[b] = label[a[0]]
+        return [s for k, s in enumerate(names) if label[k] not in label[:k]]
+
+    def mixed(part: list[str]) -> float:
+        at = [place[s] for s in part]
+        var = cov[np.ix_(at, at)].mean()
+        return mean[at].mean() / np.sqrt(var) if var > 0 else 0.0
+
+    taken = names[:1]
+    while taken and len(taken) < most:
+        open_ = [s for s in names if s not in taken and all(abs(corr[place[s], place[t]]) <= ceiling for t in taken)]
+        best = max(open_, key=lambda s: mixed([*taken, s]), default=None)
+        if best is None or not mixed([*taken, best]) > mixed(taken):
+            break
+        taken.append(best)
+    return taken
+
+
+def static_selection(rets: DataFrame, least_sharpe: float, per_year: float, most: int = 8, ceiling: float = 0.6, method: str = "greedy", weighting: str = "equal", key: str = "asset") -> DataFrame:
+    """series, weight: picked from the whole history, which makes what they earned in it a biased record."""
+    one = rets.groupBy(F.col(key).alias("a")).agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("_s"))
+    one = one.select("a", F.col("a").alias("b"), "mean", F.when(F.col("_s") > 0, F.col("mean") / F.col("_s") * per_year**0.5).otherwise(F.lit(0.0)).alias("sharpe"))
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        taken = picked(d, least_sharpe, most, ceiling, method)
+        weight = np.full(len(taken), 1 / max(len(taken), 1))
+        if weighting == "hrp" and taken:
+            part = d[d["a"].isin(taken) & d["b"].isin(taken)]
+            weight = hrp(_matrices(part, taken, "cov"))
+        return pd.DataFrame({"series": taken, "weight": weight})
+
+    return pairs(rets, key).join(one, ["a", "b"], "left").groupBy().applyInPandas(run, "series string, weight double")
+
+
 def nested_selection(rets: DataFrame, block: int, least_sharpe: float, per_year: float, most: int = 8, ceiling: float = 0.6, history: int = 60, key: str = "asset") -> DataFrame:
     """block_id, series, weight: series picked for each block from the returns before it, in equal shares.
 
@@ -158,25 +211,7 @@ def nested_selection(rets: DataFrame, block: int, least_sharpe: float, per_year:
     )
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        own = d[d["a"] == d["b"]].set_index("a")
-        names = own["sharpe"][own["sharpe"] >= least_sharpe].sort_index().sort_values(ascending=False, kind="stable").index.tolist()
-        every = sorted(set(d["a"]) | set(d["b"]))
-        place = {s: i for i, s in enumerate(every)}
-        corr, cov = (_matrices(d, every, c) for c in ("corr", "cov"))
-        mean = own["mean"].reindex(every).to_numpy(float)
-
-        def mixed(part: list[str]) -> float:
-            at = [place[s] for s in part]
-            var = cov[np.ix_(at, at)].mean()
-            return mean[at].mean() / np.sqrt(var) if var > 0 else 0.0
-
-        taken = names[:1]
-        while taken and len(taken) < most:
-            open_ = [s for s in names if s not in taken and all(abs(corr[place[s], place[t]]) <= ceiling for t in taken)]
-            best = max(open_, key=lambda s: mixed([*taken, s]), default=None)
-            if best is None or not mixed([*taken, best]) > mixed(taken):
-                break
-            taken.append(best)
+        taken = picked(d, least_sharpe, most, ceiling)
         return pd.DataFrame({"block_id": d["block_id"].iloc[0], "series": taken, "weight": 1 / max(len(taken), 1)})
 
     return told.groupBy("block_id").applyInPandas(run, "block_id long, series string, weight double")
@@ -206,7 +241,7 @@ def hedge_ratios(pairs_of: DataFrame, bars: int = 120, least: int = 60) -> DataF
     rows = pulled("base", pulled("ret", pairs_of)).filter("ret IS NOT NULL AND base IS NOT NULL")
     last = rows.withColumn("_i", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("ts")))).filter(F.col("_i") <= bars)
     raw = F.try_divide(F.stddev_samp("ret"), F.nullif(F.stddev_samp("base"), F.lit(0.0)))
-    got = last.groupBy("name").agg(F.count(F.lit(1)).alias("n"), raw.alias("_r"), F.corr("ret", "base").alias("corr"))
+    got = last.groupBy("name").agg(F.count(F.lit(1)).alias("n"), raw.alias("_r"), correlation("ret", "base").alias("corr"))
     usable = (F.col("n") >= least) & (F.col("_r") > 0)
     return got.select("name", "n", F.when(usable, F.least(F.greatest(F.col("_r"), F.lit(0.5)), F.lit(2.5))).otherwise(F.lit(1.0)).alias("ratio"), "corr")
 

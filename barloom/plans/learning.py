@@ -180,3 +180,8 @@ def stance_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stance_trades")
 def stance_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stance.held_levels(_held(spark, sf_dir), "trades")
+
+
+@query("static_selection")
+def static_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.static_selection(_rets(spark, sf_dir), -1.0, 252.0, weighting="hrp")

@@ -97,9 +97,15 @@ def test_nested_selection(spark):
         want: list[str] = []
         if block in (2, 3):
             ratio = {k: x.mean() / x.std(ddof=1) if x.std() > 0 else 0.0 for k, x in past.items()}
-            for k in sorted((k for k in ratio if ratio[k] >= 0), key=lambda k: (-ratio[k], k)):
-                if all(past[k].std() > 0 and past[t].std() > 0 and np.corrcoef(past[k], past[t])[0, 1] < 0.6 for t in want):
-                    want.append(k)
+            mix = lambda names: (m := np.mean([past[k] for k in names], axis=0)).mean() / m.std(ddof=1) if np.std([past[k] for k in names]) > 0 else 0.0
+            names = sorted((k for k in ratio if ratio[k] >= 0), key=lambda k: (-ratio[k], k))
+            want = names[:1]
+            while True:
+                free = [k for k in names if k not in want and past[k].std() > 0 and all(abs(np.corrcoef(past[k], past[t])[0, 1]) <= 0.6 for t in want)]
+                best = max(free, key=lambda k: mix([*want, k]), default=None)
+                if best is None or mix([*want, best]) <= mix(want):
+                    break
+                want.append(best)
         assert sorted(r["series"] for r in picked if r["block_id"] == block) == sorted(want)
     assert portfolio.nested_selection(df.filter("false"), 50, 0.0, 252.0).count() == 0
 
@@ -190,3 +196,24 @@ def test_chunks_equal_one_pass(spark, monkeypatch):
     whole = ask()
     monkeypatch.setattr(learners, "CHUNK", 64)
     assert ask() == whole and len(whole[0]) == len(whole[1]) == 230
+
+
+def test_flat_windows_have_no_correlation(spark):
+    from barloom.functions import indicators as ind
+
+    bars = spark.createDataFrame([("a", i, i, 5.0 if i < 12 else float(i)) for i in range(24)], "asset string, ts long, bar_idx long, close double")
+    got = [r["c"] for r in bars.select("bar_idx", ind.trend_correlation(8).alias("c")).orderBy("bar_idx").collect()]
+    assert got[:7] == [None] * 7 and got[7:12] == [0.0] * 5 and got[-1] == pytest.approx(1)
+
+
+def test_static_selection(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(0.1, 1, 300)
+    series = {"a": a, "a2": a + 0.05 * rng.normal(size=300), "b": rng.normal(0.12, 1, 300), "c": rng.normal(-0.3, 1, 300), "flat": np.zeros(300)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "asset string, ts long, ret double")
+    got = {r["series"]: r["weight"] for r in portfolio.static_selection(df, 0.1, 252.0).collect()}
+    assert len(got) == 2 and "b" in got and len({"a", "a2"} & set(got)) == 1 and set(got.values()) == {0.5}
+    two = {r["series"] for r in portfolio.static_selection(df, 0.1, 252.0, most=2, method="cluster").collect()}
+    assert "b" in two and len(two) == 2
+    weighed = {r["series"]: r["weight"] for r in portfolio.static_selection(df, 0.1, 252.0, weighting="hrp").collect()}
+    assert sum(weighed.values()) == pytest.approx(1) and set(weighed) == set(got)
