@@ -7,7 +7,7 @@ before, after and around each id. By these sums, ids with like neighbours share
 next id and its class within the group, an id within its class has its smoothed relative
 frequency, so the product is a probability over the whole vocabulary. The attention weights are fitted to all windows of all training
 documents, the last one of a text padded: in each of ``ROUNDS`` rounds every task trains
-on its next part of the windows from the weights so far, and the results are averaged by
+on the windows of its next texts from the weights so far, and the results are averaged by
 windows. Small inputs are passed over more than once, at most ``EPOCHS`` times, and by
 fewer tasks (``TASK_WINDOWS`` each at least). The sums are of whole numbers, so the order
 of tasks changes nothing; which windows meet in a task follows from the files.
@@ -120,9 +120,10 @@ def neighbours(ids: np.ndarray, at: np.ndarray, near: np.ndarray, signs: np.ndar
     inside = np.flatnonzero(text[1:] == text[:-1])
     pair, n = np.unique(ids[inside] * VOCABULARY + ids[inside + 1], return_counts=True)
     a, b = pair // VOCABULARY, pair % VOCABULARY
-    own, sums = _summed(b, signs[a] * n[:, None])
+    few, n32 = signs.astype(np.int32), n.astype(np.int32)  # a pack has fewer ids than 2 ** 31
+    own, sums = _summed(b, few[a] * n32[:, None])
     near[own, :SIDE] += sums
-    own, sums = _summed(a, signs[b] * n[:, None])
+    own, sums = _summed(a, few[b] * n32[:, None])
     near[own, SIDE : 2 * SIDE] += sums
     pair, n = np.unique(text * VOCABULARY + ids, return_counts=True)
     text, own = pair // VOCABULARY, pair % VOCABULARY
@@ -132,22 +133,21 @@ def neighbours(ids: np.ndarray, at: np.ndarray, near: np.ndarray, signs: np.ndar
     near[own, 2 * SIDE :] += sums
 
 
-def _training(batches: Iterator[pa.RecordBatch], size: int = PACK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids of about ``size`` or more at once of the training rows of (doc_id, row, ids): ids, offsets, row numbers."""
-    held, rows, total = [], [], 0
+def _training(batches: Iterator[pa.RecordBatch], size: int = PACK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of about ``size`` or more at once of the training rows of (doc_id, ids), and their offsets."""
+    held, total = [], 0
     for batch in batches:
         out = _held_out(batch.column("doc_id").to_pylist())
-        for blob, row, hidden in zip(batch.column("ids").to_pylist(), batch.column("row").to_pylist(), out.tolist(), strict=True):
+        for blob, hidden in zip(batch.column("ids").to_pylist(), out.tolist(), strict=True):
             if hidden:
                 continue
             held.append(np.frombuffer(blob, "<u2"))
-            rows.append(row)
             total += len(held[-1])
             if total >= size:
-                yield np.concatenate(held).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) for x in held]))), np.array(rows)
-                held, rows, total = [], [], 0
+                yield np.concatenate(held).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) for x in held])))
+                held, total = [], 0
     if held:
-        yield np.concatenate(held).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) for x in held]))), np.array(rows)
+        yield np.concatenate(held).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) for x in held])))
 
 
 NEAR = [f"s{k}" for k in range(3 * SIDE)]
@@ -156,7 +156,7 @@ NEAR = [f"s{k}" for k in range(3 * SIDE)]
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Count and neighbour sums of each id; the id -1 has the number of windows."""
     total, near, signs, windows = np.zeros(VOCABULARY, np.int64), np.zeros((VOCABULARY, 3 * SIDE), np.int64), _signs(), 0
-    for ids, at, _ in _training(batches):
+    for ids, at in _training(batches):
         total += np.bincount(ids, minlength=VOCABULARY)
         neighbours(ids, at, near, signs)
         windows += int((-(-np.diff(at) // WINDOW)).sum())
@@ -383,8 +383,8 @@ class Model:
         return out
 
 
-def _round(model: Model, number: int, rounds: int):
-    """Weights times windows of a task that trains on its windows of a round, and its windows."""
+def _round(model: Model, number: int):
+    """Weights times windows of a task that trains on the windows of its texts of a round, and its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys, held, windows, moments = [], [], 0, 0, {}
@@ -398,14 +398,11 @@ def _round(model: Model, number: int, rounds: int):
                 ys.clear()
                 held = 0
 
-        for ids, at, rows in _training(batches):
-            count = -(-np.diff(at) // WINDOW)
-            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(rows, count)
+        for ids, at in _training(batches, BLOCK * WINDOW):
             x, y = model.windows(ids, at)
-            own = nth % rounds == number % rounds
-            xs.append(x[own])
-            ys.append(y[own])
-            held += int(own.sum())
+            xs.append(x)
+            ys.append(y)
+            held += len(x)
             if held >= BLOCK:
                 train()
         train()
@@ -438,11 +435,12 @@ def fitted(rows: DataFrame) -> Model:
     model = Model(counts, [], near)
     tasks = max(1, windows // TASK_WINDOWS)
     rounds, passes = (ROUNDS if tasks > 1 else 1), min(EPOCHS, max(1, -(-LEAST_WINDOWS // max(1, windows))))
-    few = texts.coalesce(tasks)
     for number in range(rounds * passes if windows else 0):
-        trained = few.mapInArrow(_round(model, number, rounds), "windows long, sums binary")
+        part = texts.filter(F.pmod("row", F.lit(rounds)) == number % rounds).coalesce(tasks)
+        trained = part.mapInArrow(_round(model, number), "windows long, sums binary")
         parts = trained.repartition(min(16, tasks)).mapInArrow(_added, "windows long, sums binary").collect()
-        model.unflat(sum(np.frombuffer(r["sums"], np.int64) for r in parts) / sum(r["windows"] for r in parts) / FIXED)
+        if parts:
+            model.unflat(sum(np.frombuffer(r["sums"], np.int64) for r in parts) / sum(r["windows"] for r in parts) / FIXED)
     model.prepared()
     return model
 
