@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.storage import rewritten, small_batches
 from barloom.llm.text import LOWER, chunks, mix, spans, word_hashes
-from barloom.llm.token_output import default_tokenizer, encoder_of, with_ends
+from barloom.llm.token_output import Known, default_tokenizer, encoder_of, with_ends
 
 HOT = 1 << 16
 VOCABULARY, OWN_ROWS, CLASSES, GROUP, DIM = 49_408, 4_096, 96, 8, 16
@@ -279,7 +279,7 @@ class Model:
 
     def _grouped(self, h: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Group, its rows, their states and the scores of its classes."""
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.int8), kind="stable")
         states, edges = h[order], np.searchsorted(group[order], np.arange(CLASSES // GROUP + 1))
         for k in range(CLASSES // GROUP):
             if (a := edges[k]) < (b := edges[k + 1]):
@@ -331,7 +331,11 @@ class Model:
         g["Q"] = g["Q"] / root
         de = dh + back @ into.T
         g["P"] = de.reshape(m, WINDOW, DIM).sum(axis=0)
-        g["E"] = np.stack([np.bincount(flat, weights=de[:, j], minlength=len(w["E"])) for j in range(DIM)], axis=1).astype(np.float32)
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        rows = flat[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        g["E"] = np.zeros_like(w["E"])
+        g["E"][rows[first]] = np.add.reduceat(de[order], first, axis=0)
         return float(-np.log(np.maximum(right[inside], 1e-30)).mean()), g
 
     def prepared(self) -> None:
@@ -445,21 +449,29 @@ def fitted(rows: DataFrame) -> Model:
     return model
 
 
+class Hot(Known):
+    """Words of the hot table by hash."""
+
+    BITS = 18
+
+
 class Base:
     """Logs of hot counts and the rule for all others."""
 
     def __init__(self, hot: list[tuple[int, int]], total: int, kinds: int):
         hot = sorted(hot)
-        self.words = np.array([w for w, _ in hot], np.int64)
-        self.logs = np.log10(np.array([n for _, n in hot], float) + 1)
+        words = np.array([w for w, _ in hot], np.int64).view(np.uint64)
+        self.table = Hot()
+        self.table.add(words, np.zeros(0, np.uint32), np.zeros(len(words), np.int64))
+        self.logs = np.zeros(1 << Hot.BITS)
+        self.logs[self.table.find(words)[0]] = np.log10(np.array([n for _, n in hot], float) + 1)
+        self.table.ids = self.table.start = self.table.size = None  # only the hashes travel with the tasks
         self.total, self.log_all = total, float(np.log10(total + kinds + 1))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.words):
-            return np.zeros(len(hashes), bool), np.zeros(len(hashes))
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        hot = self.words[at] == hashes
-        return hot, np.where(hot, self.logs[at], 0.0)
+        slot, hot = self.table.find(hashes.view(np.uint64))
+        hot &= hashes != 0  # an empty slot's key
+        return hot, np.where(hot, self.logs[slot], 0.0)
 
 
 def _cold(base: Base):
