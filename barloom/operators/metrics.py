@@ -171,7 +171,7 @@ def breakeven(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, breakeven: the cost at which a return (cost, ret) first falls to 0, between its neighbours; 0 if it starts there, infinite if never."""
     by = Window.partitionBy(*keys).orderBy("cost")
     x0, y0 = F.lag("cost").over(by), F.lag("ret").over(by)
-    cross = F.when(F.col("ret") <= 0, F.coalesce(x0 + (F.col("cost") - x0) * y0 / (y0 - F.col("ret")), F.lit(0.0)))
+    cross = F.when(F.col("ret") <= 0, F.coalesce(x0 + F.try_divide((F.col("cost") - x0) * y0, y0 - F.col("ret")), F.lit(0.0)))
     marked = rows.withColumn("_x", F.struct(F.col("cost"), cross.alias("at")))
     first = F.min(F.when(F.col("ret") <= 0, F.col("_x")))
     return marked.groupBy(*keys).agg(F.coalesce(first["at"], F.lit(float("inf"))).alias("breakeven"))

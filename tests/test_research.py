@@ -338,8 +338,9 @@ def test_series_operations(spark):
     assert rows(metrics.aligned(rets).select("asset", "ts", "ret")) == [("a", 2, -1.5), ("a", 3, 0.2), ("b", 2, 0.3), ("b", 3, 0.0)]
     one, two = rets.filter("asset = 'a'").select("ts", "ret"), rets.filter("asset = 'a' AND ts < 3").select("ts", "ret")
     assert metrics.verified(one, one).first()["ok"] and metrics.verified(one, two).first()["missing"] == 1 and not metrics.verified(one, two).first()["ok"]
-    cost = spark.createDataFrame([("x", 0.0, 0.3), ("x", 5.0, 0.1), ("x", 10.0, -0.1), ("y", 0.0, -0.1), ("z", 0.0, 0.2), ("z", 5.0, 0.1)], "k string, cost double, ret double")
-    assert {r["k"]: r["breakeven"] for r in metrics.breakeven(cost, "k").collect()} == {"x": 7.5, "y": 0.0, "z": math.inf}
+    cost = spark.createDataFrame([("x", 0.0, 0.3), ("x", 5.0, 0.1), ("x", 10.0, -0.1), ("y", 0.0, -0.1), ("z", 0.0, 0.2), ("z", 5.0, 0.1),
+        ("flat", 0.0, 0.1), ("flat", 5.0, -0.1), ("flat", 10.0, -0.1), ("flat", 20.0, -0.1), ("lost", 0.0, -1.0), ("lost", 5.0, -1.0)], "k string, cost double, ret double")
+    assert {r["k"]: r["breakeven"] for r in metrics.breakeven(cost, "k").collect()} == {"x": 7.5, "y": 0.0, "z": math.inf, "flat": 2.5, "lost": 0.0}
     bars = spark.createDataFrame([("a", i, 10.0 + i) for i in range(4)], "asset string, bar_idx long, close double")
     trades = spark.createDataFrame([("a", 0, 1, 3, 1, 2.0)], "asset string, trial_id int, entry_idx long, exit_idx long, side int, units double")
     curve = spark.createDataFrame([("a", 0, i, 100.0) for i in range(4)], "asset string, trial_id int, bar_idx long, equity double")
