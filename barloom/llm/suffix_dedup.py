@@ -22,9 +22,11 @@ hash's neighbourhood, never a whole document.
    doc_id decides for all its members.
 4. The removed ranges return to their documents and are cut out.
 
-Defined results: a null text is empty; a null doc_id comes after all others;
-rows that repeat an id are the same document and should hold the same text (each
-row gets the ranges of all of them, within its length); texts under SPAN bytes
+Every row is judged by itself: the unit is a doc_id and, where rows of one id differ, the hash of its text. Units of one id
+have no smaller doc_id among them and take nothing from each other.
+
+Defined results: a null text is empty; null doc_ids come after all others (2 ** 63 - 1 stands with them) and are
+separate documents, none smaller than another; so are rows that repeat an id, whatever their texts; texts under SPAN bytes
 stay whole. Periodic text makes one long segment, which is still one suffix range.
 """
 
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.storage import small_batches
+from barloom.llm.storage import rewritten, small_batches
 from barloom.llm.text import chunks, mix, prefix, slice_hashes
 
 SPAN, GRAM = 50, 16
@@ -49,8 +51,9 @@ FLUSH_ANCHORS, FLUSH_BYTES, ROW_ANCHORS = 400_000, 4 << 20, 64
 SEGMENT_BUCKET, ANCHOR_BUCKET, ANCHOR_BUCKETS = 5 << 19, (5 << 19, 32 << 20), 4000
 #: Windows that are looked up at a time when ranges are written.
 SLICE = 1 << 20
-KNOWN = -1  #: stands for the holders of an anchor that several documents of a pack have, which it lists apart
+KNOWN = -(1 << 63)  #: stands for the holders of an anchor that several documents of a pack have, which it lists apart
 LAST = (1 << 63) - 1  #: stands for a null doc_id
+BROADCAST_IDS = 500_000  #: ids whose rows differ, up to which they are broadcast
 _48 = np.uint64(48)
 
 
@@ -99,12 +102,20 @@ def _bucket(anchor: np.ndarray, n: int) -> np.ndarray:
     return ((mix(anchor) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
-def _order_ids(rows: pa.RecordBatch) -> np.ndarray:
-    return rows.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+def _unit(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return rows.column(0).to_numpy(), rows.column(1).to_numpy()
+
+
+def _fresh(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted columns differs from the one before it."""
+    out = np.ones(len(sorted_keys[0]), bool)
+    if len(out):
+        out[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    return out
 
 
 def _list_anchors(n_buckets: int):
-    """Packed (anchor, id) pairs by bucket; ``known`` packs hold pairs whose anchor several documents of the pack have.
+    """Packed (anchor, id, nth) by bucket; ``known`` packs hold those whose anchor several documents of the pack have.
 
     Such an anchor goes to its bucket once, as KNOWN, so what a bucket gets of one anchor is one entry a pack, however many
     documents hold it.
@@ -112,39 +123,36 @@ def _list_anchors(n_buckets: int):
     most = max(FLUSH_ANCHORS, ROW_ANCHORS * n_buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            anchor, ids = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            order = np.lexsort((ids, anchor))
-            anchor, ids = anchor[order], ids[order]
-            fresh = np.ones(len(anchor), bool)
-            fresh[1:] = (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1])
-            anchor, ids = anchor[fresh], ids[fresh]
-            first = np.ones(len(anchor), bool)
-            first[1:] = anchor[1:] != anchor[:-1]
-            begin = np.flatnonzero(first)
+            anchor, ids, nth = (np.concatenate([x[i] for x in held]) for i in range(3))
+            order = np.lexsort((nth, ids, anchor))
+            anchor, ids, nth = anchor[order], ids[order], nth[order]
+            fresh = _fresh(anchor, ids, nth)
+            anchor, ids, nth = anchor[fresh], ids[fresh], nth[fresh]
+            begin = np.flatnonzero(_fresh(anchor))
             several = np.diff(np.append(begin, len(anchor))) > 1
             local = np.repeat(several, np.diff(np.append(begin, len(anchor))))
             rows = []
             if local.any():
                 spread = n_buckets + int(mix(anchor[local][:1] ^ ids[local][:1].view(np.uint64))[0] % np.uint64(n_buckets))
-                rows.append((spread, pack(np.diff(anchor[local], prepend=np.uint64(0))), pack(ids[local]), True))
-            anchor, ids = anchor[begin], np.where(several, KNOWN, ids[begin])
+                rows.append((spread, pack(np.diff(anchor[local], prepend=np.uint64(0))), pack(ids[local]), pack(nth[local]), True))
+            anchor, ids, nth = anchor[begin], np.where(several, KNOWN, ids[begin]), np.where(several, 0, nth[begin])
             bucket = _bucket(anchor, n_buckets)
             order = np.argsort(bucket, kind="stable")
-            bucket, anchor, ids = bucket[order], anchor[order], ids[order]
+            bucket, anchor, ids, nth = bucket[order], anchor[order], ids[order], nth[order]
             edge = np.flatnonzero(np.diff(bucket)) + 1
             for a, b in zip(np.append(0, edge), np.append(edge, len(anchor)), strict=True):
-                rows.append((int(bucket[a]), pack(np.diff(anchor[a:b], prepend=np.uint64(0))), pack(ids[a:b]), False))
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["bucket", "anchors", "ids", "known"])
+                rows.append((int(bucket[a]), pack(np.diff(anchor[a:b], prepend=np.uint64(0))), pack(ids[a:b]), pack(nth[a:b]), False))
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["bucket", "anchors", "ids", "nths", "known"])
 
         count = 0
         for rows, data, at in chunks(batches):
             doc, _, _, anchor = anchors(data, at)
             if len(doc):
-                held.append((anchor, _order_ids(rows)[doc]))
+                held.append((anchor, *(x[doc] for x in _unit(rows))))
                 count += len(doc)
             if count >= most:
                 yield flush()
@@ -156,23 +164,23 @@ def _list_anchors(n_buckets: int):
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """(id, anchor) of all anchors that more than one document holds."""
-
-    def pairs(known: bool) -> tuple[np.ndarray, np.ndarray]:
-        own = [(a, i) for a, i, k in zip(*(table.column(c).to_pylist() for c in ("anchors", "ids", "known")), strict=True) if k == known]
-        anchor = [np.cumsum(unpack(a, "<u8"), dtype=np.uint64) for a, _ in own]
-        return np.concatenate([np.zeros(0, np.uint64), *anchor]), np.concatenate([np.zeros(0, np.int64), *(unpack(i, "<i8") for _, i in own)])
-
-    anchor, ids = pairs(False)
-    order = np.lexsort((ids, anchor))
-    anchor, ids = anchor[order], ids[order]
-    first = np.ones(len(anchor), bool)
-    first[1:] = anchor[1:] != anchor[:-1]
-    begin = np.flatnonzero(first)
-    several = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin) if len(begin) else np.zeros(0, bool)
+    """(id, nth, anchor) of all anchors that more than one document holds."""
+
+    def listed(known: bool) -> list[np.ndarray]:
+        own = [x for x in zip(*(table.column(c).to_pylist() for c in ("anchors", "ids", "nths", "known")), strict=True) if x[3] == known]
+        anchor = [np.cumsum(unpack(x[0], "<u8"), dtype=np.uint64) for x in own]
+        return [np.concatenate([np.zeros(0, np.uint64), *anchor]), *(np.concatenate([np.zeros(0, np.int64), *(unpack(x[i], "<i8") for x in own)]) for i in (1, 2))]
+
+    anchor, ids, nth = listed(False)
+    order = np.lexsort((nth, ids, anchor))
+    anchor, ids, nth = anchor[order], ids[order], nth[order]
+    begin = np.flatnonzero(_fresh(anchor))
+    several = np.add.reduceat(_fresh(anchor, ids, nth).astype(np.int64), begin) > 1 if len(begin) else np.zeros(0, bool)
+    # what a pack had several holders of is repeated, though one entry stands for them
+    several |= np.minimum.reduceat(ids, begin) == KNOWN if len(begin) else several
     keep = np.repeat(several, np.diff(np.append(begin, len(anchor)))) & (ids != KNOWN)
-    more, holders = pairs(True)
-    return pa.table({"id": pa.array(np.concatenate((ids[keep], holders))), "anchor": pa.array(np.concatenate((anchor[keep], more)).view(np.int64))})
+    more, holders, places = listed(True)
+    return pa.table({"id": pa.array(np.concatenate((ids[keep], holders))), "nth": pa.array(np.concatenate((nth[keep], places))), "anchor": pa.array(np.concatenate((anchor[keep], more)).view(np.int64))})
 
 
 def _cut_segments(n_buckets: int):
@@ -182,8 +190,8 @@ def _cut_segments(n_buckets: int):
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            bucket, ids, start, size = (np.concatenate([x[i] for x in held]) for i in range(4))
-            text = np.concatenate([x[4] for x in held])
+            bucket, ids, nth, start, size = (np.concatenate([x[i] for x in held]) for i in range(5))
+            text = np.concatenate([x[5] for x in held])
             begin = np.cumsum(size) - size
             # equal segments of a pack send their text once
             _, one, which = np.unique(mix(slice_hashes(prefix(text), begin, begin + size) ^ mix(size.astype(np.uint64))), return_index=True, return_inverse=True)
@@ -197,14 +205,14 @@ def _cut_segments(n_buckets: int):
                 places = np.repeat(begin[kinds] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 own_text = text[places].tobytes()
                 packed = len(own_text).to_bytes(8, "little") + pa.compress(own_text, "zstd", asbytes=True)
-                out.append((int(bucket[own[0]]), pack(ids[own]), pack(start[own]), pack((np.cumsum(new) - 1).astype(np.int64)), pack(n), packed))
-            kinds = [pa.int32(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["bucket", "ids", "starts", "kinds", "sizes", "text"])
+                out.append((int(bucket[own[0]]), pack(ids[own]), pack(nth[own]), pack(start[own]), pack((np.cumsum(new) - 1).astype(np.int64)), pack(n), packed))
+            kinds = [pa.int32(), *[pa.binary()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["bucket", "ids", "nths", "starts", "kinds", "sizes", "text"])
 
         total = 0
         for rows, data, at in chunks(batches):
             doc, first, stop, anchor = anchors(data, at)
-            lists = rows.column(2)
+            lists = rows.column(3)
             wanted = lists.flatten().to_numpy().view(np.uint64)
             lengths = lists.value_lengths().fill_null(0).to_numpy()
             of = np.repeat(np.arange(len(lengths)), lengths)
@@ -215,7 +223,7 @@ def _cut_segments(n_buckets: int):
                 continue
             size = stop - first + SPAN - 1
             places = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            held.append((_bucket(anchor, n_buckets), _order_ids(rows)[doc], (first - at[doc]).astype(np.int64), size.astype(np.int64), data[places]))
+            held.append((_bucket(anchor, n_buckets), *(x[doc] for x in _unit(rows)), (first - at[doc]).astype(np.int64), size.astype(np.int64), data[places]))
             total += int(size.sum())
             if total >= most:
                 yield flush()
@@ -322,15 +330,15 @@ def smallest_holder(text: np.ndarray, sizes: np.ndarray, holders: np.ndarray, sp
 
 
 def _ranges(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Removed byte ranges (id, start, stop) that the segments of a bucket show.
+    """Removed byte ranges (id, nth, start, stop) that the segments of a bucket show.
 
     Segments are sorted once each, for their smallest holder; their places are looked up a slice at a time.
     """
     column = lambda name, kind: [unpack(x, kind) for x in table.column(name).to_pylist()]
-    ids, starts, sizes, kinds = (column(name, "<i8") for name in ("ids", "starts", "sizes", "kinds"))
+    ids, nths, starts, sizes, kinds = (column(name, "<i8") for name in ("ids", "nths", "starts", "sizes", "kinds"))
     before = np.cumsum([0, *map(len, sizes)])
     kind = np.concatenate([k + b for k, b in zip(kinds, before[:-1], strict=True)])
-    ids, starts, sizes = (np.concatenate(x) for x in (ids, starts, sizes))
+    ids, nths, starts, sizes = (np.concatenate(x) for x in (ids, nths, starts, sizes))
     text = np.frombuffer(b"".join(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in table.column("text").to_pylist()), np.uint8)
     begin = np.cumsum(sizes) - sizes
     # the packs' segments again once each
@@ -358,12 +366,12 @@ def _ranges(table: pa.Table) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(head)
         final = np.append(first[1:], len(member)) - 1
         m = member[first]
-        parts = [ids[m], (starts[m] + offset[first]).astype(np.int64), (starts[m] + offset[final] + SPAN).astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["id", "start", "stop"])
+        parts = [ids[m], nths[m], (starts[m] + offset[first]).astype(np.int64), (starts[m] + offset[final] + SPAN).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["id", "nth", "start", "stop"])
 
 
 def _all_ranges(table: pa.Table) -> pa.Table:
-    kinds = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    kinds = pa.schema([("id", pa.int64()), ("nth", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
     return pa.Table.from_batches(list(_ranges(table)), kinds)
 
 
@@ -394,30 +402,38 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
 
 
-def removed_ranges(docs: DataFrame) -> DataFrame:
-    """id (LAST for null), start, stop: byte ranges to remove; they may overlap."""
-    small_batches(docs.sparkSession)
-    rows = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
+def _units(docs: DataFrame) -> DataFrame:
+    """doc_id, order_id, nth, text: nth is 0 where the rows of an id have one text, else the hash of the row's text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order_id"), F.coalesce("text", F.lit("")).alias("text"))
+    mark = F.xxhash64("text")
+    differing = rewritten(rows.groupBy("order_id").agg((F.min(mark) != F.max(mark)).alias("_differs")).filter("_differs"), "differing")
+    n = differing.count()
+    if not n:
+        return rows.select("doc_id", "order_id", F.lit(0).cast("long").alias("nth"), "text")
+    flagged = rows.join(F.broadcast(differing) if n <= BROADCAST_IDS else differing, "order_id", "left")
+    return flagged.select("doc_id", "order_id", F.when(F.col("_differs"), mark).otherwise(F.lit(0).cast("long")).alias("nth"), "text")
+
+
+def removed_ranges(units: DataFrame) -> DataFrame:
+    """id, nth, start, stop: byte ranges to remove of each unit (order_id, nth, text); they may overlap."""
+    rows = units.select("order_id", "nth", "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     low, high = ANCHOR_BUCKET
     n_anchors, n_segments = max(1, -(-size // min(high, max(low, size // ANCHOR_BUCKETS)))), max(1, -(-size // SEGMENT_BUCKET))
-    listed = rows.mapInArrow(_list_anchors(n_anchors), "bucket int, anchors binary, ids binary, known boolean")
-    repeated = listed.groupBy("bucket").applyInArrow(_repeated, "id long, anchor long")
-    wanted = repeated.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
-    texts = _texts(docs).join(wanted, F.col("order_id") == F.col("id")).select("order_id", "text", "anchors")
-    segments = texts.mapInArrow(_cut_segments(n_segments), "bucket int, ids binary, starts binary, kinds binary, sizes binary, text binary")
-    return segments.groupBy("bucket").applyInArrow(_all_ranges, "id long, start long, stop long")
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order_id"), "text")
+    listed = rows.mapInArrow(_list_anchors(n_anchors), "bucket int, anchors binary, ids binary, nths binary, known boolean")
+    repeated = listed.groupBy("bucket").applyInArrow(_repeated, "id long, nth long, anchor long")
+    wanted = repeated.groupBy(F.col("id").alias("order_id"), "nth").agg(F.collect_list("anchor").alias("anchors"))
+    texts = rows.join(wanted, ["order_id", "nth"]).select("order_id", "nth", "text", "anchors")
+    segments = texts.mapInArrow(_cut_segments(n_segments), "bucket int, ids binary, nths binary, starts binary, kinds binary, sizes binary, text binary")
+    return segments.groupBy("bucket").applyInArrow(_all_ranges, "id long, nth long, start long, stop long")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    spans = removed_ranges(docs).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    joined = _texts(docs).join(spans, F.col("order_id") == F.col("id"), "left")
-    ready = joined.select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "ranges")
+    small_batches(docs.sparkSession)
+    units = _units(docs)
+    spans = removed_ranges(units).groupBy(F.col("id").alias("order_id"), "nth").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    ready = units.join(spans, ["order_id", "nth"], "left").select("doc_id", "text", "ranges")
     return ready.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -282,6 +282,41 @@ def test_suffix_dedup_of_common_passages(spark, monkeypatch):
         assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
 
 
+def suffix_dedup_by_hand(rows):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; strings are looked up in documents with a smaller id."""
+    strings = lambda t: [t[p : p + 50] for p in range(len(t) - 49)]
+    place = lambda i: math.inf if i is None else i
+    first: dict[bytes, float] = {}
+    for i, t in rows:
+        for w in set(strings((t or "").encode())):
+            first[w] = min(first.get(w, math.inf), place(i))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, int)
+        for p, w in enumerate(strings(b)):
+            if first[w] < place(i):
+                gone[p : p + 50] = 1
+        kept = bytes(x for x, g in zip(b, gone, strict=False) if not g)
+        out.append((i, len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_dedup_of_null_and_repeated_ids(spark, monkeypatch, small):
+    """Rows of one id, null or not, with different texts are judged each, and take nothing from each other."""
+    if small:
+        for name, value in {"FLUSH_ANCHORS": 40, "ROW_ANCHORS": 1, "FLUSH_BYTES": 300, "SEGMENT_BUCKET": 2000, "ANCHOR_BUCKET": (1500, 3000), "SLICE": 64, "BROADCAST_IDS": 0}.items():
+            monkeypatch.setattr(suffix_dedup, name, value)
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefg"), rng.integers(3, 9))) for _ in range(n))
+    p, q, r, shared = text(20), text(20), text(20), text(25)
+    rows = [(1, p), (None, p + " and more"), (None, q), (7, p + " and so on"), (7, r), (None, shared + q), (7, shared + r), (-1, text(12)), (None, q), (7, r), (2**63 - 1, text(9) + p), (9, shared[10:]), (None, None), (7, "")]
+    rows += [(None if i % 3 else 50, shared + text(int(rng.integers(1, 30)))) for i in range(24)] + [(None, text(30)) for _ in range(12)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == suffix_dedup_by_hand(rows)
+
+
 def test_token_output(docs, none, spark):
     from tokenizers import Tokenizer
 
