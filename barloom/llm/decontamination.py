@@ -14,8 +14,10 @@ shingles of the documents. For others a document holding 80 % is missed with
 probability below 1e-6.
 
 Defined results: texts under five words have no shingles, so such items and
-documents match nothing, as null texts and null ids do; repeated rows of an id
-count as one document with its best containment.
+documents match nothing, as null texts and null ids do. Every row is judged by
+itself, of documents and of items; of the rows that share a doc_id and an item_id
+the pair with the highest containment is reported, of equal ones that with the
+most common shingles.
 """
 
 from __future__ import annotations
@@ -61,10 +63,10 @@ def _bound(df: DataFrame) -> DataFrame:
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of each pair at or above LEAST."""
     wanted = items.filter("item_id IS NOT NULL").select("item_id", shingles(F.col("text")).alias("item")).filter(F.size("item") > 0)
-    wanted = wanted.withColumn("n_item", F.size("item").cast("long"))
+    wanted = wanted.withColumns({"n_item": F.size("item").cast("long"), "key": F.xxhash64("item")}).dropDuplicates(["item_id", "key"])
     large = wanted.filter(F.col("n_item") >= EXACT_BELOW).withColumn("e", F.explode(F.array(*map(F.lit, PARTITIONS))))
-    index = large.select("item_id", "e", F.explode(_minima(F.col("item"), F.col("e"))).alias("h"))
-    small = wanted.filter(F.col("n_item") < EXACT_BELOW).select("item_id", F.lit(EXACT).alias("e"), F.explode("item").alias("h"))
+    index = large.select("item_id", "key", "e", F.explode(_minima(F.col("item"), F.col("e"))).alias("h"))
+    small = wanted.filter(F.col("n_item") < EXACT_BELOW).select("item_id", "key", F.lit(EXACT).alias("e"), F.explode("item").alias("h"))
     has_small = not small.isEmpty()
 
     # a text is shingled once: its minima, and all its shingles where items ask for them
@@ -73,17 +75,14 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
         return F.concat(minima, F.transform(d, lambda h: F.struct(F.lit(EXACT).alias("e"), h.alias("h")))) if has_small else minima
 
     hashed = docs.filter("doc_id IS NOT NULL").select("doc_id", F.explode(let(shingles(F.col("text")), keys)).alias("k")).select("doc_id", "k.e", "k.h")
-    found = hashed.join(_bound(index.unionByName(small)), ["e", "h"]).select("doc_id", "item_id").distinct()
-    candidates = _bound(rewritten(found, "candidates")).join(_bound(wanted), "item_id")
+    found = hashed.join(_bound(index.unionByName(small)), ["e", "h"]).select("doc_id", "item_id", "key").distinct()
+    candidates = _bound(rewritten(found, "candidates")).join(_bound(wanted), ["item_id", "key"])
     exact = docs.select("doc_id", "text").join(_bound(candidates), "doc_id").select(
         "doc_id", "item_id", "n_item", F.size(F.array_intersect(shingles(F.col("text")), F.col("item"))).cast("long").alias("n_shared")
     )
-    return (
-        exact.groupBy("doc_id", "item_id")
-        .agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
-        .withColumn("containment", F.col("n_shared") / F.col("n_item"))
-        .filter(F.col("containment") >= LEAST)
-    )
+    held = exact.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= LEAST)
+    best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_shared", "n_item")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_shared", "best.n_item", "best.containment")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -96,14 +95,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-ds AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
-       FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM dw WHERE len(ws) >= 5)),
-bw AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
-bs AS (SELECT DISTINCT item_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
-       FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM bw WHERE len(ws) >= 5)),
-n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
-p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (g) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
-FROM p JOIN n USING (item_id) WHERE n_shared / n_item >= 0.8
+WITH dw AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+ds AS (SELECT DISTINCT d, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
+       FROM (SELECT d, ws, unnest(range(1, len(ws) - 3)) AS i FROM dw WHERE len(ws) >= 5)),
+bw AS (SELECT row_number() OVER () AS b, item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+bs AS (SELECT DISTINCT b, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
+       FROM (SELECT b, ws, unnest(range(1, len(ws) - 3)) AS i FROM bw WHERE len(ws) >= 5)),
+n AS (SELECT b, count(*) AS n_item FROM bs GROUP BY b),
+p AS (SELECT d, b, count(*) AS n_shared FROM ds JOIN bs USING (g) GROUP BY d, b),
+x AS (SELECT doc_id, item_id, max({'c': n_shared / n_item, 's': n_shared, 'n': n_item}) AS best
+      FROM p JOIN n USING (b) JOIN dw USING (d) JOIN bw USING (b) WHERE n_shared / n_item >= 0.8 GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, best.s AS n_shared, best.n AS n_item, best.c AS containment FROM x
 """

@@ -125,6 +125,24 @@ def test_decontamination(spark, docs, none):
     assert {r["doc_id"] for r in decontamination.decontaminated(docs, items).collect()} == {2, 3, 4, 5, None, 7, 8}
 
 
+def test_decontamination_of_repeated_ids_equals_its_sql(spark):
+    import duckdb
+
+    words = [f"w{i}" for i in range(300)]
+    text = lambda a, b: " ".join(words[a:b])
+    documents = [(1, text(0, 20)), (1, text(16, 40)), (2, text(0, 200)), (2, "x " + text(100, 220)), (None, text(0, 40)), (3, text(50, 120)), (3, text(50, 120)), (4, "a b c d e"), (5, None)]
+    items = [(5, text(10, 30)), (5, text(100, 220)), (6, text(0, 40)), (7, text(50, 120)), (7, text(50, 120)), (8, text(50, 121)), (9, "A b c d e"), (None, text(0, 30)), (10, None), (10, text(0, 19))]
+    got = decontamination.contained(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", documents)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    rows = sorted(tuple(r) for r in got.select("doc_id", "item_id", "n_shared", "n_item", "containment").collect())
+    assert rows == sorted(con.sql(decontamination.OP8_SQL).fetchall())
+    assert {r[:2] for r in rows} == {(1, 10), (2, 5), (2, 6), (2, 7), (2, 8), (2, 10), (3, 7), (3, 8), (4, 9)} and (2, 5, 116, 116, 1.0) in rows
+
+
 def test_near_duplicates(docs, none, spark):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 1, 7: 7, 8: 8} and near_dedup.near_duplicates(none).count() == 0
