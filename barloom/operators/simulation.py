@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Trials to a group: what bounds a task's memory beside the bars of one asset.
-LANES = 256
+#: Trials to a group, and bars times trials up to which a group has so many.
+LANES, ROOM = 256, 1 << 24
 #: The columns of a plan and what they are where a plan does not say.
 PLAN = {
     "direction": "trend", "channel": "donchian", "entry": "stop", "exit": "channel", "regime_indicator": "er", "regime_filter": "none",
@@ -180,235 +181,325 @@ def filled(plans: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def simulate(bars: pd.DataFrame, plans: pd.DataFrame, account: Account = Account(), first: int = 0, log: bool = False) -> Run:
-    """Run every plan (a row of PLAN columns) over ordered bars (open, high, low, close, and roll where rolls cost)."""
-    p = filled(plans)
-    o, h, l, c = (bars[x].to_numpy(float) for x in ("open", "high", "low", "close"))  # noqa: E741
-    n, m = len(c), len(p)
-    f = Formed(bars, account.margin <= 0)
-    col = lambda name, kind=float: p[name].to_numpy(kind)
-    stack = lambda *lanes: np.stack([f.get(*x) if x else np.zeros(n) for x in lanes], axis=1) if m else np.zeros((n, 0))
-    rows = p.to_dict("records")
-    edges = lambda x, span, side: ("edge", x["channel"], int(x[span]), float(x["channel_k"]), int(x["atr_n"]), side)
-    exit_, entry = col("exit", str), col("entry", str)
-    by_channel, by_trail, by_target, by_time = (exit_ == x for x in ("channel", "atr_trail", "target_stop", "time_stop"))
-    upper, lower = (stack(*[edges(x, "n_entry", s) for x in rows]) for s in (1, -1))
-    upper_x, lower_x = (stack(*[edges(x, "n_exit", s) if x["exit"] == "channel" else () for x in rows]) for s in (1, -1))
-    mid_x = stack(*[("middle", x["channel"], int(x["n_exit"])) if x["exit"] == "channel" else () for x in rows])
-    atr = stack(*[("atr", int(x["atr_n"])) for x in rows])
-    length = lambda x: int(x["regime_n"]) or REGIMES[x["regime_indicator"]][0]
-    regime = stack(*[(x["regime_indicator"], length(x)) if x["regime_filter"] != "none" else () for x in rows])
-    threshold = np.array([REGIMES[x["regime_indicator"]][1] if np.isnan(x["regime_threshold"]) else x["regime_threshold"] for x in rows], float)
-    rank = stack(*[("rank", int(x["atr_n"]), int(x["vol_lookback"])) if x["vol_filter"] else () for x in rows])
-    bias = stack(*[("sma", int(x["bias_n"])) if x["bias_filter"] == "sma" else () for x in rows])
-    vol = stack(*[("vol", int(x["vol_target_n"])) if x["vol_target"] > 0 else () for x in rows])
-    way = np.where(col("direction", str) == "trend", 1.0, -1.0)
-    direction = stack(*[("learned",) if x["direction"] == "learned" else () for x in rows])
-    direction = np.where(col("direction", str) == "learned", direction, way)
-    ready = ~np.isnan(np.stack([upper, lower, atr, upper_x, lower_x, mid_x, regime, rank, bias, vol, direction])).any(axis=0)
-    roll = bars["roll"].fillna(0).to_numpy(float) if account.roll_cost > 0 and "roll" in bars else np.zeros(n)
-    aim = col("vol_target") / np.sqrt(account.per_year)
-    stop_mult, target_mult, trail_mult = col("stop_mult"), col("target_mult"), col("trail_mult")
-    max_hold, pull_mult, pull_bars = col("max_hold"), col("pullback_mult"), col("pullback_bars", int)
-    vol_low, vol_high, risk, leverage = col("vol_low"), col("vol_high"), col("risk"), col("leverage")
-    trend_only, range_only = (col("regime_filter", str) == x for x in ("trend_only", "range_only"))
-    ranked, biased = col("vol_filter", bool), col("bias_filter", str) == "sma"
-    longs, shorts = col("sides", str) != "short_only", col("sides", str) != "long_only"
-    confirms, pulls = entry == "close_confirm", entry == "pullback"
-
-    cash, equity, entries = np.full(m, account.equity), np.full((n, m), account.equity), np.zeros((n, m), np.int8)
-    side, units, paid, price, stop, target, extreme, last_atr = (np.zeros(m) for _ in range(8))
-    since, until = np.full(m, -1), np.zeros(m, int)
-    resting, rest_side, rest_level, rest_trend = np.zeros(m, bool), np.zeros(m), np.zeros(m), np.ones(m, bool)
-    follows, ruined = np.ones(m, bool), np.zeros(m, bool)
-    closed: list[tuple] = []
-    events: list[tuple] = []
-
-    def say(bar: int, kind: int, who: np.ndarray, way, detail, level, qty=0.0, aux=0.0) -> None:
-        if log and who.any():
-            at = np.flatnonzero(who)
-            pick = lambda v: np.broadcast_to(np.asarray(v, float), (m,))[at]
-            events.append((np.full(len(at), bar), np.full(len(at), len(events)), at, np.full(len(at), kind), *(pick(v) for v in (way, detail, level, qty, aux))))
+class Inputs:
+    """What lanes read bar by bar: prices and indicator values of their series, held once for each series and looked up by lane.
 
-    def leave(bar: int, who: np.ndarray, at: np.ndarray, why: np.ndarray) -> None:
-        nonlocal cash, side, units
-        if not who.any():
-            return
-        gross = side * units * account.point_value * (at - price)
-        cost = account.cost_rate * units * account.point_value * np.abs(at) + account.cost_per_unit * units
-        pnl = gross - cost - paid
-        cash = np.where(who, cash + gross - cost, cash)
-        k = np.flatnonzero(who)
-        closed.append((k, since[k], np.full(len(k), bar), side[k], price[k], at[k], units[k], pnl[k], (paid + cost)[k], why[k]))
-        say(bar, 11, who, side, why, at, units, pnl)
-        side, units = np.where(who, 0.0, side), np.where(who, 0.0, units)
-
-    def pay_rolls(bar: int, who: np.ndarray) -> None:
-        nonlocal cash, paid
-        if roll[bar] > 0 and account.roll_cost > 0 and who.any():
-            due = account.roll_cost * units * roll[bar]
-            cash, paid = np.where(who, cash - due, cash), np.where(who, paid + due, paid)
-            say(bar, 12, who, side, 0, c[bar], units, due)
-
-    def size(j: int, at: np.ndarray, logic: np.ndarray) -> np.ndarray:
+    ``of`` has the series of each lane. Shorter series end in NaN. Indicators are held as one column for each series and length,
+    never once a lane; whether a lane's values have formed takes a byte a bar.
+    """
+
+    NAMES = ("upper", "lower", "upper_x", "lower_x", "mid_x", "atr", "regime", "rank", "bias", "vol", "direction")
+
+    def __init__(self, series: list[pd.DataFrame], p: pd.DataFrame, of: np.ndarray, account: Account):
+        self.n, m = max((len(b) for b in series), default=0), len(p)
+        self.alone, self.of = len(series) == 1, of
+        padded = lambda x: np.concatenate([np.asarray(x, float), np.full(self.n - len(x), np.nan)])
+        self.prices = {k: np.stack([padded(b[k]) for b in series], axis=1) if series else np.zeros((0, 0)) for k in ("open", "high", "low", "close")}
+        rolls = account.roll_cost > 0
+        self.prices["roll"] = np.stack([padded(b["roll"].fillna(0) if rolls and "roll" in b else np.zeros(len(b))) for b in series], axis=1) if series else np.zeros((0, 0))
+        formed = [Formed(b, account.margin <= 0) for b in series]
+        edges = lambda x, span, side: ("edge", x["channel"], int(x[span]), float(x["channel_k"]), int(x["atr_n"]), side)
+        length = lambda x: int(x["regime_n"]) or REGIMES[x["regime_indicator"]][0]
+        if_ = lambda test, *spec: spec if test else ()
+        wants = {
+            "upper": lambda x: edges(x, "n_entry", 1), "lower": lambda x: edges(x, "n_entry", -1),
+            "upper_x": lambda x: edges(x, "n_exit", 1) if x["exit"] == "channel" else (), "lower_x": lambda x: edges(x, "n_exit", -1) if x["exit"] == "channel" else (),
+            "mid_x": lambda x: if_(x["exit"] == "channel", "middle", x["channel"], int(x["n_exit"])), "atr": lambda x: ("atr", int(x["atr_n"])),
+            "regime": lambda x: if_(x["regime_filter"] != "none", x["regime_indicator"], length(x)), "rank": lambda x: if_(x["vol_filter"], "rank", int(x["atr_n"]), int(x["vol_lookback"])),
+            "bias": lambda x: if_(x["bias_filter"] == "sma", "sma", int(x["bias_n"])), "vol": lambda x: if_(x["vol_target"] > 0, "vol", int(x["vol_target_n"])),
+            "direction": lambda x: ("learned",) if x["direction"] == "learned" else (x["direction"] == "trend",),
+        }
+        rows, constant = p.to_dict("records"), {(): 0.0, (True,): 1.0, (False,): -1.0}
+        self.columns, self.ready = {}, np.ones((self.n, m), bool)
+        for name, spec_of in wants.items():
+            keys = [(int(k), spec_of(x)) for k, x in zip(of, rows, strict=True)]
+            distinct = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+            table = np.empty((self.n, len(distinct)))
+            for (k, spec), i in distinct.items():
+                table[:, i] = constant[spec] if spec in constant else padded(formed[k].get(*spec))
+            at = np.array([distinct[key] for key in keys], int)
+            self.columns[name] = (table, at)
+            self.ready &= ~np.isnan(table)[:, at]
+
+    def price(self, name: str, i: int):
+        row = self.prices[name][i]
+        return row[0] if self.alone else row[self.of]
+
+    def at(self, name: str, i: int) -> np.ndarray:
+        table, lanes = self.columns[name]
+        return table[i][lanes]
+
+
+class Lanes:
+    """The accounts of plans, one to a lane; ``step`` takes them over one bar.
+
+    What a lane carries from bar to bar is its ``state``, arrays that can be stored and put back, so bars may come all at once or
+    one at a time.
+    """
+
+    STATE = {
+        "cash": float, "equity": float, "side": float, "units": float, "paid": float, "entry": float, "stop": float, "target": float, "extreme": float,
+        "last_atr": float, "since": int, "until": int, "resting": bool, "rest_side": float, "rest_level": float, "rest_trend": bool, "follows": bool, "ruined": bool,
+    }
+
+    def __init__(self, plans: pd.DataFrame, account: Account, log: bool = False):
+        self.plans, self.account, self.log, self.m = filled(plans), account, log, len(plans)
+        m = self.m
+        self.state = {k: np.zeros(m, kind) for k, kind in self.STATE.items()}
+        self.state |= {"cash": np.full(m, account.equity), "equity": np.full(m, account.equity), "ruined": np.full(m, account.equity <= 0 and not account.fixed), "since": np.full(m, -1), "rest_trend": np.ones(m, bool), "follows": np.ones(m, bool)}
+        self.closed: list[tuple] = []
+        self.events: list[tuple] = []
+        p = self.plans
+        col = lambda name, kind=float: p[name].to_numpy(kind)
+        exit_, entry = col("exit", str), col("entry", str)
+        self.by_channel, self.by_trail, self.by_target, self.by_time = (exit_ == x for x in ("channel", "atr_trail", "target_stop", "time_stop"))
+        self.threshold = np.array([REGIMES[x["regime_indicator"]][1] if np.isnan(x["regime_threshold"]) else x["regime_threshold"] for x in p.to_dict("records")], float)
+        self.aim = col("vol_target") / np.sqrt(account.per_year)
+        self.stop_mult, self.target_mult, self.trail_mult = col("stop_mult"), col("target_mult"), col("trail_mult")
+        self.max_hold, self.pull_mult, self.pull_bars = col("max_hold"), col("pullback_mult"), col("pullback_bars", int)
+        self.vol_low, self.vol_high, self.risk, self.leverage = col("vol_low"), col("vol_high"), col("risk"), col("leverage")
+        self.trend_only, self.range_only = (col("regime_filter", str) == x for x in ("trend_only", "range_only"))
+        self.ranked, self.biased = col("vol_filter", bool), col("bias_filter", str) == "sma"
+        self.longs, self.shorts = col("sides", str) != "short_only", col("sides", str) != "long_only"
+        self.confirms, self.pulls = entry == "close_confirm", entry == "pullback"
+
+    def size(self, x: Inputs, j: int, at: np.ndarray, logic: np.ndarray) -> np.ndarray:
         """Units of an entry at the price, under the logic, on what bar j showed (``last_atr``, where its range was unusable)."""
-        base = np.full(m, account.equity) if account.fixed else cash
+        account, m = self.account, self.m
+        base = np.full(m, account.equity) if account.fixed else self.state["cash"]
         with np.errstate(divide="ignore", invalid="ignore"):
-            by_vol = base * aim / (vol[j] * account.point_value * (1.0 if account.margin > 0 else np.abs(at)))
-            qty = np.where(aim > 0, by_vol, base * risk / (stop_mult * last_atr * account.point_value))
-            qty = qty * np.fmax(direction[j] * np.where(logic, 1.0, -1.0), 0.0)
+            by_vol = base * self.aim / (x.at("vol", j) * account.point_value * (1.0 if account.margin > 0 else np.abs(at)))
+            qty = np.where(self.aim > 0, by_vol, base * self.risk / (self.stop_mult * self.state["last_atr"] * account.point_value))
+            qty = qty * np.fmax(x.at("direction", j) * np.where(logic, 1.0, -1.0), 0.0)
             one = np.full(m, account.margin) if account.margin > 0 else account.point_value * np.abs(at)
-            qty = np.where(one > 0, np.fmin(qty, leverage * base / one), 0.0)
+            qty = np.where(one > 0, np.fmin(qty, self.leverage * base / one), 0.0)
         return np.floor(qty) if account.whole_units else qty
 
-    worth = lambda bar: cash + np.where(side != 0, side * units * account.point_value * (c[bar] - price), 0.0)
-    none = np.zeros(m, int)
-    for i in range(1, n):
-        j = i - 1
-        if not account.fixed:
-            dead = ~ruined & (equity[j] <= 0)
-            if dead.any():
-                leave(j, dead & (side != 0), np.full(m, c[j]), none + 6)
-                equity[j] = np.where(dead, cash, equity[j])
-                resting &= ~dead
-                ruined |= dead
-        usable = ready[j] & (atr[j] > 0) & ~ruined
-        a = np.where(usable, atr[j], last_atr)
-        last_atr = a
-        sized = usable & ((aim <= 0) | (vol[j] > 0))
-        trending = direction[j] > 0
+    def say(self, bar: int, kind: int, who: np.ndarray, way, detail, level, qty=0.0, aux=0.0) -> None:
+        if self.log and who.any():
+            at = np.flatnonzero(who)
+            pick = lambda v: np.broadcast_to(np.asarray(v, float), (self.m,))[at]
+            self.events.append((np.full(len(at), bar), np.full(len(at), len(self.events)), at, np.full(len(at), kind), *(pick(v) for v in (way, detail, level, qty, aux))))
+
+    def leave(self, bar: int, who: np.ndarray, at, why: np.ndarray) -> None:
+        if not who.any():
+            return
+        v, account = self.state, self.account
+        at = np.broadcast_to(np.asarray(at, float), (self.m,))
+        gross = v["side"] * v["units"] * account.point_value * (at - v["entry"])
+        cost = account.cost_rate * v["units"] * account.point_value * np.abs(at) + account.cost_per_unit * v["units"]
+        pnl = gross - cost - v["paid"]
+        v["cash"] = np.where(who, v["cash"] + gross - cost, v["cash"])
+        k = np.flatnonzero(who)
+        self.closed.append((k, v["since"][k], np.full(len(k), bar), v["side"][k], v["entry"][k], at[k], v["units"][k], pnl[k], (v["paid"] + cost)[k], why[k]))
+        self.say(bar, 11, who, v["side"], why, at, v["units"], pnl)
+        v["side"], v["units"] = np.where(who, 0.0, v["side"]), np.where(who, 0.0, v["units"])
+
+    def pay_rolls(self, x: Inputs, bar: int, who: np.ndarray) -> None:
+        v, account = self.state, self.account
+        roll = x.price("roll", bar)
+        who = who & (roll > 0)
+        if account.roll_cost > 0 and who.any():
+            due = account.roll_cost * v["units"] * roll
+            v["cash"], v["paid"] = np.where(who, v["cash"] - due, v["cash"]), np.where(who, v["paid"] + due, v["paid"])
+            self.say(bar, 12, who, v["side"], 0, x.price("close", bar), v["units"], due)
+
+    def _bury(self, bar: int, close) -> None:
+        """Accounts that a bar leaves without equity are closed at its close; what is left, a deficit too, stays."""
+        v = self.state
+        dead = ~v["ruined"] & (v["equity"] <= 0)
+        if dead.any():
+            self.leave(bar, dead & (v["side"] != 0), close, np.full(self.m, 6))
+            v["equity"] = np.where(dead, v["cash"], v["equity"])
+            v["resting"] = v["resting"] & ~dead
+            v["ruined"] = v["ruined"] | dead
+
+    def step(self, x: Inputs, i: int, first) -> np.ndarray:
+        """Over bar i, to the equity at its close; returns which lanes entered. ``first``: bar from which a lane trades."""
+        j, v, m, account = i - 1, self.state, self.m, self.account
+        o, h, l, c, cj = x.price("open", i), x.price("high", i), x.price("low", i), x.price("close", i), x.price("close", j)  # noqa: E741
+        upper, lower, upper_x, lower_x, mid_x, atr, regime, rank, bias, vol, direction = (x.at(name, j) for name in Inputs.NAMES)
+        none = np.zeros(m, int)
+        ready, ruined, say = x.ready[j], v["ruined"], self.say
+        by_channel, by_trail, by_target, by_time = self.by_channel, self.by_trail, self.by_target, self.by_time
+        usable = ready & (atr > 0) & ~ruined
+        a = v["last_atr"] = np.where(usable, atr, v["last_atr"])
+        sized = usable & ((self.aim <= 0) | (vol > 0))
+        trending = direction > 0
 
         # exits
-        held = (side != 0) & ~ruined
-        late = held & by_time & (i - since >= max_hold)
-        say(i, 10, late, side, 0, o[i], units)
+        held = (v["side"] != 0) & ~ruined
+        late = held & by_time & (i - v["since"] >= self.max_hold)
+        say(i, 10, late, v["side"], 0, o, v["units"])
         rest = held & ~late
-        level, why, kind = stop.copy(), none.copy(), none.copy()
-        chandelier = extreme - side * trail_mult * a
-        nearer = rest & by_trail & (side * (chandelier - level) > 0)
+        level, why, kind = v["stop"].copy(), none.copy(), none.copy()
+        chandelier = v["extreme"] - v["side"] * self.trail_mult * a
+        nearer = rest & by_trail & (v["side"] * (chandelier - level) > 0)
         level, kind = np.where(nearer, chandelier, level), np.where(nearer, 2, kind)
-        opposite = np.where(side > 0, lower_x[j], upper_x[j])
-        nearer = rest & by_channel & follows & (side * (opposite - level) > 0)
+        opposite = np.where(v["side"] > 0, lower_x, upper_x)
+        nearer = rest & by_channel & v["follows"] & (v["side"] * (opposite - level) > 0)
         level, kind, why = np.where(nearer, opposite, level), np.where(nearer, 1, kind), np.where(nearer, 1, why)
-        aims = rest & (by_target | (by_channel & ~follows))
-        goal, goal_why = np.where(by_target, target, mid_x[j]), np.where(by_target, 3, 2)
-        say(i, 8, rest, side, kind, level, units)
-        say(i, 9, aims, side, 0, goal, units)
-        gapped = rest & (side * (o[i] - level) <= 0)
-        gained = aims & ~gapped & (side * (o[i] - goal) >= 0)
-        struck = rest & ~gapped & ~gained & np.where(side > 0, l[i] <= level, h[i] >= level)
-        reached = aims & ~gapped & ~gained & ~struck & np.where(side > 0, h[i] >= goal, l[i] <= goal)
+        aims = rest & (by_target | (by_channel & ~v["follows"]))
+        goal, goal_why = np.where(by_target, v["target"], mid_x), np.where(by_target, 3, 2)
+        say(i, 8, rest, v["side"], kind, level, v["units"])
+        say(i, 9, aims, v["side"], 0, goal, v["units"])
+        gapped = rest & (v["side"] * (o - level) <= 0)
+        gained = aims & ~gapped & (v["side"] * (o - goal) >= 0)
+        struck = rest & ~gapped & ~gained & np.where(v["side"] > 0, l <= level, h >= level)
+        reached = aims & ~gapped & ~gained & ~struck & np.where(v["side"] > 0, h >= goal, l <= goal)
         out = late | gapped | gained | struck | reached
-        at = np.where(struck, level, np.where(reached, goal, o[i]))
+        at = np.where(struck, level, np.where(reached, goal, o))
         why = np.where(late, 4, np.where(gained | reached, goal_why, why))
-        leave(i, out, at, why)
+        self.leave(i, out, at, why)
         stays = held & ~out & by_trail
-        extreme = np.where(stays, np.where(side > 0, np.fmax(extreme, h[i]), np.fmin(extreme, l[i])), extreme)
+        v["extreme"] = np.where(stays, np.where(v["side"] > 0, np.fmax(v["extreme"], h), np.fmin(v["extreme"], l)), v["extreme"])
 
         # lanes without usable values only manage what is open
         on = ~ruined & ~out
         idle = on & (~sized | (i < first))
-        say(i, 5, idle & resting, rest_side, int(i >= first), rest_level)
-        resting &= ~idle
-        pay_rolls(i, idle & (side != 0))
+        say(i, 5, idle & v["resting"], v["rest_side"], i >= first, v["rest_level"])
+        v["resting"] &= ~idle
+        self.pay_rolls(x, i, idle & (v["side"] != 0))
         go = on & ~idle
-        allowed = np.where(trend_only, regime[j] >= threshold, np.where(range_only, regime[j] < threshold, True))
-        allowed &= ~ranked | ((rank[j] >= vol_low) & (rank[j] <= vol_high))
-        up_ok, down_ok = longs & (~biased | (c[j] > bias[j])), shorts & (~biased | (c[j] < bias[j]))
+        allowed = np.where(self.trend_only, regime >= self.threshold, np.where(self.range_only, regime < self.threshold, True))
+        allowed &= ~self.ranked | ((rank >= self.vol_low) & (rank <= self.vol_high))
+        up_ok, down_ok = self.longs & (~self.biased | (cj > bias)), self.shorts & (~self.biased | (cj < bias))
 
         # resting pullbacks
-        wait = go & (side == 0) & resting
-        say(i, 3, wait, rest_side, until, rest_level)
-        filled_now = wait & np.where(rest_side > 0, l[i] <= rest_level, h[i] >= rest_level)
-        take = np.where(filled_now, rest_side, 0.0)
-        at = np.where(rest_side > 0, np.fmin(o[i], rest_level), np.fmax(o[i], rest_level))
-        logic, order = np.where(filled_now, rest_trend, trending), np.where(filled_now, 3, 0)
-        lapsed = wait & ~filled_now & (i >= until)
-        resting &= ~(filled_now | lapsed)
-        say(i, 4, lapsed, rest_side, until, rest_level)
+        wait = go & (v["side"] == 0) & v["resting"]
+        say(i, 3, wait, v["rest_side"], v["until"], v["rest_level"])
+        filled_now = wait & np.where(v["rest_side"] > 0, l <= v["rest_level"], h >= v["rest_level"])
+        take = np.where(filled_now, v["rest_side"], 0.0)
+        at = np.where(v["rest_side"] > 0, np.fmin(o, v["rest_level"]), np.fmax(o, v["rest_level"]))
+        logic, order = np.where(filled_now, v["rest_trend"], trending), np.where(filled_now, 3, 0)
+        lapsed = wait & ~filled_now & (i >= v["until"])
+        v["resting"] &= ~(filled_now | lapsed)
+        say(i, 4, lapsed, v["rest_side"], v["until"], v["rest_level"])
 
         # new signals
-        new = go & (side == 0) & ~filled_now & ~resting & allowed
-        known = i >= 2 and ready[i - 2]
-        rose = np.where(confirms, known & (c[j] > upper[i - 2]), h[i] >= upper[j])
-        fell = np.where(confirms, known & (c[j] < lower[i - 2]), l[i] <= lower[j])
-        high_at, low_at = np.where(confirms, o[i], upper[j]), np.where(confirms, o[i], lower[j])
-        watched = np.where(pulls, 3, np.where(trending, 1, 2))
-        say(i, 0, new & ~confirms & up_ok, 1, watched, np.where(trending, high_at, low_at))
-        say(i, 0, new & ~confirms & down_ok, -1, watched, np.where(trending, low_at, high_at))
-        rose_first = ~confirms & (o[i] >= high_at) & (o[i] > low_at)
-        fell_first = ~confirms & (o[i] <= low_at) & (o[i] < high_at)
+        new = go & (v["side"] == 0) & ~filled_now & ~v["resting"] & allowed
+        known = i >= 2 and x.ready[i - 2]
+        rose = np.where(self.confirms, known & (cj > x.at("upper", i - 2)), h >= upper)
+        fell = np.where(self.confirms, known & (cj < x.at("lower", i - 2)), l <= lower)
+        high_at, low_at = np.where(self.confirms, o, upper), np.where(self.confirms, o, lower)
+        watched = np.where(self.pulls, 3, np.where(trending, 1, 2))
+        say(i, 0, new & ~self.confirms & up_ok, 1, watched, np.where(trending, high_at, low_at))
+        say(i, 0, new & ~self.confirms & down_ok, -1, watched, np.where(trending, low_at, high_at))
+        rose_first = ~self.confirms & (o >= high_at) & (o > low_at)
+        fell_first = ~self.confirms & (o <= low_at) & (o < high_at)
         buys = new & up_ok & np.where(trending, rose & ~(fell_first & fell & down_ok), fell & ~(rose_first & rose & down_ok))
         sells = new & ~buys & down_ok & np.where(trending, fell, rose)
         turn = np.where(buys, 1.0, np.where(sells, -1.0, 0.0))
         mark = np.where(np.where(trending, buys, sells), high_at, low_at)
-        say(i, 1, (turn != 0) & confirms, turn, 4, o[i])
-        runs_through = np.where(turn > 0, np.fmax(o[i], mark), np.fmin(o[i], mark))
-        comes_back = np.where(turn > 0, np.fmin(o[i], mark), np.fmax(o[i], mark))
-        direct = (turn != 0) & ~pulls
+        say(i, 1, (turn != 0) & self.confirms, turn, 4, o)
+        runs_through = np.where(turn > 0, np.fmax(o, mark), np.fmin(o, mark))
+        comes_back = np.where(turn > 0, np.fmin(o, mark), np.fmax(o, mark))
+        direct = (turn != 0) & ~self.pulls
         take = np.where(direct, turn, take)
-        at = np.where(direct, np.where(confirms, o[i], np.where(trending, runs_through, comes_back)), at)
-        order = np.where(direct, np.where(confirms, 4, np.where(trending, 1, 2)), order)
-        placed = (turn != 0) & pulls
-        resting |= placed
-        rest_side, rest_trend = np.where(placed, turn, rest_side), np.where(placed, trending, rest_trend)
-        rest_level, until = np.where(placed, mark - turn * pull_mult * a, rest_level), np.where(placed, i + pull_bars, until)
-        say(i, 2, placed, turn, until, rest_level)
+        at = np.where(direct, np.where(self.confirms, o, np.where(trending, runs_through, comes_back)), at)
+        order = np.where(direct, np.where(self.confirms, 4, np.where(trending, 1, 2)), order)
+        placed = (turn != 0) & self.pulls
+        v["resting"] |= placed
+        v["rest_side"], v["rest_trend"] = np.where(placed, turn, v["rest_side"]), np.where(placed, trending, v["rest_trend"])
+        v["rest_level"], v["until"] = np.where(placed, mark - turn * self.pull_mult * a, v["rest_level"]), np.where(placed, i + self.pull_bars, v["until"])
+        say(i, 2, placed, turn, v["until"], v["rest_level"])
 
         # sizes
         opens = take != 0
-        reach = stop_mult * a
-        qty = size(j, at, logic)
+        reach = self.stop_mult * a
+        qty = self.size(x, j, at, logic)
         say(i, 7, opens & ~(qty > 0), take, order, at, qty)
         opens &= qty > 0
         fee = account.cost_rate * qty * account.point_value * np.abs(at) + account.cost_per_unit * qty
-        cash = np.where(opens, cash - fee, cash)
-        side, units, paid, price = (np.where(opens, x, y) for x, y in ((take, side), (qty, units), (fee, paid), (at, price)))
-        stop, target = np.where(opens, at - take * reach, stop), np.where(opens, at + take * target_mult * a, target)
-        extreme, since, follows = np.where(opens, at, extreme), np.where(opens, i, since), np.where(opens, logic, follows)
-        entries[i] = opens
-        say(i, 6, opens, take, order, at, qty, stop)
+        v["cash"] = np.where(opens, v["cash"] - fee, v["cash"])
+        for name, value in (("side", take), ("units", qty), ("paid", fee), ("entry", at)):
+            v[name] = np.where(opens, value, v[name])
+        v["stop"], v["target"] = np.where(opens, at - take * reach, v["stop"]), np.where(opens, at + take * self.target_mult * a, v["target"])
+        v["extreme"], v["since"], v["follows"] = np.where(opens, at, v["extreme"]), np.where(opens, i, v["since"]), np.where(opens, logic, v["follows"])
+        say(i, 6, opens, take, order, at, qty, v["stop"])
 
         # the entry bar's own stop and target
         if opens.any():
-            level, why, kind = stop.copy(), none + 5, none.copy()
-            chandelier = at - side * trail_mult * a
-            nearer = opens & by_trail & (side * (chandelier - level) > 0)
+            level, why, kind = v["stop"].copy(), none + 5, none.copy()
+            chandelier = at - v["side"] * self.trail_mult * a
+            nearer = opens & by_trail & (v["side"] * (chandelier - level) > 0)
             level, kind = np.where(nearer, chandelier, level), np.where(nearer, 2, kind)
-            opposite = np.where(side > 0, lower_x[j], upper_x[j])
-            nearer = opens & by_channel & follows & (side * (opposite - level) > 0)
+            opposite = np.where(v["side"] > 0, lower_x, upper_x)
+            nearer = opens & by_channel & v["follows"] & (v["side"] * (opposite - level) > 0)
             level, kind, why = np.where(nearer, opposite, level), np.where(nearer, 1, kind), np.where(nearer, 1, why)
-            aims = opens & (by_target | (by_channel & ~follows))
-            goal = np.where(by_target, target, mid_x[j])
-            say(i, 8, opens, side, kind, level, units)
-            say(i, 9, aims, side, 0, goal, units)
-            aims &= (at == o[i]) | (order == 1)
-            through = opens & (side * (at - level) <= 0)
-            beyond = aims & ~through & (side * (at - goal) >= 0)
-            struck = opens & ~through & ~beyond & np.where(side > 0, l[i] <= level, h[i] >= level)
-            reached = aims & ~through & ~beyond & ~struck & np.where(side > 0, h[i] >= goal, l[i] <= goal)
+            aims = opens & (by_target | (by_channel & ~v["follows"]))
+            goal = np.where(by_target, v["target"], mid_x)
+            say(i, 8, opens, v["side"], kind, level, v["units"])
+            say(i, 9, aims, v["side"], 0, goal, v["units"])
+            aims &= (at == o) | (order == 1)
+            through = opens & (v["side"] * (at - level) <= 0)
+            beyond = aims & ~through & (v["side"] * (at - goal) >= 0)
+            struck = opens & ~through & ~beyond & np.where(v["side"] > 0, l <= level, h >= level)
+            reached = aims & ~through & ~beyond & ~struck & np.where(v["side"] > 0, h >= goal, l <= goal)
             why = np.where(beyond | reached, np.where(by_target, 3, 2), why)
-            leave(i, through | beyond | struck | reached, np.where(struck, level, np.where(reached, goal, at)), why)
-            kept = opens & (side != 0) & by_trail
-            extreme = np.where(kept, np.where(side > 0, np.fmax(extreme, h[i]), np.fmin(extreme, l[i])), extreme)
-        pay_rolls(i, go & (side != 0))
-        equity[i] = worth(i)
-    if n > 1 and not account.fixed:
-        dead = ~ruined & (equity[n - 1] <= 0)
-        leave(n - 1, dead & (side != 0), np.full(m, c[n - 1]), none + 6)
-        equity[n - 1] = np.where(dead, cash, equity[n - 1])
-    names = ["lane", "entry_idx", "exit_idx", "side", "entry_price", "exit_price", "units", "pnl", "cost", "reason"]
-    trades = pd.DataFrame({k: np.concatenate([x[q] for x in closed]) if closed else np.zeros(0) for q, k in enumerate(names)})
-    trades = trades.sort_values(["lane", "exit_idx", "entry_idx"], kind="stable").reset_index(drop=True)
-    orders = None
-    if log:
+            self.leave(i, through | beyond | struck | reached, np.where(struck, level, np.where(reached, goal, at)), why)
+            kept = opens & (v["side"] != 0) & by_trail
+            v["extreme"] = np.where(kept, np.where(v["side"] > 0, np.fmax(v["extreme"], h), np.fmin(v["extreme"], l)), v["extreme"])
+        self.pay_rolls(x, i, go & (v["side"] != 0))
+        v["equity"] = v["cash"] + np.where(v["side"] != 0, v["side"] * v["units"] * account.point_value * (c - v["entry"]), 0.0)
+        if not account.fixed:
+            self._bury(i, c)
+        return opens
+
+    def trades(self) -> pd.DataFrame:
+        names = ["lane", "entry_idx", "exit_idx", "side", "entry_price", "exit_price", "units", "pnl", "cost", "reason"]
+        out = pd.DataFrame({k: np.concatenate([x[q] for x in self.closed]) if self.closed else np.zeros(0) for q, k in enumerate(names)})
+        return out.sort_values(["lane", "exit_idx", "entry_idx"], kind="stable").reset_index(drop=True)
+
+    def orders(self) -> pd.DataFrame:
         names = ["bar_idx", "seq", "lane", "kind", "side", "detail", "level", "qty", "aux"]
-        orders = pd.DataFrame({k: np.concatenate([x[q] for x in events]) if events else np.zeros(0) for q, k in enumerate(names)})
-        orders = orders.sort_values(["lane", "seq"], kind="stable").reset_index(drop=True)
+        out = pd.DataFrame({k: np.concatenate([x[q] for x in self.events]) if self.events else np.zeros(0) for q, k in enumerate(names)})
+        return out.sort_values(["lane", "seq"], kind="stable").reset_index(drop=True)
+
+
+def simulate(bars: pd.DataFrame, plans: pd.DataFrame, account: Account = Account(), first: int = 0, log: bool = False) -> Run:
+    """Run every plan (a row of PLAN columns) over ordered bars (open, high, low, close, and roll where rolls cost)."""
+    return side_by_side([bars], plans, np.zeros(len(plans), int), account, [first], log)[0]
+
+
+def side_by_side(series: list[pd.DataFrame], plans: pd.DataFrame, of: np.ndarray, account: Account, firsts: list[int], log: bool = False) -> list[Run]:
+    """The run of each series with its own plans (``of``: series of each plan), all stepped together; a series trades from its ``first`` on."""
+    lanes = Lanes(plans, account, log)
+    x = Inputs(series, lanes.plans, of, account)
+    n, m = x.n, lanes.m
+    equity, entries = np.full((n, m), account.equity), np.zeros((n, m), np.int8)
+    first = np.array(firsts, int)[of] if m else np.zeros(0, int)
+    with np.errstate(invalid="ignore"):
+        for i in range(1, n):
+            entries[i] = lanes.step(x, i, first)
+            equity[i] = lanes.state["equity"]
+    v = lanes.state
     if n:
-        last_atr = np.where(ready[-1] & (atr[-1] > 0) & ~ruined, atr[-1], last_atr)
-    after = direction[-1] > 0 if n else np.ones(m, bool)
-    return Run(equity, entries, trades, orders, side, units, price, since, stop, target, last_atr, after, lambda at, logic: size(n - 1, at, logic))
+        usable = x.ready[n - 1] & (x.at("atr", n - 1) > 0) & ~v["ruined"]
+        v["last_atr"] = np.where(usable, x.at("atr", n - 1), v["last_atr"])
+    after = x.at("direction", n - 1) > 0 if n else np.ones(m, bool)
+    trades, orders = lanes.trades(), lanes.orders() if log else None
+    whole = Run(equity, entries, trades, orders, v["side"], v["units"], v["entry"], v["since"], v["stop"], v["target"], v["last_atr"], after, lambda at, logic: lanes.size(x, n - 1, at, logic))
+    return [whole] if len(series) == 1 else [_own(whole, np.flatnonzero(of == k), len(b)) for k, b in enumerate(series)]
+
+
+def _own(run: Run, lanes: np.ndarray, n: int) -> Run:
+    """The part of a run that some lanes made in their first n bars; a trade that ends later is open."""
+    place = np.full(len(run.position), -1)
+    place[lanes] = np.arange(len(lanes))
+    t = run.trades[(place[run.trades["lane"].to_numpy(int)] >= 0) & (run.trades["entry_idx"] < n)]
+    late = t[t["exit_idx"] >= n]
+    pick = lambda x: x[lanes].copy()
+    position, units, entry, since = (pick(x) for x in (run.position, run.units, run.entry_price, run.since))
+    gone = since >= n
+    position[gone], units[gone] = 0.0, 0.0
+    k = place[late["lane"].to_numpy(int)]
+    position[k], units[k], entry[k], since[k] = (late[c].to_numpy(float) for c in ("side", "units", "entry_price", "entry_idx"))
+    own = lambda d: d.assign(lane=place[d["lane"].to_numpy(int)]).reset_index(drop=True)
+    orders = run.orders
+    if orders is not None:
+        orders = own(orders[(place[orders["lane"].to_numpy(int)] >= 0) & (orders["bar_idx"] < n)])
+    return Run(run.equity[:n, lanes], run.entries[:n, lanes], own(t[t["exit_idx"] < n]), orders, position, units, entry, since.astype(int), pick(run.stop), pick(run.target), pick(run.last_atr), pick(run.trending), run.size)
 
 
 SCHEMAS = {
@@ -526,56 +617,93 @@ def _bar_columns(bars: DataFrame) -> list[str]:
     return BAR_COLUMNS + [c for c in ("roll", "learned") if c in bars.columns]
 
 
+def _lanes_for(n_bars: int, room: int = ROOM) -> int:
+    """Trials to a group whose series have so many bars: LANES, or fewer where bars times lanes would leave ``room``."""
+    return int(max(1, min(LANES, room // max(1, n_bars))))
+
+
+def _arrow(kind: str, run: Callable) -> tuple[Callable, str]:
+    """A kernel of pandas frames as one of Arrow tables, and its schema."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def kernel(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        got = run(tuple(k.as_py() for k in key), left.to_pandas(), right.to_pandas())
+        return pa.Table.from_pandas(got[schema.names], schema, preserve_index=False) if len(got) else schema.empty_table()
+
+    return kernel, kind
+
+
 def simulated(bars: DataFrame, plans: DataFrame, output: str = "totals", account: Account = Account(), first: int = 0) -> DataFrame:
     """asset, trial_id and the SCHEMAS columns of ``output`` for each asset and plan (trial_id and PLAN columns).
 
-    A group is one asset and a share of at most about LANES plans; the plan table is small, the bars are not.
+    A group is one asset and a share of the plans: LANES, or fewer where the longest series would make bars times lanes larger
+    than ROOM. The plan table is small, the bars are not.
     """
-    shares = max(1, -(-plans.count() // LANES))
+    longest = bars.groupBy("asset").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    shares = max(1, -(-plans.count() // _lanes_for(longest)))
     dealt = plans.withColumn("share", F.pmod(F.xxhash64("trial_id"), F.lit(shares)))
     own = bars.select("asset").distinct().join(F.broadcast(dealt.select("share").distinct()))
     left = bars.select("asset", *_bar_columns(bars)).join(own, "asset")
     right = own.select(F.col("asset").alias("_a"), F.col("share").alias("_s")).join(dealt, F.col("_s") == F.col("share")).drop("share")
-    schema = f"asset string, trial_id int, {SCHEMAS[output]}"
 
     def run(key: tuple, b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(b) or not len(p):
-            return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
-        b, p = b.sort_values("bar_idx"), p.sort_values("trial_id")
-        got = _run_group(output, b, p, account, first)
+        got = _run_group(output, b.sort_values("bar_idx"), p.sort_values("trial_id"), account, first)
         got.insert(0, "asset", key[0])
         return got
 
-    return left.groupBy("asset", "share").cogroup(right.groupBy("_a", "_s")).applyInPandas(run, schema)
+    kernel, schema = _arrow(f"asset string, trial_id int, {SCHEMAS[output]}", run)
+    return left.groupBy("asset", "share").cogroup(right.groupBy("_a", "_s")).applyInArrow(kernel, schema)
 
 
 def windowed(bars: DataFrame, spans: DataFrame, plans: DataFrame, warm: int, output: str = "totals", account: Account = Account()) -> DataFrame:
     """The same within each span (asset, window_id, start, stop) of bars, warmed up on ``warm`` bars before it and flat at its start.
 
-    ``plans`` name trials of every window, or of one if they have asset and window_id. A span's bars are its group:
-    each bar goes to the few spans that hold it.
+    ``plans`` name trials of every window, or of one if they have asset and window_id. Windows that follow each other form a
+    group of some hundred lanes, stepped side by side: a bar costs about the same for one lane or hundreds. Groups meet their
+    bars by blocks of bars, an equality, so a bar goes to the few groups that hold it and to no other.
     """
-    held = bars.select("asset", *_bar_columns(bars)).join(F.broadcast(spans), "asset").filter("bar_idx >= start - %d AND bar_idx < stop" % warm)
-    if "window_id" in plans.columns:
-        dealt = plans.withColumn("share", F.lit(0).cast("long"))
-        shares = spans.select("asset", "window_id").withColumn("share", F.lit(0).cast("long"))
+    own = "window_id" in plans.columns
+    size = spans.agg(F.max(F.col("stop") - F.col("start")).alias("n")).first()["n"] or 1
+    n_plans = 1 if own else max(1, plans.count())
+    lanes = _lanes_for(size + warm)
+    wide = max(1, lanes // n_plans)  # windows to a group
+    shares = max(1, -(-n_plans // lanes))
+    grouped = spans.withColumn("pack", F.floor(F.col("window_id") / wide).cast("long"))
+    bounds = grouped.groupBy("asset", "pack").agg(F.greatest(F.lit(0).cast("long"), F.min("start") - warm).alias("_low"), F.max("stop").alias("_high"))
+    block = int(size + warm)
+    cells = bounds.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_low") / block), F.floor((F.col("_high") - 1) / block))))
+    held = bars.select("asset", *_bar_columns(bars)).withColumn("_b", F.floor(F.col("bar_idx") / block))
+    held = held.join(cells, ["asset", "_b"]).filter("bar_idx >= _low AND bar_idx < _high").drop("_b", "_low", "_high")
+    if own:
+        dealt, left = plans.join(grouped, ["asset", "window_id"]).withColumn("share", F.lit(0).cast("long")), held.withColumn("share", F.lit(0).cast("long"))
     else:
-        n = max(1, -(-plans.count() // LANES))
-        every = spans.select("asset", "window_id").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-        dealt = every.join(F.broadcast(plans.withColumn("share", F.pmod(F.xxhash64("trial_id"), F.lit(n)))), "share")
-        shares = every
-    left = held.join(shares, ["asset", "window_id"])
-    right = dealt.withColumnsRenamed({"asset": "_a", "window_id": "_w", "share": "_s"})
-    schema = f"asset string, window_id long, trial_id int, {SCHEMAS[output]}"
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))
+        share = F.pmod(F.xxhash64("trial_id"), F.lit(shares)).cast("long")
+        dealt = grouped.withColumn("share", every).join(F.broadcast(plans.withColumn("share", share)), "share")
+        left = held.withColumn("share", every)
+    right = dealt.withColumnsRenamed({"asset": "_a", "pack": "_p", "share": "_s"})
 
     def run(key: tuple, b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(b) or not len(p):
-            return pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
-        b, p = b.sort_values("bar_idx"), p.sort_values("trial_id")
-        first = int((b["bar_idx"] < b["start"]).sum())
-        got = _run_group(output, b, p, account, first)
-        got.insert(0, "asset", key[0])
-        got.insert(1, "window_id", key[1])
-        return got
-
-    return left.groupBy("asset", "window_id", "share").cogroup(right.groupBy("_a", "_w", "_s")).applyInPandas(run, schema)
+        b, p = b.sort_values("bar_idx").reset_index(drop=True), p.sort_values(["window_id", "trial_id"]).reset_index(drop=True)
+        at = b["bar_idx"].to_numpy()
+        windows = p.drop_duplicates("window_id")
+        low, start, high = (np.searchsorted(at, windows[c].to_numpy() - d) for c, d in (("start", warm), ("start", 0), ("stop", 0)))
+        series = [b.iloc[x:y].reset_index(drop=True) for x, y in zip(low, high, strict=True)]
+        of = np.searchsorted(windows["window_id"].to_numpy(), p["window_id"].to_numpy())
+        firsts = (start - low).tolist()
+        runs = side_by_side(series, p, of, account, firsts, output == "orders")
+        parts = []
+        for k, (own_run, s) in enumerate(zip(runs, series, strict=True)):
+            got = _frame(output, own_run, account, firsts[k], p["trial_id"].to_numpy(int)[of == k], s["bar_idx"].to_numpy(int), s)
+            got.insert(0, "asset", key[0])
+            got.insert(1, "window_id", int(windows["window_id"].iloc[k]))
+            parts.append(got)
+        return pd.concat(parts, ignore_index=True)
+
+    kernel, schema = _arrow(f"asset string, window_id long, trial_id int, {SCHEMAS[output]}", run)
+    return left.groupBy("asset", "pack", "share").cogroup(right.groupBy("_a", "_p", "_s")).applyInArrow(kernel, schema)
