@@ -403,27 +403,30 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """doc_id, order_id, nth, text: nth is 0 where the rows of an id have one text, else the hash of the row's text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("order_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """order_id, nth, text: nth tells the texts of an id apart where they differ, by their hash, and is odd for a null id."""
+    null = F.col("doc_id").isNull()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("order_id"))
     mark = F.xxhash64("text")
     differing = rewritten(rows.groupBy("order_id").agg((F.min(mark) != F.max(mark)).alias("_differs")).filter("_differs"), "differing")
     n = differing.count()
+    odd = F.when(null, F.lit(1)).otherwise(F.lit(0)).cast("long")
     if not n:
-        return rows.select("doc_id", "order_id", F.lit(0).cast("long").alias("nth"), "text")
+        return rows.select("order_id", odd.alias("nth"), "text")
     flagged = rows.join(F.broadcast(differing) if n <= BROADCAST_IDS else differing, "order_id", "left")
-    return flagged.select("doc_id", "order_id", F.when(F.col("_differs"), mark).otherwise(F.lit(0).cast("long")).alias("nth"), "text")
+    own = F.when(F.col("_differs"), F.shiftleft(mark, 1)).otherwise(F.lit(0).cast("long"))
+    return flagged.select("order_id", own.bitwiseOR(odd).alias("nth"), "text")
 
 
 def removed_ranges(units: DataFrame) -> DataFrame:
     """id, nth, start, stop: byte ranges to remove of each unit (order_id, nth, text); they may overlap."""
-    rows = units.select("order_id", "nth", "text")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    size = units.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     low, high = ANCHOR_BUCKET
     n_anchors, n_segments = max(1, -(-size // min(high, max(low, size // ANCHOR_BUCKETS)))), max(1, -(-size // SEGMENT_BUCKET))
-    listed = rows.mapInArrow(_list_anchors(n_anchors), "bucket int, anchors binary, ids binary, nths binary, known boolean")
+    listed = units.mapInArrow(_list_anchors(n_anchors), "bucket int, anchors binary, ids binary, nths binary, known boolean")
     repeated = listed.groupBy("bucket").applyInArrow(_repeated, "id long, nth long, anchor long")
     wanted = repeated.groupBy(F.col("id").alias("order_id"), "nth").agg(F.collect_list("anchor").alias("anchors"))
-    texts = rows.join(wanted, ["order_id", "nth"]).select("order_id", "nth", "text", "anchors")
+    texts = units.join(wanted, ["order_id", "nth"]).select("order_id", "nth", "text", "anchors")
     segments = texts.mapInArrow(_cut_segments(n_segments), "bucket int, ids binary, nths binary, starts binary, kinds binary, sizes binary, text binary")
     return segments.groupBy("bucket").applyInArrow(_all_ranges, "id long, nth long, start long, stop long")
 
@@ -433,8 +436,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     units = _units(docs)
     spans = removed_ranges(units).groupBy(F.col("id").alias("order_id"), "nth").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    ready = units.join(spans, ["order_id", "nth"], "left").select("doc_id", "text", "ranges")
-    return ready.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # texts are dealt out by unit for the segments already, so Spark uses that shuffle again
+    joined = units.join(spans, ["order_id", "nth"], "left")
+    doc = F.when(F.col("nth") % 2 == 0, F.col("order_id"))
+    return joined.select(doc.alias("doc_id"), "text", "ranges").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
