@@ -5,10 +5,13 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import metrics, simulation
+from barloom.sources import stored
 
 #: The switches of the default family and their short names.
 SWITCHES = {
@@ -97,66 +100,200 @@ def score(metric: str, least_trades: int = 5) -> Column:
 
 
 def optimized(bars: DataFrame, plans: DataFrame, spans: DataFrame, dims: int, metric: str = "sharpe", selection: str = "plateau", least_trades: int = 5, account: simulation.Account = simulation.Account()) -> DataFrame:
-    """asset, window_id and totals of the trial picked for each training span (asset, window_id, start, stop).
+    """asset, window_id and totals of the trial picked for each training span (asset, window_id, start, stop), and template where plans have it.
 
     plans: trial_id, coord (a point of a lattice) and plan columns. A span is scored from the bar on which every trial is warm;
     one that ends before has no row, nor has one in which no trial traded enough.
     """
     warm = plans.agg(F.max(warmup(plans)).alias("w")).first()["w"] or 0
     usable = spans.withColumn("start", F.greatest(F.col("start"), F.lit(warm))).filter(F.col("stop") - 1 > warm)
-    totals = simulation.windowed(bars, usable, plans.drop("coord"), warm, "totals", account).withColumn("score", score(metric, least_trades))
-    scored = totals.join(F.broadcast(plans.select("trial_id", "coord")), "trial_id")
+    totals = simulation.windowed(bars, usable, plans.drop("coord", "template"), warm, "totals", account).withColumn("score", score(metric, least_trades))
+    keys = ["asset", "window_id", *(["template"] if "template" in plans.columns else [])]
+    scored = totals.join(F.broadcast(plans.select("trial_id", "coord", *keys[2:])), "trial_id")
     if selection == "best":
-        best = Window.partitionBy("asset", "window_id").orderBy(F.desc_nulls_last("score"), "trial_id")
+        best = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("score"), "trial_id")
         return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1 AND score IS NOT NULL").drop("_n", "coord")
-    return plateau(scored, ["asset", "window_id"], dims).filter("picked").drop("picked", "smooth", "coord")
-
-
-def walk_forward(bars: DataFrame, plans: DataFrame, dims: int, train: int = 500, test: int = 125, output: str = "windows", embargo: int = 0, anchored: bool = False, metric: str = "sharpe", selection: str = "plateau", least_trades: int = 5, account: simulation.Account = simulation.Account()) -> DataFrame:
-    """Parameters picked on each training span and traded on the test after it; windows are independent, since sizes are shares of capital.
-
-    "windows": asset, window_id, bounds, trial_id (null where nothing was picked), totals of training (is_) and test (oos_).
-    "bars": asset, window_id, bar_idx, ret of every tested bar, 0 in windows without a pick.
+    return plateau(scored, keys, dims).filter("picked").drop("picked", "smooth", "coord")
+
+
+def _values(totals: pd.DataFrame, metric: str, least_trades: int) -> np.ndarray:
+    """``score`` of a local frame of totals; NaN where it is null."""
+    capped = lambda x: np.where(x > 10.0, 10.0 + np.log1p(np.minimum(x, 1e6) - 10.0), x)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if metric == "sharpe":
+            value = totals["sharpe"].to_numpy(float)
+        elif metric == "return_over_dd":
+            drop = totals["max_dd"].abs().to_numpy(float)
+            value = capped(totals["total_return"].to_numpy(float) / np.where(drop == 0, 1e-6, drop))
+        else:
+            gain, loss = totals["gain"].to_numpy(float), totals["loss"].to_numpy(float)
+            value = capped(np.where(loss > 0, gain / np.where(loss > 0, loss, 1), np.where(gain > 0, np.inf, 0.0)))
+    return np.where(totals["n_trades"].to_numpy(int) >= least_trades, value, np.nan)
+
+
+def pick(scores: np.ndarray, coords: np.ndarray, ids: np.ndarray, selection: str = "plateau") -> int | None:
+    """Place of the trial that ``plateau`` or "best" picks from the scores of one lattice; None if no trial has a score."""
+    known = np.flatnonzero(~np.isnan(scores))
+    if not len(known):
+        return None
+    value = scores.copy()
+    if selection == "plateau":
+        grid = np.full(coords.max(axis=0) + 3, np.nan)  # a border of missing cells
+        grid[tuple((coords + 1).T)] = scores
+        total, count = np.zeros(len(scores)), np.zeros(len(scores))
+        for shift in np.ndindex(*(3,) * coords.shape[1]):
+            near = grid[tuple((coords + np.array(shift)).T)]
+            total, count = total + np.nan_to_num(near), count + ~np.isnan(near)
+        missing = 0.5 * (np.minimum(3, coords.max(axis=0) + 1).prod() - count)
+        value = np.where(np.isnan(scores), np.nan, (total + missing * np.nanmedian(scores)) / (count + missing))
+    return int(min(known, key=lambda k: (-value[k], -scores[k], ids[k])))
+
+
+def _carried(bars: DataFrame, plans: DataFrame, wins: DataFrame, warm: int, metric: str, selection: str, least_trades: int, account: simulation.Account) -> DataFrame:
+    """asset, template, window_id, trial_id, capital of an account in whole units: a window's sizes, and so its pick, follow from what the last one left.
+
+    Only the windows of one asset and template follow each other; those pairs are the groups. The plan table goes to every
+    task: it is a lattice of each template.
     """
-    wins = windows(bars, train, test, embargo, anchored)
-    picked = optimized(bars, plans, wins.select("asset", "window_id", F.col("train_start").alias("start"), F.col("train_end").alias("stop")), dims, metric, selection, least_trades, account)
-    chosen = picked.select("asset", "window_id", "trial_id").join(F.broadcast(plans.drop("coord")), "trial_id")
+    local = plans.withColumn("template", F.col("template") if "template" in plans.columns else F.lit("")).toPandas().sort_values("trial_id")
+    names = sorted(local["template"].unique())
+    spread = lambda d: d.withColumn("template", F.explode(F.array(*map(F.lit, names))))
+    left = spread(bars.select("asset", *simulation._bar_columns(bars)))
+    right = spread(wins.select(F.col("asset").alias("_a"), "window_id", "train_start", "train_end", "test_start", "test_end")).withColumnRenamed("template", "_t")
+
+    def run(key: tuple, b: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        b, own = b.sort_values("bar_idx").reset_index(drop=True), local[local["template"] == key[1]]
+        ids, coords, capital, rows = own["trial_id"].to_numpy(int), np.array(own["coord"].tolist()), account.equity, []
+
+        def totals(p: pd.DataFrame, start: int, stop: int) -> pd.DataFrame:
+            low = max(0, start - warm)
+            got = simulation.simulate(b.iloc[low:stop].reset_index(drop=True), p.assign(capital=capital), account, start - low)
+            return simulation._totals(got, account, start - low, p["trial_id"].to_numpy(int))
+
+        for x in w.sort_values("window_id").to_dict("records"):
+            place = None
+            if capital > 0 and x["train_end"] - 1 > warm:
+                trained = totals(own, max(x["train_start"], warm), x["train_end"])
+                place = pick(_values(trained, metric, least_trades), coords, ids, selection)
+            rows.append((x["window_id"], None if place is None else int(ids[place]), capital))
+            if place is not None:
+                capital = float(totals(own.iloc[[place]], x["test_start"], x["test_end"])["final"].iloc[0])
+        out = pd.DataFrame(rows, columns=["window_id", "trial_id", "capital"]).astype({"trial_id": "Int32"})
+        return out.assign(asset=key[0], template=key[1])
+
+    kernel, schema = simulation._arrow("asset string, template string, window_id long, trial_id int, capital double", run)
+    return left.groupBy("asset", "template").cogroup(right.groupBy("_a", "_t")).applyInArrow(kernel, schema)
+
+
+def _elapsed(wins: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
+    """asset, window_id, is_years, oos_years: calendar time of the spans, one step more than from their first bar to their last."""
+    if "ts" not in bars.columns:
+        return wins.select("asset", "window_id").withColumns({"is_years": F.lit(None).cast("double"), "oos_years": F.lit(None).cast("double")}).distinct()
+    ends = {"is": ("train_start", "train_end"), "oos": ("test_start", "test_end")}
+    marks = [F.struct(F.lit(p).alias("part"), x.alias("bar_idx")) for p, (a, b) in ends.items() for x in (F.col(a), F.col(b) - 1)]
+    edges = wins.select("asset", "window_id", F.explode(F.array(*marks)).alias("_m")).select("asset", "window_id", "_m.part", "_m.bar_idx")
+    second = F.col("ts").cast("timestamp").cast("double")
+    met = edges.join(bars.select("asset", "bar_idx", second.alias("_s")), ["asset", "bar_idx"])
+    span = (F.max("_s") - F.min("_s")) / 86400 / metrics.YEAR_DAYS
+    n = F.max("bar_idx") - F.min("bar_idx") + 1
+    per = met.groupBy("asset", "window_id", "part").agg((span * n / F.nullif(n - 1, F.lit(0))).alias("years"))
+    of = lambda p: F.max(F.when(F.col("part") == p, F.col("years"))).alias(f"{p}_years")
+    return per.groupBy("asset", "window_id").agg(of("is"), of("oos"))
+
+
+def walked(bars: DataFrame, plans: DataFrame, dims: int, train: int = 500, test: int = 125, embargo: int = 0, anchored: bool = False, metric: str = "sharpe", selection: str = "plateau", least_trades: int = 5, account: simulation.Account = simulation.Account(), least_test: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Parameters picked on each training span and traded on the test after it, as one account: (windows, returns of every tested bar).
+
+    Windows: asset, template (where plans have it), window_id, bounds, trial_id (null where nothing was picked), initial_equity,
+    ruined, and totals of training (is_) and test (oos_). An account at or below 0 is closed: later windows are flat and keep
+    what was left. Sizes are shares of the capital, so without whole units no return depends on it: windows are picked and
+    traded in parallel, and the account is their running product. With whole units an asset's windows follow each other.
+    Returns: asset, template, window_id, bar_idx, ret, 0 in windows without a pick and after a ruin.
+    """
+    wins = windows(bars, train, test, embargo, anchored, least_test)
     warm = plans.agg(F.max(warmup(plans)).alias("w")).first()["w"] or 0
-    tests = wins.select("asset", "window_id", F.col("test_start").alias("start"), F.col("test_end").alias("stop"))
-    if output == "bars":
-        rets = simulation.windowed(bars, tests, chosen, warm, "bars", account).select("asset", "window_id", "bar_idx", "ret")
-        every = tests.select("asset", "window_id", F.explode(F.sequence("start", F.col("stop") - 1)).alias("bar_idx"))
-        return every.join(rets, ["asset", "window_id", "bar_idx"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
-    named = lambda d, p: d.select("asset", "window_id", *([F.col("trial_id")] if p == "is_" else []), *(F.col(c).alias(p + c) for c in ("total_return", "sharpe", "max_dd", "n_trades", "n_bars")))
-    tested = simulation.windowed(bars, tests, chosen, warm, "totals", account)
-    return wins.join(named(picked, "is_"), ["asset", "window_id"], "left").join(named(tested, "oos_"), ["asset", "window_id"], "left")
+    own = ["template"] if "template" in plans.columns else []
+    keys = ["asset", *own, "window_id"]
+    spans = lambda d, a, b: d.select("asset", "window_id", F.col(a).alias("start"), F.col(b).alias("stop"))
+    trained = wins.withColumn("train_start", F.greatest("train_start", F.least(F.lit(warm), F.col("train_end") - 2)))
+    params = F.broadcast(plans.drop("coord", "template"))
+    every = wins.join(F.broadcast(plans.select("template").distinct())) if own else wins
+    traded = lambda chosen, where, output: simulation.windowed(bars, where, chosen.join(params, "trial_id"), warm, output, account)
+    if account.whole_units:
+        made = _carried(bars, plans, wins, warm, metric, selection, least_trades, account)
+        made = stored.kept(made if own else made.drop("template"))
+        chosen = made.filter("trial_id IS NOT NULL")
+        named = plans.select("trial_id", *own)
+        inside = traded(chosen.drop("template"), spans(trained, "train_start", "train_end"), "totals").join(F.broadcast(named), "trial_id")
+        held = made.select(*keys, F.col("capital").alias("initial_equity"))
+        chosen = chosen.select(*keys, "trial_id", "capital")
+    else:
+        inside = stored.kept(optimized(bars, plans, spans(wins, "train_start", "train_end"), dims, metric, selection, least_trades, account))
+        chosen, held = inside.select(*keys, "trial_id"), None
+    tests = spans(wins, "test_start", "test_end")
+    outside = traded(chosen.drop("template"), tests, "totals").join(F.broadcast(plans.select("trial_id", *own)), "trial_id")
+    fields = ("total_return", "sharpe", "max_dd", "n_trades", "n_bars", "held", "gross", "net")
+    side = lambda d, p: d.select(*keys, *([F.col("trial_id")] if p == "is_" else []), *(F.col(c).alias(p + c) for c in (fields if p == "oos_" else fields[:5])))
+    table = every.join(side(inside, "is_"), keys, "left").join(side(outside, "oos_"), keys, "left").join(_elapsed(trained, bars, keys), ["asset", "window_id"], "left")
+    by = Window.partitionBy("asset", *own).orderBy("window_id")
+    if account.fixed:
+        table = table.withColumns({"initial_equity": F.lit(float(account.equity)), "ruined": F.lit(False)})
+    elif held is not None:
+        table = table.join(held, keys, "left").withColumn("ruined", F.col("initial_equity") <= 0)
+    else:
+        grown = account.equity * F.product(1 + F.coalesce("oos_total_return", F.lit(0.0))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+        table = table.withColumn("_e", F.coalesce(grown, F.lit(float(account.equity))))
+        left = F.first(F.when(F.col("_e") <= 0, F.col("_e")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+        table = table.withColumn("initial_equity", F.coalesce(left, F.col("_e"))).withColumn("ruined", left.isNotNull()).drop("_e")
+    told = [c for c in table.columns if c.startswith(("is_", "oos_")) and not c.endswith("_years")] + ["trial_id"]
+    table = stored.kept(table.select(*(F.when(~F.col("ruined"), F.col(c)).alias(c) if c in told else F.col(c) for c in table.columns)))
+    rets = traded(chosen.drop("template"), tests, "bars").join(F.broadcast(plans.select("trial_id", *own)), "trial_id").select(*keys, "bar_idx", "ret")
+    bars_ = table.select(*keys, "ruined", F.explode(F.sequence("test_start", F.col("test_end") - 1)).alias("bar_idx"))
+    ret = F.when(F.col("ruined"), F.lit(0.0)).otherwise(F.coalesce("ret", F.lit(0.0)))
+    return table, bars_.join(rets, [*keys, "bar_idx"], "left").select(*keys, "bar_idx", ret.alias("ret"))
+
+
+def walk_forward(bars: DataFrame, plans: DataFrame, dims: int, train: int = 500, test: int = 125, output: str = "windows", **how) -> DataFrame:
+    """One of the tables of ``walked``: "windows" or "bars"."""
+    return walked(bars, plans, dims, train, test, **how)[output == "bars"]
 
 
 def summary(wins: DataFrame, rets: DataFrame, per_year: float = 252.0) -> DataFrame:
-    """One row an asset: the record of its tested windows, with Pardo's efficiency and criteria.
+    """One row an asset (and template): the record of its tested windows, with Pardo's efficiency and criteria.
 
-    Efficiency is the mean annual return of tests over that of trainings, null without a profit in training, within +-10. A window
-    without a pick made no money and counts.
+    Efficiency is the mean annual return of tests over that of trainings, null without a profit in training, within +-10; years
+    are calendar time where windows have it, else bars over ``per_year``. A window without a pick made no money and counts, in
+    the exposures too, which are over all tested bars.
     """
+    own = ["asset", *(["template"] if "template" in wins.columns else [])]
     live = F.col("trial_id").isNotNull()
-    by = Window.partitionBy("asset").orderBy("window_id")
+    by = Window.partitionBy(*own).orderBy("window_id")
     before = F.last("trial_id", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
     rows = wins.withColumn("changed", F.when(live & before.isNotNull(), (F.col("trial_id") != before).cast("double")))
-    annual = lambda p: F.col(f"{p}_total_return") / (F.col(f"{p}_n_bars") / per_year)
-    per = rows.groupBy("asset").agg(
+    years = lambda p: F.when(F.col(f"{p}_years") > 0, F.col(f"{p}_years")).otherwise(F.col(f"{p}_n_bars") / per_year)
+    annual = lambda p: F.col(f"{p}_total_return") / years(p)
+    over = lambda c: F.coalesce(F.sum(F.col(f"oos_{c}") * (F.col("oos_n_bars") if c != "held" else 1)), F.lit(0.0))
+    per = rows.groupBy(*own).agg(
         F.count(F.lit(1)).alias("n_windows"), F.sum(live.cast("long")).alias("n_live"), F.avg("is_sharpe").alias("is_sharpe"),
         F.avg(annual("is")).alias("_i"), F.avg(annual("oos")).alias("_o"), F.coalesce(F.sum("oos_n_trades"), F.lit(0)).alias("n_trades"),
         (F.sum(F.coalesce((F.col("oos_total_return") > 0).cast("long"), F.lit(0))) / F.count(F.lit(1))).alias("pct_profitable"),
-        F.coalesce(F.avg("changed"), F.lit(0.0)).alias("change_rate"),
+        F.coalesce(F.avg("changed"), F.lit(0.0)).alias("change_rate"), over("held").alias("_h"), over("gross").alias("_g"), over("net").alias("_n"),
+        F.sum("oos_years").alias("years"), F.max(F.col("ruined").cast("int")).cast("boolean").alias("ruined"),
     )
-    curve = metrics.curve(rets.withColumnRenamed("bar_idx", "ts"))
-    ends = curve.groupBy("asset").agg(
+    series = rets.withColumn("_k", F.struct(*own)).withColumnRenamed("bar_idx", "ts")
+    ends = metrics.curve(series, "_k").groupBy("_k").agg(
         metrics.sharpe(F.col("ret"), per_year).alias("oos_sharpe"), (F.max_by("equity", "ts") - 1).alias("oos_total"), F.min("drawdown").alias("oos_max_dd"), F.count(F.lit(1)).alias("n_bars")
     )
     wfe = F.when(F.col("_i") > 0, F.least(F.greatest(F.col("_o") / F.col("_i"), F.lit(-10.0)), F.lit(10.0)))
-    out = per.join(ends, "asset").withColumn("wfe", wfe)
+    out = per.join(ends.select("_k.*", "oos_sharpe", "oos_total", "oos_max_dd", "n_bars"), own).withColumn("wfe", wfe)
+    end = 1 + F.col("oos_total")
+    out = out.withColumns({
+        "oos_cagr": F.when(end > 0, F.pow(end, 1 / F.coalesce(F.nullif(F.col("years"), F.lit(0.0)), F.col("n_bars") / per_year)) - 1).otherwise(F.lit(-1.0)),
+        "oos_is_sharpe_ratio": F.when(F.col("is_sharpe") > 0, F.col("oos_sharpe") / F.col("is_sharpe")),
+        "oos_exposure": F.col("_h") / F.col("n_bars"), "oos_notional": F.col("_g") / F.col("n_bars"), "oos_net_exposure": F.col("_n") / F.col("n_bars"),
+    })
     passed = (F.col("n_live") >= 3) & (F.col("oos_total") > 0) & (F.col("pct_profitable") >= 0.5) & F.coalesce(F.col("wfe") >= 0.5, F.lit(False))
-    return out.withColumn("pardo_pass", passed).drop("_i", "_o")
+    return out.withColumn("pardo_pass", passed).drop("_i", "_o", "_h", "_g", "_n", "years")
 
 
 def in_windows(rows: DataFrame, train: int, test: int) -> DataFrame:
@@ -198,13 +335,22 @@ def matrix(bars: DataFrame, plans: DataFrame, dims: int, trains: tuple[int, ...]
     """train, test and the summary of each asset for every pair of lengths that fits the longest series."""
     longest = bars.groupBy("asset").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     cells = [(a, b) for a in trains for b in tests if a + b < longest]
-    each = [
-        summary(walk_forward(bars, plans, dims, a, b, **how), walk_forward(bars, plans, dims, a, b, "bars", **how)).withColumns({"train": F.lit(a), "test": F.lit(b)}) for a, b in cells
-    ]  # a dozen cells at most
-    return reduce(DataFrame.unionByName, each) if each else summary(walk_forward(bars.limit(0), plans, dims), walk_forward(bars.limit(0), plans, dims, output="bars")).withColumns({"train": F.lit(0), "test": F.lit(0)})
+    each = [summary(*walked(bars, plans, dims, a, b, **how)).withColumns({"train": F.lit(a), "test": F.lit(b)}) for a, b in cells]  # a dozen cells at most
+    return reduce(DataFrame.unionByName, each) if each else summary(*walked(bars.limit(0), plans, dims)).withColumns({"train": F.lit(0), "test": F.lit(0)})
+
+
+def cost_sweep(bars: DataFrame, plans: DataFrame, dims: int, train: int = 500, test: int = 125, costs: tuple[float, ...] = (0.0, 2.0, 5.0, 10.0, 20.0), account: simulation.Account = simulation.Account(), **how) -> DataFrame:
+    """asset, cost and the summary of a whole walk-forward at every cost, parameters picked anew under each.
+
+    ``costs`` are basis points a side; for an account with costs a unit they multiply its costs and roll costs instead.
+    """
+    priced = account.cost_per_unit > 0 or account.roll_cost > 0
+    at = lambda c: replace(account, cost_per_unit=account.cost_per_unit * c, roll_cost=account.roll_cost * c) if priced else replace(account, cost_rate=c / 1e4)
+    runs = [summary(*walked(bars, plans, dims, train, test, account=at(c), **how)).withColumn("cost", F.lit(float(c))) for c in costs]  # a handful
+    return reduce(DataFrame.unionByName, runs)
 
 
-def cost_sweep(bars: DataFrame, plans: DataFrame, costs: tuple[float, ...] = (0.0, 2.0, 5.0, 10.0, 20.0), account: simulation.Account = simulation.Account()) -> DataFrame:
+def cost_totals(bars: DataFrame, plans: DataFrame, costs: tuple[float, ...] = (0.0, 2.0, 5.0, 10.0, 20.0), account: simulation.Account = simulation.Account()) -> DataFrame:
     """asset, trial_id, cost (basis points a side) and totals of every plan at every cost."""
     runs = [simulation.simulated(bars, plans, "totals", replace(account, cost_rate=c / 1e4)).withColumn("cost", F.lit(float(c))) for c in costs]
     return reduce(DataFrame.unionByName, runs)

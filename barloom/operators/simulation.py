@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 #: Trials to a group, and bars times trials up to which a group has so many.
 LANES, ROOM = 256, 1 << 24
-#: The columns of a plan and what they are where a plan does not say.
+#: The columns of a plan and what they are where a plan does not say; a plan without capital has the account's.
 PLAN = {
     "direction": "trend", "channel": "donchian", "entry": "stop", "exit": "channel", "regime_indicator": "er", "regime_filter": "none",
     "vol_filter": False, "bias_filter": "none", "sides": "both", "n_entry": 40, "n_exit": 20, "atr_n": 20, "channel_k": 2.0,
     "stop_mult": 3.0, "target_mult": 4.0, "trail_mult": 3.0, "pullback_mult": 0.5, "pullback_bars": 3, "max_hold": 20, "regime_n": 0,
     "regime_threshold": np.nan, "vol_lookback": 100, "vol_low": 0.10, "vol_high": 0.90, "bias_n": 200, "risk": 0.01, "leverage": 2.0,
-    "vol_target": 0.0, "vol_target_n": 60,
+    "vol_target": 0.0, "vol_target_n": 60, "capital": np.nan,
 }
 #: Length and threshold of each regime indicator; larger means more of a trend.
 REGIMES = {"er": (20, 0.35), "adx": (14, 25.0), "cti": (20, 0.5), "chop": (14, 50.0), "vr": (60, 1.0), "mmi": (100, 25.0), "hurst": (100, 0.5)}
@@ -159,11 +159,14 @@ class Run:
     last_atr: np.ndarray
     trending: np.ndarray  #: the logic of new entries after the last bar
     size: Callable[[np.ndarray, np.ndarray], np.ndarray]  #: units of an entry at a price, under a logic, after the last bar
+    funded: np.ndarray  #: capital at the start
+    gross: np.ndarray  #: sum over bars of the exposure at the close over equity, and the same with its sign
+    net: np.ndarray
 
     def returns(self, account: Account) -> np.ndarray:
         out = np.zeros(self.equity.shape)
         if account.fixed:
-            out[1:] = np.diff(self.equity, axis=0) / account.equity
+            out[1:] = np.diff(self.equity, axis=0) / self.funded
         else:
             before = self.equity[:-1]
             out[1:] = np.where(before > 0, self.equity[1:] / np.where(before > 0, before, 1) - 1, 0.0)
@@ -245,8 +248,9 @@ class Lanes:
     def __init__(self, plans: pd.DataFrame, account: Account, log: bool = False):
         self.plans, self.account, self.log, self.m = filled(plans), account, log, len(plans)
         m = self.m
+        self.funded = np.where(np.isnan(capital := self.plans["capital"].to_numpy(float)), account.equity, capital)
         self.state = {k: np.zeros(m, kind) for k, kind in self.STATE.items()}
-        self.state |= {"cash": np.full(m, account.equity), "equity": np.full(m, account.equity), "ruined": np.full(m, account.equity <= 0 and not account.fixed), "since": np.full(m, -1), "rest_trend": np.ones(m, bool), "follows": np.ones(m, bool)}
+        self.state |= {"cash": self.funded.copy(), "equity": self.funded.copy(), "ruined": (self.funded <= 0) & (not account.fixed), "since": np.full(m, -1), "rest_trend": np.ones(m, bool), "follows": np.ones(m, bool)}
         self.closed: list[tuple] = []
         self.events: list[tuple] = []
         p = self.plans
@@ -266,7 +270,7 @@ class Lanes:
     def size(self, x: Inputs, j: int, at: np.ndarray, logic: np.ndarray) -> np.ndarray:
         """Units of an entry at the price, under the logic, on what bar j showed (``last_atr``, where its range was unusable)."""
         account, m = self.account, self.m
-        base = np.full(m, account.equity) if account.fixed else self.state["cash"]
+        base = self.funded if account.fixed else self.state["cash"]
         with np.errstate(divide="ignore", invalid="ignore"):
             by_vol = base * self.aim / (x.at("vol", j) * account.point_value * (1.0 if account.margin > 0 else np.abs(at)))
             qty = np.where(self.aim > 0, by_vol, base * self.risk / (self.stop_mult * self.state["last_atr"] * account.point_value))
@@ -467,19 +471,27 @@ def side_by_side(series: list[pd.DataFrame], plans: pd.DataFrame, of: np.ndarray
     lanes = Lanes(plans, account, log)
     x = Inputs(series, lanes.plans, of, account)
     n, m = x.n, lanes.m
-    equity, entries = np.full((n, m), account.equity), np.zeros((n, m), np.int8)
+    equity, entries = np.tile(lanes.funded, (n, 1)), np.zeros((n, m), np.int8)
     first = np.array(firsts, int)[of] if m else np.zeros(0, int)
+    end = np.array([len(b) for b in series], int)[of] if m else first
+    gross, net = np.zeros(m), np.zeros(m)
     with np.errstate(invalid="ignore"):
         for i in range(1, n):
             entries[i] = lanes.step(x, i, first)
             equity[i] = lanes.state["equity"]
+            held = np.flatnonzero((lanes.state["side"] != 0) & (i >= first) & (i < end) & (equity[i] > 0))
+            if len(held):
+                one = account.margin if account.margin > 0 else np.abs(np.broadcast_to(x.price("close", i), (m,))[held]) * account.point_value
+                share = lanes.state["units"][held] * one / equity[i, held]
+                gross[held] += share
+                net[held] += share * lanes.state["side"][held]
     v = lanes.state
     if n:
         usable = x.ready[n - 1] & (x.at("atr", n - 1) > 0) & ~v["ruined"]
         v["last_atr"] = np.where(usable, x.at("atr", n - 1), v["last_atr"])
     after = x.at("direction", n - 1) > 0 if n else np.ones(m, bool)
     trades, orders = lanes.trades(), lanes.orders() if log else None
-    whole = Run(equity, entries, trades, orders, v["side"], v["units"], v["entry"], v["since"], v["stop"], v["target"], v["last_atr"], after, lambda at, logic: lanes.size(x, n - 1, at, logic))
+    whole = Run(equity, entries, trades, orders, v["side"], v["units"], v["entry"], v["since"], v["stop"], v["target"], v["last_atr"], after, lambda at, logic: lanes.size(x, n - 1, at, logic), lanes.funded, gross, net)
     return [whole] if len(series) == 1 else [_own(whole, np.flatnonzero(of == k), len(b)) for k, b in enumerate(series)]
 
 
@@ -499,11 +511,11 @@ def _own(run: Run, lanes: np.ndarray, n: int) -> Run:
     orders = run.orders
     if orders is not None:
         orders = own(orders[(place[orders["lane"].to_numpy(int)] >= 0) & (orders["bar_idx"] < n)])
-    return Run(run.equity[:n, lanes], run.entries[:n, lanes], own(t[t["exit_idx"] < n]), orders, position, units, entry, since.astype(int), pick(run.stop), pick(run.target), pick(run.last_atr), pick(run.trending), run.size)
+    return Run(run.equity[:n, lanes], run.entries[:n, lanes], own(t[t["exit_idx"] < n]), orders, position, units, entry, since.astype(int), pick(run.stop), pick(run.target), pick(run.last_atr), pick(run.trending), run.size, pick(run.funded), pick(run.gross), pick(run.net))
 
 
 SCHEMAS = {
-    "totals": "final double, total_return double, sharpe double, max_dd double, n_trades long, n_wins long, gain double, loss double, held long, n_bars long",
+    "totals": "final double, total_return double, sharpe double, max_dd double, n_trades long, n_wins long, gain double, loss double, held long, n_bars long, gross double, net double",
     "bars": "bar_idx long, ret double, equity double, entered boolean, exited boolean, pnl double",
     "trades": "trade_no long, entry_idx long, exit_idx long, side int, entry_price double, exit_price double, units double, pnl double, cost double, reason string",
     "states": "position int, units double, entry_price double, entry_idx long, stop double, target double, atr double, equity double, unrealized double",
@@ -520,18 +532,18 @@ def _totals(run: Run, account: Account, first: int, ids: np.ndarray) -> pd.DataF
     win = t["pnl"].to_numpy(float) > 0 if len(t) else np.zeros(0, bool)
     lane = t["lane"].to_numpy(int)
     add = lambda v: np.bincount(lane, weights=v, minlength=len(ids)) if len(t) else np.zeros(len(ids))
-    top = np.maximum.accumulate(np.vstack([np.full(len(ids), account.equity), equity]), axis=0)[1:]
+    top = np.maximum.accumulate(np.vstack([run.funded, equity]), axis=0)[1:]
     spread = rets.std(axis=0, ddof=1) if len(rets) > 1 else np.zeros(len(ids))
     mean = rets.mean(axis=0) if len(rets) else np.zeros(len(ids))
-    last = equity[-1] if len(equity) else np.full(len(ids), account.equity)
+    last = equity[-1] if len(equity) else run.funded
     held = add((t["exit_idx"] - t["entry_idx"]).to_numpy(float)) if len(t) else np.zeros(len(ids))
     open_since = np.where(run.position != 0, len(run.equity) - 1 - run.since, 0)
     return pd.DataFrame({
-        "trial_id": ids[lanes], "final": last, "total_return": last / account.equity - 1,
+        "trial_id": ids[lanes], "final": last, "total_return": np.where(run.funded > 0, last / np.where(run.funded > 0, run.funded, 1) - 1, 0.0),
         "sharpe": np.where(spread > 0, mean / np.where(spread > 0, spread, 1), 0.0) * np.sqrt(account.per_year),
         "max_dd": (equity / top - 1).min(axis=0) if len(equity) else np.zeros(len(ids)), "n_trades": add(np.ones(len(t))).astype(int), "n_wins": add(win.astype(float)).astype(int),
         "gain": add(np.where(win, t["pnl"], 0.0)), "loss": add(np.where(win, 0.0, -t["pnl"].to_numpy(float))),
-        "held": (held + open_since).astype(int), "n_bars": len(equity),
+        "held": (held + open_since).astype(int), "n_bars": len(equity), "gross": run.gross / max(1, len(equity)), "net": run.net / max(1, len(equity)),
     })
 
 
@@ -668,8 +680,9 @@ def windowed(bars: DataFrame, spans: DataFrame, plans: DataFrame, warm: int, out
     bars by blocks of bars, an equality, so a bar goes to the few groups that hold it and to no other.
     """
     own = "window_id" in plans.columns
+    per_window = plans.groupBy("asset", "window_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")) if own else plans.agg(F.count(F.lit(1)).alias("n"))
     size = spans.agg(F.max(F.col("stop") - F.col("start")).alias("n")).first()["n"] or 1
-    n_plans = 1 if own else max(1, plans.count())
+    n_plans = per_window.first()["n"] or 1
     lanes = _lanes_for(size + warm)
     wide = max(1, lanes // n_plans)  # windows to a group
     shares = max(1, -(-n_plans // lanes))

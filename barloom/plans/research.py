@@ -105,7 +105,7 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("walk_forward_summary")
 def walk_forward_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, points = src.order_bars(spark, sf_dir), lattice_plans(spark)
-    return search.summary(search.walk_forward(bars, points, 3, 150, 50), search.walk_forward(bars, points, 3, 150, 50, "bars"))
+    return search.summary(*search.walked(bars, points, 3, 150, 50))
 
 
 @query(

@@ -190,7 +190,7 @@ def cost_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.operators import search
 
     plans = research.plans(spark, research.SHOWN | {"channel": ("donchian",), "entry": ("stop",)})
-    return search.cost_sweep(src.order_bars(spark, sf_dir), plans, (0.0, 5.0, 20.0)).select("asset", "trial_id", "cost", "total_return", "sharpe", "n_trades")
+    return search.cost_totals(src.order_bars(spark, sf_dir), plans, (0.0, 5.0, 20.0)).select("asset", "trial_id", "cost", "total_return", "sharpe", "n_trades")
 
 
 @query("walk_forward_matrix")
@@ -198,3 +198,14 @@ def walk_forward_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.operators import search
 
     return search.matrix(src.order_bars(spark, sf_dir), research.lattice_plans(spark), 3, (120, 150), (50,))
+
+
+@query("walk_forward_costs")
+def walk_forward_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.cost_sweep(src.order_bars(spark, sf_dir), research.lattice_plans(spark), 3, 150, 50, (0.0, 10.0))
+
+
+@query("walk_forward_whole_units")
+def walk_forward_whole_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    account = simulation.Account(equity=3_000_000.0, whole_units=True)
+    return search.walked(src.order_bars(spark, sf_dir), research.lattice_plans(spark), 3, 150, 50, account=account)[0]

@@ -142,6 +142,64 @@ def test_walk_forward_equals_single_windows(spark):
     assert told["n_windows"] == len(got) and told["oos_total"] == pytest.approx((1 + rets.ret).prod() - 1)
 
 
+def test_one_account_over_the_windows(spark):
+    """In whole units every window is picked and sized on what the last one left; otherwise the account is a running product."""
+    bars, points = synthetic_bars(spark, [3, 4], 420), research.lattice_plans(spark)
+    warm, plans = 85, points.toPandas().sort_values("trial_id").reset_index(drop=True)
+    how = {"least_trades": 2, "least_test": 20}
+    account = simulation.Account(equity=60_000.0, whole_units=True, cost_per_unit=0.01)
+    wins, rets = search.walked(bars, points, 3, 200, 60, account=account, **how)
+    got = {(r["asset"], r["window_id"]): r for r in wins.collect()}
+    split = 0
+    for asset in sorted({a for a, _ in got}):
+        local, capital = bars.filter(F.col("asset") == asset).orderBy("ts").toPandas(), account.equity
+        for w in range(4):
+            r, a, z = got[asset, w], max(60 * w, warm), 60 * w + 200
+            run = simulation.simulate(local.iloc[a - warm : z].reset_index(drop=True), plans.assign(capital=capital), account, first=warm)
+            totals = simulation._totals(run, account, warm, plans.trial_id.to_numpy())
+            place = search.pick(search._values(totals, "sharpe", 2), np.array(plans.coord.tolist()), plans.trial_id.to_numpy())
+            assert r["initial_equity"] == pytest.approx(capital) and (r["trial_id"] == plans.trial_id[place] if place is not None else r["trial_id"] is None)
+            if place is None:
+                continue
+            test = simulation.simulate(local.iloc[z - warm : min(z + 60, 420)].reset_index(drop=True), plans.iloc[[place]].assign(capital=capital), account, first=warm)
+            assert (test.trades.units % 1 == 0).all() and r["oos_total_return"] == pytest.approx(test.equity[-1, 0] / capital - 1)
+            fresh = simulation.simulate(local.iloc[z - warm : min(z + 60, 420)].reset_index(drop=True), plans.iloc[[place]], account, first=warm)
+            split += int(len(fresh.trades) > 0 and not np.array_equal(fresh.trades.units, test.trades.units))
+            capital = float(test.equity[-1, 0])
+    assert split > 0  # counts follow the compounded account
+    whole = {k: v for k, v in got.items()}
+    parts, _ = search.walked(bars, points, 3, 200, 60, **how)
+    serial = search._carried(bars, points, search.windows(bars, 200, 60), warm, "sharpe", "plateau", 2, simulation.Account()).collect()
+    both = {(r["asset"], r["window_id"]): r for r in parts.collect()}
+    assert len(serial) == len(both) == len(whole) and all(both[r["asset"], r["window_id"]]["trial_id"] == r["trial_id"] for r in serial)
+    assert all(both[r["asset"], r["window_id"]]["initial_equity"] == pytest.approx(r["capital"]) for r in serial)
+    named = points.withColumn("template", F.lit("one")).unionByName(points.withColumns({"template": F.lit("two"), "trial_id": F.col("trial_id") + 100}))
+    by = {(r["template"], r["asset"], r["window_id"]): r for r in search.walked(bars, named, 3, 200, 60, **how)[0].collect()}
+    assert len(by) == 2 * len(both)
+    for (a, w), r in both.items():
+        assert by["one", a, w]["trial_id"] == r["trial_id"] and by["two", a, w]["trial_id"] == (None if r["trial_id"] is None else r["trial_id"] + 100)
+        assert by["one", a, w]["oos_sharpe"] == pytest.approx(r["oos_sharpe"]) and by["two", a, w]["initial_equity"] == pytest.approx(r["initial_equity"])
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_a_ruined_account_is_not_funded_again(spark, whole):
+    rows = synthetic_bars(spark, [3], 420).orderBy("ts").toPandas()
+    fall = rows.index >= 290  # a gap through the account in the second test
+    for c in ("open", "high", "low", "close"):
+        rows.loc[fall, c] = rows.loc[fall, c] * 0.01
+    bars = spark.createDataFrame(rows)
+    points = research.lattice_plans(spark).withColumns({"sides": F.lit("long_only"), "leverage": F.lit(20.0), "risk": F.lit(5.0), "exit": F.lit("atr_trail")})
+    wins, rets = search.walked(bars, points, 3, 200, 60, least_trades=0, account=simulation.Account(equity=1e7, cost_rate=0.0, whole_units=whole))
+    got = wins.orderBy("window_id").collect()
+    dead = [r["ruined"] for r in got]
+    assert dead == sorted(dead) and any(dead) and not all(dead)
+    first = dead.index(True)
+    assert got[first - 1]["oos_total_return"] <= -1 and all(r["trial_id"] is None and r["oos_n_bars"] is None and r["initial_equity"] == got[first]["initial_equity"] <= 0 for r in got[first:])
+    assert rets.filter(F.col("window_id") >= first).agg(F.sum(F.abs("ret"))).first()[0] == 0.0
+    told = search.summary(wins, rets).first()
+    assert told["ruined"] and told["oos_cagr"] == -1.0 and told["n_windows"] == len(got) and 0 < told["oos_exposure"] <= 1
+
+
 def rets_frame(spark, rets):
     return spark.createDataFrame(rets[["asset", "window_id", "bar_idx", "ret"]])
 
