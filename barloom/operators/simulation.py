@@ -267,13 +267,13 @@ class Lanes:
         self.longs, self.shorts = col("sides", str) != "short_only", col("sides", str) != "long_only"
         self.confirms, self.pulls = entry == "close_confirm", entry == "pullback"
 
-    def size(self, x: Inputs, j: int, at: np.ndarray, logic: np.ndarray) -> np.ndarray:
-        """Units of an entry at the price, under the logic, on what bar j showed (``last_atr``, where its range was unusable)."""
+    def size(self, x: Inputs, j: int, at: np.ndarray, logic: np.ndarray, atr: np.ndarray) -> np.ndarray:
+        """Units of an entry at the price, under the logic, on what bar j showed; ``atr`` is the last usable range."""
         account, m = self.account, self.m
         base = self.funded if account.fixed else self.state["cash"]
         with np.errstate(divide="ignore", invalid="ignore"):
             by_vol = base * self.aim / (x.at("vol", j) * account.point_value * (1.0 if account.margin > 0 else np.abs(at)))
-            qty = np.where(self.aim > 0, by_vol, base * self.risk / (self.stop_mult * self.state["last_atr"] * account.point_value))
+            qty = np.where(self.aim > 0, by_vol, base * self.risk / (self.stop_mult * atr * account.point_value))
             qty = qty * np.fmax(x.at("direction", j) * np.where(logic, 1.0, -1.0), 0.0)
             one = np.full(m, account.margin) if account.margin > 0 else account.point_value * np.abs(at)
             qty = np.where(one > 0, np.fmin(qty, self.leverage * base / one), 0.0)
@@ -411,7 +411,7 @@ class Lanes:
         # sizes
         opens = take != 0
         reach = self.stop_mult * a
-        qty = self.size(x, j, at, logic)
+        qty = self.size(x, j, at, logic, a)
         say(i, 7, opens & ~(qty > 0), take, order, at, qty)
         opens &= qty > 0
         fee = account.cost_rate * qty * account.point_value * np.abs(at) + account.cost_per_unit * qty
@@ -450,6 +450,12 @@ class Lanes:
             self._bury(i, c)
         return opens
 
+    def copied(self, log: bool) -> Lanes:
+        """The same accounts at the same bar, apart from these."""
+        out = Lanes(self.plans, self.account, log)
+        out.state = {k: x.copy() for k, x in self.state.items()}
+        return out
+
     def trades(self) -> pd.DataFrame:
         names = ["lane", "entry_idx", "exit_idx", "side", "entry_price", "exit_price", "units", "pnl", "cost", "reason"]
         out = pd.DataFrame({k: np.concatenate([x[q] for x in self.closed]) if self.closed else np.zeros(0) for q, k in enumerate(names)})
@@ -471,12 +477,18 @@ def side_by_side(series: list[pd.DataFrame], plans: pd.DataFrame, of: np.ndarray
     lanes = Lanes(plans, account, log)
     x = Inputs(series, lanes.plans, of, account)
     n, m = x.n, lanes.m
-    equity, entries = np.tile(lanes.funded, (n, 1)), np.zeros((n, m), np.int8)
     first = np.array(firsts, int)[of] if m else np.zeros(0, int)
-    end = np.array([len(b) for b in series], int)[of] if m else first
+    whole = advanced(lanes, x, first, np.array([len(b) for b in series], int)[of] if m else first)
+    return [whole] if len(series) == 1 else [_own(whole, np.flatnonzero(of == k), len(b)) for k, b in enumerate(series)]
+
+
+def advanced(lanes: Lanes, x: Inputs, first: np.ndarray, end: np.ndarray, begin: int = 1) -> Run:
+    """The lanes over bars ``begin`` and later of their inputs; equity and entries have every bar, those before ``begin`` as they stand."""
+    n, m, account = x.n, lanes.m, lanes.account
+    equity, entries = np.tile(lanes.state["equity"], (n, 1)), np.zeros((n, m), np.int8)
     gross, net = np.zeros(m), np.zeros(m)
     with np.errstate(invalid="ignore"):
-        for i in range(1, n):
+        for i in range(begin, n):
             entries[i] = lanes.step(x, i, first)
             equity[i] = lanes.state["equity"]
             held = np.flatnonzero((lanes.state["side"] != 0) & (i >= first) & (i < end) & (equity[i] > 0))
@@ -486,13 +498,16 @@ def side_by_side(series: list[pd.DataFrame], plans: pd.DataFrame, of: np.ndarray
                 gross[held] += share
                 net[held] += share * lanes.state["side"][held]
     v = lanes.state
+    last = v["last_atr"]
     if n:
-        usable = x.ready[n - 1] & (x.at("atr", n - 1) > 0) & ~v["ruined"]
-        v["last_atr"] = np.where(usable, x.at("atr", n - 1), v["last_atr"])
+        last = np.where(x.ready[n - 1] & (x.at("atr", n - 1) > 0) & ~v["ruined"], x.at("atr", n - 1), last)
     after = x.at("direction", n - 1) > 0 if n else np.ones(m, bool)
-    trades, orders = lanes.trades(), lanes.orders() if log else None
-    whole = Run(equity, entries, trades, orders, v["side"], v["units"], v["entry"], v["since"], v["stop"], v["target"], v["last_atr"], after, lambda at, logic: lanes.size(x, n - 1, at, logic), lanes.funded, gross, net)
-    return [whole] if len(series) == 1 else [_own(whole, np.flatnonzero(of == k), len(b)) for k, b in enumerate(series)]
+    trades, orders = lanes.trades(), lanes.orders() if lanes.log else None
+
+    def size(at: np.ndarray, logic: np.ndarray) -> np.ndarray:
+        return lanes.size(x, n - 1, at, logic, last)
+
+    return Run(equity, entries, trades, orders, v["side"], v["units"], v["entry"], v["since"], v["stop"], v["target"], last, after, size, lanes.funded, gross, net)
 
 
 def _own(run: Run, lanes: np.ndarray, n: int) -> Run:
@@ -594,11 +609,21 @@ def _frame(output: str, run: Run, account: Account, first: int, ids: np.ndarray,
 
 
 def next_orders(bars: pd.DataFrame, plans: pd.DataFrame, account: Account, first: int, ids: np.ndarray) -> pd.DataFrame:
-    """The orders that work on the bar after the last: what the simulation has working on a bar whose prices are not known yet."""
-    run = simulate(bars, plans, account, first)
+    """The orders that work on the bar after the last."""
+    lanes, of = Lanes(plans, account), np.zeros(len(plans), int)
+    firsts = np.full(lanes.m, first)
+    run = advanced(lanes, Inputs([bars], lanes.plans, of, account), firsts, np.full(lanes.m, len(bars)))
+    return working(lanes, run, bars, firsts, ids)
+
+
+def working(lanes: Lanes, run: Run, bars: pd.DataFrame, first: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    """What lanes that stand after ``bars`` have working on a bar whose prices are not known yet; the lanes stay as they are."""
     unknown = pd.DataFrame({c: [np.nan] for c in ("open", "high", "low", "close")})
-    e = simulate(pd.concat([bars, unknown], ignore_index=True), plans, account, first, True).orders
-    e = e[(e["bar_idx"] == len(bars)) & e["kind"].isin([0, 1, 3, 8, 9, 10])]
+    after = lanes.copied(log=True)
+    with np.errstate(invalid="ignore"):
+        after.step(Inputs([pd.concat([bars, unknown], ignore_index=True)], lanes.plans, np.zeros(lanes.m, int), lanes.account), len(bars), first)
+    e = after.orders()
+    e = e[e["kind"].isin([0, 1, 3, 8, 9, 10])]
     lane, kind = e["lane"].to_numpy(int), e["kind"].to_numpy(int)
     level = e["level"].to_numpy(float)
     names = {0: "entry", 1: "market_on_open", 3: "limit", 8: "stop", 9: "target", 10: "exit_on_open"}
