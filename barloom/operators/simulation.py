@@ -533,6 +533,7 @@ SCHEMAS = {
     "totals": "final double, total_return double, sharpe double, max_dd double, n_trades long, n_wins long, gain double, loss double, held long, n_bars long, gross double, net double",
     "bars": "bar_idx long, ret double, equity double, entered boolean, exited boolean, pnl double",
     "trades": "trade_no long, entry_idx long, exit_idx long, side int, entry_price double, exit_price double, units double, pnl double, cost double, reason string",
+    "all_trades": "entry_idx long, exit_idx long, side int, entry_price double, exit_price double, units double, pnl double, cost double, reason string, closed boolean",
     "states": "position int, units double, entry_price double, entry_idx long, stop double, target double, atr double, equity double, unrealized double",
     "next_orders": "kind string, side int, level double, shares double, detail_text string",
     "orders": "bar_idx long, seq long, kind string, side int, detail int, detail_text string, level double, qty double, aux double",
@@ -578,6 +579,17 @@ def _frame(output: str, run: Run, account: Account, first: int, ids: np.ndarray,
             "trial_id": np.repeat(ids, n - first), "bar_idx": np.tile(places[first:], len(ids)), "ret": own(rets), "equity": own(run.equity),
             "entered": own(run.entries > 0), "exited": own(gone), "pnl": own(pnl),
         })
+    if output == "all_trades":
+        done = _frame("trades", run, account, first, ids, places, bars).drop(columns="trade_no").assign(closed=True)
+        k = np.flatnonzero(run.position != 0)
+        close = bars["close"].to_numpy(float)[-1] if len(bars) else np.nan
+        open_ = pd.DataFrame({
+            "trial_id": ids[k], "entry_idx": places[run.since[k]], "exit_idx": np.full(len(k), np.nan), "side": run.position[k].astype(int), "entry_price": run.entry_price[k],
+            "exit_price": np.full(len(k), np.nan), "units": run.units[k], "pnl": run.position[k] * run.units[k] * account.point_value * (close - run.entry_price[k]),
+            "cost": np.full(len(k), np.nan), "reason": "open_at_window_end", "closed": False,
+        })
+        out = pd.concat([x for x in (done, open_) if len(x)], ignore_index=True) if len(done) or len(open_) else done
+        return out.astype({"exit_idx": "Int64"})
     if output == "trades":
         t = run.trades
         lane = t["lane"].to_numpy(int)
