@@ -100,6 +100,9 @@ class Formed:
     def learned(self):
         return self.bars["learned"]
 
+    def column(self, name):
+        return self.bars[name]
+
     def er(self, n):
         return ((self.c - self.c.shift(n)).abs() / self.c.diff().abs().rolling(n).sum().replace(0, np.nan)).clip(0, 1)
 
@@ -201,13 +204,19 @@ class Inputs:
         rolls = account.roll_cost > 0
         self.prices["roll"] = np.stack([padded(b["roll"].fillna(0) if rolls and "roll" in b else np.zeros(len(b))) for b in series], axis=1) if series else np.zeros((0, 0))
         formed = [Formed(b, account.margin <= 0) for b in series]
-        edges = lambda x, span, side: ("edge", x["channel"], int(x[span]), float(x["channel_k"]), int(x["atr_n"]), side)
+
+        def edges(x: dict, span: str, side: int) -> tuple:
+            if x["channel"] == "ladder":  # a channel that the bars bring
+                return "column", ("upper" if side > 0 else "lower") + ("_x" if span == "n_exit" else "")
+            return "edge", x["channel"], int(x[span]), float(x["channel_k"]), int(x["atr_n"]), side
+
+        middle = lambda x: ("column", "mid_x") if x["channel"] == "ladder" else ("middle", x["channel"], int(x["n_exit"]))
         length = lambda x: int(x["regime_n"]) or REGIMES[x["regime_indicator"]][0]
         if_ = lambda test, *spec: spec if test else ()
         wants = {
             "upper": lambda x: edges(x, "n_entry", 1), "lower": lambda x: edges(x, "n_entry", -1),
             "upper_x": lambda x: edges(x, "n_exit", 1) if x["exit"] == "channel" else (), "lower_x": lambda x: edges(x, "n_exit", -1) if x["exit"] == "channel" else (),
-            "mid_x": lambda x: if_(x["exit"] == "channel", "middle", x["channel"], int(x["n_exit"])), "atr": lambda x: ("atr", int(x["atr_n"])),
+            "mid_x": lambda x: middle(x) if x["exit"] == "channel" else (), "atr": lambda x: ("atr", int(x["atr_n"])),
             "regime": lambda x: if_(x["regime_filter"] != "none", x["regime_indicator"], length(x)), "rank": lambda x: if_(x["vol_filter"], "rank", int(x["atr_n"]), int(x["vol_lookback"])),
             "bias": lambda x: if_(x["bias_filter"] == "sma", "sma", int(x["bias_n"])), "vol": lambda x: if_(x["vol_target"] > 0, "vol", int(x["vol_target_n"])),
             "direction": lambda x: ("learned",) if x["direction"] == "learned" else (x["direction"] == "trend",),
@@ -663,7 +672,7 @@ BAR_COLUMNS = ["bar_idx", "open", "high", "low", "close"]
 
 
 def _bar_columns(bars: DataFrame) -> list[str]:
-    return BAR_COLUMNS + [c for c in ("roll", "learned") if c in bars.columns]
+    return BAR_COLUMNS + [c for c in ("roll", "learned", "upper", "lower", "upper_x", "lower_x", "mid_x") if c in bars.columns]
 
 
 def _lanes_for(n_bars: int, room: int = ROOM) -> int:

@@ -8,38 +8,10 @@ from pyspark.sql import functions as F
 from barloom.functions import forecast
 from barloom.functions import indicators as ind
 from barloom.operators import learners, metrics, portfolio, stance
+from barloom.operators.ladders import ATR, COST, experts  # noqa: F401
 from barloom.plans.queries import BARS, RETS, query, r
 from barloom.sources import bars as src
 
-#: Channel lengths of the experts.
-SPANS = (10, 20, 40, 80)
-#: Bars of the range that moves are measured in, and the cost of a side.
-ATR, COST = 20, 0.0005
-
-
-def experts(bars: DataFrame, ladder: list[learners.Expert] | None = None, sides: str = "both") -> DataFrame:
-    """asset, bar_idx, stances, losses: the side of each expert's last channel break, and its loss on this bar's move.
-
-    A break stays the stance for the expert's span; a stance on a side that ``sides`` bars is flat.
-    """
-    ladder = ladder or [learners.Expert("donchian", n) for n in SPANS]
-    which = range(len(ladder))
-    rows = bars.withColumn("_tr", ind.true_range()).withColumn("_a", ind.sma(F.col("_tr"), ATR))
-    edges = {}
-    for k, e in enumerate(ladder):
-        middle, width = ind.sma(F.col("close"), e.n), e.k * F.col("_a")
-        high, low = ind.donchian(e.n)[:2] if e.kind == "donchian" else (middle + width, middle - width)
-        edges |= {f"_h{k}": high, f"_b{k}": low}
-    rows = rows.withColumns(edges)
-    rows = rows.withColumns({f"_g{k}": e.side * ind.break_signal(F.col(f"_h{k}"), F.col(f"_b{k}")).cast("double") for k, e in enumerate(ladder)})
-    barred = {"both": F.lit(0.0), "long_only": F.lit(-1.0), "short_only": F.lit(1.0)}[sides]
-    last = lambda k, e: F.coalesce(F.last(f"_g{k}", ignorenulls=True).over(ind.back(e.span)), F.lit(0.0))
-    rows = rows.withColumns({f"_s{k}": F.when(last(k, e) * barred > 0, F.lit(0.0)).otherwise(last(k, e)) for k, e in enumerate(ladder)})
-    rows = rows.withColumn("_a", F.nullif(ind.lag(F.col("_a")), F.lit(0.0)))
-    move, cost = (F.col("close") - ind.lag(F.col("close"))) / F.col("_a"), F.abs(F.col("close")) * COST / F.col("_a")
-    rows = rows.withColumns({"_z": move, "_c": cost} | {f"_p{k}": ind.lag(F.col(f"_s{k}")) for k in which})
-    loss = lambda k: ind.stance_loss(F.col(f"_p{k}"), F.col(f"_s{k}"), F.col("_z"), F.col("_c"), F.col(f"_h{k}").isNotNull())
-    return rows.select("asset", "bar_idx", F.array(*(f"_s{k}" for k in which)).alias("stances"), F.array(*(loss(k) for k in which)).alias("losses"))
 
 
 @query("hedge_positions")

@@ -217,3 +217,53 @@ def test_static_selection(spark):
     assert "b" in two and len(two) == 2
     weighed = {r["series"]: r["weight"] for r in portfolio.static_selection(df, 0.1, 252.0, weighting="hrp").collect()}
     assert sum(weighed.values()) == pytest.approx(1) and set(weighed) == set(got)
+
+
+@pytest.mark.parametrize(
+    ("sharing", "final", "trades", "total"), [(True, 97517.19454785736, 15, 89244596.95579053), (False, 99813.97830555258, 13, 90173843.35899201)]
+)
+def test_known_results_of_a_learned_channel(spark, sharing, final, trades, total):
+    """Published results of the ladder's averaged channel and learned direction as orders."""
+    import pandas as pd
+
+    from barloom.operators import ladders, simulation
+    from barloom.sources.synthetic import regime_walk
+
+    local = regime_walk(900, 13)
+    local = local.assign(asset="x", bar_idx=range(900), ts=pd.date_range("2001-01-01", periods=900))
+    bars = ladders.with_ladder(spark.createDataFrame(local), sharing=sharing)
+    plan = spark.createDataFrame([(0, "learned", "ladder", "target_stop")], "trial_id int, direction string, channel string, exit string")
+    got = simulation.simulated(bars, plan, "bars", first=100).toPandas().sort_values("bar_idx")
+    assert got.equity.iloc[-1] == pytest.approx(final, rel=1e-11) and got.equity.sum() + 100 * 100_000 == pytest.approx(total, rel=1e-11)
+    assert simulation.simulated(bars, plan, "totals", first=100).first()["n_trades"] == trades
+
+
+def test_ladder_columns(spark):
+    from barloom.operators import ladders, learners
+    from barloom.sources.synthetic import synthetic_bars
+
+    bars = synthetic_bars(spark, [6], 520)
+    d = bars.orderBy("ts").toPandas()
+    for name, mode in (("hedge", "trend"), ("hedge_wide", "learned")):
+        rows = ladders.committee(bars, name, mode).orderBy("bar_idx").toPandas()
+        got = ladders.with_ladder(bars, name, mode).orderBy("bar_idx").toPandas()
+        told = ladders.told(ladders.committee(bars, name, mode), name, mode).orderBy("bar_idx").toPandas()
+        ladder, warm = learners.ladder(name, mode), ladders.warmup(name, mode)
+        w, losses = np.array(rows.weights.tolist()), np.nan_to_num(np.array(rows.losses.tolist(), float), nan=0.5)
+        assert got[["upper", "lower_x", "learned"]][:warm].isna().all().all() and got[["upper", "lower", "upper_x", "mid_x", "learned"]][warm:].notna().all().all()
+        tr = np.fmax(d.high - d.low, np.fmax((d.high - d.close.shift()).abs(), (d.low - d.close.shift()).abs()))
+        tr[0] = np.nan
+        for column, scale in (("upper", 1), ("upper_x", 0.5)):
+            want = np.zeros(len(d))
+            for k, e in enumerate(ladder):
+                n = int(e.n * scale)
+                high = d.high.rolling(n).max() if e.kind == "donchian" else d.close.rolling(n).mean() + e.k * tr.rolling(20).mean()
+                want += w[:, k] * high.to_numpy()
+            np.testing.assert_allclose(got[column][warm:], want[warm:], rtol=1e-9)
+        side = w @ np.array([e.side for e in ladder])
+        want = np.where(side < 0, -1, 1) * rows.position.abs() if name == "hedge_wide" else np.ones(len(d))
+        np.testing.assert_allclose(got.learned[warm:], want[warm:], rtol=1e-9, atol=1e-12)
+        played = np.append(0.5, (w[:-1] * losses[1:]).sum(axis=1))
+        np.testing.assert_allclose(told.surprise, np.maximum(played - losses.min(axis=1), 0), atol=1e-12)
+        assert set(told.expert_weights[warm]) == {e.label for e in ladder} and np.allclose(told.net, np.clip(side, -1, 1))
+    assert ladders.warmup("hedge") == 410 and ladders.warmup("hedge_long") == 750 + 320 and ladders.warmup("hedge_split") == 500 + 160 + 1 + 120
