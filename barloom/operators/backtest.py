@@ -11,32 +11,138 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def overfit_probability(blocks: DataFrame, n_blocks: int, key: str = "trial", family: str | None = None) -> DataFrame:
-    """Symmetric cross-validation over all halves of the blocks: split_id, winner, logit of its out-of-sample rank.
+#: Splits of the blocks that are taken, drawn without replacement where there are more, and splits to a group.
+MOST_SPLITS, GROUP_SPLITS = 20_000, 2048
+
+
+def unranked(rank: int, n: int, k: int) -> int:
+    """Bit mask of the rank-th of the ways to choose k of n, in order of the masks."""
+    mask = 0
+    for bit in range(n - 1, -1, -1):
+        without = math.comb(bit, k)  # choices that leave this bit out come first
+        if rank >= without:
+            rank, k, mask = rank - without, k - 1, mask | 1 << bit
+    return mask
+
+
+def split_masks(n_blocks: int, most: int = MOST_SPLITS, seed: int = 0) -> list[int]:
+    """Halves of the blocks as bit masks: all of them, or ``most`` drawn without replacement by their ranks."""
+    total, k = math.comb(n_blocks, n_blocks // 2), n_blocks // 2
+    if total <= most:
+        return [unranked(r, n_blocks, k) for r in range(total)]
+    rng, taken = np.random.default_rng(seed), set()
+    for top in range(total - most, total):  # each draw is new, or its bound takes its place
+        r = int(rng.integers(0, top + 1))
+        taken.add(top if r in taken else r)
+    return [unranked(r, n_blocks, k) for r in sorted(taken)]
+
+
+def overfit_probability(blocks: DataFrame, n_blocks: int, key: str = "trial", family: str | None = None, most: int = MOST_SPLITS, seed: int = 0) -> DataFrame:
+    """Symmetric cross-validation over halves of the blocks: split_id, winner, logit, inside, outside of each half.
 
     ``blocks`` (family, key, block, n, s, s2) are sufficient statistics, one row a trial and block. A half is its bit mask, which
-    is the split's id; there are as many as ways to choose half the blocks, whatever the bars. The best Sharpe in a half is
-    ranked in the other within its family, ties counting half.
+    is the split's id; where there are more than ``most`` halves, so many are drawn. The best Sharpe in a half (the least key on
+    ties) is ranked in the other within its family, ties counting half; inside and outside are the winner's Sharpe a bar in both.
+
+    A group is a family and some of the splits. Sums over halves are products of the splits' bits with the family's sums by block,
+    other halves the rest of the totals; what a family sends to a group is its trials times blocks, whatever the splits.
     """
+    masks = split_masks(n_blocks, most, seed)
+    chunks = -(-len(masks) // GROUP_SPLITS)
     group = [family] if family else []
-    splits = blocks.sparkSession.range(1 << n_blocks).filter(F.bit_count("id") == n_blocks // 2).select(F.col("id").alias("split_id"))
-    inside = F.expr("shiftright(split_id, block) & 1") != 0
-    both = blocks.join(F.broadcast(splits)).groupBy(*group, "split_id", key).agg(
-        *(F.sum(F.when(inside if part == "i" else ~inside, F.col(c))).alias(c + part) for part in "io" for c in ("n", "s", "s2"))
-    )
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    rows = blocks.select(*group, F.col(key).alias("trial"), "block", F.col("n").cast("double"), F.col("s").cast("double"), F.col("s2").cast("double"), every.alias("chunk"))
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        names = np.array(sorted(d["trial"].unique()))
+        at = (np.searchsorted(names, d["trial"].to_numpy()), d["block"].to_numpy(int))
+        n, s, q = (np.zeros((len(names), n_blocks)) for _ in range(3))
+        for table, c in ((n, "n"), (s, "s"), (q, "s2")):
+            np.add.at(table, at, d[c].to_numpy(float))
+        c = int(d["chunk"].iloc[0])
+        own = np.array(masks[c * GROUP_SPLITS : (c + 1) * GROUP_SPLITS], np.int64)
+        step, out = max(1, (1 << 22) // len(names)), []
+        for i in range(0, len(own), step):
+            bits = (own[i : i + step, None] >> np.arange(n_blocks) & 1).astype(float)
+            inside = _sharpes(*(bits @ x.T for x in (n, s, q)))
+            outside = _sharpes(*((1 - bits) @ x.T for x in (n, s, q)))
+            best = inside.argmax(axis=1)
+            every_ = np.arange(len(best))
+            level = outside[every_, best]
+            rank = (outside < level[:, None]).sum(axis=1) + 0.5 * (outside == level[:, None]).sum(axis=1) + 0.5
+            share = rank / (len(names) + 1)
+            out.append(pd.DataFrame({"split_id": own[i : i + step], "winner": names[best], "logit": np.log(share / (1 - share)), "inside": inside[every_, best], "outside": level}))
+        got = pd.concat(out, ignore_index=True)
+        for g in group:
+            got[g] = d[g].iloc[0]
+        return got
+
+    schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), f"split_id long, winner {kinds[key]}, logit double, inside double, outside double"])
+    return rows.groupBy(*group, "chunk").applyInPandas(run, schema)
+
+
+def _sharpes(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Mean over deviation from counts, sums and sums of squares; 0 without spread."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = s / n
+        var = (q - n * mean * mean) / (n - 1)
+        return np.where(var > 0, mean / np.sqrt(np.where(var > 0, var, 1)), 0.0)
+
+
+def overfit_summary(splits: DataFrame, per_year: float = 252.0, *family: str) -> DataFrame:
+    """family, n_splits, pbo, mean_logit, prob_loss, and the line of the winners' annual Sharpe outside on that inside."""
+    inside, outside = (F.col(c) * per_year**0.5 for c in ("inside", "outside"))
+    return splits.groupBy(*family).agg(
+        F.count(F.lit(1)).alias("n_splits"), F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.avg("logit").alias("mean_logit"),
+        F.avg((F.col("outside") < 0).cast("double")).alias("prob_loss"), F.when(F.var_pop("inside") > 0, F.regr_slope(outside, inside)).alias("slope"),
+        F.when(F.var_pop("inside") > 0, F.regr_intercept(outside, inside)).alias("intercept"),
+    )
 
-    def ratio(p: str):
-        mean = F.col(f"s{p}") / F.col(f"n{p}")
-        var = (F.col(f"s2{p}") - F.col(f"n{p}") * mean * mean) / (F.col(f"n{p}") - 1)
-        return F.when(var > 0, mean / F.sqrt(var)).otherwise(F.lit(0.0))
 
-    scored = both.select(*group, "split_id", F.col(key).alias("trial"), ratio("i").alias("inside"), ratio("o").alias("outside"))
-    best = scored.groupBy(*group, "split_id").agg(F.min(F.struct((-F.col("inside")).alias("x"), F.col("trial"), F.col("outside"))).alias("b"))
-    ranked = scored.join(best.select(*group, "split_id", F.col("b.trial").alias("winner"), F.col("b.outside").alias("level")), [*group, "split_id"])
-    rank = F.sum((F.col("outside") < F.col("level")).cast("double")) + 0.5 * F.sum((F.col("outside") == F.col("level")).cast("double")) + 0.5
-    got = ranked.groupBy(*group, "split_id", "winner").agg(rank.alias("rank"), F.count(F.lit(1)).alias("n"))
-    share = F.col("rank") / (F.col("n") + 1)
-    return got.select(*group, "split_id", "winner", F.ln(share / (1 - share)).alias("logit"))
+def paired_trades(flags: DataFrame, *keys: str) -> DataFrame:
+    """keys, entry_idx, exit_idx, pnl from bars (keys, bar_idx, entered, exited, pnl): the k-th exit closes the k-th entry, on one bar too."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("bar_idx"))
+    one = lambda test, *columns: flags.filter(test).select(*keys, *columns, nth.alias("_k"))
+    return one("entered", F.col("bar_idx").alias("entry_idx")).join(one("exited", F.col("bar_idx").alias("exit_idx"), "pnl"), [*keys, "_k"]).drop("_k")
+
+
+def trades_inside(trades: DataFrame, mask: DataFrame, *keys: str) -> DataFrame:
+    """The trades all of whose bars, entry and exit included, a mask (keys, bar_idx, inside; every bar) selects.
+
+    The mask becomes running counts of what it leaves out, so containment is two lookups by bar, not a search of intervals.
+    """
+    out = (~F.col("inside")).cast("long")
+    upto = F.sum(out).over(Window.partitionBy(*keys).orderBy("bar_idx"))
+    counts = mask.select(*keys, "bar_idx", out.alias("_o"), upto.alias("_c"))
+    at = lambda c, *columns: counts.select(*keys, F.col("bar_idx").alias(c), *columns)
+    met = trades.join(at("entry_idx", (F.col("_c") - F.col("_o")).alias("_before")), [*keys, "entry_idx"]).join(at("exit_idx", F.col("_c").alias("_after")), [*keys, "exit_idx"])
+    return met.filter("_after = _before").select(*trades.columns)
+
+
+def masked_totals(flags: DataFrame, mask: DataFrame, keys: tuple[str, ...], per_year: float = 252.0, additive: bool = True) -> DataFrame:
+    """keys, n_trades, sharpe, total_return, max_dd, gain, loss of the selected bars as one record: what ``search.score`` reads.
+
+    flags: keys, bar_idx, ret, entered, exited, pnl. Entries count where the mask selects their bar, gains and losses of trades
+    only where it selects them whole; bars left out earn nothing.
+    """
+    k, by = list(keys), Window.partitionBy(*keys).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = flags.join(mask.select(*k, "bar_idx", "inside"), [*k, "bar_idx"])
+    on, earned = F.col("inside"), F.when(F.col("inside"), F.col("ret")).otherwise(F.lit(0.0))
+    grown = 1 + F.sum(earned).over(by) if additive else F.product(1 + earned).over(by)
+    rows = rows.withColumn("_e", grown)
+    peak = F.greatest(F.max("_e").over(by), F.lit(1.0))
+    rows = rows.withColumn("_d", F.col("_e") - peak if additive else F.col("_e") / peak - 1)
+    x = F.when(on, F.col("ret"))
+    spread = F.stddev_samp(x)
+    got = rows.groupBy(*k).agg(
+        F.sum((on & F.col("entered")).cast("long")).alias("n_trades"), F.when((F.count(x) >= 2) & (spread > 0), F.avg(x) / spread * per_year**0.5).otherwise(F.lit(0.0)).alias("sharpe"),
+        (F.max_by("_e", "bar_idx") - 1).alias("total_return"), F.min("_d").alias("max_dd"),
+    )
+    own = trades_inside(paired_trades(flags, *k), mask, *k).groupBy(*k).agg(
+        F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(F.lit(0.0))).alias("gain"), F.sum(F.when(F.col("pnl") < 0, -F.col("pnl")).otherwise(F.lit(0.0))).alias("loss")
+    )
+    return got.join(own, k, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("gain", "loss")})
 
 
 def tested_groups(spark: SparkSession, n_groups: int, n_test: int) -> DataFrame:
@@ -64,7 +170,7 @@ def carried_until(trades: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def purged_paths(
-    rets: DataFrame, n_groups: int = 8, n_test: int = 2, embargo: int = 10, key: str = "asset", purge: int = 0, trades: DataFrame | None = None
+    rets: DataFrame, n_groups: int = 8, n_test: int = 2, embargo: int = 10, key: str = "asset", purge: int = 0, trades: DataFrame | None = None, bounds: DataFrame | None = None
 ) -> DataFrame:
     """Combinatorial purged cross-validation: path, n, sharpe of each out-of-sample path.
 
@@ -73,7 +179,7 @@ def purged_paths(
     ``trades`` (key, entry_idx, exit_idx as places in the series) a trial's embargo lasts until the trade that it carries out of
     the tested group has closed. The series is reduced to sums for each trial, group and the tested groups that bar it before
     splits are formed, so work after the first aggregation depends on trials, groups and splits only. No trial with two
-    training returns: the split is flat.
+    training returns: the split is flat. ``bounds`` (key, g, lo, hi as places, without gaps) sets the groups, as ``snapped_groups`` does.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
     nth = F.row_number().over(Window.partitionBy(key).orderBy("ts")) - 1
@@ -82,6 +188,10 @@ def purged_paths(
     bound = lambda g: F.ceil(F.lit(1) * g * F.col("len") / n_groups)
     ends = put.select("trial", "len").distinct().withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     ends = ends.select("trial", "g", bound(F.col("g")).alias("lo"), bound(F.col("g") + 1).alias("hi"))
+    if bounds is not None:
+        ends = bounds.select(F.col(key).alias("trial"), F.col("g").cast("int").alias("g"), "lo", "hi")
+        starts = ends.groupBy("trial").agg(F.sort_array(F.collect_list("lo")).alias("_lo"))  # n_groups a trial
+        put = put.join(starts, "trial").withColumn("block", (F.size(F.filter("_lo", lambda x: x <= F.col("nth"))) - 1).cast("int")).drop("_lo")
     if trades is not None:
         own = trades.select(F.col(key).alias("trial"), "entry_idx", "exit_idx")
         late = carried_until(own, ends.select("trial", F.col("g").alias("block"), (F.col("hi") + embargo).alias("from_idx"))).withColumnRenamed("block", "g")

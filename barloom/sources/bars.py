@@ -176,3 +176,33 @@ def shared_bars(bars: DataFrame) -> DataFrame:
     n = bars.select("asset").distinct().agg(F.count(F.lit(1)).alias("_n"))
     common = bars.groupBy("ts").agg(F.count_distinct("asset").alias("_c")).join(F.broadcast(n), F.col("_c") == F.col("_n")).select("ts")
     return bars.join(common, "ts", "left_semi")
+
+
+def restated(bars: DataFrame, currencies: DataFrame, rates: DataFrame, home: str = "USD", each_bar: bool = False) -> DataFrame:
+    """The bars in units of ``home``: prices of an asset times what one unit of its currency is worth.
+
+    currencies: asset, currency, a row an asset; an asset without one is in ``home``. rates: currency, ts, close. A series is
+    restated at the currency's last rate, so its returns stay its own, or with ``each_bar`` at the last rate up to each bar.
+    A currency without any rate is an error, and so is a bar before the first one.
+    """
+    known = currencies.filter(F.col("currency") != home)
+    missing = [r["currency"] for r in known.join(rates, "currency", "left_anti").select("currency").distinct().collect()]  # currencies, not assets
+    if missing:
+        raise ValueError(f"no rate for {', '.join(sorted(missing))}")
+    columns, prices = bars.columns, ("open", "high", "low", "close")
+    rows = bars.join(F.broadcast(known.select("asset", F.col("currency").alias("_cur"))), "asset", "left")
+    if not each_bar:
+        last = rates.groupBy(F.col("currency").alias("_cur")).agg(F.max_by("close", "ts").alias("_rate"))
+        rows = rows.join(F.broadcast(last), "_cur", "left")  # a row a currency
+    else:
+        stamp = lambda c: F.col(c).cast("timestamp_ntz")
+        kept = F.struct(*columns)
+        both = rows.filter("_cur IS NOT NULL").select("_cur", stamp("ts").alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast("double").alias("_r"), kept.alias("_row"))
+        both = both.unionByName(rates.select(F.col("currency").alias("_cur"), stamp("ts").alias("_t"), F.lit(0).alias("_k"), F.col("close").cast("double").alias("_r")), allowMissingColumns=True)
+        upto = Window.partitionBy("_cur").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+        met = both.withColumn("_rate", F.last("_r", ignorenulls=True).over(upto)).filter("_k = 1")
+        early = F.raise_error(F.concat(F.lit("no rate yet for "), F.col("_cur"), F.lit(" on "), F.col("_t").cast("string"))).cast("double")
+        met = met.select("_row.*", F.coalesce("_rate", early).alias("_rate"))
+        rows = met.unionByName(rows.filter("_cur IS NULL").select(*columns, F.lit(1.0).alias("_rate")))
+    rate = F.coalesce("_rate", F.lit(1.0))
+    return rows.select(*((F.col(c) * rate).alias(c) if c in prices else F.col(c) for c in columns))
