@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import indicators as ind
 from barloom.operators import learners
+from barloom.sources import stored
 
 #: Bars of the range that moves are measured in, and the cost of a side.
 ATR, COST = 20, 0.0005
@@ -61,7 +62,7 @@ def warmup(name: str, mode: str = "learned", atr: int = ATR) -> int:
 
 def committee(bars: DataFrame, name: str = "hedge", mode: str = "learned", sides: str = "both", sharing: bool = True, cost: float = COST, atr: int = ATR) -> DataFrame:
     """asset, bar_idx, weights, trade, position of a ladder's learner, with its experts' stances and losses."""
-    rows = experts(bars, learners.ladder(name, mode), sides if name in SIZED else "both", cost, atr)
+    rows = stored.kept(experts(bars, learners.ladder(name, mode), sides if name in SIZED else "both", cost, atr))
     memory, lifetimes = learners.learner_of(name)
     followers = None
     if name == "hedge_split":
@@ -70,16 +71,21 @@ def committee(bars: DataFrame, name: str = "hedge", mode: str = "learned", sides
     return learners.hedge(rows, memory, lifetimes, sharing, followers).join(rows, ["asset", "bar_idx"])
 
 
+def net_side(ladder: list[learners.Expert]) -> Column:
+    """Weight of the following experts less that of the fading ones."""
+    side = sum((F.get("weights", F.lit(k)) * float(e.side) for k, e in enumerate(ladder)), F.lit(0.0))
+    return F.least(F.greatest(side, F.lit(-1.0)), F.lit(1.0))
+
+
 def told(rows: DataFrame, name: str = "hedge", mode: str = "learned") -> DataFrame:
     """The committee row by row: net side weight, weight of each expert by label, surprise (loss of the weights of the bar before less the best expert's)."""
     ladder = learners.ladder(name, mode)
-    side = sum((F.get("weights", F.lit(k)) * float(e.side) for k, e in enumerate(ladder)), F.lit(0.0))
     before = F.lag("weights").over(Window.partitionBy("asset").orderBy("bar_idx"))
     loss = F.transform("losses", lambda x: F.coalesce(F.nanvl(x, F.lit(0.5)), F.lit(0.5)))
     played = F.aggregate(F.zip_with(before, loss, lambda w, x: w * x), F.lit(0.0), lambda a, x: a + x)
     surprise = F.greatest(F.coalesce(played, F.lit(0.5)) - F.array_min(loss), F.lit(0.0))
     named = F.map_from_arrays(F.array(*(F.lit(e.label) for e in ladder)), F.col("weights"))
-    return rows.select("asset", "bar_idx", F.least(F.greatest(side, F.lit(-1.0)), F.lit(1.0)).alias("net"), named.alias("expert_weights"), surprise.alias("surprise"), "trade", "position")
+    return rows.select("asset", "bar_idx", net_side(ladder).alias("net"), named.alias("expert_weights"), surprise.alias("surprise"), "trade", "position")
 
 
 def with_ladder(bars: DataFrame, name: str = "hedge", mode: str = "learned", sides: str = "both", sharing: bool = True, cost: float = COST, atr: int = ATR) -> DataFrame:
@@ -91,7 +97,7 @@ def with_ladder(bars: DataFrame, name: str = "hedge", mode: str = "learned", sid
     """
     ladder = learners.ladder(name, mode)
     rows = committee(bars, name, mode, sides, sharing, cost, atr)
-    state = told(rows, name, mode).select("asset", "bar_idx", "net").join(rows.select("asset", "bar_idx", "weights", "position"), ["asset", "bar_idx"])
+    state = rows.select("asset", "bar_idx", "weights", "position", net_side(ladder).alias("net"))
     b = bars.withColumn("_tr", ind.true_range()).withColumn("_a", ind.sma(F.col("_tr"), atr))
     edges = {}
     for part, scale in (("", 1.0), ("_x", EXIT_SCALE)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import book, calendar, metrics, portfolio, simulation
+from barloom.operators import book, calendar, metrics, portfolio, search, simulation
 from barloom.plans import research
 from barloom.plans.queries import BARS, RETS, query, r
 from barloom.sources import bars as src
@@ -187,16 +187,12 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cost_sweep")
 def cost_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.operators import search
-
     plans = research.plans(spark, research.SHOWN | {"channel": ("donchian",), "entry": ("stop",)})
     return search.cost_totals(src.order_bars(spark, sf_dir), plans, (0.0, 5.0, 20.0)).select("asset", "trial_id", "cost", "total_return", "sharpe", "n_trades")
 
 
 @query("walk_forward_matrix")
 def walk_forward_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.operators import search
-
     return search.matrix(src.order_bars(spark, sf_dir), research.lattice_plans(spark), 3, (120, 150), (50,))
 
 

@@ -9,7 +9,7 @@ import pytest
 from conftest import SF
 
 from barloom.operators import book, recursive, search
-from barloom.plans import learning, research, trading  # noqa: F401
+from barloom.plans import learning, live, research, trading  # noqa: F401
 from barloom.plans.queries import ORACLE_SQL, QUERIES
 from barloom.sources import bars as src
 
