@@ -312,16 +312,19 @@ def in_windows(rows: DataFrame, train: int, test: int) -> DataFrame:
 def plateau(scores: DataFrame, keys: list[str], dims: int) -> DataFrame:
     """Mean of each score and its lattice neighbours (|difference| <= 1 in each dimension), and the best point of each group.
 
-    Each point is sent to its at most 3 ** dims neighbour cells, so points meet by equality. A neighbour that is missing, beyond
+    Each point is sent to its at most 3 ** dims neighbour cells within the lattice, so points meet by equality and a dimension of
+    one value costs nothing. A neighbour that is missing, beyond
     the lattice's edge or without a score, counts as the group's median at half weight; points without a score get none.
     """
-    sizes = [F.least(F.lit(3), F.max(F.get("coord", F.lit(k))) + 1) for k in range(dims)]
-    room = reduce(lambda a, b: a * b, sizes, F.lit(1))
-    mid = scores.groupBy(*keys).agg(F.median("score").alias("_mid"), room.cast("double").alias("_room"))
-    cells = scores.filter("score IS NOT NULL").select(*keys, F.col("score").alias("_s"), F.col("coord").alias("_c"))
+    last = F.array(*(F.max(F.get("coord", F.lit(k))) for k in range(dims)))
+    mid = scores.groupBy(*keys).agg(F.median("score").alias("_mid"), last.alias("_last"))
+    room = reduce(lambda a, b: a * b, (F.least(F.lit(3), F.get("_last", F.lit(k)) + 1) for k in range(dims)), F.lit(1))
+    mid = mid.withColumn("_room", room.cast("double"))
+    cells = scores.filter("score IS NOT NULL").join(mid.select(*keys, "_last"), keys).select(*keys, "_last", F.col("score").alias("_s"), F.col("coord").alias("_c"))
     for k in range(dims):
-        parts = [F.get("_c", F.lit(i)) + (F.col("_d") if i == k else 0) for i in range(dims)]
-        cells = cells.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_c", F.array(*parts))
+        own = F.get("_c", F.lit(k))
+        near = F.sequence(F.greatest(own - 1, F.lit(0)), F.least(own + 1, F.get("_last", F.lit(k))))
+        cells = cells.withColumn("_d", F.explode(near)).withColumn("_c", F.array(*(F.col("_d") if i == k else F.get("_c", F.lit(i)) for i in range(dims))))
     near = cells.groupBy(*keys, F.col("_c").alias("coord")).agg(F.sum("_s").alias("_t"), F.count(F.lit(1)).alias("_n"))
     missing = 0.5 * (F.col("_room") - F.col("_n"))
     smooth = F.when(F.col("score").isNotNull(), (F.col("_t") + missing * F.col("_mid")) / (F.col("_n") + missing))

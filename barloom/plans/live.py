@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import indicators as ind
-from barloom.operators import backtest, book, calendar, ladders, metrics, nested, runs, search, simulation
+from barloom.operators import backtest, book, calendar, families, ladders, metrics, nested, runs, search, simulation
 from barloom.plans import research
 from barloom.plans.queries import BARS, RETS, SPELLS, _stances, query, r
 from barloom.sources import bars as src
@@ -291,3 +291,44 @@ def rolled_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = ranked.join(span, "root").select("root", "contract", "rank", F.date_add(F.col("a").cast("date"), days).cast("timestamp_ntz").alias("expiry"))
     alive = q.join(listed.select("root", "contract", "expiry"), ["root", "contract"]).filter("ts <= expiry").drop("expiry")
     return spreads.rolled_spreads(alive, listed)
+
+
+def _family_sql(family: str, spec: dict[str, tuple]) -> str:
+    """Templates of a family with the points of their lattices."""
+    text = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower()
+    parts = [f"(VALUES {', '.join(f'({text(a)}, {text(b)})' for a, b in v)}) t{k}(ri, rf)" if n == "regime" else f"(VALUES {', '.join(f'({text(x)})' for x in v)}) t{k}({n})" for k, (n, v) in enumerate(spec.items())]
+    return f"""SELECT DISTINCT '{family}' AS family, direction, channel, entry, CASE WHEN entry = 'stance' THEN 'channel' ELSE exit END AS exit, CASE WHEN rf = 'none' THEN 'er' ELSE ri END AS ri, rf, vol_filter, bias_filter, sides
+  FROM {', '.join(parts)}"""
+
+
+def _points_sql(wide: bool) -> str:
+    n = {k: len({*a, *b}) if wide else len(a) for k, (a, b) in families.GRIDS.items()}
+    stop = f"CASE WHEN exit = 'target_stop' THEN {n['stop_mult']} {f'WHEN NOT online THEN {len(families.HARD_STOPS)}' if wide else ''} ELSE 1 END"
+    return f"""CASE WHEN channel = 'forecast' THEN 1 ELSE CASE WHEN online THEN 1 ELSE {n['n_entry']} END * CASE exit WHEN 'channel' THEN CASE WHEN online THEN 1 ELSE {n['n_exit']} END WHEN 'atr_trail' THEN {n['trail_mult']}
+  WHEN 'target_stop' THEN {n['target_mult']} ELSE {n['max_hold']} END * {stop} * CASE WHEN channel IN ('keltner', 'bollinger') THEN {n['channel_k']} ELSE 1 END
+  * CASE WHEN entry = 'pullback' THEN {n['pullback_mult']} ELSE 1 END * CASE WHEN rf <> 'none' THEN 3 ELSE 1 END END"""
+
+
+_NAMES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in families.SHORT.items()) + "}"
+
+
+@query(
+    "family_slots",
+    f"""WITH {BARS}, n AS (SELECT asset, count(*) AS n_bars FROM b GROUP BY asset), t AS ({' UNION ALL '.join(_family_sql(k, v) for k, v in families.FAMILIES.items())}),
+m AS (SELECT *, starts_with(channel, 'hedge') AS online, {_NAMES} AS m FROM t)
+SELECT asset, n_bars, family, concat_ws('-', m[direction], m[channel], m[entry], m[exit], CASE WHEN rf = 'none' THEN 'noreg' ELSE ri || ':' || m[rf] END, CASE WHEN vol_filter THEN 'V' ELSE 'noV' END,
+  CASE WHEN bias_filter = 'sma' THEN 'B' ELSE 'noB' END, CASE WHEN sides <> 'both' THEN m[sides] END) AS template, CAST({_points_sql(False)} AS BIGINT) AS n_points, CAST({_points_sql(True)} AS BIGINT) AS n_points_wide FROM n, m""",
+)
+def family_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = [families.templates(spark, f).select(F.lit(f).alias("family"), "template", families.n_points().alias("n_points"), families.n_points(True).alias("n_points_wide")) for f in families.FAMILIES]
+    rows = every[0]
+    for more in every[1:]:
+        rows = rows.unionByName(more)
+    return families.slots(src.order_bars(spark, sf_dir), rows).select("asset", "n_bars", "family", "template", "n_points", "n_points_wide")
+
+
+@query("family_walk_forward")
+def family_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward of a family's trend templates, each over its own lattice."""
+    rows = families.templates(spark, "quick", direction=("trend",), regime=(("er", "none"),), vol_filter=(False,))
+    return search.summary(*search.walked(src.order_bars(spark, sf_dir), families.lattices(rows), len(families.PARAMETERS), 300, 100, least_trades=2))

@@ -33,9 +33,9 @@ def tables(folder: str):
     return con
 
 
-@pytest.mark.parametrize("folder", [SF, SF.replace("0.001", "0.01")], ids=os.path.basename)
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_query_equals_its_sql(spark, folder, name):
+def test_query_equals_its_sql(spark, name):
+    folder = SF.replace("0.001", "0.01")  # larger than what the others run on: rarer cases occur in it
     assert plain(QUERIES[name](spark, folder).toPandas()) == plain(tables(folder).sql(ORACLE_SQL[name]).df())
 
 
