@@ -457,7 +457,7 @@ def fitted(pages: DataFrame) -> Labeller:
     """A labeller from the sample of ``pages`` and the generated layouts."""
     small = pages.filter(F.length("html") <= SAMPLE_CHARS)
     ids = [r[0] for r in small.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()]
-    rows = small.filter(F.col("page_id").isin(ids)).select("page_id", "html").limit(2 * SAMPLE_PAGES).collect()
+    rows = small.filter(F.col("page_id").isin(ids)).select("page_id", "html").orderBy("page_id", "html").limit(2 * SAMPLE_PAGES).collect()
     known = []
     for r in sorted(rows, key=lambda r: (r["page_id"] or 0, r["html"])):
         leaves = blocks(r["html"])

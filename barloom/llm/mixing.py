@@ -24,8 +24,8 @@ from barloom.llm.native import let, n_words, own_columns, unused
 from barloom.llm.storage import rewritten
 
 SHARE, WEIGHTS, MOST, SEED = 1.5, (5, 2, 1), 2.0, 20240229
-#: Documents to a chunk, and levels of the tree: FAN ** LEVELS documents of a source end in one rounding.
-FAN, LEVELS = 128, 4
+#: Documents to a chunk; the tree has as many levels as the largest source needs to end in one document.
+FAN = 128
 _EPS = 1e-9
 
 
@@ -105,7 +105,7 @@ def copies(docs: DataFrame, seed_columns: tuple[str, ...] = ("doc_id",)) -> Data
 
 def _drawn(sizes: DataFrame) -> DataFrame:
     sizes = rewritten(_numbered(sizes), "numbered")
-    plan = targets(sizes).withColumnRenamed("source", "_s")
+    plan = rewritten(targets(sizes).withColumnRenamed("source", "_s"), "targets")
     rows = sizes.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(wanted + _EPS).cast("double")
@@ -117,13 +117,15 @@ def _drawn(sizes: DataFrame) -> DataFrame:
     units = rows.select(unit.alias("u"), F.pmod(F.shiftrightunsigned("k", 3), chunks).alias("chunk"))
     done = [units.filter("u.p = 0").select("u")]
     todo = units.filter("u.p > 0")
-    for level in range(LEVELS):
+    left = -(-(plan.agg(F.max("n")).first()[0] or 1) // FAN)  # chunks of the largest source
+    while left:
         gathered = todo.groupBy(F.col("u.source").alias("s"), "chunk").agg(F.array_sort(F.collect_list("u")).alias("us"))
         first = F.get("us", F.lit(0))
         start = F.struct(F.when(F.lit(False), first).alias("c"), F.filter("us", lambda _: F.lit(False)).alias("out"))
         folded = rewritten(gathered.select("chunk", F.aggregate("us", start, _pair).alias("f")), "folded")
         done.append(folded.select(F.explode("f.out").alias("u")))
         todo = folded.filter("f.c IS NOT NULL").select(F.col("f.c").alias("u"), F.floor(F.col("chunk") / FAN).cast("long").alias("chunk"))
+        left = -(-left // FAN) if left > 1 else 0
     last = F.when(_uniform(F.col("u.k"), F.lit(-1)) < F.col("u.p"), F.lit(1.0)).otherwise(F.lit(0.0))
     done.append(todo.select(F.col("u").withField("p", last).alias("u")))
     out = done[0]
