@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -170,9 +171,9 @@ def carried_until(trades: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def purged_paths(
-    rets: DataFrame, n_groups: int = 8, n_test: int = 2, embargo: int = 10, key: str = "asset", purge: int = 0, trades: DataFrame | None = None, bounds: DataFrame | None = None
+    rets: DataFrame, n_groups: int = 8, n_test: int = 2, embargo: int = 10, key: str = "asset", purge: int = 0, trades: DataFrame | None = None, bounds: DataFrame | None = None, family: str | None = None
 ) -> DataFrame:
-    """Combinatorial purged cross-validation: path, n, sharpe of each out-of-sample path.
+    """Combinatorial purged cross-validation: family, path, n, sharpe of each out-of-sample path.
 
     In each split the trial with the best training Sharpe (the least key on ties) is taken in the tested groups.
     Training leaves out the tested groups, the last ``purge`` returns before each and the first ``embargo`` after each; with
@@ -184,7 +185,8 @@ def purged_paths(
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
     nth = F.row_number().over(Window.partitionBy(key).orderBy("ts")) - 1
     block = F.floor(nth * n_groups / n).cast("int")
-    put = rets.select(F.col(key).alias("trial"), "ret", block.alias("block"), n.alias("len"), nth.alias("nth"))
+    fam = [family] if family else []  # a trial is of one family
+    put = rets.select(*fam, F.col(key).alias("trial"), "ret", block.alias("block"), n.alias("len"), nth.alias("nth"))
     bound = lambda g: F.ceil(F.lit(1) * g * F.col("len") / n_groups)
     ends = put.select("trial", "len").distinct().withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     ends = ends.select("trial", "g", bound(F.col("g")).alias("lo"), bound(F.col("g") + 1).alias("hi"))
@@ -201,15 +203,15 @@ def purged_paths(
     reach = ends.groupBy("trial").agg(F.collect_list(F.struct("g", (F.col("lo") - purge).alias("a"), F.greatest(F.col("hi") + embargo, F.coalesce(F.col("until") + 1, F.lit(0))).alias("z"))).alias("reach"))
     # the groups whose test bars a return from training, as bits: at most n_groups intervals a trial
     bars_ = F.aggregate("reach", F.lit(0).cast("long"), lambda acc, x: acc + F.when((F.col("nth") >= x["a"]) & (F.col("nth") < x["z"]), F.call_function("shiftleft", F.lit(1).cast("long"), x["g"])).otherwise(F.lit(0).cast("long")))
-    sums = put.join(reach, "trial").withColumn("barred", bars_).groupBy("trial", "block", "barred").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
+    sums = put.join(reach, "trial").withColumn("barred", bars_).groupBy(*fam, "trial", "block", "barred").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
     tested = tested_groups(rets.sparkSession, n_groups, n_test)
     train = sums.join(F.broadcast(tested.select("mask").distinct()), F.expr("mask & barred = 0"))
     mean, more = F.sum("s") / F.sum("n"), F.sum("n") > 1
     var = F.when(more, (F.sum("s2") - F.sum("s") * mean) / (F.sum("n") - 1))
-    scored = train.groupBy("mask", "trial").agg(F.when(var > 0, mean / F.sqrt(var)).when(more, F.lit(0.0)).alias("score")).filter("score IS NOT NULL")
-    best = scored.groupBy("mask").agg(F.min(F.struct((-F.col("score")).alias("x"), F.col("trial"))).alias("b")).select("mask", F.col("b.trial").alias("trial"))
+    scored = train.groupBy(*fam, "mask", "trial").agg(F.when(var > 0, mean / F.sqrt(var)).when(more, F.lit(0.0)).alias("score")).filter("score IS NOT NULL")
+    best = scored.groupBy(*fam, "mask").agg(F.min(F.struct((-F.col("score")).alias("x"), F.col("trial"))).alias("b")).select(*fam, "mask", F.col("b.trial").alias("trial"))
     whole = sums.groupBy("trial", "block").agg(*(F.sum(c).alias(c) for c in ("n", "s", "s2")))
-    paths = tested.join(best, "mask").join(whole, ["trial", "block"]).groupBy("path")
+    paths = tested.join(best, "mask").join(whole, ["trial", "block"]).groupBy(*fam, "path")
     spread = (F.sum("s2") - F.sum("s") * mean) / (F.sum("n") - 1)
     return paths.agg(F.sum("n").alias("n"), F.when(spread > 0, mean / F.sqrt(spread)).otherwise(F.lit(0.0)).alias("sharpe"))
 
@@ -247,38 +249,47 @@ def bootstrap_p(rets: DataFrame, replicates: int = 500, block: float = 20.0, see
     return rows.groupBy("k").applyInPandas(run, "k string, sharpe double, p double").withColumnRenamed("k", key)
 
 
-def reality_check(rets: DataFrame, replicates: int = 500, block: float = 20.0, seed: int = 1, key: str = "asset") -> DataFrame:
-    """best, statistic, p_value: whether the best mean return of a family is more than luck, on jointly resampled stamps.
+def reality_check(rets: DataFrame, replicates: int = 500, block: float = 20.0, seed: int = 1, key: str = "asset", family: str | None = None) -> DataFrame:
+    """family, best, statistic, p_value: whether the best mean return of a family is more than luck, on jointly resampled stamps.
 
     Every series draws the same rows for a replicate, so tasks need one series each: it gives its mean and its excess in every
-    replicate, and the family's maxima are an aggregate. Series have the same stamps; one without a stamp counts 0 there.
+    replicate, and the family's maxima are an aggregate. Series of a family have the same stamps; one without a stamp counts 0 there.
     """
-    stamps = rets.select("ts").distinct().withColumn("nth", F.row_number().over(Window.orderBy("ts")) - 1)
-    n = stamps.count()
+    kind = rets.schema[family].dataType.simpleString() if family else "int"
+    own = rets.withColumn("_f", F.col(family) if family else F.lit(0)).filter("ret IS NOT NULL")
+    stamps = own.select("_f", "ts").distinct()
+    stamps = stamps.withColumns({"nth": F.row_number().over(Window.partitionBy("_f").orderBy("ts")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("_f"))})
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
+        n = int(d["n"].iloc[0])
         x = np.zeros(n)
         x[d["nth"].to_numpy(int)] = d["ret"].to_numpy(float)
         rng = np.random.default_rng(seed)
         mean = x.mean()
         over = [math.sqrt(n) * (x[resampled(n, block, rng)].mean() - mean) for _ in range(replicates)]
-        return pd.DataFrame({"k": d["k"].iloc[0], "mean": mean, "nth": np.arange(replicates), "over": over})
+        return pd.DataFrame({"_f": d["_f"].iloc[0], "k": d["k"].iloc[0], "n": n, "mean": mean, "nth": np.arange(replicates), "over": over})
 
-    rows = rets.filter("ret IS NOT NULL").select(F.col(key).alias("k"), "ts", "ret").join(stamps, "ts")
-    drawn = rows.groupBy("k").applyInPandas(run, "k string, mean double, nth long, over double")
-    tops = drawn.groupBy("nth").agg(F.max("over").alias("over"), F.min(F.struct((-F.col("mean")).alias("m"), F.col("k"))).alias("b"))
-    reached = (F.col("over") >= -F.col("b.m") * math.sqrt(max(n, 1))).cast("double")
-    return tops.agg(F.first("b.k").alias("best"), (-F.first("b.m") * math.sqrt(max(n, 1))).alias("statistic"), F.avg(reached).alias("p_value")).filter("best IS NOT NULL")
+    rows = own.select("_f", F.col(key).alias("k"), "ts", "ret").join(stamps, ["_f", "ts"])
+    drawn = rows.groupBy("_f", "k").applyInPandas(run, f"_f {kind}, k string, n long, mean double, nth long, over double")
+    tops = drawn.groupBy("_f", "nth").agg(F.max("over").alias("over"), F.first("n").alias("n"), F.min(F.struct((-F.col("mean")).alias("m"), F.col("k"))).alias("b"))
+    stat = -F.col("b.m") * F.sqrt(F.col("n").cast("double"))
+    told = tops.withColumn("_s", stat).groupBy("_f").agg(F.first("b.k").alias("best"), F.first("_s").alias("statistic"), F.avg((F.col("over") >= F.col("_s")).cast("double")).alias("p_value"))
+    return told.select(*([F.col("_f").alias(family)] if family else []), "best", "statistic", "p_value")
 
 
-def normal_cdf(z: Column) -> Column:
-    """Share of a standard normal below ``z``, a batch at a time."""
+#: Coefficients of Hart's rational function of the normal tail, from the highest power.
+_TAIL_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_TAIL_BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 
-    @F.pandas_udf("double")
-    def cdf(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None or np.isnan(v) else 0.5 * math.erfc(-v / math.sqrt(2)))
 
-    return cdf(z)
+def normal_cdf(z: Column) -> Column:
+    """Share of a standard normal below ``z``, to about 1e-15; null for null and NaN."""
+    x = F.least(F.abs(z), F.lit(38.0))
+    level = F.exp(-x * x / 2)
+    power = lambda parts: reduce(lambda a, c: a * x + c, map(F.lit, parts[1:]), F.lit(parts[0]))
+    far = reduce(lambda a, k: x + k / a, (4.0, 3.0, 2.0, 1.0), x + 0.65)
+    tail = F.when(x < 7.07106781186547, level * power(_TAIL_ABOVE) / power(_TAIL_BELOW)).otherwise(level / far / math.sqrt(2 * math.pi))
+    return F.when(~F.isnan(z), F.when(z > 0, 1 - tail).otherwise(tail))
 
 
 def expected_max_sharpe(trials: int) -> float:

@@ -93,37 +93,45 @@ def _matrices(d: pd.DataFrame, names: list[str], column: str) -> np.ndarray:
     return out
 
 
-def pairs(rets: DataFrame, key: str = "asset") -> DataFrame:
-    """a <= b, corr, cov on shared stamps, each series with itself included."""
-    a, b = (rets.select("ts", F.col(key).alias(x), F.col("ret").alias(f"r{x}")) for x in "ab")
-    return a.join(b, "ts").filter("a <= b").groupBy("a", "b").agg(correlation("ra", "rb").alias("corr"), F.covar_samp("ra", "rb").alias("cov"))
+def pairs(rets: DataFrame, key: str = "asset", family: str | None = None) -> DataFrame:
+    """family, a <= b, corr, cov on shared stamps of each pair of a family's series, each with itself included."""
+    own = [family] if family else []
+    a, b = (rets.select(*own, "ts", F.col(key).alias(x), F.col("ret").alias(f"r{x}")) for x in "ab")
+    return a.join(b, [*own, "ts"]).filter("a <= b").groupBy(*own, "a", "b").agg(correlation("ra", "rb").alias("corr"), F.covar_samp("ra", "rb").alias("cov"))
 
 
-def hrp_weights(rets: DataFrame, key: str = "asset") -> DataFrame:
-    """series, weight."""
+def _by_family(rows: DataFrame, family: str | None, column: str, of) -> DataFrame:
+    """series and ``of(their matrix)`` of each family: a matrix of its series by its series is a group."""
+    own = f"{family} {rows.schema[family].dataType.simpleString()}, " if family else ""
+    name, kind = column.split()
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(d["a"]) | set(d["b"]))
-        return pd.DataFrame({"series": names, "weight": hrp(_matrices(d, names, "cov"))})
+        out = pd.DataFrame({"series": names, name: of(d, names)})
+        if family:
+            out[family] = d[family].iloc[0]
+        return out
 
-    return pairs(rets, key).groupBy().applyInPandas(run, "series string, weight double")
+    return rows.groupBy(*([family] if family else [])).applyInPandas(run, f"{own}series string, {name} {kind}")
 
 
-def effective_trials(rets: DataFrame, key: str = "asset") -> DataFrame:
-    """series, cluster, n_eff, var_sharpe: clusters of alike series, their number, and the variance of the clusters' Sharpe ratios.
+def hrp_weights(rets: DataFrame, key: str = "asset", family: str | None = None) -> DataFrame:
+    """family, series, weight."""
+    return _by_family(pairs(rets, key, family), family, "weight double", lambda d, names: hrp(_matrices(d, names, "cov")))
 
-    A cluster's return is the mean of its series on each stamp.
-    """
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(d["a"]) | set(d["b"]))
-        return pd.DataFrame({"series": names, "cluster": clusters(_matrices(d, names, "corr"))})
+def effective_trials(rets: DataFrame, key: str = "asset", family: str | None = None) -> DataFrame:
+    """family, series, cluster, n_eff, var_sharpe: clusters of alike series, their number, and the variance of the clusters' Sharpe ratios.
 
-    labels = pairs(rets, key).groupBy().applyInPandas(run, "series string, cluster int")
-    means = rets.join(labels, rets[key] == labels["series"]).groupBy("cluster", "ts").agg(F.avg("ret").alias("ret"))
+    A cluster's return is the mean of its series on each stamp.
+    """
+    own = [family] if family else []
+    labels = _by_family(pairs(rets, key, family), family, "cluster int", lambda d, names: clusters(_matrices(d, names, "corr")))
+    series = rets.select(*own, "ts", F.col(key).cast("string").alias("series"), "ret")
+    means = series.join(labels, [*own, "series"]).groupBy(*own, "cluster", "ts").agg(F.avg("ret").alias("ret"))
     ratio = F.coalesce(F.try_divide(F.avg("ret"), F.nullif(F.stddev_samp("ret"), F.lit(0.0))), F.lit(0.0))
-    told = means.groupBy("cluster").agg(ratio.alias("s")).agg(F.count("s").alias("n_eff"), F.coalesce(F.var_samp("s"), F.lit(0.0)).alias("var_sharpe"))
-    return labels.crossJoin(F.broadcast(told))  # one row
+    told = means.groupBy(*own, "cluster").agg(ratio.alias("s")).groupBy(*own).agg(F.count("s").alias("n_eff"), F.coalesce(F.var_samp("s"), F.lit(0.0)).alias("var_sharpe"))
+    return labels.join(F.broadcast(told), own) if own else labels.crossJoin(F.broadcast(told))  # a row a family
 
 
 def trade_runs(rets: DataFrame, key: str = "asset") -> DataFrame:

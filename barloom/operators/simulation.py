@@ -544,6 +544,7 @@ SCHEMAS = {
     "trades": "trade_no long, entry_idx long, exit_idx long, side int, entry_price double, exit_price double, units double, pnl double, cost double, reason string",
     "all_trades": "entry_idx long, exit_idx long, side int, entry_price double, exit_price double, units double, pnl double, cost double, reason string, closed boolean",
     "states": "position int, units double, entry_price double, entry_idx long, stop double, target double, atr double, equity double, unrealized double",
+    "blocked": "reason string, value double, low double, high double",
     "next_orders": "kind string, side int, level double, shares double, detail_text string",
     "orders": "bar_idx long, seq long, kind string, side int, detail int, detail_text string, level double, qty double, aux double",
 }
@@ -637,6 +638,28 @@ def next_orders(bars: pd.DataFrame, plans: pd.DataFrame, account: Account, first
     return working(lanes, run, bars, firsts, ids)
 
 
+def blocked(bars: pd.DataFrame, plans: pd.DataFrame, account: Account, ids: np.ndarray) -> pd.DataFrame:
+    """Which filters bar entries on the bar after the last: the value that was read and the bounds it is outside of."""
+    lanes = Lanes(plans, account)
+    n, out = len(bars), []
+    if not n:
+        return pd.DataFrame({"trial_id": ids, "reason": "not_formed", "value": np.nan, "low": np.nan, "high": np.nan})
+    x = Inputs([bars], lanes.plans, np.zeros(lanes.m, int), account)
+    vol, atr, regime, rank = (x.at(c, n - 1) for c in ("vol", "atr", "regime", "rank"))
+    formed = x.ready[n - 1] & (atr > 0) & ((lanes.aim <= 0) | (vol > 0))
+    low = np.where(lanes.trend_only, lanes.threshold, -np.inf)
+    high = np.where(lanes.range_only, lanes.threshold, np.inf)
+    tests = [
+        ("not_formed", ~formed, np.full(lanes.m, np.nan), np.full(lanes.m, np.nan), np.full(lanes.m, np.nan)),
+        ("regime", formed & (lanes.trend_only & ~(regime >= low) | lanes.range_only & (regime >= high)), regime, low, high),
+        ("volatility", formed & lanes.ranked & ~((rank >= lanes.vol_low) & (rank <= lanes.vol_high)), rank, lanes.vol_low, lanes.vol_high),
+    ]
+    for reason, who, value, a, b in tests:
+        k = np.flatnonzero(who)
+        out.append(pd.DataFrame({"trial_id": ids[k], "reason": reason, "value": value[k], "low": a[k], "high": b[k]}))
+    return pd.concat([t for t in out if len(t)] or out[:1], ignore_index=True)
+
+
 def working(lanes: Lanes, run: Run, bars: pd.DataFrame, first: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     """What lanes that stand after ``bars`` have working on a bar whose prices are not known yet; the lanes stay as they are."""
     unknown = pd.DataFrame({c: [np.nan] for c in ("open", "high", "low", "close")})
@@ -665,6 +688,8 @@ def _run_group(output: str, b: pd.DataFrame, p: pd.DataFrame, account: Account,
     ids = p["trial_id"].to_numpy(int)
     if output == "next_orders":
         return next_orders(b.reset_index(drop=True), p, account, first, ids)
+    if output == "blocked":
+        return blocked(b.reset_index(drop=True), p, account, ids)
     return _frame(output, simulate(b, p, account, first, output == "orders"), account, first, ids, b["bar_idx"].to_numpy(int), b)
 
 
@@ -755,10 +780,14 @@ def windowed(bars: DataFrame, spans: DataFrame, plans: DataFrame, warm: int, out
         series = [b.iloc[x:y].reset_index(drop=True) for x, y in zip(low, high, strict=True)]
         of = np.searchsorted(windows["window_id"].to_numpy(), p["window_id"].to_numpy())
         firsts = (start - low).tolist()
-        runs = side_by_side(series, p, of, account, firsts, output == "orders")
+        last = output in ("next_orders", "blocked")  # what is read after a span's last bar: a series at a time
+        runs = [None] * len(series) if last else side_by_side(series, p, of, account, firsts, output == "orders")
         parts = []
         for k, (own_run, s) in enumerate(zip(runs, series, strict=True)):
-            got = _frame(output, own_run, account, firsts[k], p["trial_id"].to_numpy(int)[of == k], s["bar_idx"].to_numpy(int), s)
+            if last:
+                got = _run_group(output, s, p[of == k].reset_index(drop=True), account, firsts[k])
+            else:
+                got = _frame(output, own_run, account, firsts[k], p["trial_id"].to_numpy(int)[of == k], s["bar_idx"].to_numpy(int), s)
             got.insert(0, "asset", key[0])
             got.insert(1, "window_id", int(windows["window_id"].iloc[k]))
             parts.append(got)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import indicators as ind
-from barloom.operators import backtest, book, calendar, families, ladders, metrics, nested, runs, search, simulation
+from barloom.operators import backtest, book, calendar, diagnostics, families, ladders, metrics, nested, runs, search, signals, simulation
 from barloom.plans import research
-from barloom.plans.queries import BARS, RETS, SPELLS, _stances, query, r
+from barloom.plans.queries import BARS, RETS, SPELLS, STANCE, _stances, query, r
 from barloom.sources import bars as src
 from barloom.sources import spreads, stored
 from barloom.streaming.slots import streamed_slots
@@ -72,6 +72,53 @@ def run_order_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.order_lives(_run(spark, sf_dir), "nested").drop("rank")
 
 
+@query("run_diagnostics")
+def run_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run(spark, sf_dir)
+    trials = stored.kept(diagnostics.trial_returns(run))
+    told = diagnostics.family_diagnostics(run, 100, trials)
+    return book.verdict(diagnostics.verdict_inputs(run, told, diagnostics.finalist_paths(run, trials=trials)))
+
+
+@query("run_signals")
+def run_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next orders of the templates that the static portfolio holds, fitted on the last window."""
+    run = _run(spark, sf_dir)
+    held = run.holdings.filter("target = 'static'").select("asset", "template", "weight")
+    slots = stored.kept(held.join(signals.refitted(run.bars, run.plans, 2, 150, least_trades=1), ["asset", "template"]))
+    return signals.slot_orders(run.bars, run.plans, slots, run.warm)
+
+
+@query("filters_on_last_bar")
+def filters_on_last_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = families.templates(spark, "quick").select(F.col("number").cast("int").alias("trial_id"), *families.COLUMNS)
+    return simulation.simulated(src.order_bars(spark, sf_dir), plans, "blocked")
+
+
+@query("committee_comparison")
+def committee_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed share against discounting on the plain ladder: flips of the direction and the paired Sharpe."""
+    bars = src.order_bars(spark, sf_dir)
+    one, two = (stored.kept(ladders.committee(bars, sharing=s)) for s in (True, False))
+    made = [diagnostics.committee_returns(bars, d.select("asset", "bar_idx", F.col("position").alias("level")), first=300) for d in (one, two)]
+    flips = diagnostics.direction_flips(ladders.told(one).select("asset", "bar_idx", F.col("net").alias("level")), 300)
+    return diagnostics.paired_sharpe(*made).join(flips, "asset")
+
+
+@query(
+    "paired_sharpe",
+    f"""WITH {STANCE}, p AS (SELECT asset, bar_idx, close, stance, lag(stance) OVER w AS s1, lag(close) OVER w AS c1, avg(stance) OVER (PARTITION BY asset ORDER BY bar_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m FROM st WINDOW w AS (PARTITION BY asset ORDER BY bar_idx)),
+q AS (SELECT *, lag(m) OVER (PARTITION BY asset ORDER BY bar_idx) AS m1 FROM p),
+x AS (SELECT asset, bar_idx, coalesce(s1 * (close / c1 - 1) - 0.0005 * abs(stance - s1), 0) AS a, coalesce(m1 * (close / c1 - 1) - 0.0005 * abs(m - m1), 0) AS b FROM q),
+k AS (SELECT asset, count(*) AS n, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r FROM x GROUP BY asset)
+SELECT asset, n, {r("ma / sa", "sharpe_a")}, {r("mb / sb", "sharpe_b")}, {r("(ma / sa - mb / sb) / sqrt(2 - 2 * r) * sqrt(n)", "t")} FROM k""",
+)
+def paired_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _stances(spark, sf_dir)
+    levels = s.select("asset", "bar_idx", F.col("stance").cast("double").alias("level")), s.select("asset", "bar_idx", F.avg("stance").over(ind.back(10)).alias("level"))
+    return diagnostics.paired_sharpe(*(diagnostics.committee_returns(s, x) for x in levels))
+
+
 #: Windows of 50 bars from bar 150 on as if each series were a template; their totals come from its returns over a thousand.
 WINS = (
     RETS

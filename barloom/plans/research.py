@@ -70,8 +70,8 @@ def trial_deflated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("trial_reality_check")
 def trial_reality_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rets = _trial_returns(spark, sf_dir).filter("asset = '1-URGENT'")
-    return backtest.reality_check(rets.select(F.col("trial_id").cast("string").alias("asset"), F.col("bar_idx").alias("ts"), "ret"), 200)
+    rets = _trial_returns(spark, sf_dir).select("asset", F.col("trial_id").cast("string").alias("trial"), F.col("bar_idx").alias("ts"), "ret")
+    return backtest.reality_check(rets, 200, key="trial", family="asset")
 
 
 _CDF = "0.5 + {z} / 3000 * list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow({z} * i / 1000, 2) / 2) / sqrt(2 * pi())))"
