@@ -137,3 +137,94 @@ def keltner(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.operators import recursive
 
     return recursive.keltner(src.order_bars(spark, sf_dir), 20, 2.0, 14)
+
+
+#: Steps of one bar of a plan that follows breaks of a 40-bar channel, as columns added one layer after another; an exit comes first,
+#: then an entry, then the entry bar's own stop and target. x is the plan's exit.
+_STEP = (
+    {"ok": "up IS NOT NULL AND lo IS NOT NULL AND atr > 0 AND NOT dead", "held": "side <> 0 AND NOT dead"},
+    {"a": "CASE WHEN coalesce(ok, false) THEN atr ELSE last END", "late": "held AND x = 'time_stop' AND i - since >= 20", "opp": "CASE WHEN side > 0 THEN lx ELSE ux END"},
+    {"lev1": "CASE WHEN x = 'atr_trail' AND side * ((ext - side * 3 * a) - stop) > 0 THEN ext - side * 3 * a ELSE stop END"},
+    {"lev": "CASE WHEN x = 'channel' AND side * (opp - lev1) > 0 THEN opp ELSE lev1 END", "rest": "held AND NOT late", "aims": "held AND x = 'target_stop'"},
+    {"gapped": "rest AND side * (o - lev) <= 0"},
+    {"gained": "aims AND NOT gapped AND side * (o - goal) >= 0"},
+    {"struck": "rest AND NOT gapped AND NOT gained AND CASE WHEN side > 0 THEN l <= lev ELSE h >= lev END"},
+    {"reached": "aims AND NOT gapped AND NOT gained AND NOT struck AND CASE WHEN side > 0 THEN h >= goal ELSE l <= goal END"},
+    {"left1": "late OR gapped OR gained OR struck OR reached", "at1": "CASE WHEN struck THEN lev WHEN reached THEN goal ELSE o END"},
+    {"made1": "CASE WHEN left1 THEN side * units * (at1 - entry) - 0.0005 * units * abs(at1) ELSE 0 END"},
+    {
+        "cash1": "cash + made1", "side1": "CASE WHEN left1 THEN 0 ELSE side END",
+        "ext1": "CASE WHEN held AND NOT left1 AND x = 'atr_trail' THEN CASE WHEN side > 0 THEN greatest(ext, h) ELSE least(ext, l) END ELSE ext END",
+    },
+    {"fresh": "coalesce(ok, false) AND NOT left1 AND side1 = 0"},
+    {"turn": "CASE WHEN fresh AND h >= up AND NOT (o <= lo AND o < up AND l <= lo) THEN 1 WHEN fresh AND l <= lo THEN -1 ELSE 0 END"},
+    {"at2": "CASE turn WHEN 1 THEN greatest(o, up) WHEN -1 THEN least(o, lo) END"},
+    {"qty": "CASE WHEN turn <> 0 THEN least(cash1 * 0.01 / (3 * a), 2 * cash1 / abs(at2)) ELSE 0 END"},
+    {"opens": "turn <> 0 AND qty > 0"},
+    {
+        "fee": "CASE WHEN opens THEN 0.0005 * qty * abs(at2) ELSE paid END", "side2": "CASE WHEN opens THEN turn ELSE side1 END", "units2": "CASE WHEN opens THEN qty ELSE units END",
+        "entry2": "CASE WHEN opens THEN at2 ELSE entry END", "stop2": "CASE WHEN opens THEN at2 - turn * 3 * a ELSE stop END", "goal2": "CASE WHEN opens THEN at2 + turn * 4 * a ELSE goal END",
+        "since2": "CASE WHEN opens THEN i ELSE since END", "cash2": "cash1 - CASE WHEN opens THEN 0.0005 * qty * abs(at2) ELSE 0 END",
+    },
+    {"opp2": "CASE WHEN side2 > 0 THEN lx ELSE ux END"},
+    {"lev2": "CASE WHEN x = 'channel' AND side2 * (opp2 - stop2) > 0 THEN opp2 ELSE stop2 END"},
+    {"thru": "opens AND side2 * (at2 - lev2) <= 0"},
+    {"struck2": "opens AND NOT thru AND CASE WHEN side2 > 0 THEN l <= lev2 ELSE h >= lev2 END"},
+    {"reached2": "opens AND x = 'target_stop' AND NOT thru AND NOT struck2 AND CASE WHEN side2 > 0 THEN h >= goal2 ELSE l <= goal2 END"},
+    {"left2": "thru OR struck2 OR reached2", "at3": "CASE WHEN struck2 THEN lev2 WHEN reached2 THEN goal2 ELSE at2 END"},
+    {"made2": "CASE WHEN left2 THEN side2 * units2 * (at3 - entry2) - 0.0005 * units2 * abs(at3) ELSE 0 END"},
+    {
+        "cash3": "cash2 + made2", "side3": "CASE WHEN left2 THEN 0 ELSE side2 END",
+        "ext3": "CASE WHEN opens THEN CASE WHEN x = 'atr_trail' AND NOT left2 THEN CASE WHEN side2 > 0 THEN greatest(at2, h) ELSE least(at2, l) END ELSE at2 END ELSE ext1 END",
+    },
+    {"worth": "cash3 + CASE WHEN side3 <> 0 THEN side3 * units2 * (c - entry2) ELSE 0 END"},
+    {"die": "NOT dead AND worth <= 0"},
+    {"made3": "CASE WHEN die AND side3 <> 0 THEN side3 * units2 * (c - entry2) - 0.0005 * units2 * abs(c) ELSE 0 END"},
+)
+_STATE = (
+    ("cash", "cash3 + made3"), ("side", "CASE WHEN die THEN 0 ELSE side3 END"), ("units", "units2"), ("paid", "fee"), ("entry", "entry2"), ("stop", "stop2"), ("goal", "goal2"), ("ext", "ext3"), ("last", "a"),
+    ("since", "since2"), ("dead", "dead OR die"), ("equity", "CASE WHEN die THEN cash3 + made3 ELSE worth END"), ("ended", "left1 OR left2 OR (die AND side3 <> 0)"), ("t_entry", "CASE WHEN left1 THEN since ELSE since2 END"),
+    ("t_side", "CASE WHEN left1 THEN side ELSE side2 END"), ("t_from", "CASE WHEN left1 THEN entry ELSE entry2 END"), ("t_to", "CASE WHEN left1 THEN at1 WHEN left2 THEN at3 ELSE c END"),
+    ("t_units", "CASE WHEN left1 THEN units ELSE units2 END"), ("t_pnl", "CASE WHEN left1 THEN made1 - paid WHEN left2 THEN made2 - fee ELSE made3 - fee END"),
+)
+
+
+def _loop_sql() -> str:
+    names = [n for n, _ in _STATE]
+    step = f"(SELECT e.asset, e.trial_id, e.x, v.bar_idx AS i, o, h, l, c, up, lo, atr, ux, lx, {', '.join(f'e.{n}' for n in names[:11])} FROM e JOIN v ON v.asset = e.asset AND v.bar_idx = e.i + 1)"
+    for layer in _STEP:
+        step = f"(SELECT *, {', '.join(f'{expr} AS {name}' for name, expr in layer.items())} FROM {step})"
+    zero = {"cash": "100000.0::DOUBLE", "equity": "100000.0::DOUBLE", "since": "-1::BIGINT", "dead": "false", "ended": "false", "t_entry": "0::BIGINT", "side": "0", "t_side": "0"}
+    return f"""WITH RECURSIVE {BARS},
+t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER p), abs(low - lag(close) OVER p)) AS tr FROM b WINDOW p AS (PARTITION BY asset ORDER BY ts)),
+w AS (SELECT *, CASE WHEN bar_idx >= 39 THEN max(high) OVER w40 END AS up0, CASE WHEN bar_idx >= 39 THEN min(low) OVER w40 END AS lo0, CASE WHEN bar_idx >= 19 THEN max(high) OVER w20 END AS ux0,
+  CASE WHEN bar_idx >= 19 THEN min(low) OVER w20 END AS lx0, CASE WHEN bar_idx >= 19 THEN avg(tr) OVER w20 END AS atr0 FROM t
+  WINDOW w40 AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), w20 AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+v AS MATERIALIZED (SELECT asset, bar_idx, open AS o, high AS h, low AS l, close AS c, lag(up0) OVER p AS up, lag(lo0) OVER p AS lo, lag(atr0) OVER p AS atr, lag(ux0) OVER p AS ux, lag(lx0) OVER p AS lx FROM w WINDOW p AS (PARTITION BY asset ORDER BY ts)),
+e AS (SELECT asset, trial_id, x, 0::BIGINT AS i, {', '.join(f"{zero.get(n, '0.0::DOUBLE')} AS {n}" for n in names)} FROM v, (VALUES (0, 'channel'), (1, 'atr_trail'), (2, 'target_stop'), (3, 'time_stop')) plans(trial_id, x) WHERE bar_idx = 0
+  UNION ALL SELECT asset, trial_id, x, i, {', '.join(f'{expr} AS {name}' for name, expr in _STATE)} FROM {step})"""
+
+
+def _exits(spark: SparkSession) -> DataFrame:
+    return plans(spark, {"exit": SHOWN["exit"]})
+
+
+@query(
+    "breakout_trades",
+    f"""{_loop_sql()} SELECT asset, trial_id, t_entry AS entry_idx, i AS exit_idx, CAST(t_side AS INT) AS side, {r("t_from", "entry_price")}, {r("t_to", "exit_price")}, {r("t_units", "units")}, {r("t_pnl", "pnl")} FROM e WHERE ended""",
+)
+def breakout_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simulation.simulated(src.order_bars(spark, sf_dir), _exits(spark), "trades")
+    return rows.select("asset", "trial_id", "entry_idx", "exit_idx", "side", "entry_price", "exit_price", "units", "pnl")
+
+
+@query(
+    "breakout_totals",
+    f"""{_loop_sql()}, k AS (SELECT *, lag(equity) OVER (PARTITION BY asset, trial_id ORDER BY i) AS q FROM e),
+y AS (SELECT *, CASE WHEN q > 0 THEN equity / q - 1 ELSE 0 END AS ret, max(equity) OVER (PARTITION BY asset, trial_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS peak FROM k)
+SELECT asset, trial_id, {r("arg_max(equity, i)", "final")}, {r("avg(ret) FILTER (i > 0) / stddev_samp(ret) FILTER (i > 0) * sqrt(252)", "sharpe")}, {r("min(equity / peak - 1)", "max_dd")}, count(*) FILTER (ended) AS n_trades,
+  count(*) FILTER (ended AND t_pnl > 0) AS n_wins, {r("coalesce(sum(t_pnl) FILTER (ended AND t_pnl > 0), 0)", "gain")}, {r("coalesce(-sum(t_pnl) FILTER (ended AND t_pnl <= 0), 0)", "loss")}, count(*) AS n_bars FROM y GROUP BY 1, 2""",
+)
+def breakout_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simulation.simulated(src.order_bars(spark, sf_dir), _exits(spark))
+    return rows.select("asset", "trial_id", "final", "sharpe", "max_dd", "n_trades", "n_wins", "gain", "loss", "n_bars")
