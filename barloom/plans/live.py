@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions import indicators as ind
 from barloom.operators import backtest, book, calendar, diagnostics, families, ladders, metrics, nested, runs, search, signals, simulation
 from barloom.plans import research
-from barloom.plans.queries import BARS, RETS, SPELLS, STANCE, _stances, query, r
+from barloom.plans.queries import BARS, ORACLE_SQL, RETS, SPELLS, STANCE, _stances, query, r
 from barloom.sources import bars as src
 from barloom.sources import spreads, stored
 from barloom.streaming.slots import streamed_slots
@@ -34,10 +34,11 @@ def drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@query("streamed_trades")
+@query("streamed_trades", ORACLE_SQL["breakout_trades"])
 def streamed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = research._few(spark).toPandas()
-    return drained(streamed_slots(fed(src.order_bars(spark, sf_dir)), plans, output="trades"))
+    """What the batch gives, in micro-batches with a state between them."""
+    rows = drained(streamed_slots(fed(src.order_bars(spark, sf_dir)), research._exits(spark).toPandas(), output="trades"))
+    return rows.select("asset", "trial_id", "entry_idx", "exit_idx", "side", "entry_price", "exit_price", "units", "pnl")
 
 
 def _templates(spark: SparkSession) -> DataFrame:

@@ -156,14 +156,14 @@ _STEP = (
         "cash1": "cash + made1", "side1": "CASE WHEN left1 THEN 0 ELSE side END",
         "ext1": "CASE WHEN held AND NOT left1 AND x = 'atr_trail' THEN CASE WHEN side > 0 THEN greatest(ext, h) ELSE least(ext, l) END ELSE ext END",
     },
-    {"fresh": "coalesce(ok, false) AND NOT left1 AND side1 = 0"},
+    {"fresh": "coalesce(ok, false) AND NOT left1 AND side1 = 0 AND i >= first"},
     {"turn": "CASE WHEN fresh AND h >= up AND NOT (o <= lo AND o < up AND l <= lo) THEN 1 WHEN fresh AND l <= lo THEN -1 ELSE 0 END"},
     {"at2": "CASE turn WHEN 1 THEN greatest(o, up) WHEN -1 THEN least(o, lo) END"},
-    {"qty": "CASE WHEN turn <> 0 THEN least(cash1 * 0.01 / (3 * a), 2 * cash1 / abs(at2)) ELSE 0 END"},
+    {"qty": "CASE WHEN turn <> 0 THEN least(cash1 * 0.01 / (m * a), 2 * cash1 / abs(at2)) ELSE 0 END"},
     {"opens": "turn <> 0 AND qty > 0"},
     {
         "fee": "CASE WHEN opens THEN 0.0005 * qty * abs(at2) ELSE paid END", "side2": "CASE WHEN opens THEN turn ELSE side1 END", "units2": "CASE WHEN opens THEN qty ELSE units END",
-        "entry2": "CASE WHEN opens THEN at2 ELSE entry END", "stop2": "CASE WHEN opens THEN at2 - turn * 3 * a ELSE stop END", "goal2": "CASE WHEN opens THEN at2 + turn * 4 * a ELSE goal END",
+        "entry2": "CASE WHEN opens THEN at2 ELSE entry END", "stop2": "CASE WHEN opens THEN at2 - turn * m * a ELSE stop END", "goal2": "CASE WHEN opens THEN at2 + turn * 4 * a ELSE goal END",
         "since2": "CASE WHEN opens THEN i ELSE since END", "cash2": "cash1 - CASE WHEN opens THEN 0.0005 * qty * abs(at2) ELSE 0 END",
     },
     {"opp2": "CASE WHEN side2 > 0 THEN lx ELSE ux END"},
@@ -189,20 +189,31 @@ _STATE = (
 )
 
 
-def _loop_sql() -> str:
-    names = [n for n, _ in _STATE]
-    step = f"(SELECT e.asset, e.trial_id, e.x, v.bar_idx AS i, o, h, l, c, up, lo, atr, ux, lx, {', '.join(f'e.{n}' for n in names[:11])} FROM e JOIN v ON v.asset = e.asset AND v.bar_idx = e.i + 1)"
+#: Bars, range and channels of the bar before each bar, for the lengths that lanes use.
+_SPANS = (10, 20, 40, 80)
+_SEEN = f"""{BARS},
+t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER p), abs(low - lag(close) OVER p)) AS tr FROM b WINDOW p AS (PARTITION BY asset ORDER BY ts)),
+w AS (SELECT *, {", ".join(f"CASE WHEN bar_idx >= {n - 1} THEN max(high) OVER w{n} END AS u{n}, CASE WHEN bar_idx >= {n - 1} THEN min(low) OVER w{n} END AS l{n}" for n in _SPANS)}, CASE WHEN bar_idx >= 19 THEN avg(tr) OVER w20 END AS atr0 FROM t
+  WINDOW {", ".join(f"w{n} AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in _SPANS)}),
+v AS MATERIALIZED (SELECT asset, bar_idx, open AS o, high AS h, low AS l, close AS c, lag(atr0) OVER p AS atr, {", ".join(f"lag({s}{n}) OVER p AS {s}{n}" for n in _SPANS for s in "ul")} FROM w WINDOW p AS (PARTITION BY asset ORDER BY ts))"""
+_OF = lambda side, column: "CASE e." + column + "".join(f" WHEN {n} THEN v.{side}{n}" for n in _SPANS) + " END"
+
+
+def _loop_sql(name: str, lanes: str) -> str:
+    """A recursive table of every bar of lanes (asset, lane, trial_id, x, n, nx, m, low, first, stop), which start flat at ``low`` and trade from ``first`` on."""
+    names, keys = [n for n, _ in _STATE], ("asset", "lane", "trial_id", "x", "n", "nx", "m", "first", "stop_at")
+    step = f"""(SELECT {", ".join(f"e.{k}" for k in keys)}, v.bar_idx AS i, o, h, l, c, {_OF("u", "n")} AS up, {_OF("l", "n")} AS lo, atr, {_OF("u", "nx")} AS ux, {_OF("l", "nx")} AS lx, {", ".join(f"e.{n}" for n in names[:11])}
+    FROM {name} e JOIN v ON v.asset = e.asset AND v.bar_idx = e.i + 1 AND e.i + 1 < e.stop_at)"""
     for layer in _STEP:
-        step = f"(SELECT *, {', '.join(f'{expr} AS {name}' for name, expr in layer.items())} FROM {step})"
+        step = f"(SELECT *, {', '.join(f'{expr} AS {column}' for column, expr in layer.items())} FROM {step})"
     zero = {"cash": "100000.0::DOUBLE", "equity": "100000.0::DOUBLE", "since": "-1::BIGINT", "dead": "false", "ended": "false", "t_entry": "0::BIGINT", "side": "0", "t_side": "0"}
-    return f"""WITH RECURSIVE {BARS},
-t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER p), abs(low - lag(close) OVER p)) AS tr FROM b WINDOW p AS (PARTITION BY asset ORDER BY ts)),
-w AS (SELECT *, CASE WHEN bar_idx >= 39 THEN max(high) OVER w40 END AS up0, CASE WHEN bar_idx >= 39 THEN min(low) OVER w40 END AS lo0, CASE WHEN bar_idx >= 19 THEN max(high) OVER w20 END AS ux0,
-  CASE WHEN bar_idx >= 19 THEN min(low) OVER w20 END AS lx0, CASE WHEN bar_idx >= 19 THEN avg(tr) OVER w20 END AS atr0 FROM t
-  WINDOW w40 AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), w20 AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-v AS MATERIALIZED (SELECT asset, bar_idx, open AS o, high AS h, low AS l, close AS c, lag(up0) OVER p AS up, lag(lo0) OVER p AS lo, lag(atr0) OVER p AS atr, lag(ux0) OVER p AS ux, lag(lx0) OVER p AS lx FROM w WINDOW p AS (PARTITION BY asset ORDER BY ts)),
-e AS (SELECT asset, trial_id, x, 0::BIGINT AS i, {', '.join(f"{zero.get(n, '0.0::DOUBLE')} AS {n}" for n in names)} FROM v, (VALUES (0, 'channel'), (1, 'atr_trail'), (2, 'target_stop'), (3, 'time_stop')) plans(trial_id, x) WHERE bar_idx = 0
-  UNION ALL SELECT asset, trial_id, x, i, {', '.join(f'{expr} AS {name}' for name, expr in _STATE)} FROM {step})"""
+    return f"""{name} AS (SELECT asset, lane, trial_id, x, n, nx, m, first, stop_at, low AS i, {', '.join(f"{zero.get(n, '0.0::DOUBLE')} AS {n}" for n in names)} FROM ({lanes})
+  UNION ALL SELECT {", ".join(keys)}, i, {', '.join(f'{expr} AS {column}' for column, expr in _STATE)} FROM {step})"""
+
+
+#: The four exits of a 40-bar breakout over the whole series.
+_WHOLE = f"""WITH RECURSIVE {_SEEN}, {_loop_sql("e", """SELECT asset, 0 AS lane, trial_id, x, 40 AS n, 20 AS nx, 3.0::DOUBLE AS m, 0::BIGINT AS low, 0 AS first, max(bar_idx) + 1 AS stop_at
+  FROM v, (VALUES (0, 'channel'), (1, 'atr_trail'), (2, 'target_stop'), (3, 'time_stop')) plans(trial_id, x) GROUP BY ALL""")}"""
 
 
 def _exits(spark: SparkSession) -> DataFrame:
@@ -211,7 +222,7 @@ def _exits(spark: SparkSession) -> DataFrame:
 
 @query(
     "breakout_trades",
-    f"""{_loop_sql()} SELECT asset, trial_id, t_entry AS entry_idx, i AS exit_idx, CAST(t_side AS INT) AS side, {r("t_from", "entry_price")}, {r("t_to", "exit_price")}, {r("t_units", "units")}, {r("t_pnl", "pnl")} FROM e WHERE ended""",
+    f"""{_WHOLE} SELECT asset, trial_id, t_entry AS entry_idx, i AS exit_idx, CAST(t_side AS INT) AS side, {r("t_from", "entry_price")}, {r("t_to", "exit_price")}, {r("t_units", "units")}, {r("t_pnl", "pnl")} FROM e WHERE ended""",
 )
 def breakout_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simulation.simulated(src.order_bars(spark, sf_dir), _exits(spark), "trades")
@@ -220,7 +231,7 @@ def breakout_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "breakout_totals",
-    f"""{_loop_sql()}, k AS (SELECT *, lag(equity) OVER (PARTITION BY asset, trial_id ORDER BY i) AS q FROM e),
+    f"""{_WHOLE}, k AS (SELECT *, lag(equity) OVER (PARTITION BY asset, trial_id ORDER BY i) AS q FROM e),
 y AS (SELECT *, CASE WHEN q > 0 THEN equity / q - 1 ELSE 0 END AS ret, max(equity) OVER (PARTITION BY asset, trial_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS peak FROM k)
 SELECT asset, trial_id, {r("arg_max(equity, i)", "final")}, {r("avg(ret) FILTER (i > 0) / stddev_samp(ret) FILTER (i > 0) * sqrt(252)", "sharpe")}, {r("min(equity / peak - 1)", "max_dd")}, count(*) FILTER (ended) AS n_trades,
   count(*) FILTER (ended AND t_pnl > 0) AS n_wins, {r("coalesce(sum(t_pnl) FILTER (ended AND t_pnl > 0), 0)", "gain")}, {r("coalesce(-sum(t_pnl) FILTER (ended AND t_pnl <= 0), 0)", "loss")}, count(*) AS n_bars FROM y GROUP BY 1, 2""",
@@ -228,3 +239,65 @@ SELECT asset, trial_id, {r("arg_max(equity, i)", "final")}, {r("avg(ret) FILTER
 def breakout_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simulation.simulated(src.order_bars(spark, sf_dir), _exits(spark))
     return rows.select("asset", "trial_id", "final", "sharpe", "max_dd", "n_trades", "n_wins", "gain", "loss", "n_bars")
+
+
+@query(
+    "breakout_states",
+    f"""{_WHOLE}, z AS (SELECT *, row_number() OVER (PARTITION BY asset, trial_id ORDER BY i DESC) AS k FROM e)
+SELECT asset, trial_id, CAST(side AS INT) AS position, {r("CASE WHEN side <> 0 THEN units ELSE 0 END", "units")}, {r("CASE WHEN side <> 0 THEN entry END", "entry_price")}, CASE WHEN side <> 0 THEN since ELSE i END AS entry_idx,
+  {r("CASE WHEN side <> 0 THEN stop END", "stop")}, {r("equity", "equity")}, {r("equity - cash", "unrealized")} FROM z WHERE k = 1""",
+)
+def breakout_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simulation.simulated(src.order_bars(spark, sf_dir), _exits(spark), "states")
+    return rows.select("asset", "trial_id", "position", "units", "entry_price", "entry_idx", "stop", "equity", "unrealized")
+
+
+@query(
+    "breakout_next_orders",
+    f"""{_WHOLE}, z AS (SELECT e.*, u40, l40, u20, l20, atr0 FROM e JOIN w ON w.asset = e.asset AND w.bar_idx = e.i WHERE i = stop_at - 1),
+q AS (SELECT *, CASE WHEN side > 0 THEN l20 ELSE u20 END AS opp, ext - side * 3 * atr0 AS chandelier FROM z),
+k AS (SELECT *, CASE WHEN x = 'atr_trail' AND side * (chandelier - stop) > 0 THEN chandelier WHEN x = 'channel' AND side * (opp - stop) > 0 THEN opp ELSE stop END AS level,
+  CASE WHEN x = 'atr_trail' AND side * (chandelier - stop) > 0 THEN 'trail' WHEN x = 'channel' AND side * (opp - stop) > 0 THEN 'channel' ELSE 'hard' END AS how, x = 'time_stop' AND stop_at - since >= 20 AS late FROM q),
+a AS (SELECT asset, trial_id, 'exit_on_open' AS kind, -side AS side, NULL AS level, units AS shares, '' AS detail_text FROM k WHERE side <> 0 AND late
+  UNION ALL SELECT asset, trial_id, 'stop', -side, level, units, how FROM k WHERE side <> 0 AND NOT late
+  UNION ALL SELECT asset, trial_id, 'target', -side, goal, units, '' FROM k WHERE side <> 0 AND x = 'target_stop'
+  UNION ALL SELECT asset, trial_id, 'stop', 1, u40, least(cash * 0.01 / (3 * atr0), 2 * cash / abs(u40)), '' FROM k WHERE side = 0
+  UNION ALL SELECT asset, trial_id, 'stop', -1, l40, least(cash * 0.01 / (3 * atr0), 2 * cash / abs(l40)), '' FROM k WHERE side = 0)
+SELECT asset, trial_id, kind, CAST(side AS INT) AS side, {r("level", "level")}, {r("shares", "shares")}, detail_text FROM a""",
+)
+def breakout_next_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulation.simulated(src.order_bars(spark, sf_dir), _exits(spark), "next_orders")
+
+
+def _lane_totals(name: str) -> str:
+    """Totals of each lane over its bars from ``first`` on."""
+    return f"""(SELECT asset, lane, trial_id, arg_max(equity, i) / 100000 - 1 AS total, avg(ret) FILTER (i >= first) / nullif(stddev_samp(ret) FILTER (i >= first), 0) * sqrt(252) AS sharpe, min(CASE WHEN i >= first THEN equity / peak - 1 END) AS dd,
+  count(*) FILTER (ended) AS n_trades FROM (SELECT *, equity / lag(equity) OVER p - 1 AS ret, max(equity) OVER (PARTITION BY asset, lane, trial_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS peak FROM {name} WINDOW p AS (PARTITION BY asset, lane, trial_id ORDER BY i)) GROUP BY 1, 2, 3)"""
+
+
+_LATTICE = ", ".join(f"({a * 6 + b * 2 + c}, {a}, {b}, {c}, {n}, {m}, {nx})" for a, n in enumerate((20, 40, 80)) for b, m in enumerate((2.0, 3.0, 4.0)) for c, nx in enumerate((10, 20)))
+
+
+@query(
+    "walk_forward_picks",
+    f"""WITH RECURSIVE {_SEEN}, lat AS (SELECT * FROM (VALUES {_LATTICE}) t(trial_id, ca, cb, cc, n, m, nx)),
+cnt AS (SELECT asset, count(*) AS n FROM b GROUP BY asset),
+win AS (SELECT asset, n AS n_bars, unnest(range(0, (n - 170) // 50 + 1)) AS lane FROM cnt WHERE n >= 170),
+bnd AS (SELECT asset, lane, lane * 50 AS train_start, lane * 50 + 150 AS test_start, least(lane * 50 + 200, n_bars) AS test_end FROM win),
+{_loop_sql("tr", "SELECT asset, lane, trial_id, 'channel' AS x, n, nx, m::DOUBLE AS m, greatest(train_start, 85) - 85 AS low, greatest(train_start, 85) AS first, test_start AS stop_at FROM bnd, lat")},
+s0 AS MATERIALIZED (SELECT k.*, ca, cb, cc, CASE WHEN n_trades >= 5 THEN coalesce(sharpe, 0) END AS score FROM {_lane_totals("tr")} k JOIN lat USING (trial_id)),
+mid AS (SELECT asset, lane, median(score) AS mid FROM s0 GROUP BY 1, 2),
+nb AS (SELECT a.asset, a.lane, a.trial_id, sum(z.score) AS t, count(z.score) AS k FROM s0 a JOIN s0 z ON a.asset = z.asset AND a.lane = z.lane AND abs(a.ca - z.ca) <= 1 AND abs(a.cb - z.cb) <= 1 AND abs(a.cc - z.cc) <= 1 WHERE a.score IS NOT NULL GROUP BY 1, 2, 3),
+pk AS MATERIALIZED (SELECT * FROM (SELECT s0.*, row_number() OVER (PARTITION BY s0.asset, s0.lane ORDER BY (t + 0.5 * (18 - k) * mid) / (k + 0.5 * (18 - k)) DESC NULLS LAST, score DESC NULLS LAST, s0.trial_id) AS place
+  FROM s0 JOIN nb USING (asset, lane, trial_id) JOIN mid USING (asset, lane)) WHERE place = 1),
+{_loop_sql("ts", "SELECT asset, lane, trial_id, 'channel' AS x, lat.n, lat.nx, lat.m::DOUBLE AS m, greatest(test_start - 85, 0) AS low, test_start AS first, test_end AS stop_at FROM pk JOIN bnd USING (asset, lane) JOIN lat USING (trial_id)")},
+o AS (SELECT * FROM {_lane_totals("ts")}),
+f AS (SELECT bnd.*, pk.trial_id, pk.total AS it, coalesce(pk.sharpe, CASE WHEN pk.trial_id IS NOT NULL THEN 0 END) AS ish, pk.n_trades AS itr, o.total AS ot, coalesce(o.sharpe, CASE WHEN o.trial_id IS NOT NULL THEN 0 END) AS osh, o.dd AS od, o.n_trades AS otr
+  FROM bnd LEFT JOIN pk USING (asset, lane) LEFT JOIN o USING (asset, lane))
+SELECT asset, lane AS window_id, train_start, test_start, test_end, trial_id, {r("it", "is_total_return")}, {r("ish", "is_sharpe")}, itr AS is_n_trades, {r("ot", "oos_total_return")}, {r("osh", "oos_sharpe")}, {r("od", "oos_max_dd")}, otr AS oos_n_trades,
+  {r("100000 * coalesce(product(1 + coalesce(ot, 0)) OVER (PARTITION BY asset ORDER BY lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)", "initial_equity", 2)} FROM f""",
+)
+def walk_forward_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wins = search.walk_forward(src.order_bars(spark, sf_dir), lattice_plans(spark), 3, 150, 50)
+    told = ("is_total_return", "is_sharpe", "is_n_trades", "oos_total_return", "oos_sharpe", "oos_max_dd", "oos_n_trades")
+    return wins.select("asset", "window_id", "train_start", "test_start", "test_end", "trial_id", *told, F.round("initial_equity", 2).alias("initial_equity"))
