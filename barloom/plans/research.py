@@ -185,6 +185,9 @@ _STATE = (
     ("cash", "cash3 + made3"), ("side", "CASE WHEN die THEN 0 ELSE side3 END"), ("units", "units2"), ("paid", "fee"), ("entry", "entry2"), ("stop", "stop2"), ("goal", "goal2"), ("ext", "ext3"), ("last", "a"),
     ("since", "since2"), ("dead", "dead OR die"), ("equity", "CASE WHEN die THEN cash3 + made3 ELSE worth END"), ("ended", "left1 OR left2 OR (die AND side3 <> 0)"), ("t_entry", "CASE WHEN left1 THEN since ELSE since2 END"),
     ("t_side", "CASE WHEN left1 THEN side ELSE side2 END"), ("t_from", "CASE WHEN left1 THEN entry ELSE entry2 END"), ("t_to", "CASE WHEN left1 THEN at1 WHEN left2 THEN at3 ELSE c END"),
+    ("w_fresh", "fresh"), ("w_rest", "rest"), ("w_aims", "aims"), ("w_late", "late"), ("w_up", "up"), ("w_lo", "lo"), ("w_lev", "lev"), ("w_lev1", "lev1"), ("w_goal", "goal"), ("w_side", "side"), ("w_units", "units"), ("w_open", "o"),
+    ("w_opens", "opens"), ("w_at", "at2"), ("w_qty", "qty"), ("w_turn", "turn"), ("w_stop2", "stop2"), ("w_lev2", "lev2"), ("w_goal2", "goal2"), ("w_left1", "left1"), ("w_left2", "left2"), ("w_target1", "gained OR reached"), ("w_target2", "reached2"),
+    ("w_trails", "x = 'atr_trail' AND lev1 <> stop"), ("w_opp", "x = 'channel' AND lev <> lev1"), ("w_opp2", "x = 'channel' AND lev2 <> stop2"), ("w_die", "die AND side3 <> 0"), ("w_made1", "made1 - paid"), ("w_made2", "made2 - fee"),
     ("t_units", "CASE WHEN left1 THEN units ELSE units2 END"), ("t_pnl", "CASE WHEN left1 THEN made1 - paid WHEN left2 THEN made2 - fee ELSE made3 - fee END"),
 )
 
@@ -206,7 +209,7 @@ def _loop_sql(name: str, lanes: str) -> str:
     FROM {name} e JOIN v ON v.asset = e.asset AND v.bar_idx = e.i + 1 AND e.i + 1 < e.stop_at)"""
     for layer in _STEP:
         step = f"(SELECT *, {', '.join(f'{expr} AS {column}' for column, expr in layer.items())} FROM {step})"
-    zero = {"cash": "100000.0::DOUBLE", "equity": "100000.0::DOUBLE", "since": "-1::BIGINT", "dead": "false", "ended": "false", "t_entry": "0::BIGINT", "side": "0", "t_side": "0"}
+    zero = {"cash": "100000.0::DOUBLE", "equity": "100000.0::DOUBLE", "since": "-1::BIGINT", "dead": "false", "ended": "false", "w_turn": "0", "w_side": "0", **{f"w_{k}": "false" for k in ("fresh", "rest", "aims", "late", "opens", "left1", "left2", "target1", "target2", "trails", "opp", "opp2", "die")}, "t_entry": "0::BIGINT", "side": "0", "t_side": "0"}
     return f"""{name} AS (SELECT asset, lane, trial_id, x, n, nx, m, first, stop_at, low AS i, {', '.join(f"{zero.get(n, '0.0::DOUBLE')} AS {n}" for n in names)} FROM ({lanes})
   UNION ALL SELECT {", ".join(keys)}, i, {', '.join(f'{expr} AS {column}' for column, expr in _STATE)} FROM {step})"""
 
@@ -301,3 +304,37 @@ def walk_forward_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     wins = search.walk_forward(src.order_bars(spark, sf_dir), lattice_plans(spark), 3, 150, 50)
     told = ("is_total_return", "is_sharpe", "is_n_trades", "oos_total_return", "oos_sharpe", "oos_max_dd", "oos_n_trades")
     return wins.select("asset", "window_id", "train_start", "test_start", "test_end", "trial_id", *told, F.round("initial_equity", 2).alias("initial_equity"))
+
+
+#: What each bar of a lane puts into the order log.
+_LOG = """SELECT asset, trial_id, i, 'entry_working' AS kind, 1 AS side, 'stop' AS detail_text, w_up AS level, 0 AS qty, 0 AS aux FROM e WHERE w_fresh
+  UNION ALL SELECT asset, trial_id, i, 'entry_working', -1, 'stop', w_lo, 0, 0 FROM e WHERE w_fresh
+  UNION ALL SELECT asset, trial_id, i, 'time_exit_submit', w_side, '', w_open, w_units, 0 FROM e WHERE w_late
+  UNION ALL SELECT asset, trial_id, i, 'stop_working', w_side, CASE WHEN w_opp THEN 'channel' WHEN w_trails THEN 'trail' ELSE 'hard' END, w_lev, w_units, 0 FROM e WHERE w_rest
+  UNION ALL SELECT asset, trial_id, i, 'target_working', w_side, '', w_goal, w_units, 0 FROM e WHERE w_rest AND w_aims
+  UNION ALL SELECT asset, trial_id, i, 'exit_fill', w_side, CASE WHEN w_late THEN 'time' WHEN w_target1 THEN 'target' WHEN w_opp THEN 'channel' ELSE 'stop' END, t_to, w_units, w_made1 FROM e WHERE w_left1
+  UNION ALL SELECT asset, trial_id, i, 'entry_fill', w_turn, 'stop', w_at, w_qty, w_stop2 FROM e WHERE w_opens
+  UNION ALL SELECT asset, trial_id, i, 'stop_working', w_turn, CASE WHEN w_opp2 THEN 'channel' ELSE 'hard' END, w_lev2, w_qty, 0 FROM e WHERE w_opens
+  UNION ALL SELECT asset, trial_id, i, 'target_working', w_turn, '', w_goal2, w_qty, 0 FROM e WHERE w_opens AND x = 'target_stop'
+  UNION ALL SELECT asset, trial_id, i, 'exit_fill', w_turn, CASE WHEN w_target2 THEN 'target' WHEN w_opp2 THEN 'channel' ELSE 'stop_same_bar' END, t_to, w_qty, w_made2 FROM e WHERE w_left2
+  UNION ALL SELECT asset, trial_id, i, 'exit_fill', t_side, 'ruin', t_to, t_units, t_pnl FROM e WHERE w_die"""
+
+
+@query(
+    "breakout_orders",
+    f"""{_WHOLE}, g AS ({_LOG}) SELECT asset, trial_id, i AS bar_idx, kind, CAST(side AS INT) AS side, detail_text, {r("level", "level")}, {r("qty", "qty")}, {r("aux", "aux")} FROM g""",
+)
+def breakout_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simulation.simulated(src.order_bars(spark, sf_dir), _exits(spark), "orders")
+    return rows.select("asset", "trial_id", "bar_idx", "kind", "side", "detail_text", "level", "qty", "aux")
+
+
+@query(
+    "breakout_exposures",
+    f"""{_WHOLE}, y AS (SELECT e.asset, e.trial_id, i, equity, c, CASE WHEN side <> 0 THEN side * units ELSE 0 END AS u, CASE WHEN w_left1 THEN w_units ELSE 0 END + CASE WHEN w_opens AND NOT w_left2 THEN w_qty ELSE 0 END AS moved
+  FROM e JOIN v ON v.asset = e.asset AND v.bar_idx = e.i)
+SELECT asset, trial_id, count(*) AS n_bars, count(*) FILTER (u <> 0) AS held_bars, {r("avg(abs(u * c) / equity)", "gross")}, {r("avg(u * c / equity)", "net")}, {r("avg(moved * c / equity) * 252", "turnover")} FROM y GROUP BY 1, 2""",
+)
+def breakout_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, p = src.order_bars(spark, sf_dir), _exits(spark)
+    return metrics.exposures(b, simulation.simulated(b, p, "all_trades").withColumn("exit_idx", F.coalesce("exit_idx", F.lit(1 << 40))), simulation.simulated(b, p, "bars"))
