@@ -380,3 +380,61 @@ def family_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walk-forward of a family's trend templates, each over its own lattice."""
     rows = families.templates(spark, "quick", direction=("trend",), regime=(("er", "none"),), vol_filter=(False,))
     return search.summary(*search.walked(src.order_bars(spark, sf_dir), families.lattices(rows), len(families.PARAMETERS), 300, 100, least_trades=2))
+
+
+#: Series as templates of one asset on shared stamps, in windows of 50 bars.
+_SLOTS = (
+    RETS
+    + """,
+g AS (SELECT asset AS template, dense_rank() OVER (ORDER BY ts) - 1 AS d, ret / 1000 AS ret FROM rets),
+y AS (SELECT *, d // 50 AS w FROM g)"""
+)
+
+
+def _slot_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rets = metrics.returns(src.order_bars(spark, sf_dir))
+    stamps = src.numbered(rets.select("ts").distinct().withColumn("asset", F.lit("ALL"))).select("ts", "bar_idx")
+    rows = rets.select("ts", F.col("asset").alias("template"), (F.col("ret") / 1000).alias("ret")).join(stamps, "ts")
+    rows = rows.select(F.lit("ALL").alias("asset"), "template", F.floor(F.col("bar_idx") / 50).cast("long").alias("window_id"), "bar_idx", "ret")
+    per = rows.groupBy("asset", "template", "window_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ret").alias("s"))
+    null = F.lit(None).cast("double")
+    return per.select(
+        "asset", "template", "window_id", F.lit(1).alias("trial_id"), F.col("s").alias("is_total_return"), F.col("n").alias("is_n_bars"), F.col("s").alias("oos_total_return"), F.col("n").alias("oos_n_bars"),
+        F.col("n").alias("oos_n_trades"), null.alias("is_years"), null.alias("oos_years"),
+    ), rows
+
+
+_NESTED = f"""WITH {_SLOTS},
+s AS (SELECT p.template AS a, q.template AS b, p.w, count(*) AS n, sum(p.ret) AS sx, sum(q.ret) AS sy, sum(p.ret * p.ret) AS sxx, sum(q.ret * q.ret) AS syy, sum(p.ret * q.ret) AS sxy
+  FROM y p JOIN y q ON p.d = q.d AND p.template <= q.template GROUP BY 1, 2, 3),
+ws AS (SELECT DISTINCT w FROM y), ab AS (SELECT DISTINCT a, b FROM s),
+h AS (SELECT ab.a, ab.b, ws.w, {", ".join(f"sum({c}) OVER k AS {c}" for c in nested.SUMS)}, count(s.n) OVER k AS seen FROM ab CROSS JOIN ws LEFT JOIN s ON s.a = ab.a AND s.b = ab.b AND s.w = ws.w
+  WINDOW k AS (PARTITION BY ab.a, ab.b ORDER BY ws.w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT a, b, w, seen, n, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS corr, (sxy - sx * sy / n) / (n - 1) AS cov, sx / n AS mean FROM h WHERE n > 1),
+o AS (SELECT a AS template, w, mean, cov, mean / sqrt(cov) * sqrt(252) AS sharpe FROM t WHERE a = b AND seen >= 4 AND n >= 60 AND mean / sqrt(cov) * sqrt(252) >= 0.2),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY sharpe DESC, template) AS k FROM o) WHERE k = 1),
+c AS (SELECT f.w, o.template, o.sharpe, (f.mean + o.mean) / 2 / sqrt((f.cov + o.cov + 2 * t.cov) / 4) AS mix, f.mean / sqrt(f.cov) AS alone FROM f JOIN o ON o.w = f.w AND o.template <> f.template
+  JOIN t ON t.w = f.w AND t.a = least(f.template, o.template) AND t.b = greatest(f.template, o.template) WHERE abs(t.corr) <= 0.6),
+e AS (SELECT w, template FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY mix DESC, sharpe DESC, template) AS k FROM c WHERE mix > alone) WHERE k = 1),
+held AS (SELECT 'ALL' AS asset, w AS window_id, template, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.w = f.w) THEN 0.5 ELSE 1.0 END AS weight, 0 AS rank FROM f UNION ALL SELECT 'ALL', w, template, 0.5, 1 FROM e)"""
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    wins, rets = _slot_table(spark, sf_dir)
+    return nested.nested_portfolio(wins, rets, least_trades=0, most=2), rets
+
+
+@query("nested_holdings", f"{_NESTED} SELECT asset, window_id, template, weight, rank FROM held")
+def nested_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nested(spark, sf_dir)[0]
+
+
+@query(
+    "nested_portfolio_returns",
+    f"""{_NESTED}, z AS (SELECT DISTINCT d, w FROM y WHERE w >= 4), m AS (SELECT y.d, sum(ret * weight) AS ret FROM y JOIN held ON held.window_id = y.w AND held.template = y.template GROUP BY 1)
+SELECT 'ALL' AS asset, z.d AS bar_idx, z.w AS window_id, {r("coalesce(m.ret, 0)", "ret", 8)} FROM z LEFT JOIN m USING (d)""",
+    digits=8,
+)
+def nested_portfolio_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held, rets = _nested(spark, sf_dir)
+    return nested.portfolio_returns(rets, held, 4)
