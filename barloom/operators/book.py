@@ -94,23 +94,23 @@ def candidates(table: DataFrame, least_sharpe: float = 0.0, least_windows: int =
     return rows if least_wfe is None else rows.filter(F.col("wfe") >= least_wfe)
 
 
-#: Rules of a verdict in order: level, condition, reason. A critical one outweighs all warnings.
+#: Rules of a verdict in order: level, condition, code. A critical one outweighs all warnings.
 VERDICT = (
-    ("critical", "n_slots = 0", "no slot passed the filter"),
-    ("critical", "nested_sharpe <= 0", "the walked-forward selection did not make money"),
-    ("warning", "nested_sharpe > 0 AND nested_sharpe < 0.5", "thin walked-forward Sharpe"),
-    ("critical", "pbo >= 0.5", "picking in sample is no better than a coin toss"),
-    ("warning", "pbo >= 0.35 AND pbo < 0.5", "probability of overfitting is elevated"),
-    ("critical", "reality_check_p > 0.15", "the best result is what a search over noise gives"),
-    ("warning", "reality_check_p > 0.05 AND reality_check_p <= 0.15", "not significant at 5 %"),
-    ("warning", "dsr < 0.95", "the best Sharpe is not told apart from the best of noise trials"),
-    ("warning", "years < min_years", "the record is shorter than the minimum backtest length"),
-    ("warning", "weak_slots > 0", "some slots lose on many of their paths"),
+    ("critical", "n_slots = 0", "empty_book"),
+    ("critical", "nested_sharpe <= 0", "nested_loses"),
+    ("warning", "nested_sharpe > 0 AND nested_sharpe < 0.5", "nested_below_half"),
+    ("critical", "pbo >= 0.5", "pbo_from_half"),
+    ("warning", "pbo >= 0.35 AND pbo < 0.5", "pbo_raised"),
+    ("critical", "reality_check_p > 0.15", "search_luck"),
+    ("warning", "reality_check_p > 0.05 AND reality_check_p <= 0.15", "search_unclear"),
+    ("warning", "dsr < 0.95", "dsr_below_95"),
+    ("warning", "years < min_years", "short_record"),
+    ("warning", "weak_slots > 0", "weak_paths"),
 )
 
 
 def verdict(diagnostics: DataFrame) -> DataFrame:
-    """The diagnostics with level (good, warning, critical) and reasons."""
+    """The diagnostics with level (good, warning, critical) and reasons, the codes of the rules that hold."""
     told = F.array_compact(F.array(*(F.when(F.expr(c), F.struct(F.lit(level).alias("level"), F.lit(why).alias("why"))) for level, c, why in VERDICT)))
     rows = diagnostics.withColumn("_t", told)
     level = F.when(F.exists("_t", lambda x: x["level"] == "critical"), "critical").when(F.size("_t") > 0, "warning").otherwise("good")

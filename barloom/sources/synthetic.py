@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,28 +12,27 @@ from barloom.sources.bars import numbered
 
 
 def regime_walk(n: int = 2500, seed: int = 42, start: float = 100.0, share: float = 0.45, drift: float = 0.0009) -> pd.DataFrame:
-    """Daily bars that alternate between trends (drift one way) and ranges (pulled back to where they began).
+    """Daily bars in stretches of two kinds: trends that drift one way, and ranges whose price is pulled to where they began.
 
-    What is drawn, and in which order, is part of the definition: regime, length and side of each stretch, one normal a
-    close, then a half range a bar and a volume a bar.
+    What is drawn, and in which order, is part of the definition: kind, length and side of each stretch and one normal a close,
+    stretch by stretch, then a half range a bar and a volume a bar.
     """
-    rng = np.random.default_rng(seed)
-    path, left = [start], 0
-    while len(path) < n:
-        if left <= 0:
-            trend = rng.choice(["trend", "range"], p=[share, 1 - share]) == "trend"
-            left, way, anchor = rng.integers(60, 180), rng.choice([-1, 1]), path[-1]
-        now = path[-1]
-        step = way * drift + rng.normal(0, 0.010) if trend else 0.02 * (anchor - now) / now + rng.normal(0, 0.006)
-        path.append(now * (1 + step))
-        left -= 1
-    close = np.array(path)
-    half = np.abs(rng.normal(0, 0.004, size=len(close))) + 0.0015
-    open_ = np.concatenate((close[:1], close[:-1]))
-    volume = rng.integers(1_000_000, 5_000_000, size=len(close))
-    out = pd.DataFrame({"ts": pd.bdate_range("2015-01-01", periods=len(close)), "open": open_, "high": close * (1 + half), "low": close * (1 - half), "close": close, "volume": volume.astype(float)})
-    out["high"], out["low"] = out[["high", "open", "close"]].max(axis=1), out[["low", "open", "close"]].min(axis=1)
-    return out
+    rng, parts, made = np.random.default_rng(seed), [np.array([start])], 1
+    while made < n:
+        rises = rng.choice(["trend", "range"], p=[share, 1 - share]) == "trend"
+        length, side, origin = int(rng.integers(60, 180)), rng.choice([-1, 1]), parts[-1][-1]
+        noise = rng.normal(0, 0.010 if rises else 0.006, min(length, n - made))
+        if rises:
+            part = origin * np.cumprod(1 + side * drift + noise)
+        else:  # a pull of 2 % of the way back, and a move in proportion to the price
+            part = np.fromiter(accumulate(noise, lambda price, z: 0.98 * price + 0.02 * origin + price * z, initial=origin), float)[1:]
+        parts.append(part)
+        made += len(part)
+    close = np.concatenate(parts)
+    reach = 0.0015 + np.abs(rng.normal(0, 0.004, len(close)))
+    opened = np.append(close[0], close[:-1])
+    bars = {"open": opened, "high": np.maximum(opened, close + close * reach), "low": np.minimum(opened, close - close * reach), "close": close}
+    return pd.DataFrame({"ts": pd.bdate_range("2015-01-01", periods=len(close)), **bars, "volume": rng.integers(1_000_000, 5_000_000, len(close)).astype(float)})
 
 
 def synthetic_bars(spark: SparkSession, seeds: list[int], n: int = 2500) -> DataFrame:
