@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.sources import stored
+
+
 def by_bar():
     """Window of an asset's bars in order."""
     return Window.partitionBy("asset").orderBy("ts")
@@ -40,11 +43,24 @@ def event_bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFram
     return grouped_bars(e, F.col("event_type"), F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz"), F.col("value"), F.struct("ts", "event_id"))
 
 
+def placed(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The rows with ``nth``, their place (from 0) among those of their key in the order, which must tell all rows apart.
+
+    Rows are sorted over all tasks and counted by task, so no task holds a key: a place is one among the task's rows of the
+    key, and what tasks before it hold of it.
+    """
+    spread = stored.kept(rows.orderBy(key, *order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    counts = spread.groupBy(key, part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(key, "_p", (before - F.col("_first")).alias("_offset"))  # a row a task and key
+    return spread.withColumn("_p", part).join(offsets, [key, "_p"]).withColumn("nth", F.col("_m") + F.col("_offset")).drop("_m", "_p", "_offset")
+
+
 def activity_bars(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
     """Bars of ``size`` events each: asset, bucket, first_ts, last_ts, OHLC, volume."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    nth = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    put = e.select(F.col("event_type").alias("asset"), "ts", "event_id", F.col("value").cast("double").alias("v"), F.floor((nth - 1) / size).cast("long").alias("bucket"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("asset"), "ts", "event_id", F.col("value").cast("double").alias("v"))
+    put = placed(e, "asset", "ts", "event_id").withColumn("bucket", F.floor(F.col("nth") / size).cast("long"))
     key = F.struct("ts", "event_id")
     return put.groupBy("asset", "bucket").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("v", key).alias("open"), F.max("v").alias("high"), F.min("v").alias("low"),

@@ -125,7 +125,70 @@ def planted(n: int = 3000, seed: int = 0, span: int = 20, side: int = 1, edge: f
     return pd.DataFrame({"ts": pd.bdate_range("2000-01-03", periods=n), "open": open_, "high": high, "low": low, "close": close, "volume": 0.0})
 
 
-SUITE = {"random_walk": random_walk, "trending": trending, "autoregressive": autoregressive, "switching": switching, "planted": planted}
+def planted_switch(n: int = 3000, seed: int = 0, stretch: int = 500, edge: float = 0.1, vol: float = 0.01, experts: tuple[tuple[int, int], tuple[int, int]] = ((40, 1), (20, -1))) -> pd.DataFrame:
+    """As ``planted``, by two experts (span, side) in turn, each for ``stretch`` bars; column ``expert`` tells which."""
+    rng = np.random.default_rng(seed)
+    z, up_by, down_by = rng.normal(0, vol, n), np.abs(rng.normal(0, 0.003, n)), np.abs(rng.normal(0, 0.003, n))
+    who = np.arange(n) // stretch % 2
+    close, high, low = np.full(n, 100.0), np.full(n, 100.2), np.full(n, 99.8)
+    broke = {span: (-1, 0) for span, _ in experts}  # bar and way of the last break of each channel
+    for t in range(1, n):
+        span, side = experts[who[t]]
+        at, way = broke[span]
+        drift = side * way * edge * vol if 0 <= at and t - 1 - at < span else 0.0
+        close[t] = close[t - 1] * (1 + drift + z[t])
+        top, bottom = max(close[t - 1], close[t]), min(close[t - 1], close[t])
+        high[t], low[t] = top * (1 + up_by[t]), bottom * (1 - down_by[t])
+        for length in broke:
+            if t >= length:
+                up, down = high[t] >= high[t - length : t].max(), low[t] <= low[t - length : t].min()
+                if up != down:
+                    broke[length] = (t, 1 if up else -1)
+    out = pd.DataFrame({"ts": pd.bdate_range("2000-01-03", periods=n), "open": np.append(close[0], close[:-1]), "high": high, "low": low, "close": close, "volume": 0.0})
+    return out.assign(expert=who)
+
+
+def _decayed(shocks: np.ndarray, halflife: float) -> np.ndarray:
+    """What is left of all shocks, each halved every ``halflife`` bars."""
+    keep = 0.5 ** (1 / halflife)
+    return np.fromiter(accumulate(shocks, lambda level, z: keep * level + z), float)
+
+
+def spread(n: int = 3000, seed: int = 0, kind: str = "calendar", halflife: float = 10.0, vol: float = 0.07, jumps: float = 4.0, every: int = 21, gap: float = 0.02, tick: float = 0.01) -> pd.DataFrame:
+    """A listed spread in points, through 0: a mean, deviations from it that halve in ``halflife`` bars, jumps a year, contracts that change.
+
+    The mean of a "calendar" spread has a season of a year and wanders; that of a "trending" one drifts in episodes, either way.
+    Every ``every`` bars the contract rolls (column roll), and the listed price moves by the gap between the two. Columns mean and
+    latent (without the contracts' gaps) tell the truth.
+    """
+    rng, t = np.random.default_rng(seed), np.arange(n)
+    if kind == "calendar":
+        mean = 0.4 + 0.5 * np.sin(2 * np.pi * (t / 252 + rng.random())) + _decayed(rng.normal(0, 0.01, n), 500)
+    elif kind == "trending":
+        lengths = rng.geometric(np.tile([1 / 120, 1 / 60], n)[:n])
+        episode = np.repeat(np.arange(n), lengths)[:n]
+        way = np.where(np.arange(n) % 2 == 0, rng.choice([-1.0, 1.0], n), 0.0)  # a drift, then none
+        mean = 0.3 + _decayed(0.012 * way[episode], 400)
+    else:
+        raise ValueError(f"no kind {kind}")
+    shocks = rng.normal(0, vol, n) + (rng.random(n) < jumps / 252) * rng.choice([-1.0, 1.0], n) * 3 * vol
+    latent = mean + _decayed(shocks, halflife)
+    contract = (t + 1) // every
+    listed = latent + rng.normal(0, gap, n // every + 2)[contract]
+    whole = lambda x: np.round(x / tick) * tick
+    close = whole(listed)
+    opened = whole(np.append(close[0], close[:-1] + 0.3 * vol * rng.standard_normal(n - 1)))
+    high = whole(np.maximum(opened, close) + np.abs(rng.normal(0, vol / 2, n)))
+    low = whole(np.minimum(opened, close) - np.abs(rng.normal(0, vol / 2, n)))
+    out = pd.DataFrame({"ts": pd.bdate_range("2000-01-03", periods=n), "open": opened, "high": high, "low": low, "close": close, "volume": 0.0})
+    return out.assign(roll=(np.diff(contract, prepend=0) > 0).astype(float), mean=mean, latent=latent)
+
+
+def trending_spread(n: int = 3000, seed: int = 0) -> pd.DataFrame:
+    return spread(n, seed, "trending", halflife=8.0, jumps=2.0)
+
+
+SUITE = {"random_walk": random_walk, "trending": trending, "autoregressive": autoregressive, "switching": switching, "planted": planted, "planted_switch": planted_switch, "calendar_spread": spread, "trending_spread": trending_spread}
 
 
 def suite(spark: SparkSession, names: tuple[str, ...] = tuple(SUITE), seeds: tuple[int, ...] = (0,), n: int = 3000) -> DataFrame:

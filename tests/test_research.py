@@ -389,6 +389,28 @@ def test_made_series(spark):
     assert bars.count() == 480 and [r["close"] for r in bars.filter("asset = 'planted-2'").orderBy("ts").collect()] == synthetic.planted(120, 2).close.tolist()
 
 
+def test_made_spreads_and_switching_experts(spark):
+    for kind in ("calendar", "trending"):
+        s = synthetic.spread(6000, 3, kind)
+        assert (s.close.min() < 0 or kind == "trending") and (s.high >= s[["open", "close"]].max(axis=1)).all() and (s.low <= s[["open", "close"]].min(axis=1)).all()
+        assert s.roll.sum() == 6000 // 21 and s.roll[20] == 1.0 and s.roll[:20].sum() == 0
+        away = (s.latent - s["mean"]).to_numpy()
+        assert np.corrcoef(away[1:], away[:-1])[0, 1] == pytest.approx(0.5 ** (1 / 10), abs=0.02)
+        assert np.corrcoef(-away[:-1], np.diff(s.latent))[0, 1] > 0.1  # the edge: deviations fade
+        same = (s.roll == 0).to_numpy()[1:]
+        assert np.abs(np.diff(s.close) - np.diff(s.latent))[same].max() <= 0.0101 and (np.diff(s.close) - np.diff(s.latent))[~same].std() > 0.02
+    assert synthetic.spread(50, 1).equals(synthetic.spread(50, 1)) and not synthetic.spread(50, 1).close.equals(synthetic.spread(50, 2).close)
+    with pytest.raises(ValueError, match="no kind"):
+        synthetic.spread(50, 1, "other")
+    edge = synthetic.planted_switch(6000, 2, 1000, 0.6)
+    nxt = edge.close.pct_change().shift(-1)
+    for who, span, side in ((0, 40, 1), (1, 20, -1)):
+        up = (edge.high >= edge.high.rolling(span).max().shift(1)) & ~(edge.low <= edge.low.rolling(span).min().shift(1)) & (edge.expert.shift(-1) == who)
+        assert side * nxt[up].mean() > 0.002
+    bars = synthetic.suite(spark, ("calendar_spread", "trending_spread", "planted_switch"), (1,), 120)
+    assert bars.count() == 360
+
+
 def test_series_operations(spark):
     rets = spark.createDataFrame([("a", 1, 0.1), ("a", 2, -1.5), ("a", 3, 0.2), ("b", 2, 0.3), ("b", 3, None)], "asset string, ts long, ret double")
     rows = lambda d: sorted(tuple(r) for r in d.collect())
