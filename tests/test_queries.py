@@ -39,9 +39,13 @@ def test_query_equals_its_sql(spark, name):
     assert plain(QUERIES[name](spark, folder).toPandas()) == plain(tables(folder).sql(ORACLE_SQL[name]).df())
 
 
+#: The series of the smallest tables are too short for a learner's memory or for windows after enough history.
+LONG = {"family_walk_forward", "ladder_trades", "run_order_lives"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_without_sql_has_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF.replace("0.001", "0.01") if name in LONG else SF).count() > 0
 
 
 def test_recursive_means_equal_pandas(spark):
