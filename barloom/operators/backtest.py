@@ -289,7 +289,7 @@ def normal_cdf(z: Column) -> Column:
     power = lambda parts: reduce(lambda a, c: a * x + c, map(F.lit, parts[1:]), F.lit(parts[0]))
     far = reduce(lambda a, k: x + k / a, (4.0, 3.0, 2.0, 1.0), x + 0.65)
     tail = F.when(x < 7.07106781186547, level * power(_TAIL_ABOVE) / power(_TAIL_BELOW)).otherwise(level / far / math.sqrt(2 * math.pi))
-    return F.when(~F.isnan(z), F.when(z > 0, 1 - tail).otherwise(tail))
+    return F.when(z.isNotNull() & ~F.isnan(z), F.when(z > 0, 1 - tail).otherwise(tail))
 
 
 def expected_max_sharpe(trials: int) -> float:
