@@ -55,6 +55,9 @@ CLOSED = -1e9
 CAUSAL = np.triu(np.full((WINDOW, WINDOW), CLOSED, np.float32), 1)
 MOST = 80.0  #: scores are kept within, so that their exponentials are finite and not 0
 STEP = 256  #: windows to a step of descent
+#: Short rows are summed as products: with ones, and those of a state's scores by groups and own classes.
+ONES = np.ones(DIM + 1, np.float32)
+PARTS = np.repeat(np.eye(2, dtype=np.float32), (CLASSES // GROUP, GROUP), axis=0)
 
 
 def _held_out(ids: list[int | None]) -> np.ndarray:
@@ -106,31 +109,39 @@ def _signs() -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 2, (VOCABULARY, SIDE)) * 2 - 1
 
 
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their rows of values."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(values, first, axis=0) if len(first) else values
+def _begins(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key begins."""
+    return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def _counted(high: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers below ``most`` and ids, in order, and how often each comes."""
+    kind = np.uint32 if most * VOCABULARY < 1 << 32 else np.int64
+    pair, n = np.unique(high.astype(kind) * kind(VOCABULARY) + low.astype(kind), return_counts=True)
+    return (pair // kind(VOCABULARY)).astype(np.int64), (pair % kind(VOCABULARY)).astype(np.uint16), n.astype(np.int32)
 
 
 def neighbours(ids: np.ndarray, at: np.ndarray, near: np.ndarray, signs: np.ndarray) -> None:
     """Add to near (ids, 3 * SIDE) the projections of what stands before, after and around each id of the texts."""
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    inside = np.flatnonzero(text[1:] == text[:-1])
-    pair, n = np.unique(ids[inside] * VOCABULARY + ids[inside + 1], return_counts=True)
-    a, b = pair // VOCABULARY, pair % VOCABULARY
-    few, n32 = signs.astype(np.int32), n.astype(np.int32)  # a pack has fewer ids than 2 ** 31
-    own, sums = _summed(b, few[a] * n32[:, None])
-    near[own, :SIDE] += sums
-    own, sums = _summed(a, few[b] * n32[:, None])
-    near[own, SIDE : 2 * SIDE] += sums
-    pair, n = np.unique(text * VOCABULARY + ids, return_counts=True)
-    text, own = pair // VOCABULARY, pair % VOCABULARY
-    some, sums = _summed(text, signs[own] * n[:, None])
-    mean = np.rint(sums * (65536 / np.diff(at)[some])[:, None]).astype(np.int64)
-    own, sums = _summed(own, mean[np.searchsorted(some, text)] * n[:, None])
-    near[own, 2 * SIDE :] += sums
+    few = signs.astype(np.int32)  # a pack has fewer ids than 2 ** 31
+    inside = np.ones(max(0, len(ids) - 1), bool)
+    inside[(edge := at[1:-1])[(edge > 0) & (edge < len(ids))] - 1] = False
+    a, b, n = _counted(ids[:-1][inside], ids[1:][inside], VOCABULARY)
+    if len(a):
+        first = _begins(a)
+        near[a[first], SIDE : 2 * SIDE] += np.add.reduceat(few.take(b, 0) * n[:, None], first, axis=0)
+        order = np.argsort(b, kind="stable")
+        first = _begins(b := b.take(order))
+        near[b[first], :SIDE] += np.add.reduceat(few.take(a.take(order), 0) * n.take(order)[:, None], first, axis=0)
+    text, own, n = _counted(np.repeat(np.arange(len(at) - 1), np.diff(at)), ids, len(at))
+    if len(text):
+        first = _begins(text)
+        sums = np.add.reduceat(few.take(own, 0) * n[:, None], first, axis=0)
+        mean = np.rint(sums * (65536 / np.diff(at)[text[first]])[:, None]).astype(np.int64)
+        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(text))))
+        order = np.argsort(own, kind="stable")
+        first = _begins(own := own.take(order))
+        near[own[first], 2 * SIDE :] += np.add.reduceat(mean.take(which.take(order), 0) * n.take(order)[:, None], first, axis=0)
 
 
 def _training(batches: Iterator[pa.RecordBatch], size: int = PACK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -253,10 +264,19 @@ class Model:
             total += loss * len(order[i : i + STEP])
             moments["step"] += 1
             step = moments["step"]
+            # first and second are 10 and 1000 times the means
+            spread = (0.001 / (1 - 0.999**step)) ** 0.5
+            rate, least = np.float32(0.001 / (1 - 0.9**step) / spread), np.float32(1e-8 / spread)
             for k, g in grad.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                self.w[k] -= 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                first[k] *= np.float32(0.9)
+                first[k] += g
+                second[k] *= np.float32(0.999)
+                second[k] += g * g
+                by = np.sqrt(second[k])
+                by += least
+                np.divide(first[k], by, out=by)
+                by *= rate
+                self.w[k] -= by
             self._close()
         return total
 
@@ -277,79 +297,113 @@ class Model:
         self.w["b"][empty] = CLOSED
         self.w["g"][empty.all(axis=1)] = CLOSED
 
-    def _grouped(self, h: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Group, its rows, their states and the scores of its classes."""
-        order = np.argsort(group.astype(np.int8), kind="stable")
-        states, edges = h[order], np.searchsorted(group[order], np.arange(CLASSES // GROUP + 1))
-        for k in range(CLASSES // GROUP):
-            if (a := edges[k]) < (b := edges[k + 1]):
-                own = states[a:b]
-                yield k, order[a:b], own, np.clip(own @ self.w["U"][k] + self.w["b"][k], -MOST, MOST)
+    def _head(self) -> np.ndarray:
+        """For each group the weights of all groups and of its own classes; the last row is what is added."""
+        groups, w = CLASSES // GROUP, self.w
+        head = np.empty((groups, DIM + 1, groups + GROUP), w["G"].dtype)
+        head[:, :DIM, :groups], head[:, DIM, :groups], head[:, :DIM, groups:], head[:, DIM, groups:] = w["G"], w["g"], w["U"], w["b"]
+        return head
+
+    @staticmethod
+    def _wide(weights: np.ndarray, last: float = 0) -> np.ndarray:
+        """Weights with one more column, of ``last`` only."""
+        out = np.full((len(weights), weights.shape[1] + 1), last, weights.dtype)
+        out[:, :-1] = weights
+        return out
+
+    @staticmethod
+    def _scores(states: np.ndarray, edges: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Scores of all groups and of the own group's classes for states in order of their groups."""
+        z = np.empty((len(states), head.shape[2]), head.dtype)
+        for k in range(len(head)):
+            np.matmul(states[edges[k] : edges[k + 1]], head[k], out=z[edges[k] : edges[k + 1]])
+        return np.clip(z, -MOST, MOST, out=z)
 
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of the windows and its gradient. A class has the probability of its group times its own within it."""
-        w, m, root = self.w, len(x), np.float32(DIM**0.5)
+        """Mean loss of the windows and its gradient. A class has the probability of its group times its own within it.
+
+        Values have a column of ones, so that one product gives sums of weights with the weighted sum, and the way back takes
+        what the sums lose off in its product. The last step works on states in order of their groups.
+        """
+        w, m, root, groups = self.w, len(x), np.float32(DIM**0.5), CLASSES // GROUP
         inside = (y >= 0).reshape(-1)
-        n, label, flat = int(inside.sum()), np.maximum(y, 0).reshape(-1), x.reshape(-1)
-        scale = inside.astype(np.float32) / np.float32(n)
-        e = w["E"].take(flat, 0)
-        e.reshape(m, WINDOW, DIM)[:] += w["P"]
-        into = np.concatenate((w["Q"] / root, w["K"], w["V"]), axis=1)
-        q, k, v = np.split((e @ into).reshape(m, WINDOW, 3 * DIM), 3, axis=2)
+        n, label, flat = int(np.count_nonzero(inside)), np.maximum(y, 0).reshape(-1), x.reshape(-1)
+        e = self._wide(w["E"], 1).take(flat, 0)
+        e.reshape(m, WINDOW, DIM + 1)[:] += self._wide(w["P"])
+        into = np.zeros((DIM + 1, 3 * DIM + 1), e.dtype)
+        into[:DIM, : 3 * DIM], into[DIM, 3 * DIM] = np.concatenate((w["Q"] / root, w["K"], w["V"]), axis=1), 1
+        qkv = (e @ into).reshape(m, WINDOW, 3 * DIM + 1)
+        q, k, v = qkv[:, :, :DIM], qkv[:, :, DIM : 2 * DIM], qkv[:, :, 2 * DIM :]
         a = q @ k.transpose(0, 2, 1)
         np.clip(a, -MOST, MOST, out=a)
         a += CAUSAL
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        o = (a @ v).reshape(-1, DIM)
-        h = e + o @ w["O"]
-        place, group, within = np.arange(len(h)), label // GROUP, label % GROUP
-        z = h @ w["G"]
-        z += w["g"]
-        np.clip(z, -MOST, MOST, out=z)
+        o = (a @ v).reshape(-1, DIM + 1)
+        part = 1 / o[:, DIM:]
+        o *= part
+        o_out = np.zeros((DIM + 1, DIM + 1), e.dtype)
+        o_out[:DIM, :DIM] = w["O"]
+        h = o @ o_out
+        h += e
+        group = (label // GROUP).astype(np.int8)
+        order = np.argsort(group, kind="stable")
+        edges = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=groups))))
+        states, head = h.take(order, 0), self._head()
+        scale = inside.take(order) * np.float32(1 / n)
+        z = self._scores(states, edges, head)
         np.exp(z, out=z)
-        total = z.sum(axis=1)
-        right = z[place, group] / total
-        z *= (scale / total)[:, None]
-        z[place, group] -= scale
-        g = {"G": h.T @ z, "g": z.sum(axis=0), "U": np.zeros_like(w["U"]), "b": np.zeros_like(w["b"])}
-        dh = z @ w["G"].T
-        for own, rows, states, d in self._grouped(h, group):
-            np.exp(d, out=d)
-            total, at, part = d.sum(axis=1), np.arange(len(rows)), scale[rows]
-            right[rows] *= d[at, within[rows]] / total
-            d *= (part / total)[:, None]
-            d[at, within[rows]] -= part
-            g["U"][own], g["b"][own] = states.T @ d, d.sum(axis=0)
-            dh[rows] += d @ w["U"][own].T
-        g["O"] = o.T @ dh
-        do = (dh @ w["O"].T).reshape(m, WINDOW, DIM)
-        da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - np.einsum("ijk,ijk->ij", da, a)[..., None])
-        back = np.concatenate((ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do), axis=2).reshape(-1, 3 * DIM)
-        g["Q"], g["K"], g["V"] = np.split(e.T @ back, 3, axis=1)
+        z *= (scale[:, None] / (z @ PARTS)) @ PARTS.T
+        own = np.arange(groups, z.size, groups + GROUP) + label.take(order) % GROUP
+        right = z.reshape(-1).take(own)
+        z.reshape(-1)[own] = right - scale
+        back, dh = np.empty((len(e), DIM), e.dtype), np.empty((len(e), DIM), e.dtype)
+        of_head = np.zeros_like(head)
+        for j in range(groups):
+            rows = slice(edges[j], edges[j + 1])
+            right[rows] *= z[rows, j]
+            z[rows, j] -= scale[rows]
+            np.matmul(z[rows], head[j, :DIM].T, out=back[rows])
+            np.matmul(states[rows].T, z[rows], out=of_head[j])
+        dh[order] = back
+        g = {"G": of_head[:, :DIM, :groups].sum(axis=0), "g": of_head[:, DIM, :groups].sum(axis=0), "U": of_head[:, :DIM, groups:], "b": of_head[:, DIM, groups:]}
+        g["O"] = (o.T @ dh)[:DIM]
+        do = dh @ o_out[:, :DIM].T
+        np.negative((do * o) @ ONES, out=do[:, DIM])
+        do *= part
+        do = do.reshape(m, WINDOW, DIM + 1)
+        ds = do @ v.transpose(0, 2, 1)
+        ds *= a
+        back = np.empty((m, WINDOW, 3 * DIM), e.dtype)
+        np.matmul(ds, k, out=back[:, :, :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, DIM : 2 * DIM])
+        np.matmul(a.transpose(0, 2, 1), do[:, :, :DIM], out=back[:, :, 2 * DIM :])
+        back = back.reshape(-1, 3 * DIM)
+        g["Q"], g["K"], g["V"] = np.split(e[:, :DIM].T @ back, 3, axis=1)
         g["Q"] = g["Q"] / root
-        de = dh + back @ into.T
-        g["P"] = de.reshape(m, WINDOW, DIM).sum(axis=0)
+        de = back @ into[:DIM, : 3 * DIM].T
+        de += dh
+        g["P"] = de.reshape(m, WINDOW * DIM).sum(axis=0).reshape(WINDOW, DIM)
         order = np.argsort(flat.astype(np.int16), kind="stable")
-        rows = flat[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        first = _begins(rows := flat.take(order))
         g["E"] = np.zeros_like(w["E"])
-        g["E"][rows[first]] = np.add.reduceat(de[order], first, axis=0)
-        return float(-np.log(np.maximum(right[inside], 1e-30)).mean()), g
+        g["E"][rows[first]] = np.add.reduceat(de.take(order, 0), first, axis=0)
+        right = right[scale > 0] * np.float32(n) * np.float32(n)
+        return float(-np.log(np.maximum(right, 1e-30)).mean()), g
 
     def prepared(self) -> None:
-        """Products of the embeddings that scoring looks up."""
-        w = self.w
-        scale = np.float32(DIM**0.5)
-        self.e, self.q, self.k, self.v = w["E"], w["E"] @ w["Q"] / scale, w["E"] @ w["K"], w["E"] @ w["V"]
-        self.pq, self.pk, self.pv = w["P"] @ w["Q"] / scale, w["P"] @ w["K"], w["P"] @ w["V"]
+        """Products of the embeddings that scoring looks up; values, and what goes on, end in 1."""
+        w, scale = self.w, np.float32(DIM**0.5)
+        kv = np.concatenate((w["K"], w["V"]), axis=1)
+        self.e, self.q, self.kv = self._wide(w["E"], 1), w["E"] @ w["Q"] / scale, self._wide(w["E"] @ kv, 1)
+        self.pe, self.pq, self.pkv = self._wide(w["P"])[CONTEXT:], (w["P"] @ w["Q"] / scale)[CONTEXT:], self._wide(w["P"] @ kv)
+        self.head, self.out = self._head(), np.zeros((DIM + 1, DIM + 1), np.float32)
+        self.out[:DIM, :DIM] = w["O"]
         late = np.arange(CONTEXT, WINDOW)
         self.mask = np.where(np.arange(WINDOW)[None] > late[:, None], np.float32(CLOSED), np.float32(0))
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log probability of each text; text i has the ids at[i]..at[i + 1]."""
-        new = WINDOW - CONTEXT
+        new, groups = WINDOW - CONTEXT, CLASSES // GROUP
         n = np.diff(at)
         windows = -(-n // new)
         text = np.repeat(np.arange(len(n)), windows)
@@ -357,7 +411,7 @@ class Model:
         before = np.empty(len(ids), np.int64)
         before[1:] = self.row[ids[:-1]]
         before[at[:-1]] = self.start
-        label, within = self.label[ids], self.log_within[ids]
+        label, within = self.label[ids].astype(np.int8), self.log_within[ids]
         out = np.zeros(len(n))
         for i in range(0, len(text), BATCH):
             t, f = text[i : i + BATCH], first[i : i + BATCH]
@@ -365,25 +419,33 @@ class Model:
             where = np.clip(place, 0, n[t][:, None] - 1) + at[t][:, None]
             x = before.take(where)
             # an id after the text's end is seen by none that counts; only before its start is there something to hide
-            late, late_in = x[:, CONTEXT:], place[:, CONTEXT:] < n[t][:, None]
-            s = (self.q.take(late, 0) + self.pq[CONTEXT:]) @ (self.k.take(x, 0) + self.pk).transpose(0, 2, 1)
+            late = x[:, CONTEXT:]
+            e, q, kv = self.e.take(late, 0), self.q.take(late, 0), self.kv.take(x, 0)
+            for own, of_place in ((e, self.pe), (q, self.pq), (kv, self.pkv)):
+                own += of_place
+            s = q @ kv[:, :, :DIM].transpose(0, 2, 1)
             np.clip(s, -MOST, MOST, out=s)
             s += self.mask
             s[f == 0, :, :CONTEXT] = CLOSED
             np.exp(s, out=s)
-            o = s @ (self.v.take(x, 0) + self.pv)
-            o /= s.sum(axis=2, keepdims=True)
-            target = where[:, CONTEXT:][late_in]
-            h = (self.e.take(late, 0) + self.w["P"][CONTEXT:] + (o.reshape(-1, DIM) @ self.w["O"]).reshape(o.shape))[late_in]
-            own = label[target]
-            z = h @ self.w["G"]
-            z += self.w["g"]
-            np.clip(z, -MOST, MOST, out=z)
-            log_p = z[np.arange(len(z)), own // GROUP]
-            log_p += within[target] - np.log(np.exp(z, out=z).sum(axis=1))
-            for _, rows, _, d in self._grouped(h, own // GROUP):
-                log_p[rows] += d[np.arange(len(rows)), own[rows] % GROUP] - np.log(np.exp(d, out=d).sum(axis=1))
-            out += np.bincount(np.repeat(t, late_in.sum(axis=1)), weights=log_p, minlength=len(n))
+            o = (s @ kv[:, :, DIM:]).reshape(-1, DIM + 1)
+            o *= 1 / o[:, DIM:]
+            h = o @ self.out
+            h += e.reshape(-1, DIM + 1)
+            target = where[:, CONTEXT:].reshape(-1)
+            own = label.take(target)
+            group = own // np.int8(GROUP)
+            group[(place[:, CONTEXT:] >= n[t][:, None]).reshape(-1)] = groups  # beyond the text's end: last, and left out
+            edges = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=groups)[:groups])))
+            order = np.argsort(group, kind="stable")[: edges[-1]]
+            z = self._scores(h.take(order, 0), edges, self.head)
+            log_p = within.take(target.take(order))
+            log_p += z.reshape(-1).take(np.arange(groups, z.size, groups + GROUP) + own.take(order) % GROUP)
+            for k in range(groups):
+                log_p[edges[k] : edges[k + 1]] += z[edges[k] : edges[k + 1], k]
+            np.exp(z, out=z)
+            log_p -= np.log(z @ PARTS) @ ONES[:2]
+            out += np.bincount(t.take(order // new), weights=log_p, minlength=len(n))
         return out
 
 

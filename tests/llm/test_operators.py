@@ -2,7 +2,10 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -480,6 +483,59 @@ def test_gradient_of_the_model():
             assert g.reshape(-1)[at] == pytest.approx((losses[0] - losses[1]) / (2 * step), rel=0.02, abs=2e-6), k
 
 
+STEP_COST = """
+import time
+import numpy as np
+from barloom.llm import attention_lm as lm
+
+def least(run):
+    took = []
+    for _ in range(12):
+        began = time.process_time()
+        run()
+        took.append(time.process_time() - began)
+    return min(took)
+
+rng = np.random.default_rng(6)
+texts = [rng.zipf(1.3, 900) % lm.VOCABULARY for _ in range(12)]
+ids = np.concatenate(texts)
+model = lm.Model(np.bincount(ids, minlength=lm.VOCABULARY), texts)
+x, y = (v[: lm.STEP] for v in model.windows(ids, np.arange(0, 10801, 900)))
+a, q = (rng.standard_normal((len(x), lm.WINDOW, n)).astype(np.float32) for n in (lm.WINDOW, lm.DIM))
+products = lambda: [q @ q.transpose(0, 2, 1) for _ in range(2)] + [b @ q for b in (a, a, a.transpose(0, 2, 1), a.transpose(0, 2, 1))]
+print(np.median([least(lambda: model._gradient(x, y)) / least(products) for _ in range(7)]))
+"""
+
+
+def test_step_of_training_is_mostly_products():
+    """It costs at most 4.8 times its six products by window, on one thread as in a task."""
+    env = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
+    assert float(subprocess.run([sys.executable, "-c", STEP_COST], env=env, capture_output=True, text=True, check=True).stdout) < 4.8
+
+
+def test_scores_of_the_model_equal_a_plain_softmax():
+    rng, dim, size = np.random.default_rng(6), attention_lm.DIM, attention_lm.WINDOW
+    texts = [rng.zipf(1.3, 900) % attention_lm.VOCABULARY for _ in range(12)]
+    model = attention_lm.Model(np.bincount(np.concatenate(texts), minlength=attention_lm.VOCABULARY), texts)
+    model.prepared()
+    w, own = model.w, texts[0][: attention_lm.CONTEXT + 3]
+    rows = np.append(model.start, model.row[own[:-1]])
+    e = w["E"][rows].astype(float)
+    want = 0.0
+    for i, label in enumerate(model.label[own]):
+        seen = np.arange(max(0, i - size + 1), i + 1)
+        first = i // (size - attention_lm.CONTEXT) * (size - attention_lm.CONTEXT) - attention_lm.CONTEXT
+        seen = seen[seen >= first]
+        here = e[seen] + w["P"][seen - first]
+        score = np.exp(here[-1] @ w["Q"] @ (here @ w["K"]).T / dim**0.5)
+        h = here[-1] + score @ (here @ w["V"]) / score.sum() @ w["O"]
+        group, within = label // attention_lm.GROUP, label % attention_lm.GROUP
+        for z, k in ((h @ w["G"] + w["g"], group), (h @ w["U"][group] + w["b"][group], within)):
+            want += z[k] - np.log(np.exp(np.maximum(z, -attention_lm.MOST)).sum())
+        want += model.log_within[own[i]]
+    assert model.score(own, np.array([0, len(own)]))[0] == pytest.approx(want, rel=1e-4)
+
+
 def test_license_scan(docs, none, real, spark):
     assert licenses.license_scan(none).count() == 0
     texts = [(r["doc_id"], r["text"]) for r in real.collect()]
