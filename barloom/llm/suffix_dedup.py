@@ -234,51 +234,65 @@ def _cut_segments(n_buckets: int):
     return run
 
 
-def _named(parts: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    """Ranks of tuples, equal for equal tuples, and how many there are."""
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of whole numbers of at least 0, ties in any, and the numbers in it; where both fit a word, place and number are sorted as one."""
+    bits = np.int64(max(1, len(keys) - 1).bit_length())
+    if int(keys.max(initial=0)).bit_length() + bits > 62:
+        order = np.argsort(keys)
+        return order, keys[order]
+    both = keys << bits
+    both |= np.arange(len(keys))
+    both.sort()
+    return both & ((np.int64(1) << bits) - 1), both >> bits
+
+
+def _named(parts: list[np.ndarray]) -> tuple[np.ndarray, int, np.ndarray]:
+    """Ranks of tuples, equal for equal tuples, how many there are, and an order of the tuples."""
     name = parts[0]
     for more in parts[1:]:
         bits = np.int64(int(more.max(initial=0)).bit_length())
         if int(name.max(initial=0)).bit_length() + bits > 62:
-            name = np.unique(name, return_inverse=True)[1]
+            name = _named([name])[0]
         name = (name << bits) | more
-    kinds, rank = np.unique(name, return_inverse=True)
-    return rank.astype(np.int64), len(kinds)
+    order, name = _sorted(name)
+    place = np.cumsum(_fresh(name)) - 1
+    rank = np.empty(len(name), np.int64)
+    rank[order] = place
+    return rank, int(place[-1]) + 1 if len(place) else 0, order
 
 
 def difference_cover_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``symbols`` (>= 1) in an order that is theirs by at least the first ``depth`` symbols."""
     n = len(symbols)
     s = np.concatenate((symbols.astype(np.int64), np.zeros(5, np.int64)))
-    place = np.arange(n + 2)
-    ones, twos = place[1::3], place[2::3]
-    sample = np.concatenate((ones, twos))
-    name, kinds = _named([s[sample], s[sample + 1], s[sample + 2]])
-    if kinds < len(sample) and depth > 3:
-        below = difference_cover_order(name + 1, -(-depth // 3))
-        rank_of = np.empty(len(sample), np.int64)
-        rank_of[below] = np.arange(len(sample))
-        sorted_sample = sample[below]
-    else:
-        rank_of = name
-        sorted_sample = sample[np.argsort(name, kind="stable")]
+    ones, twos = len(range(1, n + 2, 3)), len(range(2, n + 2, 3))
+    name, kinds, order = _named([np.concatenate((s[1 + j :: 3][:ones], s[2 + j :: 3][:twos])) for j in range(3)])
+    if kinds < len(name) and depth > 3:
+        del order  # what is not needed again is not held beside the recursion
+        name += 1
+        order = difference_cover_order(name, -(-depth // 3))
+        name[order] = np.arange(len(name))
     rank = np.zeros(n + 5, np.int64)
-    rank[sample] = rank_of + 1
+    rank[1 : n + 2 : 3], rank[2 : n + 2 : 3] = name[:ones] + 1, name[ones:] + 1
+    sorted_sample = np.where(order < ones, 3 * order + 1, 3 * (order - ones) + 2)
+    del name, order
     sorted_sample = sorted_sample[sorted_sample < n]
     zeros = np.arange(0, n, 3)
     bits = np.int64(int(rank.max(initial=0)).bit_length())
-    key = (s[zeros] << bits) | rank[zeros + 1]
-    by = np.argsort(key, kind="stable")
-    zeros, key = zeros[by], key[by]
+    single = (s[:n] << bits) | rank[1 : n + 1]
+    by, key = _sorted(single[::3])
+    zeros = zeros[by]
     # a suffix of class 0 meets class 1 by (symbol, rank) and class 2 by (two symbols, rank)
     own_ones, own_twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
-    less = np.searchsorted((s[own_ones] << bits) | rank[own_ones + 1], key, "left")
+    less = np.searchsorted(single[own_ones], key, "left")
+    del single
     wide = np.int64(int(s.max(initial=0)).bit_length())
     if 2 * int(wide) + int(bits) <= 62:
-        triple = lambda p: (((s[p] << wide) | s[p + 1]) << bits) | rank[p + 2]
-        left, right = triple(own_twos), triple(zeros)
+        double = (((s[:n] << wide) | s[1 : n + 1]) << bits) | rank[2 : n + 2]
+        left, right = double[own_twos], double[zeros]
+        del double
     else:
-        both, _ = _named([np.concatenate((s[own_twos], s[zeros])), np.concatenate((s[own_twos + 1], s[zeros + 1])), np.concatenate((rank[own_twos + 2], rank[zeros + 2]))])
+        both, _, _ = _named([np.concatenate((s[own_twos], s[zeros])), np.concatenate((s[own_twos + 1], s[zeros + 1])), np.concatenate((rank[own_twos + 2], rank[zeros + 2]))])
         left, right = both[: len(own_twos)], both[len(own_twos) :]
     less = less + np.searchsorted(left, right, "left")
     out = np.empty(n, np.int64)

@@ -255,6 +255,39 @@ def test_difference_cover_order():
         assert suffix_dedup.difference_cover_order(s, size + 3).tolist() == sorted(range(size), key=lambda i: s[i:].tolist())
 
 
+LEAST = """
+import time
+import numpy as np
+
+def least(run, times):
+    took = []
+    for _ in range(times):
+        began = time.process_time()
+        run()
+        took.append(time.process_time() - began)
+    return min(took)
+"""
+
+
+def _printed(code):
+    """What code after LEAST prints, on one thread as in a task."""
+    env = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
+    return float(subprocess.run([sys.executable, "-c", LEAST + code], env=env, capture_output=True, text=True, check=True).stdout)
+
+
+SORT_COST = """
+from barloom.llm.suffix_dedup import difference_cover_order
+rng = np.random.default_rng(3)
+text, keys = np.tile(rng.integers(97, 123, 600_000), 2), rng.integers(0, 1 << 60, 1_200_000)
+print(np.median([least(lambda: difference_cover_order(text, 50), 4) / least(lambda: np.sort(keys), 4) for _ in range(3)]))
+"""
+
+
+def test_suffix_sort_is_mostly_sorts_of_numbers():
+    """The order of suffixes costs at most 26 sorts of as many numbers."""
+    assert _printed(SORT_COST) < 26
+
+
 def test_suffix_dedup(docs, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
     got, seen = suffix_dedup.suffix_dedup(docs).collect(), set()
@@ -484,18 +517,7 @@ def test_gradient_of_the_model():
 
 
 STEP_COST = """
-import time
-import numpy as np
 from barloom.llm import attention_lm as lm
-
-def least(run):
-    took = []
-    for _ in range(12):
-        began = time.process_time()
-        run()
-        took.append(time.process_time() - began)
-    return min(took)
-
 rng = np.random.default_rng(6)
 texts = [rng.zipf(1.3, 900) % lm.VOCABULARY for _ in range(12)]
 ids = np.concatenate(texts)
@@ -503,14 +525,13 @@ model = lm.Model(np.bincount(ids, minlength=lm.VOCABULARY), texts)
 x, y = (v[: lm.STEP] for v in model.windows(ids, np.arange(0, 10801, 900)))
 a, q = (rng.standard_normal((len(x), lm.WINDOW, n)).astype(np.float32) for n in (lm.WINDOW, lm.DIM))
 products = lambda: [q @ q.transpose(0, 2, 1) for _ in range(2)] + [b @ q for b in (a, a, a.transpose(0, 2, 1), a.transpose(0, 2, 1))]
-print(np.median([least(lambda: model._gradient(x, y)) / least(products) for _ in range(7)]))
+print(np.median([least(lambda: model._gradient(x, y), 12) / least(products, 12) for _ in range(7)]))
 """
 
 
 def test_step_of_training_is_mostly_products():
     """It costs at most 4.8 times its six products by window, on one thread as in a task."""
-    env = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
-    assert float(subprocess.run([sys.executable, "-c", STEP_COST], env=env, capture_output=True, text=True, check=True).stdout) < 4.8
+    assert _printed(STEP_COST) < 4.8
 
 
 def test_scores_of_the_model_equal_a_plain_softmax():
