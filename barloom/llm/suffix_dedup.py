@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.storage import rewritten, small_batches
-from barloom.llm.text import chunks, mix, prefix, slice_hashes
+from barloom.llm.text import chunks, mix, ordered, prefix, slice_hashes
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
@@ -234,18 +234,6 @@ def _cut_segments(n_buckets: int):
     return run
 
 
-def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of whole numbers of at least 0, ties in any, and the numbers in it; where both fit a word, place and number are sorted as one."""
-    bits = np.int64(max(1, len(keys) - 1).bit_length())
-    if int(keys.max(initial=0)).bit_length() + bits > 62:
-        order = np.argsort(keys)
-        return order, keys[order]
-    both = keys << bits
-    both |= np.arange(len(keys))
-    both.sort()
-    return both & ((np.int64(1) << bits) - 1), both >> bits
-
-
 def _named(parts: list[np.ndarray]) -> tuple[np.ndarray, int, np.ndarray]:
     """Ranks of tuples, equal for equal tuples, how many there are, and an order of the tuples."""
     name = parts[0]
@@ -254,7 +242,7 @@ def _named(parts: list[np.ndarray]) -> tuple[np.ndarray, int, np.ndarray]:
         if int(name.max(initial=0)).bit_length() + bits > 62:
             name = _named([name])[0]
         name = (name << bits) | more
-    order, name = _sorted(name)
+    order, name = ordered(name)
     place = np.cumsum(_fresh(name)) - 1
     rank = np.empty(len(name), np.int64)
     rank[order] = place
@@ -280,7 +268,7 @@ def difference_cover_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     zeros = np.arange(0, n, 3)
     bits = np.int64(int(rank.max(initial=0)).bit_length())
     single = (s[:n] << bits) | rank[1 : n + 1]
-    by, key = _sorted(single[::3])
+    by, key = ordered(single[::3])
     zeros = zeros[by]
     # a suffix of class 0 meets class 1 by (symbol, rank) and class 2 by (two symbols, rank)
     own_ones, own_twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]

@@ -94,6 +94,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return slice_hashes(prefix(data), starts, ends)
 
 
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of whole numbers of at least 0, ties in any, and the numbers in it; where both fit a word, place and number are sorted as one."""
+    bits = np.int64(max(1, len(keys) - 1).bit_length())
+    if int(keys.max(initial=0)).bit_length() + bits > 62:
+        order = np.argsort(keys)
+        return order, keys[order]
+    both = keys << bits
+    both |= np.arange(len(keys))
+    both.sort()
+    return both & ((np.int64(1) << bits) - 1), both >> bits
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each window of ``width`` hashes; windows over two texts are the caller's to drop."""
     n = max(0, len(hashes) - width + 1)

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.storage import rewritten, small_batches
-from barloom.llm.text import LOWER, chunks, mix, prefix, slice_hashes, spans
+from barloom.llm.text import LOWER, chunks, mix, ordered, prefix, slice_hashes, spans
 
 END, SHARD_IDS = 1, 1 << 20
 NEW = 1 << 17  #: nonterminals begin here, above all ids of the vocabularies
 #: A rule takes the room of three ids, so a pair repays it from four uses on.
 REPAID, FALL, SLOT_BITS = 4, 16, 20
-_FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_FACTORS = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 #: Shards up to which their offsets are broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_SHARDS = 500_000
 SHARD_SCHEMA = "part int, shard int, doc_ids array<long>, n_tokens array<long>, rules binary, expansions binary, sequence binary"
@@ -206,14 +206,21 @@ def repair(ids: np.ndarray, least: int = REPAID) -> tuple[np.ndarray, np.ndarray
     Each round replaces the most frequent pairs, down to 1 / ``FALL`` of the first one's count; the last ones have no pair
     left that comes ``least`` times. Pairs are counted in hashed slots, and those of frequent slots one by one.
     """
-    seq, rules, n_rules, fall = ids.astype(np.uint64), [], 0, FALL
-    high = np.uint64(32)
+    seq, rules, n_rules, fall = ids.astype(np.uint32), [], 0, FALL
     while len(seq) > 1:
-        slot = ((seq[:-1] * _FACTORS[0] + seq[1:] * _FACTORS[1]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        count = np.bincount(slot, minlength=1 << SLOT_BITS)
+        bits = min(SLOT_BITS, len(seq).bit_length())
+        slot = seq[:-1] * _FACTORS[0]
+        slot += seq[1:] * _FACTORS[1]
+        slot >>= np.uint32(32 - bits)
+        count = np.bincount(slot, minlength=1 << bits)
         limit = max(least, int(count.max()) // fall)
-        some = np.flatnonzero((count >= limit)[slot])
-        kinds, which, counts = np.unique((seq[some] << high) | seq[some + 1], return_inverse=True, return_counts=True)
+        some = np.flatnonzero((count >= limit).take(slot))
+        wide = int(seq.max()).bit_length()
+        order, pair = ordered((seq.take(some).astype(np.int64) << wide) | seq.take(some + 1))
+        new = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
+        begin, which = np.flatnonzero(new), np.empty(len(pair), np.int64)
+        which[order] = np.cumsum(new) - 1
+        kinds, counts = pair[begin], np.diff(np.append(begin, len(pair)))
         often = (counts >= limit)[which]
         hit, which = some[often], which[often]
         # of overlapping hits every second one in a row is taken
@@ -230,8 +237,8 @@ def repair(ids: np.ndarray, least: int = REPAID) -> tuple[np.ndarray, np.ndarray
             fall *= FALL
             continue
         fall = FALL
-        rules.append(np.stack([kinds[repaid] >> high, kinds[repaid] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64))
-        seq[hit] = (NEW + n_rules + np.cumsum(repaid) - 1).astype(np.uint64)[which]
+        rules.append(np.stack([kinds[repaid] >> wide, kinds[repaid] & ((1 << wide) - 1)], axis=1))
+        seq[hit] = (NEW + n_rules + np.cumsum(repaid) - 1).astype(np.uint32)[which]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]

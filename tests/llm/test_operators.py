@@ -415,6 +415,19 @@ def test_encoder_forgets_and_goes_on(monkeypatch):
         assert [x.tolist() for x in encoder.encode(data, at)] == [x.tolist() for x in fresh.encode(data, at)]
 
 
+REPAIR_COST = """
+from barloom.llm.token_output import repair
+rng = np.random.default_rng(5)
+ids, keys = rng.integers(0, 700, 1 << 20).astype(np.uint32), rng.integers(0, 1 << 60, 1 << 20)
+print(np.median([least(lambda: repair(ids), 2) / least(lambda: np.sort(keys), 4) for _ in range(3)]))
+"""
+
+
+def test_repair_is_mostly_sorts_of_numbers():
+    """A shard of many pairs costs at most 14 sorts of as many numbers."""
+    assert _printed(REPAIR_COST) < 14
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(5)
     ids = np.concatenate((np.zeros(999, int), rng.zipf(1.5, 30_000) % 500)).astype("<u4")
