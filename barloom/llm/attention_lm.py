@@ -48,12 +48,13 @@ EPOCHS, LEAST_WINDOWS = 6, 1 << 17
 ROUNDS, TASK_WINDOWS, BLOCK = 4, 1 << 15, 1 << 14
 SEED, SIDE = 7, 24
 FIXED = float(1 << 24)  #: weights are averaged as whole multiples of 1 / FIXED
+AT_ONCE = 1 << 16  #: ids scored at once; a longer text is scored by itself
 END_TOKEN = 0x454E44  #: stands for the end token among word hashes
 PACK = 1 << 20
 #: A score of what may not be seen or does not occur, and of the later places of a window.
 CLOSED = -1e9
-CAUSAL = np.triu(np.full((WINDOW, WINDOW), CLOSED, np.float32), 1)
 MOST = 80.0  #: scores are kept within, so that their exponentials are finite and not 0
+CAUSAL = np.triu(np.full((WINDOW, WINDOW), CLOSED - MOST, np.float32), 1) + np.float32(MOST)
 STEP = 256  #: windows to a step of descent
 #: Short rows are summed as products: with ones, and those of a state's scores by groups and own classes.
 ONES = np.ones(DIM + 1, np.float32)
@@ -118,30 +119,41 @@ def _counted(high: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray,
     """Distinct pairs of numbers below ``most`` and ids, in order, and how often each comes."""
     kind = np.uint32 if most * VOCABULARY < 1 << 32 else np.int64
     pair, n = np.unique(high.astype(kind) * kind(VOCABULARY) + low.astype(kind), return_counts=True)
-    return (pair // kind(VOCABULARY)).astype(np.int64), (pair % kind(VOCABULARY)).astype(np.uint16), n.astype(np.int32)
+    return (pair // kind(VOCABULARY)).astype(np.int64), (pair % kind(VOCABULARY)).astype(np.int64), n
+
+
+def _sums(parts: np.ndarray, of: np.ndarray, to: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """For each row of ``parts`` the sums, by ``to``, of its numbers at ``of`` times n."""
+    out = np.zeros((len(parts), size), np.int64)
+    for part, sums in zip(parts, out, strict=True):
+        np.add.at(sums, to, part.take(of) * n)
+    return out
+
+
+def _sign_sums(signs: np.ndarray, of: np.ndarray, to: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the signs at ``of`` times n, by ``to``: positive ones are counted, as many signs to a number as surely stay apart."""
+    bits = max(1, int(n.sum()).bit_length())
+    lanes = 63 // bits
+    places = np.arange(lanes) * bits
+    plus = np.zeros((len(signs), -(-SIDE // lanes) * lanes), np.int64)
+    plus[:, :SIDE] = signs > 0
+    parts = (plus.reshape(len(signs), -1, lanes) << places).sum(axis=2)
+    counted = _sums(np.ascontiguousarray(parts.T), of, to, n, size)
+    each = ((counted[:, None] >> places[:, None]) & ((1 << bits) - 1)).reshape(-1, size)[:SIDE]
+    return (2 * each - _sums(np.ones((1, len(signs)), np.int64), of, to, n, size)).T
 
 
 def neighbours(ids: np.ndarray, at: np.ndarray, near: np.ndarray, signs: np.ndarray) -> None:
     """Add to near (ids, 3 * SIDE) the projections of what stands before, after and around each id of the texts."""
-    few = signs.astype(np.int32)  # a pack has fewer ids than 2 ** 31
     inside = np.ones(max(0, len(ids) - 1), bool)
     inside[(edge := at[1:-1])[(edge > 0) & (edge < len(ids))] - 1] = False
     a, b, n = _counted(ids[:-1][inside], ids[1:][inside], VOCABULARY)
-    if len(a):
-        first = _begins(a)
-        near[a[first], SIDE : 2 * SIDE] += np.add.reduceat(few.take(b, 0) * n[:, None], first, axis=0)
-        order = np.argsort(b, kind="stable")
-        first = _begins(b := b.take(order))
-        near[b[first], :SIDE] += np.add.reduceat(few.take(a.take(order), 0) * n.take(order)[:, None], first, axis=0)
+    near[:, SIDE : 2 * SIDE] += _sign_sums(signs, b, a, n, len(near))
+    near[:, :SIDE] += _sign_sums(signs, a, b, n, len(near))
     text, own, n = _counted(np.repeat(np.arange(len(at) - 1), np.diff(at)), ids, len(at))
-    if len(text):
-        first = _begins(text)
-        sums = np.add.reduceat(few.take(own, 0) * n[:, None], first, axis=0)
-        mean = np.rint(sums * (65536 / np.diff(at)[text[first]])[:, None]).astype(np.int64)
-        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(text))))
-        order = np.argsort(own, kind="stable")
-        first = _begins(own := own.take(order))
-        near[own[first], 2 * SIDE :] += np.add.reduceat(mean.take(which.take(order), 0) * n.take(order)[:, None], first, axis=0)
+    sums = _sign_sums(signs, own, text, n, len(at) - 1)
+    mean = np.rint(sums * (65536 / np.maximum(1, np.diff(at)))[:, None]).astype(np.int64)
+    near[:, 2 * SIDE :] += _sums(np.ascontiguousarray(mean.T), text, own, n, len(near)).T
 
 
 def _training(batches: Iterator[pa.RecordBatch], size: int = PACK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -256,9 +268,10 @@ class Model:
         odd = np.random.default_rng(SEED).integers(0, 1 << 63, 2 * WINDOW).astype(np.uint64) | np.uint64(1)
         key = x.astype(np.uint64) @ odd[:WINDOW] + y.astype(np.uint64) @ odd[WINDOW:]
         order, total = np.argsort(mix(key + np.uint64(salt)), kind="stable"), 0.0
+        names, size = list(self.w), sum(v.size for v in self.w.values())
         if not moments:
-            moments |= {"step": 0, "first": {k: np.zeros_like(v) for k, v in self.w.items()}, "second": {k: np.zeros_like(v) for k, v in self.w.items()}}
-        first, second = moments["first"], moments["second"]
+            moments |= {"step": 0, "first": np.zeros(size, np.float32), "second": np.zeros(size, np.float32)}
+        first, second, by = moments["first"], moments["second"], np.empty(size, np.float32)
         for i in range(0, len(order), STEP):
             loss, grad = self._gradient(x[order[i : i + STEP]], y[order[i : i + STEP]])
             total += loss * len(order[i : i + STEP])
@@ -267,16 +280,20 @@ class Model:
             # first and second are 10 and 1000 times the means
             spread = (0.001 / (1 - 0.999**step)) ** 0.5
             rate, least = np.float32(0.001 / (1 - 0.9**step) / spread), np.float32(1e-8 / spread)
-            for k, g in grad.items():
-                first[k] *= np.float32(0.9)
-                first[k] += g
-                second[k] *= np.float32(0.999)
-                second[k] += g * g
-                by = np.sqrt(second[k])
-                by += least
-                np.divide(first[k], by, out=by)
-                by *= rate
-                self.w[k] -= by
+            g = np.concatenate([grad[k].reshape(-1) for k in names])
+            first *= np.float32(0.9)
+            first += g
+            g *= g
+            second *= np.float32(0.999)
+            second += g
+            np.sqrt(second, out=by)
+            by += least
+            np.divide(first, by, out=by)
+            by *= rate
+            at = 0
+            for k in names:
+                self.w[k] -= by[at : at + self.w[k].size].reshape(self.w[k].shape)
+                at += self.w[k].size
             self._close()
         return total
 
@@ -304,6 +321,12 @@ class Model:
         head[:, :DIM, :groups], head[:, DIM, :groups], head[:, :DIM, groups:], head[:, DIM, groups:] = w["G"], w["g"], w["U"], w["b"]
         return head
 
+    def _into(self) -> np.ndarray:
+        """What turns a state into its query, its value and 1: both sides of a score, and a value and its way out, are one product."""
+        w, into = self.w, np.zeros((DIM + 1, 2 * DIM + 1), self.w["V"].dtype)
+        into[:DIM, :DIM], into[:DIM, DIM:-1], into[DIM, -1] = w["Q"] @ w["K"].T / np.float32(DIM**0.5), w["V"] @ w["O"], 1
+        return into
+
     @staticmethod
     def _wide(weights: np.ndarray, last: float = 0) -> np.ndarray:
         """Weights with one more column, of ``last`` only."""
@@ -325,27 +348,24 @@ class Model:
         Values have a column of ones, so that one product gives sums of weights with the weighted sum, and the way back takes
         what the sums lose off in its product. The last step works on states in order of their groups.
         """
-        w, m, root, groups = self.w, len(x), np.float32(DIM**0.5), CLASSES // GROUP
+        w, m, groups = self.w, len(x), CLASSES // GROUP
         inside = (y >= 0).reshape(-1)
-        n, label, flat = int(np.count_nonzero(inside)), np.maximum(y, 0).reshape(-1), x.reshape(-1)
+        n, label, flat = int(np.count_nonzero(inside)), np.maximum(y, 0).reshape(-1).astype(np.int8), x.reshape(-1)
         e = self._wide(w["E"], 1).take(flat, 0)
         e.reshape(m, WINDOW, DIM + 1)[:] += self._wide(w["P"])
-        into = np.zeros((DIM + 1, 3 * DIM + 1), e.dtype)
-        into[:DIM, : 3 * DIM], into[DIM, 3 * DIM] = np.concatenate((w["Q"] / root, w["K"], w["V"]), axis=1), 1
-        qkv = (e @ into).reshape(m, WINDOW, 3 * DIM + 1)
-        q, k, v = qkv[:, :, :DIM], qkv[:, :, DIM : 2 * DIM], qkv[:, :, 2 * DIM :]
+        into, k = self._into(), e.reshape(m, WINDOW, DIM + 1)[:, :, :DIM]
+        qv = (e @ into).reshape(m, WINDOW, 2 * DIM + 1)
+        q, v = qv[:, :, :DIM], qv[:, :, DIM:]
         a = q @ k.transpose(0, 2, 1)
-        np.clip(a, -MOST, MOST, out=a)
-        a += CAUSAL
+        np.maximum(a, -MOST, out=a)
+        np.minimum(a, CAUSAL, out=a)
         np.exp(a, out=a)
         o = (a @ v).reshape(-1, DIM + 1)
         part = 1 / o[:, DIM:]
         o *= part
-        o_out = np.zeros((DIM + 1, DIM + 1), e.dtype)
-        o_out[:DIM, :DIM] = w["O"]
-        h = o @ o_out
-        h += e
-        group = (label // GROUP).astype(np.int8)
+        h = o + e
+        h[:, DIM] = 1
+        group = label // np.int8(GROUP)
         order = np.argsort(group, kind="stable")
         edges = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=groups))))
         states, head = h.take(order, 0), self._head()
@@ -353,99 +373,92 @@ class Model:
         z = self._scores(states, edges, head)
         np.exp(z, out=z)
         z *= (scale[:, None] / (z @ PARTS)) @ PARTS.T
-        own = np.arange(groups, z.size, groups + GROUP) + label.take(order) % GROUP
+        own = np.arange(groups, z.size, groups + GROUP) + (label % np.int8(GROUP)).take(order)
         right = z.reshape(-1).take(own)
         z.reshape(-1)[own] = right - scale
-        back, dh = np.empty((len(e), DIM), e.dtype), np.empty((len(e), DIM), e.dtype)
+        back = np.empty_like(e)
         of_head = np.zeros_like(head)
         for j in range(groups):
             rows = slice(edges[j], edges[j + 1])
             right[rows] *= z[rows, j]
             z[rows, j] -= scale[rows]
-            np.matmul(z[rows], head[j, :DIM].T, out=back[rows])
+            np.matmul(z[rows], head[j].T, out=back[rows])
             np.matmul(states[rows].T, z[rows], out=of_head[j])
-        dh[order] = back
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        dh = back.take(place, 0)
         g = {"G": of_head[:, :DIM, :groups].sum(axis=0), "g": of_head[:, DIM, :groups].sum(axis=0), "U": of_head[:, :DIM, groups:], "b": of_head[:, DIM, groups:]}
-        g["O"] = (o.T @ dh)[:DIM]
-        do = dh @ o_out[:, :DIM].T
+        dh[:, DIM] = 0
+        do = dh * part
         np.negative((do * o) @ ONES, out=do[:, DIM])
-        do *= part
         do = do.reshape(m, WINDOW, DIM + 1)
         ds = do @ v.transpose(0, 2, 1)
         ds *= a
-        back = np.empty((m, WINDOW, 3 * DIM), e.dtype)
+        back = np.empty((m, WINDOW, 2 * DIM), e.dtype)
         np.matmul(ds, k, out=back[:, :, :DIM])
-        np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, DIM : 2 * DIM])
-        np.matmul(a.transpose(0, 2, 1), do[:, :, :DIM], out=back[:, :, 2 * DIM :])
-        back = back.reshape(-1, 3 * DIM)
-        g["Q"], g["K"], g["V"] = np.split(e[:, :DIM].T @ back, 3, axis=1)
-        g["Q"] = g["Q"] / root
-        de = back @ into[:DIM, : 3 * DIM].T
+        np.matmul(a.transpose(0, 2, 1), do[:, :, :DIM], out=back[:, :, DIM:])
+        back = back.reshape(-1, 2 * DIM)
+        # a long thin product is quicker as the sum of some short ones
+        of_scores, of_values = np.split((e.reshape(WINDOW, m, DIM + 1)[:, :, :DIM].transpose(0, 2, 1) @ back.reshape(WINDOW, m, 2 * DIM)).sum(axis=0), 2, axis=1)
+        of_scores = of_scores / np.float32(DIM**0.5)
+        g |= {"Q": of_scores @ w["K"], "K": of_scores.T @ w["Q"], "V": of_values @ w["O"].T, "O": w["V"].T @ of_values}
+        de = back @ into[:, : 2 * DIM].T
         de += dh
+        de = de[:, :DIM] + (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
         g["P"] = de.reshape(m, WINDOW * DIM).sum(axis=0).reshape(WINDOW, DIM)
-        order = np.argsort(flat.astype(np.int16), kind="stable")
-        first = _begins(rows := flat.take(order))
         g["E"] = np.zeros_like(w["E"])
-        g["E"][rows[first]] = np.add.reduceat(de.take(order, 0), first, axis=0)
+        # two components are added as one complex number
+        pairs = np.result_type(de, np.complex64)
+        np.add.at(g["E"].view(pairs).reshape(-1), ((flat * (DIM // 2))[:, None] + np.arange(DIM // 2)).reshape(-1), de.view(pairs).reshape(-1))
         right = right[scale > 0] * np.float32(n) * np.float32(n)
         return float(-np.log(np.maximum(right, 1e-30)).mean()), g
 
     def prepared(self) -> None:
         """Products of the embeddings that scoring looks up; values, and what goes on, end in 1."""
-        w, scale = self.w, np.float32(DIM**0.5)
-        kv = np.concatenate((w["K"], w["V"]), axis=1)
-        self.e, self.q, self.kv = self._wide(w["E"], 1), w["E"] @ w["Q"] / scale, self._wide(w["E"] @ kv, 1)
-        self.pe, self.pq, self.pkv = self._wide(w["P"])[CONTEXT:], (w["P"] @ w["Q"] / scale)[CONTEXT:], self._wide(w["P"] @ kv)
-        self.head, self.out = self._head(), np.zeros((DIM + 1, DIM + 1), np.float32)
-        self.out[:DIM, :DIM] = w["O"]
-        late = np.arange(CONTEXT, WINDOW)
-        self.mask = np.where(np.arange(WINDOW)[None] > late[:, None], np.float32(CLOSED), np.float32(0))
+        e, p, into = self._wide(self.w["E"], 1), self._wide(self.w["P"]), self._into()
+        self.q, self.pq = e @ into[:, :DIM], (p @ into[:, :DIM])[CONTEXT:]
+        self.kv, self.pkv = (np.concatenate((x[:, :DIM], x @ into[:, DIM:]), axis=1) for x in (e, p))
+        self.head = self._head()
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log probability of each text; text i has the ids at[i]..at[i + 1]."""
-        new, groups = WINDOW - CONTEXT, CLASSES // GROUP
-        n = np.diff(at)
+        new, groups, n = WINDOW - CONTEXT, CLASSES // GROUP, np.diff(at)
         windows = -(-n // new)
         text = np.repeat(np.arange(len(n)), windows)
-        first = (np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)) * new
-        before = np.empty(len(ids), np.int64)
-        before[1:] = self.row[ids[:-1]]
-        before[at[:-1]] = self.start
-        label, within = self.label[ids].astype(np.int8), self.log_within[ids]
+        opens = np.zeros(len(text), bool)
+        opens[(np.cumsum(windows) - windows)[n > 0]] = True
+        # every text has room for whole windows; what it does not fill is of no group, and seen by none that counts
+        to = np.arange(len(ids)) + np.repeat((np.cumsum(windows) - windows) * new - at[:-1], n)
+        before, group = np.full(len(text) * new + CONTEXT, self.start), np.full(len(text) * new, groups, np.int8)
+        own, within, label = np.zeros(len(group), np.int8), np.zeros(len(group), np.float32), self.label[ids].astype(np.int8)
+        before[CONTEXT + to[1:]] = self.row[ids[:-1]]
+        before[CONTEXT::new][opens] = self.start
+        group[to], own[to], within[to] = label // np.int8(GROUP), label % np.int8(GROUP), self.log_within[ids]
+        places = np.lib.stride_tricks.sliding_window_view(before, WINDOW)[::new] if len(text) else before
         out = np.zeros(len(n))
         for i in range(0, len(text), BATCH):
-            t, f = text[i : i + BATCH], first[i : i + BATCH]
-            place = f[:, None] + np.arange(-CONTEXT, new)
-            where = np.clip(place, 0, n[t][:, None] - 1) + at[t][:, None]
-            x = before.take(where)
-            # an id after the text's end is seen by none that counts; only before its start is there something to hide
-            late = x[:, CONTEXT:]
-            e, q, kv = self.e.take(late, 0), self.q.take(late, 0), self.kv.take(x, 0)
-            for own, of_place in ((e, self.pe), (q, self.pq), (kv, self.pkv)):
-                own += of_place
+            x, part = places[i : i + BATCH], slice(i * new, (i + BATCH) * new)
+            q, kv = self.q.take(x[:, CONTEXT:], 0), self.kv.take(x, 0)
+            q += self.pq
+            kv += self.pkv
             s = q @ kv[:, :, :DIM].transpose(0, 2, 1)
-            np.clip(s, -MOST, MOST, out=s)
-            s += self.mask
-            s[f == 0, :, :CONTEXT] = CLOSED
+            np.maximum(s, -MOST, out=s)
+            np.minimum(s, CAUSAL[CONTEXT:], out=s)
+            s[opens[i : i + BATCH], :, :CONTEXT] = CLOSED
             np.exp(s, out=s)
-            o = (s @ kv[:, :, DIM:]).reshape(-1, DIM + 1)
-            o *= 1 / o[:, DIM:]
-            h = o @ self.out
-            h += e.reshape(-1, DIM + 1)
-            target = where[:, CONTEXT:].reshape(-1)
-            own = label.take(target)
-            group = own // np.int8(GROUP)
-            group[(place[:, CONTEXT:] >= n[t][:, None]).reshape(-1)] = groups  # beyond the text's end: last, and left out
-            edges = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=groups)[:groups])))
-            order = np.argsort(group, kind="stable")[: edges[-1]]
-            z = self._scores(h.take(order, 0), edges, self.head)
-            log_p = within.take(target.take(order))
-            log_p += z.reshape(-1).take(np.arange(groups, z.size, groups + GROUP) + own.take(order) % GROUP)
+            h = s @ kv[:, :, DIM:]
+            h *= 1 / h[:, :, DIM:]
+            h[:, :, :DIM] += kv[:, CONTEXT:, :DIM]
+            edges = np.concatenate(([0], np.cumsum(np.bincount(group[part], minlength=groups)[:groups])))
+            order = np.argsort(group[part], kind="stable")[: edges[-1]]
+            z = self._scores(h.reshape(-1, DIM + 1).take(order, 0), edges, self.head)
+            log_p = within[part].take(order)
+            log_p += z.reshape(-1).take(np.arange(groups, z.size, groups + GROUP) + own[part].take(order))
             for k in range(groups):
                 log_p[edges[k] : edges[k + 1]] += z[edges[k] : edges[k + 1], k]
             np.exp(z, out=z)
             log_p -= np.log(z @ PARTS) @ ONES[:2]
-            out += np.bincount(t.take(order // new), weights=log_p, minlength=len(n))
+            out += np.bincount(text[i : i + BATCH].take(order // new), weights=log_p, minlength=len(n))
         return out
 
 
@@ -536,42 +549,54 @@ class Base:
         return hot, np.where(hot, self.logs[slot], 0.0)
 
 
-def _cold(base: Base):
-    """(row, word, n) of words outside the hot table."""
+WORDS = "row long, word long, n int, text struct<n_tokens: long, known: long, score: double>"
+
+
+def _words(base: Base):
+    """(row, word, n) of words outside the hot table, and for each text a row of no word: its tokens and what the table knows of them.
+
+    A row of no word has the row's hash for a word, so that these rows spread like words; its n is 0, so it is none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in chunks(batches):
             hashes, doc = _tokens(data, at)
-            cold = ~base.find(hashes)[0]
-            hashes, doc = hashes[cold], doc[cold]
+            hot, logs = base.find(hashes)
+            texts, number = len(at) - 1, rows.column("row").to_numpy()
+            known, score = np.bincount(doc, weights=hot, minlength=texts), np.bincount(doc, weights=logs, minlength=texts)
+            tokens = np.bincount(doc, minlength=texts)
+            hashes, doc = hashes[~hot], doc[~hot]
             order = np.lexsort((hashes, doc))
             hashes, doc = hashes[order], doc[order]
             new = np.ones(len(doc), bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(doc)))
-            own = rows.column("row").take(pa.array(doc[first]))
-            yield pa.RecordBatch.from_arrays([own, pa.array(hashes[first]), pa.array(n.astype(np.int32))], ["row", "word", "n"])
+            whole = [np.concatenate((x, np.zeros(len(first), x.dtype))) for x in (tokens, known.astype(np.int64), score - tokens * base.log_all)]
+            text = pa.StructArray.from_arrays([pa.array(x) for x in whole], ["n_tokens", "known", "score"], mask=pa.array(np.arange(texts + len(first)) >= texts))
+            values = [
+                pa.array(np.concatenate((number, number[doc[first]]))), pa.array(np.concatenate((mix(number.astype(np.uint64)).view(np.int64), hashes[first]))),
+                pa.array(np.concatenate((np.zeros(texts, np.int32), n.astype(np.int32)))), text,
+            ]
+            yield pa.RecordBatch.from_arrays(values, ["row", "word", "n", "text"])
 
     return run
 
 
-def _scored(base: Base, model: Model):
+def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in chunks(batches):
-            hashes, doc = _tokens(data, at)
-            hot, logs = base.find(hashes)
-            n = np.bincount(doc, minlength=rows.num_rows)
-            blobs = rows.column("ids").to_pylist()
-            sizes = np.array([len(b) // 2 for b in blobs])
-            ids = np.frombuffer(b"".join(blobs), "<u2").astype(np.int64)
-            score = model.score(ids, np.concatenate(([0], np.cumsum(sizes)))) / np.log(10)
-            values = [
-                rows.column(0), rows.column("row"), pa.array(_held_out(rows.column(0).to_pylist())), pa.array(n.astype(np.int64)),
-                pa.array(np.bincount(doc, weights=hot, minlength=len(n)).astype(np.int64)),
-                pa.array(np.bincount(doc, weights=logs, minlength=len(n)) - n * base.log_all), pa.array(score),
-            ]
-            yield pa.RecordBatch.from_arrays(values, ["doc_id", "row", "held_out", "n_tokens", "hot_known", "hot_score", "score"])
+        for batch in batches:
+            blobs = batch.column("ids").to_pylist()
+            ends = np.cumsum([len(b) // 2 for b in blobs])
+            i = 0
+            while i < len(blobs):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + AT_ONCE, "right")))
+                ids = np.frombuffer(b"".join(blobs[i:j]), "<u2").astype(np.int64)
+                at = np.concatenate(([0], ends[i:j] - (ends[i - 1] if i else 0)))
+                doc = batch.column("doc_id").slice(i, j - i)
+                score = model.score(ids, at) / np.log(10)
+                yield pa.RecordBatch.from_arrays([doc, batch.column("row").slice(i, j - i), pa.array(_held_out(doc.to_pylist())), pa.array(score)], ["doc_id", "row", "held_out", "score"])
+                i = j
 
     return run
 
@@ -602,14 +627,12 @@ def language_scores(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     hot = [(r["word"], r["c"]) for r in counts.filter(F.col("c") >= least).collect()]
     base, model = Base(hot, total, kinds), fitted(rows)
     # the written row number tells apart rows of one id
-    cold = words.mapInArrow(_cold(base), "row long, word long, n int").join(counts, "word")
-    more = cold.groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"))
-    schema = "doc_id long, row long, held_out boolean, n_tokens long, hot_known long, hot_score double, score double"
-    joined = rows.mapInArrow(_scored(base, model), schema).join(more, "row", "left")
-    return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("hot_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
-    )
+    found = words.mapInArrow(_words(base), WORDS).join(counts, "word", "left")
+    known = F.sum(F.coalesce("text.known", F.lit(0)) + F.when(F.col("c").isNull(), 0).otherwise(F.col("n")))
+    more = F.sum(F.coalesce("text.score", F.lit(0.0)) + F.coalesce(F.col("n") * F.log10(F.col("c") + 1), F.lit(0.0)))
+    of_words = found.groupBy("row").agg(F.sum("text.n_tokens").alias("n_tokens"), known.cast("long").alias("n_known"), more.alias("base_score"))
+    scored = rows.select("doc_id", "row", "ids").mapInArrow(_scored(model), "doc_id long, row long, held_out boolean, score double")
+    return scored.join(of_words, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from barloom.llm import (
@@ -465,6 +466,37 @@ def test_cold_words_of_repeated_rows(docs, monkeypatch):
     assert ask() == want and all(n >= known for _, n, known, _ in want)
 
 
+def test_texts_are_read_for_words_once_when_scored(docs):
+    """Counts ask for the text once before; scoring itself reads ids only, and a text's figures come with its rare words."""
+    plan = attention_lm.language_scores(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("text#" in inputs for inputs in re.findall(r"MapInArrow \w+\(([^)]*)\)", plan)) == 1
+    texts = ["a b a", None, "", "c", "a " * 50]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(5)), "text": pa.array(texts), "row": pa.array([7, 8, 9, 3, 1])})
+    a = attention_lm._tokens(np.frombuffer(b"a", np.uint8), np.array([0, 1]))[0][0]
+    base = attention_lm.Base([(int(a), 9)], 20, 3)
+    got = pa.Table.from_batches(attention_lm._words(base)(iter([batch]))).to_pylist()
+    whole = {r["row"]: r["text"] for r in got if r["text"] is not None}
+    for row, text in zip((7, 8, 9, 3, 1), texts, strict=True):
+        words = (text or "").split()
+        n, known = len(words) + 1, words.count("a")
+        assert (whole[row]["n_tokens"], whole[row]["known"]) == (n, known) and whole[row]["score"] == pytest.approx(known - n * math.log10(24))
+        assert sum(r["n"] for r in got if r["row"] == row) == n - known
+    assert len(whole) == 5 and all(r["n"] == 0 for r in got if r["text"] is not None)
+
+
+def test_scores_in_slices_equal_those_of_single_texts(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [rng.zipf(1.3, n) % attention_lm.VOCABULARY for n in (1, 16, 17, 40, 1, 300, 8, 24)]
+    model = attention_lm.Model(np.bincount(np.concatenate(texts), minlength=attention_lm.VOCABULARY), texts)
+    model.prepared()
+    want = [model.score(t, np.array([0, len(t)]))[0] / math.log(10) for t in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(8)), "row": pa.array(range(8)), "ids": pa.array([t.astype("<u2").tobytes() for t in texts])})
+    for size in (20, 1 << 16):
+        monkeypatch.setattr(attention_lm, "AT_ONCE", size)
+        got = pa.Table.from_batches(attention_lm._scored(model)(iter([batch])))
+        assert got["doc_id"].to_pylist() == list(range(8)) and got["score"].to_pylist() == pytest.approx(want, rel=1e-5)
+
+
 def test_model_learns_from_all_training_documents(spark, monkeypatch):
     """More documents than any sample had; short texts and the last words of long ones are trained on."""
     docs = spark.createDataFrame([(i, f"start {i} " + ("alpha beta gamma delta " * (250 if i == 0 else 1)) + "end") for i in range(1500)], "doc_id long, text string").repartition(3)
